@@ -68,6 +68,12 @@ def padded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
 
 
+def distinct(text: bytes) -> np.ndarray:
+    """All distinct features of one text."""
+    data = np.frombuffer(b" " + text + b" ", np.uint8)
+    return np.unique(np.concatenate([grams(data, n) + np.int32(k << BITS) for k, n in enumerate(SIZES)]))
+
+
 class Model:
     def __init__(self, weights: np.ndarray, bias: float):
         self.weights, self.bias = weights, bias
@@ -84,25 +90,19 @@ def fit(texts: list[bytes], y: np.ndarray, rounds: int = 150, ridge: float = 2e-
     width = len(SIZES) << BITS
     if len(set(y)) < 2:
         return Model(np.zeros(width, np.float32), 30.0 if len(y) and y[0] else -30.0)
-    docs, feats = [], []
-    for i, t in enumerate(texts):  # small sorts, text by text
-        data = np.frombuffer(b" " + t + b" ", np.uint8)
-        f = np.unique(np.concatenate([grams(data, n) + np.int32(k << BITS) for k, n in enumerate(SIZES)]))
-        docs.append(np.full(len(f), i, np.int32))
-        feats.append(f)
-    doc, feature = np.concatenate(docs), np.concatenate(feats)
+    in1, in0 = np.zeros(width), np.zeros(width)
+    for t, label in zip(texts, y, strict=True):
+        (in1 if label == 1 else in0)[distinct(t)] += 1
     n1, n0 = (y == 1).sum(), (y == 0).sum()
-    in1 = np.bincount(feature[y[doc] == 1], minlength=width)
-    in0 = np.bincount(feature[y[doc] == 0], minlength=width)
     ratio = np.log(((in1 + 1) / (n1 + 2)) / ((in0 + 1) / (n0 + 2)))
     spread = np.sqrt(1 / (in1 + 1) + 1 / (in0 + 1))
     evidence = np.where(in1 + in0 >= 3, np.abs(ratio) / spread, 0)
     chosen = np.sort(np.argsort(-evidence, kind="stable")[:FEATURES])
     chosen = chosen[(evidence[chosen] > 3) & (np.abs(ratio[chosen]) > 0.7)]
-    place = np.full(width, -1, np.int64)
+    place = np.full(width, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
-    kept = place[feature] >= 0
-    doc, col = doc[kept], place[feature[kept]]
+    cols = [f[f >= 0] for f in (place[distinct(t)] for t in texts)]  # once more, so that only chosen features are held
+    doc, col = np.repeat(np.arange(len(cols)), [len(c) for c in cols]), np.concatenate(cols)
     r = ratio[chosen]
     w, b, m1, m2 = np.zeros(len(chosen)), 0.0, np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
     for t in range(1, rounds + 1):  # Adam on the whole sample
