@@ -15,6 +15,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 U64 = np.uint64
 PIECE = 1 << 19
 #: Shingles of this many words stand for a text in near-duplicate operators.
@@ -32,6 +34,7 @@ SPACE[[32, *range(9, 14)]] = True
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -152,5 +155,5 @@ def shingles(hashes: np.ndarray, first: np.ndarray, k: int = SHINGLE) -> tuple[n
         long = np.repeat(n >= k, count)
         out[long] = rolled[inside & np.repeat(n >= k, n)[:full]]
     for i in np.flatnonzero((n > 0) & (n < k)):
-        out[at[i]] = (hashes[first[i] : first[i + 1]] * WORD_MIX[: n[i]]).sum(dtype=U64) + U64(int(n[i]) * 0x9E3779B97F4A7C15 % 2**64)
+        out[at[i]] = (hashes[first[i] : first[i + 1]] * WORD_MIX[: n[i]]).sum(dtype=U64) ^ WORD_MIX[40 + n[i]]
     return mix(out), at
