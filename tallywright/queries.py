@@ -1,10 +1,437 @@
-"""Every query of the library by name, with the equivalent SQL where there is one."""
+"""Every query of the library by name, with the equivalent SQL where there is one.
+
+The driver's tables hold no inventories, so documents, orders and others are read as such: each row is a file or a claim. Rows are
+perturbed by rules on their keys to make two snapshots, right and wrong claims; no row is left out.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import digests, paths, reasons, timeutil
+from .operators import audit, boundary, certificate, custody, diff, evidence, inventory, journal, resolve, verify
+from .plans.criteria import Keyword, Profile, evaluate
+from .session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+T0 = 1_700_000_000_000_000_000
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+FILE_COLUMNS = ("path", "size", "mtime_ns", "ctime_ns", "atime_ns", "sha256", "kind", "status")
+BASE = f"""
+  SELECT doc_id, text, concat('docs/', source, '/', lang, '/', CAST(doc_id AS STRING), '.txt') AS path, n_chars AS size,
+         {T0} + doc_id * 1000000000 AS mtime_ns, {T0} + doc_id * 1000000000 AS ctime_ns, {T0} + doc_id * 1000000000 AS atime_ns,
+         CASE WHEN doc_id % 29 = 0 THEN NULL ELSE SHA256(text) END AS sha256, 'file' AS kind, CASE WHEN doc_id % 29 = 0 THEN 'read_error' ELSE 'ok' END AS status
+  FROM documents"""
+CURRENT = f"""
+  SELECT doc_id, text, concat(CASE WHEN doc_id % 17 = 0 THEN 'moved/' ELSE 'docs/' END, source, '/', lang, '/', CAST(doc_id AS STRING), '.txt') AS path, n_chars + CASE WHEN doc_id % 31 = 0 THEN 1 ELSE 0 END AS size,
+         {T0} + doc_id * 1000000000 + CASE WHEN doc_id % 7 = 0 THEN 5000000000 ELSE 0 END AS mtime_ns, {T0} + doc_id * 1000000000 AS ctime_ns,
+         {T0} + doc_id * 1000000000 + CASE WHEN doc_id % 5 = 0 THEN 9000000000 ELSE 0 END AS atime_ns,
+         CASE WHEN doc_id % 19 = 0 THEN NULL WHEN doc_id % 11 = 0 THEN SHA256(concat(text, 'x')) ELSE SHA256(text) END AS sha256,
+         CASE WHEN doc_id % 23 = 0 THEN 'dir' ELSE 'file' END AS kind, 'ok' AS status
+  FROM documents"""
+#: Claims: exact path, suffix of a path, windows spelling, unknown path; digests right, wrong, of another algorithm or none.
+CLAIMS = """
+  SELECT doc_id AS ord,
+         CASE WHEN doc_id % 4 = 0 THEN concat('docs/', source, '/', lang, '/', CAST(doc_id AS STRING), '.txt') WHEN doc_id % 4 = 1 THEN concat(lang, '/', CAST(doc_id AS STRING), '.txt')
+              WHEN doc_id % 4 = 2 THEN concat('C:/docs/', source, '//', lang, '/', CAST(doc_id AS STRING), '.txt') ELSE concat('gone/', CAST(doc_id AS STRING), '.bin') END AS claimed_path,
+         CASE WHEN doc_id % 4 = 0 THEN concat('docs/', source, '/', lang, '/', CAST(doc_id AS STRING), '.txt') WHEN doc_id % 4 = 1 THEN concat(lang, '/', CAST(doc_id AS STRING), '.txt')
+              WHEN doc_id % 4 = 2 THEN concat('docs/', source, '/', lang, '/', CAST(doc_id AS STRING), '.txt') ELSE concat('gone/', CAST(doc_id AS STRING), '.bin') END AS rel,
+         CASE WHEN doc_id % 9 = 0 THEN NULL WHEN doc_id % 9 = 1 THEN MD5(text) WHEN doc_id % 9 = 2 THEN SHA256(concat(text, '!')) ELSE SHA256(text) END AS digest,
+         doc_id % 37 = 0 AS unparsed
+  FROM documents"""
+
+
+def spark_sql(sql: str) -> str:
+    return sql.replace("SHA256(text)", "sha2(text, 256)").replace("SHA256(concat(text, 'x'))", "sha2(concat(text, 'x'), 256)").replace("SHA256(concat(text, '!'))", "sha2(concat(text, '!'), 256)")
+
+
+def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    return spark.sql(spark_sql(sql).replace("FROM documents", "FROM {documents}"), documents=table(spark, sf_dir, "documents"))
+
+
+def base(spark, sf_dir):
+    return view(spark, sf_dir, BASE).select(*FILE_COLUMNS)
+
+
+def current(spark, sf_dir):
+    return view(spark, sf_dir, CURRENT).select(*FILE_COLUMNS)
+
+
+def claims(spark, sf_dir):
+    return view(spark, sf_dir, CLAIMS).withColumn("hash_algo", digests.algorithm(F.col("digest")))
+
+
+CHANGED = f"""WITH base AS ({BASE}), cur AS ({CURRENT}), d AS (
+  SELECT coalesce(b.path, a.path) AS path, a.path AS ap, b.path AS bp, a.kind AS akind, a.mtime_ns AS amtime,
+    CASE WHEN b.path IS NULL OR a.path IS NULL THEN NULL
+      WHEN a.kind IS DISTINCT FROM b.kind THEN 'kind_changed'
+      WHEN b.sha256 IS NOT NULL AND a.sha256 IS NOT NULL AND a.sha256 <> b.sha256 THEN 'content_changed'
+      WHEN b.sha256 IS NOT NULL AND a.sha256 IS NOT NULL AND a.atime_ns <> b.atime_ns AND a.mtime_ns = b.mtime_ns THEN 'accessed'
+      WHEN b.sha256 IS NOT NULL AND a.sha256 IS NOT NULL AND (a.mtime_ns <> b.mtime_ns OR a.ctime_ns <> b.ctime_ns OR a.size <> b.size OR a.atime_ns <> b.atime_ns) THEN 'metadata_changed'
+      WHEN b.sha256 IS NOT NULL AND a.sha256 IS NOT NULL THEN 'unchanged'
+      WHEN a.status <> b.status THEN 'status_changed'
+      WHEN a.mtime_ns <> b.mtime_ns OR a.ctime_ns <> b.ctime_ns OR a.size <> b.size THEN 'modified_unverifiable'
+      ELSE 'unchanged_unverifiable' END AS class
+  FROM base b FULL OUTER JOIN cur a ON a.path = b.path), changes AS (
+  SELECT path, CASE WHEN bp IS NULL THEN 'added' WHEN ap IS NULL THEN 'removed' WHEN class IN ('unchanged', 'unchanged_unverifiable') THEN 'unchanged' ELSE 'changed' END AS change, class,
+    bp IS NULL AND akind = 'file' AND amtime > 0 AND amtime < {T0 + 500_000_000_000} AS backdated FROM d)
+"""
+
+
+def changes(spark, sf_dir):
+    return diff.diff(base(spark, sf_dir), current(spark, sf_dir), T0 + 500_000_000_000)
+
+
+@query(CHANGED + "SELECT path, change, class, backdated FROM changes")
+def snapshot_diff(spark, sf_dir):
+    return changes(spark, sf_dir).select("path", "change", "class", "backdated")
+
+
+@query(CHANGED + "SELECT " + ", ".join([f"count(*) FILTER (WHERE {t}) AS {n}" for n, t in [("added", "change = 'added'"), ("removed", "change = 'removed'"), ("backdated", "backdated"), *[(c, f"class = '{c}'") for c in diff.CHANGE_CLASSES]]]) + " FROM changes")
+def diff_summary(spark, sf_dir):
+    return diff.summary(changes(spark, sf_dir))
+
+
+@query(CHANGED + "SELECT path FROM changes WHERE backdated")
+def backdated_added(spark, sf_dir):
+    return changes(spark, sf_dir).where("backdated").select("path")
+
+
+@query(f"""WITH base AS ({BASE}), cur AS ({CURRENT}), j AS (SELECT a.path, a.kind, p.sha256, a.status,
+    coalesce(a.size = p.size AND a.mtime_ns = p.mtime_ns AND a.kind = p.kind AND p.sha256 IS NOT NULL AND p.status = 'ok', false) AS reused FROM cur a LEFT JOIN base p ON a.path = p.path)
+  SELECT path, CASE WHEN reused THEN sha256 END AS sha256, reused, kind = 'file' AND NOT reused AS to_hash FROM j""")
+def incremental_reuse(spark, sf_dir):
+    return inventory.reuse_digests(current(spark, sf_dir), base(spark, sf_dir)).select("path", "sha256", "reused", "to_hash")
+
+
+@query(f"WITH cur AS ({CURRENT}) SELECT kind, count(*) AS count FROM cur GROUP BY kind")
+def inventory_counts(spark, sf_dir):
+    return inventory.counts(current(spark, sf_dir))
+
+
+PROFILE = Profile(
+    keywords=(Keyword("src1"), Keyword("ingly", where="content")),
+    extensions=(".txt", ".hwp"),
+    filename_patterns=("1*.txt", "*[02468].txt"),
+    date_ranges=(("mtime", T0, T0 + 400_000_000_000), ("atime", T0 + 100_000_000_000, None)),
+    path_exclude=("docs/src3/*",),
+    size_min=200,
+    size_max=4000,
+    hash_sets=("toxic",),
+)
+SCOPE = f"""WITH base AS ({BASE}), sets AS (SELECT DISTINCT b.sha256 FROM base b JOIN labels l ON l.doc_id = b.doc_id WHERE l.toxic = 1 AND b.sha256 IS NOT NULL), g AS (
+  SELECT b.path, b.path LIKE 'docs/src3/%' AS excluded, true AS g1, regexp_matches(b.path, '/1[^/]*$') OR regexp_matches(b.path, '[02468][.]txt$') AS g2,
+    CASE WHEN contains(b.path, 'src1') THEN true WHEN text IS NULL THEN NULL ELSE contains(lower(text), 'ingly') END AS g3,
+    CASE WHEN atime_ns >= {T0 + 100_000_000_000} THEN true ELSE mtime_ns BETWEEN {T0} AND {T0 + 400_000_000_000} END AS g4,
+    coalesce(size, 0) BETWEEN 200 AND 4000 AS g6, CASE WHEN b.sha256 IS NULL THEN NULL ELSE s.sha256 IS NOT NULL END AS g7
+  FROM base b LEFT JOIN sets s ON s.sha256 = b.sha256), v AS (SELECT *, g2 AND coalesce(g3, true) AND g4 AND g6 AND coalesce(g7, true) AS narrow FROM g)
+"""
+VERDICT = "CASE WHEN excluded THEN 'excluded' WHEN narrow AND (g3 IS NULL OR g7 IS NULL) THEN 'in_scope_partial' WHEN narrow THEN 'in_scope' ELSE 'borderline' END"
+
+
+def judged(spark, sf_dir):
+    docs = view(spark, sf_dir, BASE)
+    toxic = docs.join(table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id"), "doc_id").select(F.col("sha256").alias("digest"))
+    return evaluate(docs, PROFILE, content="text", hash_sets=toxic)
+
+
+@query(SCOPE + f"SELECT path, {VERDICT} AS verdict, narrow AND NOT excluded AS narrow, NOT excluded AS broad FROM v")
+def scope_verdicts(spark, sf_dir):
+    return judged(spark, sf_dir).select("path", "verdict", "narrow", "broad")
+
+
+@query(SCOPE + f"SELECT {VERDICT} AS verdict, count(*) AS files FROM v GROUP BY 1")
+def scan_summary(spark, sf_dir):
+    return judged(spark, sf_dir).groupBy("verdict").agg(F.count("*").alias("files"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN NULL WHEN b >= 820454400000000000 AND b <= 852076800000000000 THEN true ELSE a >= 725846400000000000 AND a <= 757382400000000000 END AS date_ranges
+  FROM (SELECT o_orderkey, o_orderstatus, epoch_us(o_orderdate) * 1000 AS a, epoch_us(o_orderdate) * 1000 + 1 AS b FROM orders)""")
+def date_range_fold(spark, sf_dir):
+    from .plans.criteria import group_columns
+
+    profile = Profile(date_ranges=(("mtime", 725846400000000000, 757382400000000000), ("ctime", 820454400000000000, 852076800000000000)))
+    ns = F.unix_micros(F.col("o_orderdate").cast("timestamp")) * 1000
+    times = {"mtime": ns, "ctime": F.when(F.col("o_orderstatus") != "P", ns + 1)}
+    return table(spark, sf_dir, "orders").select("o_orderkey", group_columns(profile, F.lit("x"), F.lit(0), times)["date_ranges"].alias("date_ranges"))
+
+
+@query(r"""WITH n AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(concat('C:\', replace(url, '/', '\')), '\\', '/', 'g'), '/{2,}', '/', 'g'), '^[A-Za-z]:/', '') AS rel FROM pages)
+  SELECT page_id, rel, regexp_extract(rel, '[^/]*$') AS base, CASE WHEN contains(regexp_extract(rel, '[^/]*$'), '.') THEN lower(regexp_extract(rel, '[.][^./]*$')) ELSE '' END AS ext FROM n""")
+def path_normalise(spark, sf_dir):
+    rel = paths.normalise(F.concat(F.lit("C:\\"), F.translate("url", "/", "\\")))
+    return table(spark, sf_dir, "pages").select("page_id", rel.alias("rel")).select("page_id", "rel", paths.basename(F.col("rel")).alias("base"), paths.extension(F.col("rel")).alias("ext"))
+
+
+RESOLVED = f"""WITH base AS ({BASE}), claims AS ({CLAIMS}), tails AS (
+  SELECT path, array_to_string(list_slice(string_split(path, '/'), i, 99), '/') AS tail FROM (SELECT path, unnest(range(2, len(string_split(path, '/')) + 1)) AS i FROM base)),
+  hits AS (SELECT tail, count(*) AS n, min(path) AS p FROM tails GROUP BY tail),
+  resolved AS (SELECT c.*, coalesce(b.path, CASE WHEN h.n = 1 THEN h.p END) AS matched_path, CASE WHEN b.path IS NOT NULL THEN 'exact' WHEN h.n = 1 THEN 'suffix' END AS tier,
+    CASE WHEN b.path IS NULL THEN coalesce(h.n, 0) ELSE 0 END AS suffix_hits FROM claims c LEFT JOIN base b ON b.path = c.rel LEFT JOIN hits h ON h.tail = c.rel)
+"""
+
+
+@query(RESOLVED + "SELECT ord, matched_path, tier, suffix_hits FROM resolved")
+def resolve_paths(spark, sf_dir):
+    return resolve.exact_and_suffix(claims(spark, sf_dir), base(spark, sf_dir)).select("ord", "matched_path", "tier", "suffix_hits")
+
+
+@query()
+def resolve_similar(spark, sf_dir):
+    """Nation names with scanned look-alikes, against the names themselves; difflib has no SQL counterpart."""
+    nation = table(spark, sf_dir, "nation")
+    files = nation.select(F.concat(F.lit("countries/"), "n_name", F.lit("/notes_"), "n_nationkey", F.lit(".txt")).alias("path"))
+    noisy = nation.select(F.translate(F.concat(F.lit("countries/"), "n_name", F.lit("/n0tes_"), "n_nationkey", F.lit(".txt")), "OI", "01").alias("rel"))
+    return resolve.fuzzy(noisy, files)
+
+
+def results(spark, sf_dir):
+    return verify.verify(claims(spark, sf_dir), base(spark, sf_dir), Profile(extensions=(".txt",), filename_patterns=("*[13579].txt",), size_max=3000), similar=False)
+
+
+VERIFIED = RESOLVED + """, verified AS (SELECT r.ord, r.claimed_path, r.digest, r.matched_path, r.tier,
+    CASE WHEN unparsed THEN 'unparsed_item' WHEN matched_path IS NULL THEN CASE WHEN suffix_hits > 1 THEN 'ambiguous_path' ELSE 'not_in_inventory' END
+      WHEN r.digest IS NULL OR length(r.digest) <> 64 THEN 'verified' WHEN b.sha256 IS NULL THEN 'unverifiable' WHEN b.sha256 <> r.digest THEN 'hash_mismatch' ELSE 'verified' END AS status,
+    CASE WHEN unparsed OR matched_path IS NULL THEN 'unknown' WHEN regexp_matches(b.path, '[13579][.]txt$') AND b.size <= 3000 THEN 'in_scope' ELSE 'borderline' END AS scope_verdict,
+    coalesce(NOT unparsed AND matched_path IS NOT NULL AND r.digest IS NOT NULL AND length(r.digest) <> 64, false) AS hash_incomparable,
+    NOT unparsed AND matched_path IS NOT NULL AND r.digest IS NULL AS no_claimed_hash
+  FROM resolved r LEFT JOIN base b ON b.path = r.matched_path)
+"""
+
+
+@query(VERIFIED + "SELECT ord, matched_path, status, scope_verdict, hash_incomparable, no_claimed_hash FROM verified")
+def verify_status(spark, sf_dir):
+    return results(spark, sf_dir).select("ord", "matched_path", "status", "scope_verdict", "hash_incomparable", "no_claimed_hash")
+
+
+@query(VERIFIED + "SELECT count(*) AS items, " + ", ".join(f"count(*) FILTER (WHERE status = '{s}') AS {s}" for s in verify.VERIFY_STATUSES) + ", count(*) FILTER (WHERE hash_incomparable) AS hash_incomparable, count(*) FILTER (WHERE no_claimed_hash) AS no_claimed_hash, count(*) FILTER (WHERE scope_verdict = 'in_scope') AS scope_in_scope, count(*) FILTER (WHERE scope_verdict = 'borderline') AS scope_borderline, count(*) FILTER (WHERE scope_verdict = 'unknown') AS scope_unknown FROM verified")
+def verify_summary(spark, sf_dir):
+    return verify.summary(results(spark, sf_dir)).drop("missing_now", "fuzzy_matched", "scope_in_scope_partial", "scope_out_of_scope", "scope_unverifiable")
+
+
+TERMS = ["1", "22", "TXT", "bin", "nothing"]
+_LOST, _NOISE = "status IN ('not_in_inventory', 'ambiguous_path', 'unparsed_item')", "scope_verdict IN ('out_of_scope', 'excluded', 'borderline')"
+
+
+@query(VERIFIED + f""", terms AS (SELECT unnest({TERMS!r}) AS term), a AS (SELECT t.term, v.* FROM terms t LEFT JOIN verified v ON contains(lower(regexp_extract(v.claimed_path, '[^/]*$')), lower(t.term)))
+  SELECT term, count(ord) AS seized, count(*) FILTER (WHERE ord IS NOT NULL AND NOT {_LOST} AND scope_verdict = 'in_scope') AS in_scope, count(*) FILTER (WHERE NOT {_LOST} AND {_NOISE}) AS out_of_scope,
+    count(*) FILTER (WHERE {_LOST}) AS missing, CASE WHEN count(ord) = 0 THEN 0.0 ELSE round(count(*) FILTER (WHERE NOT {_LOST} AND {_NOISE}) / count(ord), 4) END AS noise_ratio FROM a GROUP BY term""")
+def keyword_audit(spark, sf_dir):
+    return audit.keyword_audit(results(spark, sf_dir), TERMS).select("term", "seized", "in_scope", "out_of_scope", "missing", "noise_ratio")
+
+
+@query(VERIFIED + "SELECT section, count(*) AS items FROM (SELECT CASE WHEN scope_verdict IN ('out_of_scope', 'excluded') THEN 'return_out_of_scope' END AS section FROM verified UNION ALL SELECT CASE WHEN scope_verdict IN ('borderline', 'unknown') THEN 'needs_review' END FROM verified UNION ALL SELECT CASE WHEN status = 'hash_mismatch' THEN 'integrity_dispute' END FROM verified UNION ALL SELECT CASE WHEN " + _LOST + " THEN 'origin_unknown' END FROM verified) WHERE section IS NOT NULL GROUP BY section")
+def disposal_lists(spark, sf_dir):
+    return custody.disposal_lists(results(spark, sf_dir)).groupBy("section").agg(F.count("*").alias("items"))
+
+
+SPOTS = "CASE doc_id % 7 WHEN 0 THEN concat('\\\\srv\\', source) WHEN 1 THEN concat('C:\\Users\\OneDrive - ', lang, '\\', source) WHEN 2 THEN concat('D:\\XboxGaming\\', source) WHEN 3 THEN concat('e:\\', source) WHEN 4 THEN '' WHEN 5 THEN concat('F:\\box\\', source) ELSE concat('local/', source) END"
+
+
+@query(f"""WITH s AS (SELECT doc_id % 7 AS k FROM documents) SELECT CASE k WHEN 0 THEN 'remote_unc' WHEN 1 THEN 'cloud_sync' WHEN 2 THEN 'removable' WHEN 3 THEN 'remote_mapped' WHEN 5 THEN 'cloud_sync' ELSE 'unknown' END AS territory, count(*) AS items FROM s GROUP BY 1""")
+def boundary_territory(spark, sf_dir):
+    items = table(spark, sf_dir, "documents").selectExpr(SPOTS.replace("\\", "\\\\") + " AS claimed_path")
+    volumes = spark.createDataFrame([("C:", "fixed"), ("D:", "removable"), ("E:", "remote")], "drive string, type string")
+    return boundary.counts(boundary.territories(items, volumes))
+
+
+@query("""WITH n AS (SELECT l_orderkey, l_linenumber * 2 - CASE WHEN l_suppkey % 3 = 0 THEN 1 ELSE 0 END AS n, l_linenumber AS ord, l_partkey FROM lineitem), o AS (SELECT *, lag(n) OVER (PARTITION BY l_orderkey ORDER BY ord, l_partkey, n) AS before FROM n),
+  b AS (SELECT l_orderkey, count(*) AS rows, count(*) - count(DISTINCT n) AS repeated FROM o GROUP BY l_orderkey),
+  g AS (SELECT l_orderkey, count(*) AS gaps, CAST(sum(next - n - 1) AS BIGINT) AS missing FROM (SELECT l_orderkey, n, lead(n) OVER (PARTITION BY l_orderkey ORDER BY n) AS next FROM (SELECT DISTINCT l_orderkey, n FROM n)) WHERE next > n + 1 GROUP BY l_orderkey)
+  SELECT b.l_orderkey, rows, repeated, coalesce(gaps, 0) AS gaps, coalesce(missing, 0) AS missing FROM b LEFT JOIN g USING (l_orderkey)""")
+def certificate_sequences(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_linenumber") * 2 - F.when(F.col("l_suppkey") % 3 == 0, 1).otherwise(0)).cast("string").alias("seq"), F.col("l_linenumber").alias("ord"))
+    return certificate.sequence_report(rows, "l_orderkey").select("l_orderkey", "rows", "repeated", "gaps", "missing")
+
+
+CERTIFICATE = """SELECT doc_id AS ord, CAST(doc_id AS STRING) AS seq, concat(CAST(doc_id AS STRING), CASE WHEN doc_id % 13 = 0 THEN '.doc' ELSE '.txt' END) AS name, CAST(n_chars AS STRING) AS size,
+    concat('C:/docs/', source, '/', CAST(doc_id AS STRING), '.txt') AS path, MD5(text) AS md5, CASE WHEN doc_id % 10 = 0 THEN 'NOT-HEX' ELSE SHA1(text) END AS sha1, '' AS sha256,
+    '' AS created, CASE WHEN doc_id % 8 = 0 THEN '2026-13-45' WHEN doc_id % 8 = 1 THEN '2026-02-01 12:00:00' ELSE '2025-12-30 08:15:00' END AS modified, '' AS accessed FROM documents"""
+
+
+def certificate_rows(spark, sf_dir):
+    return spark.sql(CERTIFICATE.replace("SHA1(text)", "sha1(text)").replace("FROM documents", "FROM {documents}"), documents=table(spark, sf_dir, "documents"))
+
+
+@query("WITH p AS (SELECT 'md5' AS field, md5(text) AS value, doc_id FROM documents UNION ALL SELECT 'sha1', CASE WHEN doc_id % 10 = 0 THEN 'not-hex' ELSE sha1(text) END, doc_id FROM documents UNION ALL SELECT 'path', lower(concat('C:/docs/', source, '/', CAST(doc_id AS STRING), '.txt')), doc_id FROM documents) SELECT field, value, count(*) AS count, min(doc_id) AS first_row FROM p GROUP BY field, value HAVING count(*) > 1")
+def certificate_duplicates(spark, sf_dir):
+    return certificate.duplicates(certificate_rows(spark, sf_dir))
+
+
+@query("SELECT doc_id AS ord, 'sha1' AS field, 'NOT-HEX' AS value FROM documents WHERE doc_id % 10 = 0")
+def certificate_digests(spark, sf_dir):
+    return certificate.bad_digests(certificate_rows(spark, sf_dir))
+
+
+@query("SELECT doc_id AS ord, concat(CAST(doc_id AS STRING), '.doc') AS name, concat(CAST(doc_id AS STRING), '.txt') AS base FROM documents WHERE doc_id % 13 = 0")
+def certificate_names(spark, sf_dir):
+    return certificate.name_mismatches(certificate_rows(spark, sf_dir))
+
+
+@query("SELECT doc_id AS ord FROM documents WHERE doc_id % 8 = 1")
+def certificate_after_issue(spark, sf_dir):
+    return certificate.after_issue(certificate_rows(spark, sf_dir), certificate.issued_at(F.lit("list_20260101120000.xlsx"))).select("ord")
+
+
+@query("""SELECT * FROM (SELECT 'hash_format' AS "check", 'fail' AS severity, count(*) AS count FROM documents WHERE doc_id % 10 = 0 UNION ALL SELECT 'name_path_mismatch', 'warn', count(*) FROM documents WHERE doc_id % 13 = 0
+  UNION ALL SELECT 'post_cert_mtime', 'fail', count(*) FROM documents WHERE doc_id % 8 = 1 UNION ALL SELECT 'unparseable_date', 'info', count(*) FROM documents WHERE doc_id % 8 = 0
+  UNION ALL SELECT 'duplicate_md5', 'warn', count(*) FROM (SELECT md5(text) FROM documents GROUP BY 1 HAVING count(*) > 1)
+  UNION ALL SELECT 'duplicate_sha1', 'warn', count(*) FROM (SELECT CASE WHEN doc_id % 10 = 0 THEN 'not-hex' ELSE sha1(text) END FROM documents GROUP BY 1 HAVING count(*) > 1)
+  UNION ALL SELECT 'duplicate_path', 'warn', count(*) FROM (SELECT lower(concat(source, CAST(doc_id AS STRING))) FROM documents GROUP BY 1 HAVING count(*) > 1)
+  UNION ALL SELECT 'seq_integrity', 'warn', count(*) FROM (SELECT doc_id, lead(doc_id) OVER (ORDER BY doc_id) AS n FROM (SELECT DISTINCT doc_id FROM documents)) WHERE n > doc_id + 1) WHERE count > 0""")
+def certificate_findings(spark, sf_dir):
+    return certificate.findings(certificate_rows(spark, sf_dir), certificate.issued_at(F.lit("list_20260101120000.xlsx"))).select("check", "severity", "count")
+
+
+EVENT_MASK = "CASE event_type WHEN 'click' THEN 256 WHEN 'view' THEN 512 WHEN 'purchase' THEN 2147483648 + 2 WHEN 'scroll' THEN 4096 ELSE 2048 END + CASE WHEN user_id % 5 = 0 THEN 32768 ELSE 0 END"
+
+
+def journal_events(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    return journal.decode(events.select("event_id", F.expr(f"concat('f', user_id % 100, '.tmp')").alias("file_name"), F.expr(EVENT_MASK).cast("long").alias("reason_mask"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("timestamp_utc")))
+
+
+_NAMES = "concat_ws('|', " + ", ".join(f"CASE WHEN m & {bit} <> 0 THEN '{name}' END" for bit, name in reasons.REASONS.items()) + ")"
+MASKS = f"WITH e AS (SELECT event_id, user_id, ts, CAST({EVENT_MASK} AS BIGINT) AS m FROM events)"
+
+
+@query(MASKS + f" SELECT event_id, {_NAMES} AS reasons FROM e")
+def journal_decode(spark, sf_dir):
+    return journal_events(spark, sf_dir).select("event_id", F.array_join("reasons", "|").alias("reasons"))
+
+
+@query(MASKS + f" SELECT reason, count(*) AS events FROM (SELECT unnest(string_split({_NAMES}, '|')) AS reason FROM e) GROUP BY reason")
+def journal_histogram(spark, sf_dir):
+    return journal.histogram(journal_events(spark, sf_dir))
+
+
+@query(MASKS + " SELECT event_id FROM e WHERE m & (512 | 4096 | 2048) <> 0")
+def journal_notable(spark, sf_dir):
+    return journal.notable(journal_events(spark, sf_dir)).select("event_id")
+
+
+@query(f"SELECT event_id, CAST({EVENT_MASK} AS BIGINT) AS mask FROM events")
+def journal_reason_text(spark, sf_dir):
+    return journal_events(spark, sf_dir).select("event_id", reasons.mask(F.array_join("reasons", " | ")).alias("mask"))
+
+
+ORDER_FILES = """SELECT o_orderkey, CAST(o_orderkey AS STRING) AS path, CASE WHEN o_orderstatus = 'P' THEN 'symlink' ELSE 'file' END AS kind,
+  us * 1000 AS mtime_ns, us * 1000 - 86400000000000 * 30 AS ctime_ns, us * 1000 + 86400000000000 * 60 AS atime_ns FROM (SELECT *, EPOCH AS us FROM orders)"""
+LOW, HIGH = 820454400000000000, 852076800000000000
+
+
+def order_files(spark, sf_dir):
+    return spark.sql(ORDER_FILES.replace("EPOCH", "unix_micros(CAST(o_orderdate AS TIMESTAMP))").replace("FROM orders", "FROM {orders}"), orders=table(spark, sf_dir, "orders"))
+
+
+@query(f"""WITH f AS ({ORDER_FILES.replace("EPOCH", "epoch_us(o_orderdate)")}), w AS (SELECT o_orderkey, ctime_ns BETWEEN {LOW} AND {HIGH} AS created, mtime_ns BETWEEN {LOW} AND {HIGH} AS modified, atime_ns BETWEEN {LOW} AND {HIGH} AND NOT mtime_ns BETWEEN {LOW} AND {HIGH} AS accessed_only,
+  ctime_ns, mtime_ns FROM f WHERE kind <> 'symlink') SELECT o_orderkey, created, modified, accessed_only, strftime(make_timestamp((CASE WHEN created THEN ctime_ns ELSE mtime_ns END) // 1000), '%Y-%m-%dT%H:%M:%S+00:00') AS first_seen FROM w WHERE created OR modified OR accessed_only""")
+def raid_window(spark, sf_dir):
+    return journal.window(order_files(spark, sf_dir), LOW, HIGH).select("o_orderkey", "created", "modified", "accessed_only", "first_seen")
+
+
+NAMES = "concat(CASE doc_id % 8 WHEN 0 THEN 'selected_files' WHEN 1 THEN 'deselectedTab' WHEN 2 THEN '압수물목록' WHEN 3 THEN 'gpresult' WHEN 4 THEN 'forensic-report' ELSE lang END, CASE doc_id % 5 WHEN 0 THEN '.txt' WHEN 1 THEN '.xlsx' WHEN 2 THEN '.zip' WHEN 3 THEN '.gif' ELSE '.exe' END)"
+_HINT = "(regexp_matches(name, '(^|[^a-z0-9])(list|seiz|evid|forens|output|report|result|export|extract|select|item)') OR regexp_matches(name, '목록|리스트|압수|전자정보|압수물|선별|영장|조서|수사|증거'))"
+
+
+@query(f"""WITH n AS (SELECT doc_id, lower({NAMES}) AS name FROM documents), c AS (SELECT doc_id, CASE WHEN name LIKE '%.zip' THEN CASE WHEN {_HINT} THEN 'container_named' ELSE 'container_in_window' END
+  WHEN (name LIKE '%.txt' OR name LIKE '%.xlsx') AND {_HINT} THEN 'list_named' WHEN {_HINT} THEN 'name_match' WHEN name LIKE '%.txt' OR name LIKE '%.xlsx' THEN 'possible_list' END AS category FROM n)
+  SELECT doc_id, category FROM c WHERE category IS NOT NULL""")
+def leftovers_signature(spark, sf_dir):
+    names = table(spark, sf_dir, "documents").select("doc_id", F.expr(NAMES).alias("path"))
+    return names.select("doc_id", evidence.leftover_category(F.col("path")).alias("category")).where("category IS NOT NULL")
+
+
+STEMS = "concat(CASE doc_id % 6 WHEN 0 THEN 'FTKImager' WHEN 1 THEN 'xways_xwforens' WHEN 2 THEN 'md-live' WHEN 3 THEN 'ufed_cellebrite' ELSE source END, '_', lang)"
+
+
+@query(f"""SELECT label, count(*) AS items FROM (SELECT CASE doc_id % 6 WHEN 0 THEN 'FTK Imager' WHEN 1 THEN 'X-Ways' WHEN 2 THEN 'MD-LIVE' WHEN 3 THEN 'Cellebrite' END AS label FROM documents) WHERE label IS NOT NULL GROUP BY label""")
+def tool_labels(spark, sf_dir):
+    items = table(spark, sf_dir, "documents").select(F.concat(F.expr(STEMS), F.lit(".exe")).alias("path"))
+    return evidence.observed_tools(items).select("label", "items")
+
+
+PLACES = "CASE doc_id % 6 WHEN 0 THEN 'Windows/System32/spool/PRINTERS/1.spl' WHEN 1 THEN '$Recycle.Bin/S-1/$R1.txt' WHEN 2 THEN 'Users/Temp/evidence.bin' WHEN 3 THEN 'Users/Temp/cache.bin' WHEN 4 THEN concat('Users/Temp/', source, '.csv') ELSE concat('docs/', source) END"
+
+
+@query("SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'spool' WHEN 1 THEN 'recycle_bin' WHEN 2 THEN 'temp' WHEN 4 THEN 'temp' END AS reason FROM documents")
+def source_reasons(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.expr(PLACES).alias("p")).select("doc_id", evidence.source_reason(F.col("p"), F.lit(0)).alias("reason"))
+
+
+@query("""WITH s AS (SELECT source, sha256(string_agg(sha256(text), '' ORDER BY lang, CAST(doc_id AS STRING))) AS root, count(*) AS files FROM documents GROUP BY source) SELECT source, files, root FROM s""")
+def root_hash_seal(spark, sf_dir):
+    sums = table(spark, sf_dir, "documents").select("source", F.concat("lang", F.lit("/"), "doc_id").alias("rel"), F.sha2("text", 256).alias("digest"))
+    return custody.root_hash(sums, "source")
+
+
+CHECKED = f"WITH base AS ({BASE}), cur AS ({CURRENT}), v AS (SELECT b.path AS name, CASE WHEN a.path IS NULL THEN 'missing' WHEN b.sha256 IS NULL OR a.sha256 IS NULL THEN 'unverifiable' WHEN a.sha256 = b.sha256 THEN 'ok' ELSE 'mismatch' END AS verdict FROM base b LEFT JOIN cur a ON a.path = b.path) "
+
+
+@query(CHECKED + "SELECT name, verdict FROM v")
+def checksum_verify(spark, sf_dir):
+    return custody.check_sums(base(spark, sf_dir).select(F.col("path").alias("name"), F.col("sha256").alias("digest")), current(spark, sf_dir).select(F.col("path").alias("name"), F.col("sha256").alias("digest")))
+
+
+@query(f"WITH base AS ({BASE}), claims AS ({CLAIMS}) SELECT c.rel, c.ord, b.size, CASE WHEN b.path IS NULL THEN 'missing' WHEN digest IS NULL THEN 'no_claimed_hash' WHEN length(digest) <> 64 OR b.sha256 IS NULL THEN 'incomparable' WHEN digest = b.sha256 THEN 'match' ELSE 'mismatch' END AS hash_vs_claimed FROM (SELECT *, row_number() OVER (PARTITION BY rel ORDER BY ord) AS k FROM claims) c LEFT JOIN base b ON b.path = c.rel WHERE k = 1")
+def mirror_plan(spark, sf_dir):
+    return custody.mirror_plan(claims(spark, sf_dir), base(spark, sf_dir))
+
+
+@query("""SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN doc_id % 3 > 0 THEN 0 ELSE 1 END, CASE lang WHEN 'en' THEN 0 WHEN 'de' THEN 1 ELSE 2 END, doc_id DESC) AS k FROM documents) WHERE k = 1""")
+def source_priority(spark, sf_dir):
+    c = table(spark, sf_dir, "documents").select("source", "doc_id", (F.col("doc_id") % 3).alias("parsed"), F.when(F.col("lang") == "en", 0).when(F.col("lang") == "de", 1).otherwise(2).alias("priority"))
+    return evidence.pick_source(c, ["source"], "priority", "doc_id").select("source", "doc_id")
+
+
+@query("SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '[ \\t\\n\\r]+', ' ', 'g')) AS text FROM pages")
+def html_text_strip(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.trim(F.regexp_replace(F.regexp_replace("html", "<[^>]+>", " "), "[ \\t\\n\\r]+", " ")).alias("text"))
+
+
+@query("WITH t AS (SELECT doc_id, concat('x ', sha1(text), ' ', sha256(text), ', ', sha1(source), '.') AS t FROM documents) SELECT doc_id, 2 AS printed FROM t")
+def printed_digests(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", certificate.printed_digests(F.concat(F.lit("x "), F.sha1("text"), F.lit(" "), F.sha2("text", 256), F.lit(", "), F.sha1("source"), F.lit("."))).alias("printed"))
+
+
+ASKED = ["src7/", ".bin", "moved/", "absent"]
+
+
+@query(VERIFIED.replace("WITH base", "WITH base", 1) + f""", cur AS ({CURRENT}), q AS (SELECT unnest({ASKED!r}) AS query), h AS (SELECT q.query, 'item' AS source, coalesce(v.matched_path, v.claimed_path) AS path FROM q JOIN verified v ON contains(lower(concat_ws(chr(10), v.claimed_path, v.matched_path)), q.query)),
+  p AS (SELECT DISTINCT path FROM (SELECT path FROM cur WHERE path LIKE 'moved/%' UNION ALL SELECT path FROM base)) SELECT * FROM h UNION ALL SELECT q.query, 'change', p.path FROM q JOIN p ON contains(lower(p.path), q.query) WHERE q.query NOT IN (SELECT query FROM h) AND p.path LIKE 'moved/%'""")
+def inquiry(spark, sf_dir):
+    return custody.inquire(results(spark, sf_dir), changes(spark, sf_dir), spark.createDataFrame([(a,) for a in ASKED], "query string"))
+
+
+@query("SELECT event_id, epoch_us(ts) * 10 + 116444736000000000 AS ticks, strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00') AS iso FROM events")
+def filetime_roundtrip(spark, sf_dir):
+    ticks = F.unix_micros(F.col("ts").cast("timestamp")) * 10 + timeutil.FILETIME_EPOCH
+    return table(spark, sf_dir, "events").select("event_id", ticks.alias("ticks")).select("event_id", "ticks", timeutil.filetime_to_iso(F.col("ticks")).alias("iso"))
+
+
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'md5' WHEN 1 THEN 'sha1' WHEN 2 THEN 'sha256' END AS algorithm, CASE doc_id % 4 WHEN 0 THEN md5(text) WHEN 1 THEN sha1(text) WHEN 2 THEN sha256(text) END AS digest FROM documents")
+def digest_by_name(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", digests.digest(F.col("text").cast("binary"), F.expr("CASE doc_id % 4 WHEN 0 THEN 'md5' WHEN 1 THEN 'sha1' WHEN 2 THEN 'sha256' END")).alias("digest"))
+    return d.select("doc_id", digests.algorithm(F.col("digest")).alias("algorithm"), "digest")
