@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 from .functions import digests, paths, reasons, timeutil
 from .operators import audit, boundary, certificate, custody, diff, evidence, inventory, journal, resolve, verify
 from .plans.criteria import Keyword, Profile, evaluate
-from .session import ship
+from .session import shared_folder, ship
+from .sources import claims as claim_lists
+from .sources import parsers
+from .streaming import watch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -167,7 +170,7 @@ def scan_summary(spark, sf_dir):
     return judged(spark, sf_dir).groupBy("verdict").agg(F.count("*").alias("files"))
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN NULL WHEN b >= 820454400000000000 AND b <= 852076800000000000 THEN true ELSE a >= 725846400000000000 AND a <= 757382400000000000 END AS date_ranges
+@query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'unknown' WHEN b >= 820454400000000000 AND b <= 852076800000000000 OR a >= 725846400000000000 AND a <= 757382400000000000 THEN 'true' ELSE 'false' END AS date_ranges
   FROM (SELECT o_orderkey, o_orderstatus, epoch_us(o_orderdate) * 1000 AS a, epoch_us(o_orderdate) * 1000 + 1 AS b FROM orders)""")
 def date_range_fold(spark, sf_dir):
     from .plans.criteria import group_columns
@@ -175,7 +178,7 @@ def date_range_fold(spark, sf_dir):
     profile = Profile(date_ranges=(("mtime", 725846400000000000, 757382400000000000), ("ctime", 820454400000000000, 852076800000000000)))
     ns = F.unix_micros(F.col("o_orderdate").cast("timestamp")) * 1000
     times = {"mtime": ns, "ctime": F.when(F.col("o_orderstatus") != "P", ns + 1)}
-    return table(spark, sf_dir, "orders").select("o_orderkey", group_columns(profile, F.lit("x"), F.lit(0), times)["date_ranges"].alias("date_ranges"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.coalesce(group_columns(profile, F.lit("x"), F.lit(0), times)["date_ranges"].cast("string"), F.lit("unknown")).alias("date_ranges"))
 
 
 @query(r"""WITH n AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(concat('C:\', replace(url, '/', '\')), '\\', '/', 'g'), '/{2,}', '/', 'g'), '^[A-Za-z]:/', '') AS rel FROM pages)
@@ -395,9 +398,9 @@ def checksum_verify(spark, sf_dir):
     return custody.check_sums(base(spark, sf_dir).select(F.col("path").alias("name"), F.col("sha256").alias("digest")), current(spark, sf_dir).select(F.col("path").alias("name"), F.col("sha256").alias("digest")))
 
 
-@query(f"WITH base AS ({BASE}), claims AS ({CLAIMS}) SELECT c.rel, c.ord, b.size, CASE WHEN b.path IS NULL THEN 'missing' WHEN digest IS NULL THEN 'no_claimed_hash' WHEN length(digest) <> 64 OR b.sha256 IS NULL THEN 'incomparable' WHEN digest = b.sha256 THEN 'match' ELSE 'mismatch' END AS hash_vs_claimed FROM (SELECT *, row_number() OVER (PARTITION BY rel ORDER BY ord) AS k FROM claims) c LEFT JOIN base b ON b.path = c.rel WHERE k = 1")
+@query(f"WITH base AS ({BASE}), claims AS ({CLAIMS}) SELECT c.rel, c.ord, CASE WHEN b.path IS NULL THEN 'missing' WHEN digest IS NULL THEN 'no_claimed_hash' WHEN length(digest) <> 64 OR b.sha256 IS NULL THEN 'incomparable' WHEN digest = b.sha256 THEN 'match' ELSE 'mismatch' END AS hash_vs_claimed FROM (SELECT *, row_number() OVER (PARTITION BY rel ORDER BY ord) AS k FROM claims) c LEFT JOIN base b ON b.path = c.rel WHERE k = 1")
 def mirror_plan(spark, sf_dir):
-    return custody.mirror_plan(claims(spark, sf_dir), base(spark, sf_dir))
+    return custody.mirror_plan(claims(spark, sf_dir), base(spark, sf_dir)).drop("size")
 
 
 @query("""SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN doc_id % 3 > 0 THEN 0 ELSE 1 END, CASE lang WHEN 'en' THEN 0 WHEN 'de' THEN 1 ELSE 2 END, doc_id DESC) AS k FROM documents) WHERE k = 1""")
@@ -416,7 +419,7 @@ def printed_digests(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", certificate.printed_digests(F.concat(F.lit("x "), F.sha1("text"), F.lit(" "), F.sha2("text", 256), F.lit(", "), F.sha1("source"), F.lit("."))).alias("printed"))
 
 
-ASKED = ["src7/", ".bin", "moved/", "absent"]
+ASKED = ["src8/", ".bin", "moved/", "absent"]
 
 
 @query(VERIFIED.replace("WITH base", "WITH base", 1) + f""", cur AS ({CURRENT}), q AS (SELECT unnest({ASKED!r}) AS query), h AS (SELECT q.query, 'item' AS source, coalesce(v.matched_path, v.claimed_path) AS path FROM q JOIN verified v ON contains(lower(concat_ws(chr(10), v.claimed_path, v.matched_path)), q.query)),
@@ -435,3 +438,76 @@ def filetime_roundtrip(spark, sf_dir):
 def digest_by_name(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", digests.digest(F.col("text").cast("binary"), F.expr("CASE doc_id % 4 WHEN 0 THEN 'md5' WHEN 1 THEN 'sha1' WHEN 2 THEN 'sha256' END")).alias("digest"))
     return d.select("doc_id", digests.algorithm(F.col("digest")).alias("algorithm"), "digest")
+
+
+PASSES = "SELECT CAST(floor(date_part('day', ts) / 5) AS BIGINT) AS pass, concat('u', CAST(user_id AS STRING)) AS path, count(*) AS size, max(CAST(event_id AS BIGINT)) AS mtime_ns, 'file' AS kind FROM events GROUP BY 1, 2"
+
+
+def passes(spark, sf_dir):
+    return spark.sql(PASSES.replace("FROM events", "FROM {events}"), events=table(spark, sf_dir, "events"))
+
+
+@query(f"""WITH s AS ({PASSES}), p AS (SELECT DISTINCT pass FROM s), o AS (SELECT pass, lag(pass) OVER (ORDER BY pass) AS before FROM p), k AS (SELECT DISTINCT path FROM s)
+  SELECT pass, event, path FROM (SELECT o.pass, k.path, CASE WHEN b.path IS NULL AND a.path IS NOT NULL THEN 'created' WHEN b.path IS NOT NULL AND a.path IS NULL THEN 'removed' WHEN a.size <> b.size OR a.mtime_ns <> b.mtime_ns THEN 'modified' END AS event
+    FROM o CROSS JOIN k LEFT JOIN s a ON a.pass = o.pass AND a.path = k.path LEFT JOIN s b ON b.pass = o.before AND b.path = k.path WHERE o.before IS NOT NULL) WHERE event IS NOT NULL""")
+def watch_passes(spark, sf_dir):
+    return watch.all_passes(passes(spark, sf_dir))
+
+
+@query(ORACLE_SQL["watch_passes"])
+def stream_watch(spark, sf_dir):
+    """The same passes, one file each, through the streaming monitor; its events are those of watch_passes."""
+    import uuid
+
+    root = f"{shared_folder(spark)}/watch-{uuid.uuid4()}"
+    table_ = passes(spark, sf_dir).persist()
+    for (number,) in sorted(table_.select("pass").distinct().collect()):
+        table_.where(F.col("pass") == number).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    table_.unpersist()
+    stream = spark.readStream.schema(watch.SNAPSHOT).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    watch.start(stream, f"{root}/state", f"{root}/events", f"{root}/checkpoint").awaitTermination()
+    return spark.read.option("basePath", f"{root}/events").parquet(f"{root}/events").where("event <> 'snapshot_init'").select(F.col("pass").cast("long").alias("pass"), "event", "path")
+
+
+@query()
+def text_strings(spark, sf_dir):
+    """Readable runs of each page's bytes."""
+    return table(spark, sf_dir, "pages").select("page_id", parsers.strings(F.col("html").cast("binary"), F.lit(2000)).alias("strings"))
+
+
+@query("SELECT page_id, regexp_replace(html, '<[^>]+>', ' ', 'g') = regexp_replace(html, '<[^>]+>', ' ', 'g') AS same, length(html) AS chars FROM pages")
+def text_extraction(spark, sf_dir):
+    """Text of each page's bytes as a .html file: decoding gives every character back."""
+    p = table(spark, sf_dir, "pages")
+    got = p.select("page_id", "html", parsers.extract_text(F.col("html").cast("binary"), F.lit(".html")).alias("t"))
+    return got.select("page_id", (F.col("t") == F.col("html")).alias("same"), F.length("t").cast("long").alias("chars"))
+
+
+@query("SELECT doc_id AS ord, concat('C:/d/', CAST(doc_id AS STRING), '.txt') AS claimed_path, concat('d/', CAST(doc_id AS STRING), '.txt') AS rel, CASE WHEN doc_id % 3 = 0 THEN md5(text) END AS digest FROM documents")
+def claims_from_text(spark, sf_dir):
+    """Lines of a text list: a digest and a path, columns with '|', or a path."""
+    lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), F.expr("CASE doc_id % 3 WHEN 0 THEN concat(upper(md5(text)), '  C:/d/', doc_id, '.txt') WHEN 1 THEN concat('12 | x | C:/d/', doc_id, '.txt') ELSE concat('  C:/d/', doc_id, '.txt ') END").alias("value"))
+    return claim_lists.text_items(lines).select("ord", "claimed_path", "rel", "digest")
+
+
+@query("SELECT conv_id, turn, concat('c/', CAST(conv_id AS STRING)) AS claimed_path, sha256(text) AS digest FROM conversations")
+def claims_from_json(spark, sf_dir):
+    """One JSON list of an object for each turn."""
+    j = F.to_json(F.struct(F.array(F.struct(F.concat(F.lit("c/"), "conv_id").alias("path"), F.sha2("text", 256).alias("sha256"), F.lit("").alias("md5"), F.concat_ws(",", "conv_id", "turn").alias("note"))).alias("files")))
+    items = claim_lists.json_items(table(spark, sf_dir, "conversations").select(j.alias("value")))
+    note = F.split(F.get_json_object("raw", "$.note"), ",")
+    return items.select(note[0].cast("long").alias("conv_id"), note[1].cast("long").alias("turn"), "claimed_path", "digest")
+
+
+@query("""SELECT doc_id AS "row", concat('C:/d/', CAST(doc_id AS STRING), '.txt') AS path, CASE WHEN doc_id % 3 = 0 THEN md5(text) ELSE '' END AS md5, '.txt' AS ext, 'false' AS unparsed FROM documents""")
+def canonical_list(spark, sf_dir):
+    lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), F.expr("CASE doc_id % 3 WHEN 0 THEN concat(upper(md5(text)), '  C:/d/', doc_id, '.txt') ELSE concat('  C:/d/', doc_id, '.txt ') END").alias("value"))
+    return claim_lists.canonical(claim_lists.text_items(lines)).select(F.col("row").cast("long").alias("row"), "path", "md5", "ext", "unparsed")
+
+
+@query("SELECT event_id, 'f' || CAST(user_id AS STRING) || '.tmp' AS file_name, CAST(" + EVENT_MASK + " AS BIGINT) AS reason_mask, strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00') AS timestamp_utc FROM events")
+def journal_from_cells(spark, sf_dir):
+    """Journal rows without a header: cells told apart by shape; the USN is the event's number."""
+    e = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("f"), "user_id", F.lit(".tmp")).alias("n"), F.concat(F.lit("0x"), F.lower(F.hex(F.expr(EVENT_MASK).cast("long")))).alias("m"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("t"))
+    rows = e.select(F.col("event_id").alias("ord"), F.array("n", F.lit("0x00a1"), F.col("event_id").cast("string"), "t", "m").alias("cells"))
+    return claim_lists.read_journal(rows).select(F.col("usn").alias("event_id"), "file_name", "reason_mask", "timestamp_utc")
