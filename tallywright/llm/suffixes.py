@@ -92,18 +92,25 @@ def runs(values: np.ndarray, size: int, gram: int) -> Iterator[tuple[np.ndarray,
         yield digit[place], units, first + at, shape
 
 
-def split(values: np.ndarray, shape: int, size: int, step: int) -> tuple[np.ndarray, ...]:
-    """Digit, units, offset, shape of the blocks of step windows of one run; values: the run's units."""
-    count, lead = shape >> 16, shape & 0xFFFF
-    sums = Sums(values)
-    block = (lead - np.arange(count)) // step  # window j starts lead - j units before the digit
-    first = np.flatnonzero(np.diff(block, prepend=block[0] + 1))
-    many = np.diff(np.append(first, count))
-    nearest = lead - block[first] * step  # start of the last window of a whole block
-    core = mix(sums.spans(nearest, nearest - step + 1 + size) + block[first].astype(np.int64).view(U64) * WORD_MIX[12])
-    shapes = (many << 16) | (lead - first)
-    units = mix(sums.spans(first, first + many - 1 + size) + shapes.view(U64) * WORD_MIX[13])
-    return core, units, first, shapes
+def split(values: np.ndarray, offs: np.ndarray, shapes: np.ndarray, size: int, step: int) -> tuple[np.ndarray, ...]:
+    """Blocks of step windows of many runs: digit, units, offset in the run, shape, and the run's number.
+
+    values: the units of all runs one after another; run i has offs[i]:offs[i + 1]."""
+    count, lead = shapes >> 16, shapes & 0xFFFF
+    run = np.repeat(np.arange(len(shapes)), count)
+    j = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)  # window j starts lead - j units before the digit
+    block = (lead[run] - j) // step
+    new = np.ones(len(run), bool)
+    new[1:] = (run[1:] != run[:-1]) | (block[1:] != block[:-1])
+    first = np.flatnonzero(new)
+    many = np.diff(np.append(first, len(run)))
+    run, j, block = run[first], j[first], block[first]
+    sums, base = Sums(values), offs[run]
+    nearest = base + lead[run] - block * step  # start of the last window of a whole block
+    core = mix(sums.spans(nearest, nearest - step + 1 + size) + block.view(U64) * WORD_MIX[12])
+    shape = (many << 16) | (lead[run] - j)
+    units = mix(sums.spans(base + j, base + j + many - 1 + size) + shape.view(U64) * WORD_MIX[13])
+    return core, units, j, shape, run
 
 
 class Kind:
@@ -168,8 +175,9 @@ def first_rows(docs: DataFrame, kind: Kind) -> DataFrame:
 
 
 def sort_pass(rows: DataFrame, last: bool) -> tuple[DataFrame, DataFrame | None]:
-    """Repeats (id, at, shape), and for the next pass the first (id, at, shape) of each distinct run in a group of several."""
-    # rows are computed twice rather than stored: they are many, and few stay
+    """rows are read twice; those of pass 0 are computed twice rather than stored, as they are many and few stay.
+
+    Repeats (id, at, shape), and for the next pass the first (id, at, shape) of each distinct run in a group of several."""
     groups = rows.groupBy("digit").agg(F.count("*").alias("n"), F.min("units").alias("low"), F.max("units").alias("high")).where("n > 1").select("digit", (F.col("low") != F.col("high")).alias("differ"))
     again = stash(rows.join(groups.hint("shuffle_merge"), "digit"))
     firsts = stash(again.groupBy("digit", "units").agg(F.min(F.struct("id", "at")).alias("x"), F.max("shape").alias("shape"), F.count("*").alias("n"), F.first("differ").alias("differ")).select("digit", "units", "x.id", "x.at", "shape", "n", "differ"))
@@ -213,13 +221,12 @@ def split_rows(pieces: DataFrame, kind: Kind, step: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offs = buffers(b.column(3))
-            ats, shapes = b.column(1).to_numpy(), b.column(2).to_numpy()
-            parts, which = [], []
-            for i in range(b.num_rows):
-                core, units, first, shape = split(kind.from_bytes(data[offs[i] : offs[i + 1]]), int(shapes[i]), kind.size, step)
-                parts.append((core, units, first + int(ats[i]), shape))
-                which.append(i)
-            yield rows_batch(b.column(0), parts, which)
+            if not b.num_rows:
+                continue
+            units_at = offs // (8 if kind.by_words else 1)
+            core, units, at, shape, which = split(kind.from_bytes(data), units_at, b.column(2).to_numpy().astype(np.int64), kind.size, step)
+            at = at + b.column(1).to_numpy()[which]
+            yield pa.RecordBatch.from_arrays([signed(core), signed(units), b.column(0).take(pa.array(which)), pa.array(at.astype(np.int32)), pa.array(shape.astype(np.int32))], ["digit", "units", "id", "at", "shape"])
 
     return pieces.mapInArrow(run, ROW.format(dict(pieces.dtypes)["id"]))
 
@@ -240,9 +247,9 @@ def repeats(docs: DataFrame, by_words: bool = False) -> DataFrame:
     docs = docs.where(F.col("id").isNotNull())
     found, wanted = sort_pass(first_rows(docs, kind), last=False)
     pieces = stash(snippets(docs, wanted, kind))
-    more, wanted = sort_pass(split_rows(pieces, kind, STEP), last=False)
+    more, wanted = sort_pass(stash(split_rows(pieces, kind, STEP)), last=False)
     blocks = stash(narrowed(pieces, wanted, kind))
-    single, _ = sort_pass(split_rows(blocks, kind, 1), last=True)
+    single, _ = sort_pass(stash(split_rows(blocks, kind, 1)), last=True)
     every = found.unionByName(more).unionByName(single)
     return every.select("id", "at", F.shiftright("shape", 16).alias("windows"))
 
