@@ -48,7 +48,8 @@ def cut(df: DataFrame) -> DataFrame:
 
 def fold(doc_id: str | Column = "doc_id") -> Column:
     """crc32 of the id as text, mod 5; a null id counts as an empty text."""
-    return F.crc32(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit("")).cast("string").cast("binary")) % 5
+    column = F.col(doc_id) if isinstance(doc_id, str) else doc_id
+    return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % 5
 
 
 def powers(n: int, base: int) -> np.ndarray:

@@ -163,8 +163,11 @@ def train(texts: DataFrame, class_of: np.ndarray) -> np.ndarray:
             for _, _, t in slices(b.column(0)):
                 active, target = t.features(), class_of[t.bucket]
                 target[t.repeated()] = REPEAT
-                for at in range(0, len(target), BATCH):
-                    rows, y = active[at : at + BATCH], target[at : at + BATCH]
+                at = 0
+                while at < len(target):  # small batches at first: a task's first tokens teach most
+                    size = min(BATCH, max(128, seen // 8))
+                    rows, y = active[at : at + size], target[at : at + size]
+                    at += size
                     g = softmax(w, rows)
                     g[np.arange(len(y)), y] -= 1
                     keys = (rows.astype(np.int64)[:, :, None] * CLASSES + columns).ravel()
