@@ -7,6 +7,7 @@ pass hashes every word of a batch without making Python strings.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 import numpy as np
@@ -46,6 +47,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Between the rounds of an iterative job: what earlier rounds left is collected, so that Spark removes their shuffle files,
+    broadcasts and checkpoints, and the driver gives memory back. Otherwise they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fold(doc_id: str | Column = "doc_id") -> Column:
     """crc32 of the id as text, mod 5; a null id counts as an empty text."""
     column = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, fold
+from .common import buffers, fold, tidy
 from .labelled import sample
 
 DICTIONARY_BYTES = 110_000
@@ -103,6 +103,8 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality") -> Model:
     x = features(np.array([(*model.sizes(texts[i]), len(texts[i])) for i in at], float))
     model.mean, model.scale = x.mean(0), x.std(0) + 1e-9
     model.weights = fit_logistic((x - model.mean) / model.scale, y[at].astype(float))
+    del texts
+    tidy(docs.sparkSession)
     return model
 
 

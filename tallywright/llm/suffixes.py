@@ -20,7 +20,6 @@ rows with equal ids count as one document, which must have one text.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -30,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUE, PIECE, U64, WORD_MIX, buffers, mix, power_tables, words
+from .common import BYTE_VALUE, PIECE, U64, WORD_MIX, buffers, mix, power_tables, tidy, words
 
 BYTES, BYTE_GRAM = 100, 20
 WORDS, WORD_GRAM = 50, 10
@@ -48,7 +47,6 @@ def stash(df: DataFrame) -> DataFrame:
         cut(spark.range(1))
     path = f"{sc.getCheckpointDir()}/{uuid.uuid4()}"
     df.write.option("compression", "zstd").parquet(path)
-    gc.collect()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -246,8 +244,10 @@ def repeats(docs: DataFrame, by_words: bool = False) -> DataFrame:
     kind = Kind(by_words)
     docs = docs.where(F.col("id").isNotNull())
     found, wanted = sort_pass(first_rows(docs, kind), last=False)
+    tidy(docs.sparkSession)
     pieces = stash(snippets(docs, wanted, kind))
     more, wanted = sort_pass(stash(split_rows(pieces, kind, STEP)), last=False)
+    tidy(docs.sparkSession)
     blocks = stash(narrowed(pieces, wanted, kind))
     single, _ = sort_pass(stash(split_rows(blocks, kind, 1)), last=True)
     every = found.unionByName(more).unionByName(single)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUE, LOWER, PIECE, U64, WORD_MIX, buffers, fold
+from .common import BYTE_VALUE, LOWER, PIECE, U64, WORD_MIX, buffers, fold, tidy
 from .labelled import sample
 from .quality import logistic
 
@@ -119,7 +119,10 @@ def fit(texts: list[bytes], y: np.ndarray, rounds: int = 150, ridge: float = 2e-
 
 def train(docs: DataFrame, labels: DataFrame, target: str = "toxic") -> Model:
     texts, y, _ = sample(docs, labels, target)
-    return fit(texts, y)
+    model = fit(texts, y)
+    del texts
+    tidy(docs.sparkSession)
+    return model
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
