@@ -21,7 +21,6 @@ rows with equal ids count as one document, which must have one text.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUE, PIECE, U64, WORD_MIX, buffers, mix, power_tables, tidy, words
+from .common import BYTE_VALUE, PIECE, U64, WORD_MIX, buffers, cut, mix, power_tables, tidy, words
 
 BYTES, BYTE_GRAM = 100, 20
 WORDS, WORD_GRAM = 50, 10
@@ -37,19 +36,6 @@ WORDS, WORD_GRAM = 50, 10
 STEP = 10
 
 
-def stash(df: DataFrame) -> DataFrame:
-    """Writes df to the session's shared checkpoint folder as Parquet, half the size of a checkpoint, and reads it back."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        from .common import cut
-
-        cut(spark.range(1))
-    path = f"{sc.getCheckpointDir()}/{uuid.uuid4()}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 class Sums:
     """Prefix sums of a piece of units, for the hash of any span."""
 
@@ -177,11 +163,11 @@ def sort_pass(rows: DataFrame, last: bool) -> tuple[DataFrame, DataFrame | None]
 
     Repeats (id, at, shape), and for the next pass the first (id, at, shape) of each distinct run in a group of several."""
     groups = rows.groupBy("digit").agg(F.count("*").alias("n"), F.min("units").alias("low"), F.max("units").alias("high")).where("n > 1").select("digit", (F.col("low") != F.col("high")).alias("differ"))
-    again = stash(rows.join(groups.hint("shuffle_merge"), "digit"))
-    firsts = stash(again.groupBy("digit", "units").agg(F.min(F.struct("id", "at")).alias("x"), F.max("shape").alias("shape"), F.count("*").alias("n"), F.first("differ").alias("differ")).select("digit", "units", "x.id", "x.at", "shape", "n", "differ"))
+    again = cut(rows.join(groups.hint("shuffle_merge"), "digit"))
+    firsts = cut(again.groupBy("digit", "units").agg(F.min(F.struct("id", "at")).alias("x"), F.max("shape").alias("shape"), F.count("*").alias("n"), F.first("differ").alias("differ")).select("digit", "units", "x.id", "x.at", "shape", "n", "differ"))
     several = firsts.where("n > 1").select("digit", "units", F.col("id").alias("_id"), F.col("at").alias("_at"))
     repeats = again.join(several.hint("shuffle_merge"), ["digit", "units"]).where(~((F.col("id") == F.col("_id")) & (F.col("at") == F.col("_at")))).select("id", "at", "shape")
-    return stash(repeats), None if last else firsts.where("differ").select("id", "at", "shape")
+    return cut(repeats), None if last else firsts.where("differ").select("id", "at", "shape")
 
 
 def snippets(docs: DataFrame, wanted: DataFrame, kind: Kind) -> DataFrame:
@@ -245,11 +231,11 @@ def repeats(docs: DataFrame, by_words: bool = False) -> DataFrame:
     docs = docs.where(F.col("id").isNotNull())
     found, wanted = sort_pass(first_rows(docs, kind), last=False)
     tidy(docs.sparkSession)
-    pieces = stash(snippets(docs, wanted, kind))
-    more, wanted = sort_pass(stash(split_rows(pieces, kind, STEP)), last=False)
+    pieces = cut(snippets(docs, wanted, kind))
+    more, wanted = sort_pass(cut(split_rows(pieces, kind, STEP)), last=False)
     tidy(docs.sparkSession)
-    blocks = stash(narrowed(pieces, wanted, kind))
-    single, _ = sort_pass(stash(split_rows(blocks, kind, 1)), last=True)
+    blocks = cut(narrowed(pieces, wanted, kind))
+    single, _ = sort_pass(cut(split_rows(blocks, kind, 1)), last=True)
     every = found.unionByName(more).unionByName(single)
     return every.select("id", "at", F.shiftright("shape", 16).alias("windows"))
 

@@ -477,7 +477,7 @@ def test_pipeline(spark, tmp_path):
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     seen = {}
     for name, stage in corpus_pipeline.STAGES:
-        docs = suffixes.stash(stage(spark, docs, str(tmp_path)))
+        docs = common.cut(stage(spark, docs, str(tmp_path)))
         seen[name] = {r["doc_id"]: r for r in docs.collect()}
         if name != "mixing":
             assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
