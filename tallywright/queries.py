@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import digests, paths, reasons, timeutil
-from .operators import audit, boundary, certificate, custody, diff, evidence, inventory, journal, resolve, verify
+from .operators import audit, boundary, certificate, custody, diff, evidence, inventory, journal, resolve, scan, verify
 from .plans.criteria import Keyword, Profile, evaluate
 from .session import shared_folder, ship
 from .sources import claims as claim_lists
@@ -170,6 +170,11 @@ def scan_summary(spark, sf_dir):
     return judged(spark, sf_dir).groupBy("verdict").agg(F.count("*").alias("files"))
 
 
+@query(f"WITH base AS ({BASE}), h AS (SELECT path, doc_id, size FROM base WHERE size <= 3000 OR contains(path, 'src1')) SELECT path, row_number() OVER (ORDER BY string_split(path, '/')) AS seq FROM h")
+def scan_hits(spark, sf_dir):
+    return scan.scan(base(spark, sf_dir), Profile(keywords=(Keyword("src1"),), size_max=3000)).select("path", "seq")
+
+
 @query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'unknown' WHEN b >= 820454400000000000 AND b <= 852076800000000000 OR a >= 725846400000000000 AND a <= 757382400000000000 THEN 'true' ELSE 'false' END AS date_ranges
   FROM (SELECT o_orderkey, o_orderstatus, epoch_us(o_orderdate) * 1000 AS a, epoch_us(o_orderdate) * 1000 + 1 AS b FROM orders)""")
 def date_range_fold(spark, sf_dir):
