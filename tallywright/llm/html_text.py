@@ -6,7 +6,8 @@ not. The field is trained on pages made and labelled by html_pages.py and decode
 references decoded and white space folded, joined by blank lines, are the page's text. Nothing else is dropped or cut.
 
 Never text: comments, scripts, styles, templates, head elements, form fields and their options. Reading never fails: a stray
-'<' is text, unclosed elements end with their parent or the page, unknown tags are inline.
+'<' is text, unclosed elements end with their parent or the page, unknown tags are inline. A head without an end tag ends at
+<body> or at the first tag or text that can't stand in it.
 
 Edge cases: null or empty html gives ''; equal pages give equal texts; a page without markup is one block.
 """
@@ -34,6 +35,8 @@ BLOCK = frozenset("address article aside blockquote body button center dd detail
 RAW = frozenset("script style template noscript iframe object svg math head title select textarea option button datalist".split())
 #: Raw text up to the end tag: markup in it doesn't count.
 OPAQUE = frozenset("script style title textarea iframe".split())
+#: What can stand in a head; its end tag may be left out, so anything else ends it.
+HEAD = frozenset("html head base basefont bgsound link meta title style script noscript template".split())
 #: An opening tag on the left ends an open element on the right.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CLOSES_P = BLOCK - {"body", "html", "button", "label", "legend", "option", "select", "textarea", "caption"}
@@ -91,8 +94,13 @@ def blocks(page: str) -> list[Block]:
             links -= t == "a"
         del stack[upto:]
 
+    def leave_head() -> None:
+        pop(next(k for k, (t, _) in enumerate(stack) if t == "head"))
+
     def text(t: str) -> None:
         nonlocal linked
+        if stack and stack[-1][0] == "head" and t.strip():
+            leave_head()
         if not raw and t:
             parts.append(t)
             if links:
@@ -118,6 +126,10 @@ def blocks(page: str) -> list[Block]:
                 if stack[k][0] in WALLS and tag not in WALLS:
                     break
             continue
+        if raw and tag not in HEAD:
+            names = [t for t, _ in stack]
+            if names[-1] == "head" or tag == "body" and "head" in names and "template" not in names:
+                leave_head()
         if tag == "br":
             text(" ")
             continue

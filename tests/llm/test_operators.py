@@ -225,6 +225,20 @@ def test_html_blocks():
         html_text.blocks(page[:n])
 
 
+def test_html_head_without_end_tag(spark):
+    """</head> may be left out: the head ends at <body> or at what can't stand in a head, and no text is lost."""
+    inside = "<meta charset=utf-8><title>t</title><style>p{}</style><script>x</script><link rel=a href=b><noscript><img src=x></noscript>"
+    texts = lambda page: [b.text for b in html_text.blocks(page)]
+    for end in ("</head><body>", "<body>", "", "</head>", "<noscript><body>"):
+        assert texts(f"<html><head>{inside}{end}<h1>a</h1><p>b <i>c</i><p>d</html>") == ["a", "b c", "d"], end
+    assert texts(f"<head>{inside}\n plain <p>b") == ["plain", "b"]
+    assert texts("<head><template><div>no</div><p>no</template><title>t</title></head>a") == ["a"]
+    page = "<html><head><title>T</title>{}<body><nav><a href=/>Home</a></nav><article><h1>Title</h1><p>One long sentence, and two.</p></article></body></html>"
+    ship(spark)
+    got = html_text.main_text(spark.createDataFrame([(1, "u", page.format("</head>")), (2, "u", page.format(""))], "page_id long, url string, html string")).collect()
+    assert got[0]["text"] == got[1]["text"] != ""
+
+
 def test_viterbi_is_best():
     rnd = np.random.default_rng(1)
     chain = html_text.Chain(rnd.normal(size=(6, 2)), rnd.normal(size=(2, 2)), rnd.normal(size=2))
