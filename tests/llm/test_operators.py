@@ -298,6 +298,27 @@ def test_decontamination(spark):
     assert decontaminate.clean(odd(spark), bench).count() == len(ODD)
 
 
+def test_decontamination_near_threshold():
+    """One word of a 50-word item changed: similarity 41 / 51, found whatever the SimHash."""
+    rnd = random.Random(12)
+    items = [text_of(rnd, 50) for _ in range(300)]
+    index = decontaminate.Index(list(range(300)), items)
+    missed = 0
+    for i, item in enumerate(items):
+        w = item.split()
+        w[25] = "changed"
+        data, offs = common.buffers(pa.array([text_of(rnd, 30) + " " + " ".join(w) + " " + text_of(rnd, 30)], pa.large_string()))
+        _, _, h, first = common.words(data, offs)
+        s, _ = common.shingles(h, first)
+        missed += [(x, start, pytest.approx(value)) for x, start, value in index.matches(s)] != [(i, 30, 41 / 51)]
+    assert missed == 0
+    runs = [[int(x) for x in rnd.choices(range(4), k=rnd.randrange(3, 30))] for _ in range(200)]
+    for run in runs:  # repeated shingles, against the plain sum of every window
+        item, width = collections.Counter(rnd.choices(range(4), k=3)), 3
+        want = max((decontaminate.similarity(run[a : a + width], item, 3), -a) for a in range(len(run) - width + 1))
+        assert decontaminate.best_window(run, width, item, 3) == (want[0], -want[1])
+
+
 def test_hamming_index_finds_all_within_radius():
     rnd = random.Random(3)
     index = decontaminate.Index(list(range(40)), [text_of(rnd, 20) for _ in range(40)])
