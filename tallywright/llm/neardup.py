@@ -1,8 +1,8 @@
 """Operator 2, near-duplicates: Order MinHash candidates, verified by banded alignment.
 
-A text's k-mers are its five-word shingles, each labelled with its occurrence number. A sketch holds the PICKED k-mers that come
-first in a random order, in the order in which they stand in the text; texts of small edit distance share sketches. SKETCHES
-sketches of a text are bands: texts that share one are held against each other.
+A text's k-mers are its distinct five-word shingles, in order of first occurrence: the same ones that links are judged by. A sketch
+holds the PICKED k-mers that come first in a random order, in the order in which they stand in the text; texts of small edit
+distance share sketches. SKETCHES sketches of a text are bands: texts that share one are held against each other.
 
 Two texts are linked if the alignment of their distinct shingles, in order of first occurrence, has L matches with
 L / (n_a + n_b - L) >= 0.8. That bounds the insertions and deletions, so only matches within a band about the
@@ -135,7 +135,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 k1.append((key >> 64) - 2**63)
                 k2.append((key & (2**64 - 1)) - 2**63)
                 n.append(len(d))
-                bands.append(sketch(s).view(np.int64) if len(s) else np.zeros(0, np.int64))
+                bands.append(sketch(d).view(np.int64) if len(d) else np.zeros(0, np.int64))
             lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in bands])]).astype(np.int32), pa.array(np.concatenate([*bands, np.zeros(0, np.int64)])))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(n, pa.int64()), lists], ["doc_id", "k1", "k2", "n", "bands"])
 

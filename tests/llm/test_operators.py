@@ -143,6 +143,19 @@ def test_near_duplicates_hot_group(spark):
     assert got == {0}
 
 
+def test_near_duplicates_with_repeated_lines(spark):
+    """Copies whose lines are repeated more or less often are near by their distinct shingles, so they're held against each other."""
+    rnd = random.Random(9)
+    rows = []
+    for i in range(30):
+        line, rest = text_of(rnd, 10), text_of(rnd, 90).split()
+        rows.append((2 * i, " ".join([" ".join([line] * 30), *rest])))
+        rest[45] = "edit"
+        rows.append((2 * i + 1, " ".join([" ".join([line] * 5), *rest])))
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(docs_of(spark, rows)).collect()}
+    assert got == {i: i - i % 2 for i in range(60)}
+
+
 def test_alignment():
     a = np.arange(100, dtype=np.uint64)
     assert neardup.aligned(a, a) == 1.0
