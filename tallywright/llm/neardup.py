@@ -16,7 +16,9 @@ until each has been. Where more than CROWD texts share a bucket and several clas
 buckets of two sketches and a class of lengths each (two texts of similarity 0.8 share one of those with probability 0.99999), which
 the same rounds settle. No cap is set: what shares a bucket of the last dealing is held against each other unless already in one class.
 
-Two texts of similarity 0.8 share a sketch with probability 1 - (1 - 0.8**5)**32 = 0.999997.
+Two long texts of similarity 0.8 share a sketch with probability 1 - (1 - 0.8**5)**32 = 0.999997; with 20 of 25 shingles in common
+it's 0.99998. Shorter ones would share fewer (4 against 5 shingles: none), so texts of SHORT shingles at most also have bands of
+single shingles: those that come first in one order of all, as many as it takes for any two texts at the threshold to share one.
 
 Edge cases: texts without words (null, empty) are copies of one another; one to four words are one shingle; documents with
 equal ids are held by their own texts and get the least class of those; a null id gets a null class and no links.
@@ -39,6 +41,8 @@ from .components import components
 
 THRESHOLD = 0.8
 SKETCHES = 32
+#: Texts of at most so many shingles meet in bands of single shingles as well, which lose no pair of them.
+SHORT = 20
 PICKED = 5
 #: Buckets of more texts have one leader; what it leaves open is dealt anew by pairs of sketches.
 CROWD = 64
@@ -84,6 +88,13 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return out
 
 
+def prefix(d: np.ndarray, share: float = THRESHOLD) -> np.ndarray:
+    """The first of a text's distinct shingles in order of their hashes: two texts that have the given share of each one's shingles
+    in common have one of these in common."""
+    size = len(d) - math.ceil(share * len(d) - 1e-9) + 1
+    return np.sort(d)[:size] if len(d) else d
+
+
 def aligned(a: np.ndarray, b: np.ndarray) -> float:
     """Similarity of two texts' distinct shingles; 0.0 where it's below THRESHOLD."""
     total = len(a) + len(b)
@@ -124,11 +135,13 @@ def each(texts: pa.Array) -> Iterator[np.ndarray]:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, k1, k2 (128-bit hash of the distinct shingles), n (their number), bands of each document with an id."""
+    """doc_id, k1, k2 (128-bit hash of the distinct shingles), n (their number), bands, few of each document with an id.
+
+    few: bands of single shingles, of texts of SHORT shingles at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k1, k2, n, bands = [], [], [], []
+            k1, k2, n, bands, few = [], [], [], [], []
             for s in each(batch.column(1)):
                 d = distinct(s)
                 key = xxhash.xxh3_128_intdigest(d.tobytes())
@@ -136,12 +149,13 @@ def sketches(docs: DataFrame) -> DataFrame:
                 k2.append((key & (2**64 - 1)) - 2**63)
                 n.append(len(d))
                 bands.append(sketch(d).view(np.int64) if len(d) else np.zeros(0, np.int64))
-            lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in bands])]).astype(np.int32), pa.array(np.concatenate([*bands, np.zeros(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(n, pa.int64()), lists], ["doc_id", "k1", "k2", "n", "bands"])
+                few.append(prefix(d).view(np.int64) if len(d) <= SHORT else np.zeros(0, np.int64))
+            lists = [pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in some])]).astype(np.int32), pa.array(np.concatenate([*some, np.zeros(0, np.int64)]))) for some in (bands, few)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(n, pa.int64()), *lists], ["doc_id", "k1", "k2", "n", "bands", "few"])
 
     kind = dict(docs.dtypes)["doc_id"]
     text = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return text.mapInArrow(run, f"doc_id {kind}, k1 long, k2 long, n long, bands array<long>")
+    return text.mapInArrow(run, f"doc_id {kind}, k1 long, k2 long, n long, bands array<long>, few array<long>")
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -211,10 +225,12 @@ def classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (the least id of the class), copies_of (the least id with the same shingles) of every row."""
     docs = docs.select("doc_id", "text")
     rows = cut(sketches(docs))
-    same = rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("bands").alias("bands"))
+    same = rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("bands").alias("bands"), F.first("few").alias("few"))
     same = cut(same)
     members = rows.select("doc_id", "k1", "k2").join(same.select("k1", "k2", "rep"), ["k1", "k2"]).select("doc_id", "rep")
-    live = buckets(same.select("rep", "n", F.posexplode("bands").alias("j", "h")).select("rep", "n", F.xxhash64("j", "h").alias("bucket")))
+    banded = same.select("rep", "n", F.posexplode("bands").alias("j", "h")).select("rep", "n", F.xxhash64("j", "h").alias("bucket"))
+    banded = banded.union(same.select("rep", "n", F.explode("few").alias("h")).select("rep", "n", F.xxhash64(F.lit("few"), "h").alias("bucket")))
+    live = buckets(banded)
     labels = settle(live, live.select("rep").distinct().withColumn("label", F.col("rep")), docs, CROWD)
     # texts of crowded buckets that still hold several classes are dealt anew, by pairs of sketches
     several = live.where(F.col("size") > CROWD).join(labels, "rep").groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")

@@ -156,6 +156,18 @@ def test_near_duplicates_with_repeated_lines(spark):
     assert got == {i: i - i % 2 for i in range(60)}
 
 
+def test_near_duplicates_of_few_words(spark):
+    """Each text of 8 to 20 words meets its copy with as many words appended as 0.8 allows."""
+    rnd = random.Random(10)
+    texts = {}
+    for i in range(150):
+        n = rnd.randrange(8, 21)
+        texts[2 * i] = text_of(rnd, n)
+        texts[2 * i + 1] = texts[2 * i] + " " + text_of(rnd, int((n - 4) / 0.8) - (n - 4))
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(docs_of(spark, list(texts.items()))).collect()}
+    assert got == jaccard_classes(texts) == {i: i - i % 2 for i in texts}
+
+
 def test_alignment():
     a = np.arange(100, dtype=np.uint64)
     assert neardup.aligned(a, a) == 1.0
