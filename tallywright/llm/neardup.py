@@ -12,9 +12,9 @@ without transpositions this is the Jaccard similarity of their shingles.
 Groups: texts with the same distinct shingles are one text from the start. In each bucket every text is held against the
 bucket's most popular one (its own buckets are largest: the original, if it is there), never against all. Texts that are then
 in another class than it are leaders themselves, LEADERS at a time, against all texts of the bucket that are in other classes,
-until each has been. Where more than CROWD texts share a bucket and several classes are left, its texts are dealt anew into
-buckets of two sketches and a class of lengths each (two texts of similarity 0.8 share one of those with probability 0.99999), which
-the same rounds settle. No cap is set: what shares a bucket of the last dealing is held against each other unless already in one class.
+until each has been. Where more than CROWD texts share a bucket and several classes are left, its texts are joined on their
+rarest shingles, as many as it takes for any two texts at the threshold to share one: no link among them is lost. No cap is set: all pairs
+that share so much and aren't in one class yet are held against each other.
 
 Two long texts of similarity 0.8 share a sketch with probability 1 - (1 - 0.8**5)**32 = 0.999997; with 20 of 25 shingles in common
 it's 0.99998. Shorter ones would share fewer (4 against 5 shingles: none), so texts of SHORT shingles at most also have bands of
@@ -44,9 +44,10 @@ SKETCHES = 32
 #: Texts of at most so many shingles meet in bands of single shingles as well, which lose no pair of them.
 SHORT = 20
 PICKED = 5
-#: Buckets of more texts have one leader; what it leaves open is dealt anew by pairs of sketches.
+#: Buckets of more texts have one leader; what it leaves open is joined by the rarest shingles.
 CROWD = 64
-PAIRS_OF_SKETCHES = 96
+#: Shingles are counted in a table of 2**SLOTS places, to put the rarest first; any order is exact.
+SLOTS = 20
 #: Leaders of a bucket in each round after the first.
 LEADERS = 32
 SLICE = 1 << 21
@@ -88,11 +89,13 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def prefix(d: np.ndarray, share: float = THRESHOLD) -> np.ndarray:
-    """The first of a text's distinct shingles in order of their hashes: two texts that have the given share of each one's shingles
-    in common have one of these in common."""
-    size = len(d) - math.ceil(share * len(d) - 1e-9) + 1
-    return np.sort(d)[:size] if len(d) else d
+def prefix(d: np.ndarray, often: np.ndarray | None = None) -> np.ndarray:
+    """The first of a text's distinct shingles in order of their hashes, or with often (a table by leading bits of the hash) the
+    rarest first: two texts that have THRESHOLD of each one's shingles in common have one of these in common."""
+    size = len(d) - math.ceil(THRESHOLD * len(d) - 1e-9) + 1
+    if not len(d):
+        return d
+    return np.sort(d)[:size] if often is None else d[np.lexsort((d, often[d >> U64(64 - SLOTS)]))[:size]]
 
 
 def aligned(a: np.ndarray, b: np.ndarray) -> float:
@@ -208,17 +211,61 @@ def settle(live: DataFrame, labels: DataFrame, docs: DataFrame, largest: int | N
         new = leaders.select("bucket", F.col("v").alias("rep"))
         used, tried = (new, pairs) if used is None else (used.union(new), tried.union(pairs))
         if pairs.limit(1).count():
-            links = cut(verified(pairs, docs))
-            named = links.join(labels.select(F.col("rep").alias("u"), F.col("label").alias("lu")), "u").join(labels.select(F.col("rep").alias("v"), F.col("label").alias("lv")), "v")
-            merged = components(named.select(F.col("lu").alias("u"), F.col("lv").alias("v")))
-            labels = cut(labels.join(merged.withColumnRenamed("label", "to"), F.col("label") == F.col("node"), "left").select("rep", F.coalesce("to", "label").alias("label")))
+            labels = merged(labels, pairs, docs)
         tidy(docs.sparkSession)
 
 
-def combinations() -> list[tuple[int, int]]:
-    """PAIRS_OF_SKETCHES pairs of sketches, each sketch in as many as the others or one less."""
-    every = [(a, (a + d) % SKETCHES) for d in range(1, SKETCHES) for a in range(SKETCHES)]
-    return every[:PAIRS_OF_SKETCHES]
+def merged(labels: DataFrame, pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """labels with the classes of linked pairs(u, v) made one."""
+    links = cut(verified(pairs, docs))
+    named = links.join(labels.select(F.col("rep").alias("u"), F.col("label").alias("lu")), "u").join(labels.select(F.col("rep").alias("v"), F.col("label").alias("lv")), "v")
+    same = components(named.select(F.col("lu").alias("u"), F.col("lv").alias("v")))
+    return cut(labels.join(same.withColumnRenamed("label", "to"), F.col("label") == F.col("node"), "left").select("rep", F.coalesce("to", "label").alias("label")))
+
+
+def prefixes(texts: DataFrame) -> DataFrame:
+    """rep, n, h, at: the shingles of prefix() of texts(rep, text), rarest first, and their places in that order."""
+    kind = dict(texts.dtypes)["rep"]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = np.zeros(1 << SLOTS, np.int64)
+        for batch in batches:
+            for s in each(batch.column(1)):
+                np.add.at(often, distinct(s) >> U64(64 - SLOTS), 1)
+        slot = np.flatnonzero(often)
+        yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(often[slot])], ["slot", "times"])
+
+    found = texts.mapInArrow(count, "slot long, times long").groupBy("slot").agg(F.sum("times").alias("times")).toArrow()  # 2**SLOTS rows at most
+    table = np.zeros(1 << SLOTS, np.int64)
+    table[found["slot"].to_numpy()] = found["times"].to_numpy()
+    shared = texts.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, s in enumerate(each(batch.column(1))):
+                d = distinct(s)
+                h = prefix(d, shared.value)
+                ids = batch.column(0).take(pa.array(np.full(len(h), i)))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(len(h), len(d))), pa.array(h.view(np.int64)), pa.array(np.arange(len(h)))], ["rep", "n", "h", "at"])
+
+    return texts.mapInArrow(run, f"rep {kind}, n long, h long, at long")
+
+
+def crowded(crowd: DataFrame, labels: DataFrame, docs: DataFrame) -> DataFrame:
+    """labels after all links among the texts of crowd(rep) have been found, without loss.
+
+    The least number of shingles that two linked texts share follows from their lengths. The first shared one, in one order of all,
+    is so early in both that it's in prefix() of the longer one and in a shorter part of the other's, with enough left after it."""
+    texts = docs.join(crowd, F.col("doc_id") == F.col("rep"), "left_semi").select(F.col("doc_id").alias("rep"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    rows = cut(prefixes(cut(texts)).join(labels, "rep"))
+    least = 2 * THRESHOLD / (1 + THRESHOLD)
+    a = rows.where(F.col("at") <= F.col("n") - F.ceil(F.lit(least) * F.col("n") - F.lit(1e-9)))
+    a, b = (x.select("h", *[F.col(c).alias(f"{c}_{side}") for c in ("rep", "n", "at", "label")]) for x, side in ((a, "a"), (rows, "b")))
+    shorter = (F.col("n_a") < F.col("n_b")) | (F.col("n_a") == F.col("n_b")) & (F.col("rep_a") < F.col("rep_b"))
+    enough = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= F.lit(least / 2) * (F.col("n_a") + F.col("n_b")) - F.lit(1e-9)
+    met = a.join(b.hint("shuffle_merge"), (a["h"] == b["h"]) & shorter & enough & (F.col("label_a") != F.col("label_b")))
+    pairs = cut(met.select(F.least("rep_a", "rep_b").alias("u"), F.greatest("rep_a", "rep_b").alias("v")).distinct())
+    return merged(labels, pairs, docs) if pairs.limit(1).count() else labels
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -232,16 +279,11 @@ def classes(docs: DataFrame) -> DataFrame:
     banded = banded.union(same.select("rep", "n", F.explode("few").alias("h")).select("rep", "n", F.xxhash64(F.lit("few"), "h").alias("bucket")))
     live = buckets(banded)
     labels = settle(live, live.select("rep").distinct().withColumn("label", F.col("rep")), docs, CROWD)
-    # texts of crowded buckets that still hold several classes are dealt anew, by pairs of sketches
+    # texts of crowded buckets that still hold several classes are joined by their rarest shingles
     several = live.where(F.col("size") > CROWD).join(labels, "rep").groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
     crowd = cut(live.join(several, "bucket").select("rep").distinct())
     if crowd.limit(1).count():
-        keys = F.array(*[F.xxhash64(F.lit(SKETCHES + a * SKETCHES + b), F.get("bands", F.lit(a)), F.get("bands", F.lit(b))) for a, b in combinations()])
-        # lengths of linked texts are in a ratio of 0.8 at least, so in the same or neighbouring classes: each text is put in two
-        span = F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / F.lit(-math.log(THRESHOLD)))
-        dealt = same.join(crowd, "rep").select("rep", "n", F.explode(keys).alias("key"), span.alias("span"))
-        dealt = dealt.select("rep", "n", F.explode(F.array(F.xxhash64("key", "span"), F.xxhash64("key", F.col("span") + 1))).alias("bucket"))
-        labels = settle(buckets(dealt), labels, docs)
+        labels = crowded(crowd, labels, docs)
     known = members.join(labels, "rep", "left").select("doc_id", F.coalesce("label", "rep").alias("class_id"), F.col("rep").alias("copies_of"))
     none = docs.where(F.col("doc_id").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copies_of"))
     return known.unionByName(none)

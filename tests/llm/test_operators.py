@@ -168,6 +168,29 @@ def test_near_duplicates_of_few_words(spark):
     assert got == jaccard_classes(texts) == {i: i - i % 2 for i in texts}
 
 
+def test_near_duplicates_in_a_crowd(spark):
+    """All links in a group well above CROWD, against brute force: pairs of which most share what the whole group shares."""
+    rnd = random.Random(11)
+    core = text_of(rnd, 83)
+    texts = {}
+    for i in range(150):
+        same = text_of(rnd, 1)  # pairs share 80 shingles of 89 or 90, others 79
+        for k in (0, 1):
+            texts[2 * i + k] = f"{core} {same}{i} " + text_of(rnd, 9 + i % 2 * k)
+    ship(spark)
+    docs = docs_of(spark, list(texts.items()))
+    labels = docs.select(F.col("doc_id").alias("rep"), F.col("doc_id").alias("label"))
+    got = {r["rep"]: r["label"] for r in neardup.crowded(labels.select("rep"), labels, docs).collect()}
+    assert len(got) > 4 * neardup.CROWD and got == jaccard_classes(texts)
+    assert len(set(got.values())) > 100
+    g = np.random.default_rng(1)
+    often = g.integers(0, 9, 1 << neardup.SLOTS)
+    for n in [*range(1, 120)] * 5:  # any two sets at the threshold share a shingle of their prefixes
+        d = np.unique(g.integers(0, 2**63, n, dtype=np.uint64))
+        less = np.sort(g.choice(d, math.ceil(0.8 * n - 1e-9), replace=False))
+        assert np.isin(neardup.prefix(d, often), neardup.prefix(less, often)).any() and np.isin(neardup.prefix(d), neardup.prefix(less)).any()
+
+
 def test_alignment():
     a = np.arange(100, dtype=np.uint64)
     assert neardup.aligned(a, a) == 1.0
