@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import gc
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -45,10 +47,38 @@ def cut(df: DataFrame) -> DataFrame:
     Against checkpoint() that halves the disk, and the table's size is known again: a checkpoint keeps the size that was
     estimated for its plan, and estimates of joins multiply from round to round until planning takes all time and memory."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4()}"
+    if _scratch:
+        _scratch[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that cut() writes in this block are deleted at its end, but for those that a DataFrame reads which was given to the
+    function that the block gets. Later loss of an executor does no harm: what is deleted is read by nothing any more."""
+    paths, kept = [], []
+
+    def keep(df: DataFrame) -> DataFrame:
+        folders = {f.rpartition("/")[0].rpartition("/")[2] for f in df.inputFiles()}
+        kept.extend(p for p in paths if p.rpartition("/")[2] in folders)
+        return df
+
+    _scratch.append(paths)
+    try:
+        yield keep
+    finally:
+        _scratch.pop()
+        for path in set(paths) - set(kept):
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        if _scratch:
+            _scratch[-1].extend(kept)
+
+
 def tidy(spark: SparkSession) -> None:
     """Between the rounds of an iterative job: what earlier rounds left is collected, so that Spark removes their shuffle files,
     broadcasts and checkpoints, and the driver gives memory back. Otherwise they stay until the driver happens to collect its garbage."""

@@ -1,20 +1,22 @@
 """Operator 2, near-duplicates: Order MinHash candidates, verified by banded alignment.
 
-A text's k-mers are its distinct five-word shingles, in order of first occurrence: the same ones that links are judged by. A sketch
-holds the PICKED k-mers that come first in a random order, in the order in which they stand in the text; texts of small edit
+A text's k-mers are its five-word shingles, each labelled with the number of times that it came before in the text. A sketch holds
+the PICKED k-mers that come first in a random order, in the order in which they stand in the text; texts of small edit
 distance share sketches. SKETCHES sketches of a text are bands: texts that share one are held against each other.
 
-Two texts are linked if the alignment of their distinct shingles, in order of first occurrence, has L matches with
-L / (n_a + n_b - L) >= 0.8. That bounds the insertions and deletions, so only matches within a band about the
-diagonal count; as symbols are distinct, the best alignment is the longest increasing run of matched places. For texts
-without transpositions this is the Jaccard similarity of their shingles.
+Two texts are linked if the alignment of their labelled shingles, in text order, has L matches with L / (n_a + n_b - L) >= 0.8.
+That bounds the insertions and deletions, so only matches within a band about the diagonal count; as labelled shingles are
+distinct, the best alignment is the longest increasing run of matched places. For texts without transpositions and without
+repeated shingles this is the Jaccard similarity of their shingles. A passage that stands twice in one text and fifty times
+in the other counts as 48 insertions.
 
-Groups: texts with the same distinct shingles are one text from the start. In each bucket every text is held against the
-bucket's most popular one (its own buckets are largest: the original, if it is there), never against all. Texts that are then
-in another class than it are leaders themselves, LEADERS at a time, against all texts of the bucket that are in other classes,
-until each has been. Where more than CROWD texts share a bucket and several classes are left, its texts are joined on their
-rarest shingles, as many as it takes for any two texts at the threshold to share one: no link among them is lost. No cap is set: all pairs
-that share so much and aren't in one class yet are held against each other.
+Groups, alike for buckets of any size: texts with the same labelled shingles are one text from the start. In each bucket every
+text is held against the bucket's most popular one (its own buckets are largest: the original, if it is there), which is a number
+of pairs in proportion to the bucket. Texts of buckets that still hold several classes are joined on their rarest
+shingles, as many as it takes for any two texts at the threshold to share one: no link among them is lost, whatever the size
+of the bucket. A shingle that stands in one class only is not joined at all, and the most frequent class of a shingle is not held
+against itself. No cap is set: all pairs that share so much and aren't in one class yet are held against each other, so a
+large group of texts that all stay just short of 0.8 takes time with the square of its size.
 
 Two long texts of similarity 0.8 share a sketch with probability 1 - (1 - 0.8**5)**32 = 0.999997; with 20 of 25 shingles in common
 it's 0.99998. Shorter ones would share fewer (4 against 5 shingles: none), so texts of SHORT shingles at most also have bands of
@@ -33,10 +35,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, WORD_MIX, buffers, cut, mix, shingles, tidy, words
+from .common import U64, WORD_MIX, buffers, cut, mix, scratch, shingles, tidy, words
 from .components import components
 
 THRESHOLD = 0.8
@@ -44,24 +46,12 @@ SKETCHES = 32
 #: Texts of at most so many shingles meet in bands of single shingles as well, which lose no pair of them.
 SHORT = 20
 PICKED = 5
-#: Buckets of more texts have one leader; what it leaves open is joined by the rarest shingles.
-CROWD = 64
-#: Shingles are counted in a table of 2**SLOTS places, to put the rarest first; any order is exact.
-SLOTS = 20
-#: Leaders of a bucket in each round after the first.
-LEADERS = 32
 SLICE = 1 << 21
 #: Shingles of a text that are ranked for all sketches at once.
 AT_ONCE = 1 << 16
 _SEEDS = np.random.default_rng(7).integers(1, 2**63, SKETCHES, dtype=np.uint64) | U64(1)
 
 
-def distinct(s: np.ndarray) -> np.ndarray:
-    """Shingles in order of first occurrence."""
-    _, at = np.unique(s, return_index=True)
-    return s if len(at) == len(s) else s[np.sort(at)]
-
-
 def labelled(s: np.ndarray) -> np.ndarray:
     """Each shingle joined with the number of times that it came before."""
     order = np.argsort(s, kind="stable")
@@ -76,9 +66,8 @@ def labelled(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketch(s: np.ndarray) -> np.ndarray:
-    """The Order MinHash sketches of a text, each as one hash."""
-    x = labelled(s)
+def sketch(x: np.ndarray) -> np.ndarray:
+    """The Order MinHash sketches of a text's labelled shingles, each as one hash."""
     k = min(PICKED, len(x))
     out = np.empty(SKETCHES, U64)
     step = SKETCHES if len(x) <= AT_ONCE else 1
@@ -89,17 +78,21 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def prefix(d: np.ndarray, often: np.ndarray | None = None) -> np.ndarray:
-    """The first of a text's distinct shingles in order of their hashes, or with often (a table by leading bits of the hash) the
-    rarest first: two texts that have THRESHOLD of each one's shingles in common have one of these in common."""
-    size = len(d) - math.ceil(THRESHOLD * len(d) - 1e-9) + 1
-    if not len(d):
-        return d
-    return np.sort(d)[:size] if often is None else d[np.lexsort((d, often[d >> U64(64 - SLOTS)]))[:size]]
+def longest_prefix(n: int) -> int:
+    """Of n shingles in any one order, so many come first that each text at the threshold has one of them."""
+    return n - math.ceil(THRESHOLD * n - 1e-9) + 1 if n else 0
+
+
+def bands(x: np.ndarray) -> np.ndarray:
+    """The buckets of a text: its sketches, and for a short one single shingles as well."""
+    if not len(x):
+        return np.zeros(0, np.int64)
+    few = mix(np.sort(x)[: longest_prefix(len(x))] + WORD_MIX[20]) if len(x) <= SHORT else np.zeros(0, U64)
+    return np.concatenate([sketch(x), few]).view(np.int64)
 
 
 def aligned(a: np.ndarray, b: np.ndarray) -> float:
-    """Similarity of two texts' distinct shingles; 0.0 where it's below THRESHOLD."""
+    """Similarity of two texts' labelled shingles; 0.0 where it's below THRESHOLD."""
     total = len(a) + len(b)
     if not total:
         return 1.0
@@ -125,7 +118,7 @@ def aligned(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def each(texts: pa.Array) -> Iterator[np.ndarray]:
-    """The shingles of each text of a batch in turn."""
+    """The labelled shingles of each text of a batch in turn."""
     data, offs = buffers(texts)
     at = 0
     while at < len(texts):
@@ -133,166 +126,178 @@ def each(texts: pa.Array) -> Iterator[np.ndarray]:
         _, _, h, first = words(data[offs[at] : offs[till]], offs[at : till + 1] - offs[at])
         s, places = shingles(h, first)
         for i in range(till - at):
-            yield s[places[i] : places[i + 1]]
+            yield labelled(s[places[i] : places[i + 1]])
         at = till
 
 
+def key_of(x: np.ndarray) -> tuple[int, int]:
+    key = xxhash.xxh3_128_intdigest(x.tobytes())
+    return (key >> 64) - 2**63, (key & (2**64 - 1)) - 2**63
+
+
+def lists(parts: list[np.ndarray]) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*parts, np.zeros(0, np.int64)])))
+
+
+def with_ids(docs: DataFrame) -> DataFrame:
+    return docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, k1, k2 (128-bit hash of the distinct shingles), n (their number), bands, few of each document with an id.
+    """doc_id, k1, k2 (128-bit hash of the labelled shingles), n (their number), bands of each document with an id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, n, held = [], [], []
+            for x in each(batch.column(1)):
+                keys.append(key_of(x))
+                n.append(len(x))
+                held.append(bands(x))
+            k1, k2 = (pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), k1, k2, pa.array(n, pa.int64()), lists(held)], ["doc_id", "k1", "k2", "n", "bands"])
 
-    few: bands of single shingles, of texts of SHORT shingles at most."""
+    return with_ids(docs).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, k1 long, k2 long, n long, bands array<long>")
+
+
+def sequences(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """rep, key, n, x (the labelled shingles) of the texts of reps(rep)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k1, k2, n, bands, few = [], [], [], [], []
-            for s in each(batch.column(1)):
-                d = distinct(s)
-                key = xxhash.xxh3_128_intdigest(d.tobytes())
-                k1.append((key >> 64) - 2**63)
-                k2.append((key & (2**64 - 1)) - 2**63)
-                n.append(len(d))
-                bands.append(sketch(d).view(np.int64) if len(d) else np.zeros(0, np.int64))
-                few.append(prefix(d).view(np.int64) if len(d) <= SHORT else np.zeros(0, np.int64))
-            lists = [pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in some])]).astype(np.int32), pa.array(np.concatenate([*some, np.zeros(0, np.int64)]))) for some in (bands, few)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(n, pa.int64()), *lists], ["doc_id", "k1", "k2", "n", "bands", "few"])
-
-    kind = dict(docs.dtypes)["doc_id"]
-    text = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return text.mapInArrow(run, f"doc_id {kind}, k1 long, k2 long, n long, bands array<long>, few array<long>")
-
-
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """u, v, similarity of those pairs(u, v) of ids that are linked. One shuffle of the texts serves both sides."""
-    texts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    left = pairs.join(texts.hint("shuffle_merge"), F.col("u") == F.col("doc_id")).select("u", "v", F.col("text").alias("a"))
-    full = left.join(texts.hint("shuffle_merge"), F.col("v") == F.col("doc_id")).select("u", "v", "a", F.col("text").alias("b"))
+            at, held, size = 0, [], 0
+            for x in each(batch.column(1)):
+                held.append(x.view(np.int64))
+                size += len(x)
+                if size > SLICE:
+                    yield some(batch, at, held)
+                    at, held, size = at + len(held), [], 0
+            yield some(batch, at, held)
+
+    def some(batch: pa.RecordBatch, at: int, held: list[np.ndarray]) -> pa.RecordBatch:
+        keys, n = pa.array([key_of(x)[0] for x in held], pa.int64()), pa.array([len(x) for x in held], pa.int64())
+        return pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(held)), keys, n, lists(held)], ["rep", "key", "n", "x"])
+
+    texts = with_ids(docs).join(reps, F.col("doc_id") == F.col("rep"), "left_semi")
+    return texts.mapInArrow(run, f"rep {dict(docs.dtypes)['doc_id']}, key long, n long, x array<long>")
+
+
+def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """u, v, similarity of those pairs(u, v) of ids that are linked; held as from sequences()."""
+    left = pairs.join(held.select(F.col("rep").alias("u"), F.col("x").alias("a")), "u")
+    full = left.join(held.select(F.col("rep").alias("v"), F.col("x").alias("b")), "v").select("u", "v", "a", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            value = np.array([aligned(distinct(a), distinct(b)) for a, b in zip(each(batch.column(2)), each(batch.column(3)), strict=True)], float)
+            (a, at_a), (b, at_b) = ((c.values.to_numpy().view(U64), c.offsets.to_numpy()) for c in (batch.column(2), batch.column(3)))
+            value = np.array([aligned(a[at_a[i] : at_a[i + 1]], b[at_b[i] : at_b[i + 1]]) for i in range(batch.num_rows)], float)
             keep = pa.array(value > 0)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(value).filter(keep)], ["u", "v", "similarity"])
 
-    kind = dict(docs.dtypes)["doc_id"]
+    kind = dict(held.dtypes)["rep"]
     return full.mapInArrow(run, f"u {kind}, v {kind}, similarity double")
 
 
 def buckets(banded: DataFrame) -> DataFrame:
-    """bucket, rep, n, size, rank of texts in buckets of several; banded: rep, n, bucket. rank puts texts in large buckets first."""
-    shared = banded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    live = banded.join(shared, "bucket")
+    """bucket, rep, n, rank of texts in buckets of several; banded: rep, n, bucket. rank puts texts in large buckets first."""
+    shared = cut(banded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
+    live = cut(banded.join(shared, "bucket"))
     popular = live.groupBy("rep").agg(F.sum("size").alias("popular"))
-    return cut(live.join(popular, "rep").select("bucket", "rep", "n", "size", F.struct("popular", F.xxhash64("rep").alias("tie"), "rep").alias("rank")))
-
-
-def settle(live: DataFrame, labels: DataFrame, docs: DataFrame, largest: int | None = None) -> DataFrame:
-    """labels (rep, label) after all links have been found that texts of a bucket have with leaders.
-
-    The first round's leader of a bucket is its first in rank, later ones are LEADERS at a time of the texts that are still in other
-    classes than it, until each has been; buckets of more than largest texts have the first round only."""
-    used = tried = None
-    while True:
-        now = live.join(labels, "rep")
-        if used is None:
-            chosen = now.groupBy("bucket").agg(F.max(F.struct("rank", "n", "label")).alias("x"))
-        else:
-            mains = main.join(labels.select(F.col("rep").alias("main"), F.col("label").alias("first")), "main").select("bucket", "first")
-            rest = now.join(mains, "bucket").where("label <> first").join(used, ["bucket", "rep"], "left_anti")
-            chosen = rest.groupBy("bucket", F.pmod(F.xxhash64("rep", F.lit("leader")), F.lit(LEADERS)).alias("_")).agg(F.max(F.struct("rank", "n", "label")).alias("x"))
-        leaders = cut(chosen.select("bucket", F.col("x.rank.rep").alias("v"), F.col("x.n").alias("m"), F.col("x.label").alias("other")))
-        if not leaders.limit(1).count():
-            return labels
-        at_least = F.least("n", "m") >= F.lit(THRESHOLD) * F.greatest("n", "m")
-        pairs = now.join(leaders, "bucket").where((F.col("label") != F.col("other")) & at_least).select(F.least("rep", "v").alias("u"), F.greatest("rep", "v").alias("v")).distinct()
-        pairs = cut(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"))
-        if used is None:
-            main = leaders.select("bucket", F.col("v").alias("main"))
-            live = live if largest is None else live.where(F.col("size") <= largest)
-        new = leaders.select("bucket", F.col("v").alias("rep"))
-        used, tried = (new, pairs) if used is None else (used.union(new), tried.union(pairs))
-        if pairs.limit(1).count():
-            labels = merged(labels, pairs, docs)
-        tidy(docs.sparkSession)
-
-
-def merged(labels: DataFrame, pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """labels with the classes of linked pairs(u, v) made one."""
-    links = cut(verified(pairs, docs))
+    return cut(live.join(popular, "rep").select("bucket", "rep", "n", F.struct("popular", F.xxhash64("rep").alias("tie"), "rep", "n").alias("rank")))
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels(rep, label) with the classes of links(u, v) made one."""
     named = links.join(labels.select(F.col("rep").alias("u"), F.col("label").alias("lu")), "u").join(labels.select(F.col("rep").alias("v"), F.col("label").alias("lv")), "v")
-    same = components(named.select(F.col("lu").alias("u"), F.col("lv").alias("v")))
+    same = components(named.where("lu <> lv").select(F.col("lu").alias("u"), F.col("lv").alias("v")))
     return cut(labels.join(same.withColumnRenamed("label", "to"), F.col("label") == F.col("node"), "left").select("rep", F.coalesce("to", "label").alias("label")))
 
 
-def prefixes(texts: DataFrame) -> DataFrame:
-    """rep, n, h, at: the shingles of prefix() of texts(rep, text), rarest first, and their places in that order."""
-    kind = dict(texts.dtypes)["rep"]
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = np.zeros(1 << SLOTS, np.int64)
-        for batch in batches:
-            for s in each(batch.column(1)):
-                np.add.at(often, distinct(s) >> U64(64 - SLOTS), 1)
-        slot = np.flatnonzero(often)
-        yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(often[slot])], ["slot", "times"])
+def stars(live: DataFrame) -> DataFrame:
+    """u, v: each text of a bucket with the bucket's leader, where the lengths allow a link."""
+    leaders = live.groupBy("bucket").agg(F.max("rank").alias("x")).select("bucket", F.col("x.rep").alias("v"), F.col("x.n").alias("m"))
+    at_least = F.least("n", "m") >= F.lit(THRESHOLD) * F.greatest("n", "m")
+    met = live.select("bucket", "rep", "n").join(cut(leaders), "bucket").where((F.col("rep") != F.col("v")) & at_least)
+    return cut(met.select(F.least("rep", "v").alias("u"), F.greatest("rep", "v").alias("v")).distinct())
 
-    found = texts.mapInArrow(count, "slot long, times long").groupBy("slot").agg(F.sum("times").alias("times")).toArrow()  # 2**SLOTS rows at most
-    table = np.zeros(1 << SLOTS, np.int64)
-    table[found["slot"].to_numpy()] = found["times"].to_numpy()
-    shared = texts.sparkSession.sparkContext.broadcast(table)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, s in enumerate(each(batch.column(1))):
-                d = distinct(s)
-                h = prefix(d, shared.value)
-                ids = batch.column(0).take(pa.array(np.full(len(h), i)))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(len(h), len(d))), pa.array(h.view(np.int64)), pa.array(np.arange(len(h)))], ["rep", "n", "h", "at"])
+def prefixes(held: DataFrame, labels: DataFrame) -> DataFrame:
+    """rep, n, h, at, label: of each text of held the shingles that come first, the rarest first, and their places in that order.
 
-    return texts.mapInArrow(run, f"rep {kind}, n long, h long, at long")
+    A shingle that stands in one text only meets nothing: it is counted, but has no row."""
+    every = held.select("rep", "key", "n", F.explode("x").alias("h"))
+    often = cut(every.groupBy("h").agg(F.count("*").alias("often")).where("often > 1"))
+    text = Window.partitionBy("rep", "key")
+    place = F.col("n") - F.count("*").over(text) + F.row_number().over(text.orderBy("often", "h")) - 1
+    ranked = every.join(often, "h").select("rep", "n", "h", place.alias("at"))
+    size = F.col("n") - F.ceil(F.lit(THRESHOLD) * F.col("n") - F.lit(1e-9)) + 1
+    return cut(ranked.where(F.col("at") < size).join(labels, "rep"))
 
 
-def crowded(crowd: DataFrame, labels: DataFrame, docs: DataFrame) -> DataFrame:
-    """labels after all links among the texts of crowd(rep) have been found, without loss.
+def rare_pairs(rows: DataFrame) -> DataFrame:
+    """u, v: all pairs of texts of different classes that may be linked; rows as from prefixes().
 
     The least number of shingles that two linked texts share follows from their lengths. The first shared one, in one order of all,
-    is so early in both that it's in prefix() of the longer one and in a shorter part of the other's, with enough left after it."""
-    texts = docs.join(crowd, F.col("doc_id") == F.col("rep"), "left_semi").select(F.col("doc_id").alias("rep"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    rows = cut(prefixes(cut(texts)).join(labels, "rep"))
+    is so early in both that it's in the prefix of the longer one and in a shorter part of the other's, with enough left after it."""
+    kinds = rows.groupBy("h", "label").agg(F.count("*").alias("times")).groupBy("h").agg(F.max(F.struct("times", "label")).alias("x"), F.count("*").alias("kinds"))
+    mains = cut(kinds.where("kinds > 1").select("h", F.col("x.label").alias("main")))
+    rows = cut(rows.join(mains, "h"))
+    a, b = (x.select("h", *[F.col(c).alias(f"{c}_{side}") for c in ("rep", "n", "at", "label", "main")]) for x, side in ((rows.where("label <> main"), "a"), (rows, "b")))
+    once = (F.col("label_b") == F.col("main_b")) | (F.col("rep_a") < F.col("rep_b"))  # of pairs outside the main class one order
     least = 2 * THRESHOLD / (1 + THRESHOLD)
-    a = rows.where(F.col("at") <= F.col("n") - F.ceil(F.lit(least) * F.col("n") - F.lit(1e-9)))
-    a, b = (x.select("h", *[F.col(c).alias(f"{c}_{side}") for c in ("rep", "n", "at", "label")]) for x, side in ((a, "a"), (rows, "b")))
     shorter = (F.col("n_a") < F.col("n_b")) | (F.col("n_a") == F.col("n_b")) & (F.col("rep_a") < F.col("rep_b"))
+    n, at = F.when(shorter, F.col("n_a")).otherwise(F.col("n_b")), F.when(shorter, F.col("at_a")).otherwise(F.col("at_b"))
+    early = at <= n - F.ceil(F.lit(least) * n - F.lit(1e-9))
     enough = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= F.lit(least / 2) * (F.col("n_a") + F.col("n_b")) - F.lit(1e-9)
-    met = a.join(b.hint("shuffle_merge"), (a["h"] == b["h"]) & shorter & enough & (F.col("label_a") != F.col("label_b")))
-    pairs = cut(met.select(F.least("rep_a", "rep_b").alias("u"), F.greatest("rep_a", "rep_b").alias("v")).distinct())
-    return merged(labels, pairs, docs) if pairs.limit(1).count() else labels
+    met = a.join(b, (a["h"] == b["h"]) & (F.col("label_a") != F.col("label_b")) & once & early & enough)
+    return cut(met.select(F.least("rep_a", "rep_b").alias("u"), F.greatest("rep_a", "rep_b").alias("v")).distinct())
+
+
+def settled(live: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """labels(rep, label) of the texts of live, and the links(u, v, similarity) that made them."""
+    reps = cut(live.select("rep").distinct())
+    held = cut(sequences(docs, reps))
+    star = cut(verified(stars(live), held))
+    labels = merged(reps.withColumn("label", F.col("rep")), star)
+    tidy(docs.sparkSession)
+    several = live.join(labels, "rep").groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
+    open_ = cut(live.join(several, "bucket").select("rep").distinct())
+    rows = prefixes(held.join(open_, "rep", "left_semi"), labels)
+    rare = cut(verified(rare_pairs(rows), held))
+    labels = merged(labels, rare)
+    tidy(docs.sparkSession)
+    return labels, cut(star.union(rare).groupBy("u", "v").agg(F.max("similarity").alias("similarity")))
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id (the least id of the class), copies_of (the least id with the same shingles) of every row."""
+    """doc_id, class_id (the least id of the class), copies_of (the least id with the same labelled shingles) of every row; n_links,
+    how many links to other texts were verified for its text, and linked_to and similarity, the most similar of these.
+
+    Links within a class that wasn't in doubt any more aren't looked for, so n_links doesn't count all that there are."""
     docs = docs.select("doc_id", "text")
-    rows = cut(sketches(docs))
-    same = rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("bands").alias("bands"), F.first("few").alias("few"))
-    same = cut(same)
-    members = rows.select("doc_id", "k1", "k2").join(same.select("k1", "k2", "rep"), ["k1", "k2"]).select("doc_id", "rep")
-    banded = same.select("rep", "n", F.posexplode("bands").alias("j", "h")).select("rep", "n", F.xxhash64("j", "h").alias("bucket"))
-    banded = banded.union(same.select("rep", "n", F.explode("few").alias("h")).select("rep", "n", F.xxhash64(F.lit("few"), "h").alias("bucket")))
-    live = buckets(banded)
-    labels = settle(live, live.select("rep").distinct().withColumn("label", F.col("rep")), docs, CROWD)
-    # texts of crowded buckets that still hold several classes are joined by their rarest shingles
-    several = live.where(F.col("size") > CROWD).join(labels, "rep").groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
-    crowd = cut(live.join(several, "bucket").select("rep").distinct())
-    if crowd.limit(1).count():
-        labels = crowded(crowd, labels, docs)
-    known = members.join(labels, "rep", "left").select("doc_id", F.coalesce("label", "rep").alias("class_id"), F.col("rep").alias("copies_of"))
-    none = docs.where(F.col("doc_id").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copies_of"))
-    return known.unionByName(none)
+    with scratch(docs.sparkSession) as keep:
+        rows = cut(sketches(docs))
+        same = cut(rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("bands").alias("bands")))  # equal keys have equal bands
+        members = rows.select("doc_id", "k1", "k2").join(same.select("k1", "k2", "rep"), ["k1", "k2"]).select("doc_id", "rep")
+        live = buckets(same.select("rep", "n", F.explode("bands").alias("bucket")))
+        labels, links = settled(live, docs)
+        ends = links.select(F.col("u").alias("rep"), F.col("v").alias("other"), "similarity").union(links.select("v", "u", "similarity"))
+        best = ends.groupBy("rep").agg(F.count("*").alias("n_links"), F.max(F.struct("similarity", "other")).alias("x"))
+        named = labels.join(best, "rep", "left").select("rep", "label", "n_links", F.col("x.other").alias("linked_to"), F.col("x.similarity").alias("similarity"))
+        found = members.join(named, "rep", "left")
+        known = found.select("doc_id", F.coalesce("label", "rep").alias("class_id"), F.col("rep").alias("copies_of"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "linked_to", "similarity")
+        none = docs.where(F.col("doc_id").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copies_of"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("linked_to"), F.lit(None).cast("double").alias("similarity"))
+        return keep(known.unionByName(none))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, that come first in their class (least id); rows with a null id stay.
 
-    Of rows with equal ids that come first one stays; the same text under the same id is one document."""
-    keep = classes(docs).where("doc_id = class_id").select(F.col("doc_id").alias("_kept")).distinct()
-    first = docs.where(F.col("doc_id").isNotNull()).join(keep, F.col("doc_id") == F.col("_kept"), "left_semi")
-    return first.unionByName(docs.where(F.col("doc_id").isNull()))
+    Of rows that repeat both id and text one stays; rows with equal ids and different texts stay or go together."""
+    first = cut(classes(docs).where("doc_id = class_id").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows")))
+    rest = docs.where(F.col("doc_id").isNull())
+    once = docs.join(first, F.col("doc_id") == F.col("_kept"), "left_semi")
+    if first.where("_rows > 1").limit(1).count():  # ids that occur again: only their rows are shuffled
+        again = once.join(first.where("_rows > 1"), F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id", "text"])
+        once = once.join(first.where("_rows > 1"), F.col("doc_id") == F.col("_kept"), "left_anti").unionByName(again)
+    return once.unionByName(rest)
