@@ -10,12 +10,14 @@ pass 1  Runs whose digit occurs with differing surroundings are cut into blocks
 pass 2  Blocks that still differ are cut into single windows; the digit is the window itself, so each group is exactly one repeated window.
 
 In each pass, rows with the same digit and the same units throughout are the same windows: all but the first (least id, then
-place) are repeats. Each distinct run goes on once, so a passage that a third of all texts contain costs one row a text
-and pass. Groups are counted by partial aggregates and joined by sort-merge joins that adaptive execution splits; no
-group is ever gathered in a task. Digits and runs are compared by 64-bit hashes each (128 bits for a run).
-
-Edge cases: null and empty texts have no windows; texts shorter than T lose nothing; a null id is never compared and loses nothing;
-rows with equal ids count as one document, which must have one text.
+place) are repeats. Runs that a text repeats are one row with all their places, and each distinct run goes on once, so a passage
+that a third of all texts contain, or a line that fills a text, costs one row a text and pass. Groups are counted by partial
+aggregates, written, and joined by sort-merge joins that adaptive execution splits; no group is ever gathered in a
+task. Digits and runs are compared by 64-bit hashes each (128 bits for a run).
+
+Edge cases: null and empty texts have no windows; texts shorter than T lose nothing; a null id is never compared and loses nothing.
+Rows with equal ids and equal texts are one document, so all of them keep the same; texts that differ under one id are documents of
+their own, in the order of a hash of the text.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUE, PIECE, U64, WORD_MIX, buffers, cut, mix, power_tables, tidy, words
+from .common import BYTE_VALUE, PIECE, U64, WORD_MIX, buffers, cut, mix, power_tables, scratch, tidy, words
 
 BYTES, BYTE_GRAM = 100, 20
 WORDS, WORD_GRAM = 50, 10
@@ -76,6 +78,16 @@ def runs(values: np.ndarray, size: int, gram: int) -> Iterator[tuple[np.ndarray,
         yield digit[place], units, first + at, shape
 
 
+def collapsed(units: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of one owner with equal units as one: the order of rows, by owner and units and otherwise as they came, and in that order
+    where each group of equal ones starts and ends."""
+    order = np.lexsort((units, owner))
+    new = np.ones(len(order), bool)
+    new[1:] = (units[order][1:] != units[order][:-1]) | (owner[order][1:] != owner[order][:-1])
+    first = np.flatnonzero(new)
+    return order, first, np.append(first[1:], len(order))
+
+
 def split(values: np.ndarray, offs: np.ndarray, shapes: np.ndarray, size: int, step: int) -> tuple[np.ndarray, ...]:
     """Blocks of step windows of many runs: digit, units, offset in the run, shape, and the run's number.
 
@@ -126,23 +138,36 @@ class Kind:
         return self.values(raw.view(U64) if self.by_words else raw)
 
 
-ROW = "digit long, units long, id {}, at int, shape int"
+ROW = "digit long, units long, id {}, at int, shape int, later array<int>, parent int"
+NAMES = ["digit", "units", "id", "at", "shape", "later", "parent"]
 
 
 def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(U64).view(np.int64) if x.dtype != np.int64 else x, pa.int64())
 
 
-def rows_batch(ids: pa.Array, parts: list[tuple], which: list[int]) -> pa.RecordBatch:
-    digit, units, at, shape = (np.concatenate([p[c] for p in parts]) if parts else np.zeros(0, np.int64) for c in range(4))
-    owner = np.repeat(np.array(which, np.int64), [len(p[0]) for p in parts]) if parts else np.zeros(0, np.int64)
-    return pa.RecordBatch.from_arrays([signed(digit), signed(units), ids.take(pa.array(owner)), pa.array(at.astype(np.int32)), pa.array(shape.astype(np.int32))], ["digit", "units", "id", "at", "shape"])
+def rows_batch(ids: pa.Array, digit: np.ndarray, units: np.ndarray, owner: np.ndarray, at: np.ndarray, shape: np.ndarray, parent: np.ndarray) -> pa.RecordBatch:
+    """Rows of a pass: at is the first place of a run in its text, later holds its other places there; null where there are none."""
+    order, first, end = collapsed(units, owner)
+    one = order[first]
+    more = end - first - 1
+    rest = np.ones(len(order), bool)
+    rest[first] = False
+    offsets = pa.array(np.append(0, np.cumsum(more)).astype(np.int32), pa.int32(), mask=np.append(more == 0, False))
+    later = pa.ListArray.from_arrays(offsets, pa.array(at[order[rest]].astype(np.int32)))
+    return pa.RecordBatch.from_arrays([signed(digit[one]), signed(units[one]), ids.take(pa.array(owner[one])), pa.array(at[one].astype(np.int32)), pa.array(shape[one].astype(np.int32)), later, pa.array(parent[one].astype(np.int32))], NAMES)
 
 
 def first_rows(docs: DataFrame, kind: Kind) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             parts, which, size = [], [], 0
+
+            def batch() -> pa.RecordBatch:
+                digit, units, at, shape = (np.concatenate([p[c] for p in parts]) if parts else np.zeros(0, np.int64) for c in range(4))  # noqa: B023
+                owner = np.repeat(np.array(which, np.int64), [len(p[0]) for p in parts]) if parts else np.zeros(0, np.int64)  # noqa: B023
+                return rows_batch(b.column(0), digit, units, owner, at, shape, at)  # noqa: B023
+
             for i, units in enumerate(kind.texts(b.column(1))):
                 if len(units) < kind.size:
                     continue
@@ -151,9 +176,9 @@ def first_rows(docs: DataFrame, kind: Kind) -> DataFrame:
                     which.append(i)
                     size += len(part[0])
                     if size > 200_000:
-                        yield rows_batch(b.column(0), parts, which)
+                        yield batch()
                         parts, which, size = [], [], 0
-            yield rows_batch(b.column(0), parts, which)
+            yield batch()
 
     return docs.mapInArrow(run, ROW.format(dict(docs.dtypes)["id"]))
 
@@ -161,13 +186,18 @@ def first_rows(docs: DataFrame, kind: Kind) -> DataFrame:
 def sort_pass(rows: DataFrame, last: bool) -> tuple[DataFrame, DataFrame | None]:
     """rows are read twice; those of pass 0 are computed twice rather than stored, as they are many and few stay.
 
-    Repeats (id, at, shape), and for the next pass the first (id, at, shape) of each distinct run in a group of several."""
-    groups = rows.groupBy("digit").agg(F.count("*").alias("n"), F.min("units").alias("low"), F.max("units").alias("high")).where("n > 1").select("digit", (F.col("low") != F.col("high")).alias("differ"))
+    Repeats (id, ats, shape), and for the next pass the first (id, at, shape, parent) of each distinct run in a group of several."""
+    places = F.lit(1) + F.coalesce(F.size("later"), F.lit(0))
+    groups = cut(rows.groupBy("digit").agg(F.sum(places).alias("n"), F.min("units").alias("low"), F.max("units").alias("high")).where("n > 1").select("digit", (F.col("low") != F.col("high")).alias("differ")))
     again = cut(rows.join(groups.hint("shuffle_merge"), "digit"))
-    firsts = cut(again.groupBy("digit", "units").agg(F.min(F.struct("id", "at")).alias("x"), F.max("shape").alias("shape"), F.count("*").alias("n"), F.first("differ").alias("differ")).select("digit", "units", "x.id", "x.at", "shape", "n", "differ"))
+    firsts = again.groupBy("digit", "units").agg(F.min(F.struct("id", "at", "parent")).alias("x"), F.max("shape").alias("shape"), F.sum(places).alias("n"), F.first("differ").alias("differ"))
+    firsts = cut(firsts.select("digit", "units", "x.id", "x.at", "x.parent", "shape", "n", "differ"))
     several = firsts.where("n > 1").select("digit", "units", F.col("id").alias("_id"), F.col("at").alias("_at"))
-    repeats = again.join(several.hint("shuffle_merge"), ["digit", "units"]).where(~((F.col("id") == F.col("_id")) & (F.col("at") == F.col("_at")))).select("id", "at", "shape")
-    return cut(repeats), None if last else firsts.where("differ").select("id", "at", "shape")
+    is_first = (F.col("id") == F.col("_id")) & (F.col("at") == F.col("_at"))
+    repeats = again.join(several.hint("shuffle_merge"), ["digit", "units"]).where(~is_first | F.col("later").isNotNull())
+    every = F.concat(F.array("at"), F.coalesce("later", F.array().cast("array<int>")))
+    repeats = repeats.select("id", F.when(is_first, F.col("later")).otherwise(every).alias("ats"), "shape")
+    return cut(repeats), None if last else firsts.where("differ").select("id", "at", "shape", "parent")
 
 
 def snippets(docs: DataFrame, wanted: DataFrame, kind: Kind) -> DataFrame:
@@ -209,8 +239,8 @@ def split_rows(pieces: DataFrame, kind: Kind, step: int) -> DataFrame:
                 continue
             units_at = offs // (8 if kind.by_words else 1)
             core, units, at, shape, which = split(kind.from_bytes(data), units_at, b.column(2).to_numpy().astype(np.int64), kind.size, step)
-            at = at + b.column(1).to_numpy()[which]
-            yield pa.RecordBatch.from_arrays([signed(core), signed(units), b.column(0).take(pa.array(which)), pa.array(at.astype(np.int32)), pa.array(shape.astype(np.int32))], ["digit", "units", "id", "at", "shape"])
+            parent = b.column(1).to_numpy()[which]
+            yield rows_batch(b.column(0), core, units, which, at + parent, shape, parent)
 
     return pieces.mapInArrow(run, ROW.format(dict(pieces.dtypes)["id"]))
 
@@ -218,26 +248,25 @@ def split_rows(pieces: DataFrame, kind: Kind, step: int) -> DataFrame:
 def narrowed(pieces: DataFrame, wanted: DataFrame, kind: Kind) -> DataFrame:
     """The units of wanted blocks, out of the runs that they were cut from."""
     wide = 8 if kind.by_words else 1
-    parent = pieces.select("id", F.col("at").alias("from"), F.col("shape").alias("whole"), "units")
-    lists = wanted.groupBy("id").agg(F.collect_list(F.struct("at", "shape")).alias("blocks"))
-    inside = parent.join(lists.hint("shuffle_merge"), "id").withColumn("blocks", F.filter("blocks", lambda x: (x["at"] >= F.col("from")) & (x["at"] < F.col("from") + F.shiftright("whole", 16))))
-    each = inside.select("id", "from", "units", F.explode("blocks").alias("x"))
-    return each.select("id", F.col("x.at").alias("at"), F.col("x.shape").alias("shape"), F.substring(F.col("units"), (F.col("x.at") - F.col("from")) * wide + 1, (F.shiftright(F.col("x.shape"), 16) - 1 + kind.size) * wide).alias("units"))
+    whole = pieces.select("id", F.col("at").alias("parent"), "units").hint("shuffle_merge")
+    start, length = (F.col("at") - F.col("parent")) * wide + 1, (F.shiftright("shape", 16) - 1 + kind.size) * wide
+    return wanted.join(whole, ["id", "parent"]).select("id", "at", "shape", F.substring("units", start, length).alias("units"))
 
 
 def repeats(docs: DataFrame, by_words: bool = False) -> DataFrame:
-    """id, at, windows: runs of windows, in units, that also start earlier. docs has id and text."""
+    """id, ats, windows: runs of windows, in units, that also start earlier. docs has id and text."""
     kind = Kind(by_words)
-    docs = docs.where(F.col("id").isNotNull())
-    found, wanted = sort_pass(first_rows(docs, kind), last=False)
-    tidy(docs.sparkSession)
-    pieces = cut(snippets(docs, wanted, kind))
-    more, wanted = sort_pass(cut(split_rows(pieces, kind, STEP)), last=False)
-    tidy(docs.sparkSession)
-    blocks = cut(narrowed(pieces, wanted, kind))
-    single, _ = sort_pass(cut(split_rows(blocks, kind, 1)), last=True)
-    every = found.unionByName(more).unionByName(single)
-    return every.select("id", "at", F.shiftright("shape", 16).alias("windows"))
+    with scratch(docs.sparkSession) as keep:
+        docs = docs.where(F.col("id").isNotNull())
+        found, wanted = sort_pass(first_rows(docs, kind), last=False)
+        tidy(docs.sparkSession)
+        pieces = cut(snippets(docs, wanted, kind))
+        more, wanted = sort_pass(cut(split_rows(pieces, kind, STEP)), last=False)
+        tidy(docs.sparkSession)
+        blocks = cut(narrowed(pieces, wanted, kind))
+        single, _ = sort_pass(cut(split_rows(blocks, kind, 1)), last=True)
+        every = found.unionByName(more).unionByName(single)
+        return keep(every.select("id", "ats", F.shiftright("shape", 16).alias("windows")))
 
 
 def covered(ats: np.ndarray, counts: np.ndarray, size: int, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -253,17 +282,23 @@ def covered(ats: np.ndarray, counts: np.ndarray, size: int, length: int) -> tupl
 
 
 def with_spans(docs: DataFrame, by_words: bool) -> DataFrame:
-    spans = repeats(docs.select("id", "text"), by_words).groupBy("id").agg(F.collect_list(F.struct("at", "windows")).alias("s")).select(F.col("id").alias("_id"), F.col("s.at").alias("_ats"), F.col("s.windows").alias("_windows"))
+    """docs, which has id and text, with the lists of starts and numbers of repeated windows."""
+    if docs.where(F.col("id").isNotNull()).groupBy("id").count().where("count > 1").limit(1).count():
+        docs = docs.withColumn("id", F.when(F.col("id").isNotNull(), F.struct("id", F.xxhash64("text").alias("tie"))))
+        texts = docs.select("id", "text").dropDuplicates(["id"])
+    else:
+        texts = docs.select("id", "text")
+    spans = repeats(texts, by_words).groupBy("id").agg(F.collect_list(F.struct("ats", "windows")).alias("s")).select(F.col("id").alias("_id"), F.flatten("s.ats").alias("_ats"), F.flatten(F.transform("s", lambda x: F.array_repeat(x["windows"], F.size(x["ats"])))).alias("_windows"))
     return docs.join(spans.hint("shuffle_merge"), F.col("id") == F.col("_id"), "left").drop("_id")
 
 
 def _numbers(cell: pa.Scalar) -> np.ndarray:
-    return np.array(cell.as_py() or [], np.int64)
+    return cell.values.to_numpy() if cell.is_valid else np.zeros(0, np.int64)
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept: bytes that 100-byte repeats cover are removed."""
-    texts = docs.select(F.col("doc_id").alias("id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    texts = docs.select("doc_id", F.col("doc_id").alias("id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,7 +318,8 @@ def digest(docs: DataFrame) -> DataFrame:
                 shas.append(h.hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(shas, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return with_spans(texts, False).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    held = with_spans(texts, False).select("doc_id", "text", "_ats", "_windows")
+    return held.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
