@@ -5,9 +5,10 @@ ancestors (tags, words of their class, id and role) and of its text (length, lin
 not. The field is trained on pages made and labelled by html_pages.py and decoded by Viterbi. Blocks labelled main, character
 references decoded and white space folded, joined by blank lines, are the page's text. Nothing else is dropped or cut.
 
-Never text: comments, scripts, styles, templates, head elements, form fields and their options. Reading never fails: a stray
-'<' is text, unclosed elements end with their parent or the page, unknown tags are inline. A head without an end tag ends at
-<body> or at the first tag or text that can't stand in it.
+Never text: comments, scripts, styles, templates, head elements, form fields and their options. Reading never fails and takes time in
+proportion to the page, however malformed: a stray '<' is text, unclosed elements end with their parent or the page, unknown tags
+are inline. A head without an end tag ends at <body> or at the first tag or text that can't stand in it. If a quote in a tag
+never closes, that tag and those after it end at the next '>', whatever quotes say.
 
 Edge cases: null or empty html gives ''; equal pages give equal texts; a page without markup is one block.
 """
@@ -43,36 +44,137 @@ CLOSES_P = BLOCK - {"body", "html", "button", "label", "legend", "option", "sele
 #: No element ends beyond these when a tag within them is closed by another.
 WALLS = frozenset("div article section main aside nav header footer form table td th ul ol body blockquote".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+OPENING = re.compile(r"/?([a-zA-Z][^\s/>]*)")
+MARKS = re.compile("[>\"']")
+VALUE = re.compile(r"=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 NAME = re.compile(r"[a-z]+")
+HOLDERS = frozenset("article main aside nav header footer form section table".split())
+#: Distinct paths that are kept for the next pages.
+PATHS = 20_000
+
+
+class Node:
+    """An open element with all that hold it: a path from the root. Equal paths are one object, with their features."""
+
+    __slots__ = ("_slots", "children", "holders", "outer", "parent", "tag", "top", "words")
+
+    def __init__(self, tag: str, words: frozenset[str], parent: Node | None):
+        self.tag, self.words, self.parent = tag, words, parent
+        self.children: dict[tuple[str, frozenset[str]], Node] = {}
+        self._slots: tuple[frozenset[int], bool] | None = None
+        outer, holders, self.top = (parent.outer, parent.holders, parent.top) if parent else ((), (), "")
+        if tag in BLOCK and tag not in ("html", "body"):
+            outer, self.top = (*outer[-1:], tag), self.top or tag
+        self.outer, self.holders = outer, (*holders[-1:], tag) if tag in HOLDERS else holders
+
+    def inherited(self) -> tuple[frozenset[int], bool]:
+        """Features of all elements on the path, and whether any has words; WIDTH features at most."""
+        todo, node = [], self
+        while node._slots is None and node.parent is not None:
+            todo.append(node)
+            node = node.parent
+        slots, any_words = node._slots or (frozenset(), False)
+        for n in reversed(todo):
+            own = {_slot(f"in {n.tag}"), *(_slot(f"word {w}") for w in n.words)}
+            slots = slots if own <= slots else slots | own
+            any_words = any_words or bool(n.words)
+            n._slots = slots, any_words
+        return slots, any_words
+
+    def features(self) -> list[int]:
+        slots, any_words = self.inherited()
+        names = ["bias", f"own {self.outer[-1] if self.outer else ''}", f"pair {' '.join(self.outer)}", f"top {self.top}", f"holders {' '.join(self.holders)}"]
+        return [*slots, *(_slot(x) for x in names + ["no words"] * (not any_words))]
+
+
+class Paths:
+    """The tree of known paths; dropped when it has grown to PATHS."""
+
+    def __init__(self) -> None:
+        self.root, self.many = Node("", frozenset(), None), 0
+
+    def fresh(self) -> Node:
+        if self.many > PATHS:
+            self.__init__()
+        return self.root
+
+    def below(self, node: Node, tag: str, words: frozenset[str]) -> Node:
+        if (child := node.children.get((tag, words))) is None:
+            child = node.children[tag, words] = Node(tag, words, node)
+            self.many += 1
+        return child
+
+
+_paths = Paths()
 
 
 class Block:
     __slots__ = ("linked", "path", "text")
 
-    def __init__(self, path: tuple, text: str, linked: int):
+    def __init__(self, path: Node, text: str, linked: int):
         self.path, self.text, self.linked = path, text, linked
 
 
 def attributes(text: str) -> frozenset[str]:
     """Words of class, id and role, and whether the element is hidden."""
-    names = set()
-    for m in ATTRIBUTE.finditer(text):
-        key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if key in ("class", "id", "role"):
+    names, at = set(), 0
+    for m in VALUE.finditer(text):
+        key = text[at : m.start()].lower().split()[-1:]
+        value, at = m[1] or m[2] or m[3] or "", m.end()
+        if key in (["class"], ["id"], ["role"]):
             names.update(w for w in NAME.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()) if len(w) > 1)
-        elif key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
+        elif key == ["aria-hidden"] and value == "true" or key == ["style"] and "display:none" in value.replace(" ", ""):
             names.add("HIDDEN")
     if re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", text):
         names.add("HIDDEN")
     return frozenset(names)
 
 
+def markup(page: str) -> Iterator[tuple[str, str, str, int]]:
+    """Text and tags of a page in order, in one pass: (text, "", "", end) or ("", "/name" or "name", attributes, end). Comments,
+    declarations and instructions are left out. The reader may send a place to go on from."""
+    at, text, n = 0, 0, len(page)
+    last, quotes = page.rfind(">"), True
+    while True:
+        at = page.find("<", at)
+        if at < 0 or at > last:
+            break
+        began, end, m = at, -1, None
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = n if end < 0 else end + 3
+        elif page.startswith(("<!", "<?"), at):
+            end = page.find(">", at) + 1
+        elif m := OPENING.match(page, at + 1):
+            end = m.end()
+            while quotes and (mark := MARKS.search(page, end)) and mark[0] != ">":
+                end = page.find(mark[0], mark.end()) + 1
+                quotes = end > 0
+            if quotes and mark is None:
+                quotes = False
+            end = mark.end() if quotes else page.find(">", m.end()) + 1
+        else:
+            at += 1
+            continue
+        if began > text:
+            yield page[text:began], "", "", began
+        at = text = end
+        if m:
+            go = yield "", m[0], page[m.end() : end - 1], end
+            if go is not None:
+                at = text = go
+    if text < n:
+        yield page[text:], "", "", n
+
+
 def blocks(page: str) -> list[Block]:
-    """The text blocks of a page in order, with the elements that hold them, outermost first."""
+    """The text blocks of a page in order, with the elements that hold them."""
     out: list[Block] = []
-    stack: list[tuple[str, frozenset[str]]] = []
+    node = _paths.fresh()
+    stack: list[Node] = []
+    places: dict[str, list[int]] = {}  # of each tag in the stack
+    walls: list[int] = []
+    tight: list[int] = []  # walls but table cells
     raw = links = linked = 0
     parts: list[str] = []
 
@@ -81,55 +183,67 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append(Block(tuple(stack), text, linked))
+                out.append(Block(node, text, linked))
             parts.clear()
         linked = 0
 
+    def push(tag: str, words: frozenset[str]) -> None:
+        nonlocal raw, links, node
+        places.setdefault(tag, []).append(len(stack))
+        if tag in WALLS:
+            walls.append(len(stack))
+            if tag not in ("td", "th"):
+                tight.append(len(stack))
+        node = _paths.below(node, tag, words)
+        stack.append(node)
+        raw += tag in RAW
+        links += tag == "a"
+
     def pop(upto: int) -> None:
-        nonlocal raw, links
-        if any(t in BLOCK for t, _ in stack[upto:]):
+        nonlocal raw, links, node
+        if any(x.tag in BLOCK for x in stack[upto:]):
             flush()
-        for t, _ in stack[upto:]:
-            raw -= t in RAW
-            links -= t == "a"
+        for x in reversed(stack[upto:]):
+            places[x.tag].pop()
+            raw -= x.tag in RAW
+            links -= x.tag == "a"
         del stack[upto:]
+        for some in (walls, tight):
+            while some and some[-1] >= upto:
+                some.pop()
+        node = stack[-1] if stack else _paths.root
 
-    def leave_head() -> None:
-        pop(next(k for k, (t, _) in enumerate(stack) if t == "head"))
+    def last(tag: str) -> int:
+        return places[tag][-1] if places.get(tag) else -1
 
     def text(t: str) -> None:
         nonlocal linked
-        if stack and stack[-1][0] == "head" and t.strip():
-            leave_head()
+        if stack and stack[-1].tag == "head" and t.strip():
+            pop(places["head"][0])
         if not raw and t:
             parts.append(t)
             if links:
                 linked += len(t)
 
-    at, n = 0, len(page)
-    while at < n:
-        m = TOKEN.search(page, at)
-        if m is None:
-            text(page[at:])
+    pieces, go = markup(page), None
+    while True:
+        try:
+            t, tag, inside, at = pieces.send(go)
+        except StopIteration:
             break
-        if m.start() > at:
-            text(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or "").lower()
+        go = None
         if not tag:
+            text(t)
             continue
-        if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    pop(k)
-                    break
-                if stack[k][0] in WALLS and tag not in WALLS:
-                    break
+        tag = tag.lower()
+        if tag[0] == "/":
+            tag = tag[1:]
+            k = last(tag)
+            if k >= 0 and (tag in WALLS or not walls or k > walls[-1]):
+                pop(k)
             continue
-        if raw and tag not in HEAD:
-            names = [t for t, _ in stack]
-            if names[-1] == "head" or tag == "body" and "head" in names and "template" not in names:
-                leave_head()
+        if raw and tag not in HEAD and last("head") >= 0 and (stack[-1].tag == "head" or tag == "body" and last("template") < 0):
+            pop(places["head"][0])
         if tag == "br":
             text(" ")
             continue
@@ -139,23 +253,19 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in BLOCK:
             flush()
-            for k in range(len(stack) - 1, -1, -1):
-                t = stack[k][0]
-                if t == "p" and tag in CLOSES_P or t in ENDS.get(tag, ()):
-                    pop(k)
-                    if tag != "tr":
-                        break
-                elif t in WALLS and t not in ("td", "th"):
+            ended = ENDS.get(tag, frozenset()) | ({"p"} if tag in CLOSES_P else frozenset())
+            while ended and (k := max(map(last, ended))) > (tight[-1] if tight else -1):
+                pop(k)
+                if tag != "tr":
                     break
         if tag in OPAQUE:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = end.end() if end else n
-            continue
-        if m[3].rstrip().endswith("/") and tag not in BLOCK:
+            go = end.end() if end else len(page)
             continue
-        stack.append((tag, attributes(m[3])))
-        raw += tag in RAW
-        links += tag == "a"
+        tail = inside.split()[-1:]
+        if tail and tail[0].endswith("/") and ("=" not in tail[0] or tail[0][-2:-1] in "\"'") and tag not in BLOCK:
+            continue  # closes itself; the slash of href=/ is a value
+        push(tag, attributes(inside))
     flush()
     return out
 
@@ -165,25 +275,6 @@ def _slot(name: str) -> int:
     return zlib.crc32(name.encode()) % WIDTH
 
 
-@functools.lru_cache(maxsize=20_000)
-def _path(path: tuple) -> tuple[int, ...]:
-    """Features of a block's ancestors; the innermost ones also by place."""
-    names, tags, words = {"bias"}, [t for t, _ in path], set()
-    for t, ws in path:
-        names.add(f"in {t}")
-        words |= ws
-    names.update(f"word {w}" for w in words)
-    outer = [t for t in tags if t in BLOCK and t not in ("html", "body")]
-    names.add(f"own {outer[-1] if outer else ''}")
-    names.add(f"pair {' '.join(outer[-2:])}")
-    names.add(f"top {outer[0] if outer else ''}")
-    if not words:
-        names.add("no words")
-    holders = [t for t in tags if t in ("article", "main", "aside", "nav", "header", "footer", "form", "section", "table")]
-    names.add(f"holders {' '.join(holders[-2:])}")
-    return tuple(_slot(x) for x in names)
-
-
 def features(block: Block, text: str) -> list[int]:
     n = len(text)
     count = text.count(" ") + 1
@@ -196,9 +287,9 @@ def features(block: Block, text: str) -> list[int]:
         f"sentences {min(text.count('. '), 3)}",
         f"bars {'|' in text or '·' in text or '»' in text}",
         f"rights {'©' in text}",
-        f"linked {min(int(4 * block.linked / max(n, 1)), 4)} own {block.path[-1][0] if block.path else ''}",
+        f"linked {min(int(4 * block.linked / max(n, 1)), 4)} own {block.path.tag}",
     ]
-    return [*_path(block.path), *map(_slot, names)]
+    return [*block.path.features(), *map(_slot, names)]
 
 
 class Chain:
