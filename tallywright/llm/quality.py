@@ -4,8 +4,11 @@ A dictionary is built from good labelled texts and one from bad ones. A text is
 difference of the compressed sizes, and how far each size is below the text's own, become a probability through a
 logistic calibration fitted on labelled texts that neither dictionary has seen.
 
-Edge cases: an empty or null text scores 0.0 (there is nothing of quality in it); equal texts score alike; without any
-training label of one class every non-empty text gets the other class's score (0.5 if there are no labels at all).
+Labels are learned from whole texts of a bounded sample of rows (labelled.py). Each dictionary is trained on texts of its class; where
+the trainer finds too little to work with, it is the newest DICTIONARY_BYTES of these texts themselves.
+
+Edge cases: an empty or null text is scored like any other, from the sizes that the compressor gives it; equal texts score alike;
+without any training label of one class every text gets the other class's score (0.5 if there are no labels at all).
 """
 
 from __future__ import annotations
@@ -43,20 +46,16 @@ class Model:
         return len(self._pair[0].compress(text)), len(self._pair[1].compress(text))
 
     def score(self, texts: list[bytes]) -> np.ndarray:
-        out = np.zeros(len(texts))
-        some = [i for i, t in enumerate(texts) if len(t)]
-        if self.constant is not None:
-            out[some] = self.constant
-        elif some:
-            x = features(np.array([(*self.sizes(texts[i]), len(texts[i])) for i in some], float))
-            out[some] = logistic(((x - self.mean) / self.scale) @ self.weights[1:] + self.weights[0])
-        return out
+        if self.constant is not None or not texts:
+            return np.full(len(texts), self.constant or 0.0)
+        x = features(np.array([(*self.sizes(t), len(t)) for t in texts], float))
+        return logistic(((x - self.mean) / self.scale) @ self.weights[1:] + self.weights[0])
 
 
 def features(sizes: np.ndarray) -> np.ndarray:
     """From compressed sizes (good, bad) and byte lengths: the normalised difference and both ratios, with squares."""
     good, bad, n = sizes.T
-    base = np.stack([(bad - good) / np.maximum(np.maximum(good, bad), 1), good / n, bad / n], axis=1)
+    base = np.stack([(bad - good) / np.maximum(np.maximum(good, bad), 1), good / np.maximum(n, 1), bad / np.maximum(n, 1)], axis=1)
     base = np.clip(base, -1.5, 1.5)
     return np.hstack([base, base**2, base[:, :1] * base[:, 1:], 1 / np.log2(n + 2)[:, None]])
 
@@ -82,15 +81,13 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int
 def dictionary(texts: list[bytes]) -> bytes:
     """A trained dictionary; of too little text, the text itself."""
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, texts).as_bytes()
+        return zstandard.train_dictionary(DICTIONARY_BYTES, [t for t in texts if t]).as_bytes()
     except zstandard.ZstdError:
         return b"".join(texts)[-DICTIONARY_BYTES:] or b"\n" * 8
 
 
 def train(docs: DataFrame, labels: DataFrame, target: str = "quality") -> Model:
     texts, y, split = sample(docs, labels, target)
-    keep = [i for i, t in enumerate(texts) if t]
-    texts, y, split = [texts[i] for i in keep], y[keep], split[keep]
     if len(set(y)) < 2:
         return Model(b"", b"", np.zeros(1), np.zeros(1), np.ones(1), float(y[0]) if len(y) else 0.5)
     held = split % 3 == 0  # for the calibration
