@@ -5,7 +5,7 @@ or absent. Each is scaled by the log of the ratio of its smoothed document frequ
 a logistic regression is fitted on the scaled features. Of the hashed n-grams the FEATURES with the strongest evidence
 are kept, so that the model is a fixed-size table.
 
-Edge cases: an empty or null text scores what the intercept alone gives, capped below the threshold; equal texts score
+Edge cases: an empty or null text is scored like any other: the intercept and the features of a single boundary; equal texts score
 alike; without labels of both classes each text gets the class seen (0.5 is never reached without a toxic label).
 """
 
@@ -29,14 +29,13 @@ THRESHOLD = 0.5
 #: Bytes that aren't ASCII letters or parts of other UTF-8 letters count as a space.
 PLAIN = LOWER.copy()
 PLAIN[:128] = np.where(np.array([chr(c).isalpha() for c in range(128)]), LOWER[:128], 32)
-_VALUE = BYTE_VALUE[PLAIN]
 
 
 def grams(data: np.ndarray, n: int) -> np.ndarray:
     """The hashed n-gram that starts at each byte."""
     size = max(len(data) - n + 1, 0)
     h = np.zeros(size, U64)
-    value = _VALUE[data]
+    value = BYTE_VALUE[data]
     for j in range(n):
         h += value[j : j + size] * WORD_MIX[j]
     return (h >> U64(64 - BITS)).astype(np.int32)
@@ -63,14 +62,19 @@ def present(data: np.ndarray, offs: np.ndarray, weights: np.ndarray) -> tuple[np
 
 
 def padded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """A space on either side of each text, so that its first and last words have boundaries too."""
+    """Texts with each run of non-letters as one space, and one on either side of each, so that all words have boundaries; offsets."""
     parts = [b" " + t + b" " for t in texts]
-    return np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
+    offs = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
+    data = PLAIN[np.frombuffer(b"".join(parts), np.uint8)]
+    keep = data != 32
+    keep[1:] |= data[:-1] != 32
+    keep[offs[:-1]] = True
+    return data[keep], np.concatenate([[0], np.cumsum(keep)])[offs]
 
 
 def distinct(text: bytes) -> np.ndarray:
     """All distinct features of one text."""
-    data = np.frombuffer(b" " + text + b" ", np.uint8)
+    data, _ = padded([text])
     return np.unique(np.concatenate([grams(data, n) + np.int32(k << BITS) for k, n in enumerate(SIZES)]))
 
 
@@ -140,8 +144,6 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
                 till = min(till, b.num_rows)
                 got[at:till] = held.score([view[offs[i] : offs[i + 1]] for i in range(at, till)])
                 at = till
-            empty = np.diff(offs) == 0
-            got[empty] = np.minimum(got[empty], 0.499)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.float64()), pa.array((got >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     kind = dict(docs.select("doc_id").dtypes)["doc_id"]
