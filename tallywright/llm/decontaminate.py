@@ -10,7 +10,8 @@ RADIUS alone would miss some 1 to 2 % of windows near the threshold. So every wi
 takes is verified too, whatever its SimHash; a window with fewer can't reach it. The result is exact, recall is 1.
 
 The benchmark is taken in blocks of at most BLOCK_BYTES bytes and BLOCK_ITEMS items (a query set against all rows); each block is one pass over the
-texts, with a broadcast of bounded size.
+texts, with a broadcast of bounded size. Of several blocks one is held at a time: what a block finds is written before its
+broadcast is given back and the next block is read.
 
 Edge cases: words as in common.py; an item or text of one to four words is one shingle; items without words match nothing; a text
 shorter than an item is one window; repeated items and rows each count; a null id is kept as null.
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, buffers, shingles, words
+from .common import U64, buffers, cut, shingles, words
 
 THRESHOLD = 0.8
 RADIUS = 15
@@ -195,16 +196,18 @@ def similarity(window: list[int], item: Counter, size: int) -> float:
     return both / (len(window) + size - both)
 
 
-def blocks(benchmark: DataFrame) -> Iterator[Index]:
-    """The benchmark in blocks of bounded size, read one at a time."""
+def blocks(benchmark: DataFrame) -> Iterator[tuple[Index, int]]:
+    """The benchmark in blocks of bounded size, read one at a time; with the number of blocks."""
     items = benchmark.select("item_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).where(F.regexp_like("text", F.lit("[^ \\t-\\r]")))
     n = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b"), F.count("*").alias("n")).first()
     count = max(1, -(-n["b"] // BLOCK_BYTES), -(-n["n"] // BLOCK_ITEMS))
     for k in range(count if n["n"] else 0):
-        rows = (items if count == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k)).collect()
-        if rows:
-            rows.sort(key=lambda r: (r["item_id"] is None, r["item_id"], r["text"]))
-            yield Index([r["item_id"] for r in rows], [r["text"] for r in rows])
+        part = (items if count == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k)).toArrow()
+        ids, texts = part["item_id"].combine_chunks(), part["text"].to_pylist()
+        if texts:
+            keys = ids.to_pylist()
+            order = sorted(range(len(keys)), key=lambda i: (keys[i] is None, keys[i], texts[i]))
+            yield Index(ids.take(pa.array(order)), [texts[i] for i in order]), count
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -213,25 +216,25 @@ def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     schema = f"doc_id {kind}, item_id {item_kind}, similarity double, first_word long, n_words long"
     text = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     out = docs.sparkSession.createDataFrame([], schema)
-    for index in blocks(benchmark):
+    for index, count in blocks(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 rows = [(doc, *x) for doc, x in found(shared.value, b.column(1))]
                 ids = b.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
-                item = pa.array([shared.value.ids[r[1]] for r in rows], type=to_arrow(item_kind))
+                item = shared.value.ids.take(pa.array([r[1] for r in rows], pa.int64()))
                 numbers = [pa.array([r[c] for r in rows], t) for c, t in ((3, pa.float64()), (2, pa.int64()), (4, pa.int64()))]
                 yield pa.RecordBatch.from_arrays([ids, item, *numbers], ["doc_id", "item_id", "similarity", "first_word", "n_words"])
 
-        out = out.unionByName(text.mapInArrow(run, schema))
+        part = text.mapInArrow(run, schema)
+        if count > 1:
+            part = cut(part)
+            shared.unpersist()
+        out = out.unionByName(part)
     return out
 
 
-def to_arrow(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-
-
 def found(index: Index, texts: pa.Array) -> Iterator[tuple[int, tuple[int, int, float, int]]]:
     """(row, (item, first word, similarity, words of the window)) of each match in a batch of texts."""
     data, offs = buffers(texts)
@@ -249,16 +252,25 @@ def found(index: Index, texts: pa.Array) -> Iterator[tuple[int, tuple[int, int,
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that contain no benchmark item, with all their columns; no shuffle."""
+    """The rows of docs that contain no benchmark item, with all their columns; no shuffle, but for a benchmark of several blocks."""
     position = docs.columns.index("text")
-    for index in blocks(benchmark):
+    key = [F.xxhash64("text"), F.xxhash64(F.lit("second"), "text")]  # rows of equal texts go together
+    bad = None
+    for index, count in blocks(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], hit: bool, at: int, shared=shared) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                keep = np.ones(b.num_rows, bool)
-                keep[[i for i, _ in found(shared.value, b.column(position))]] = False
-                yield b.filter(pa.array(keep))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+                held = np.zeros(b.num_rows, bool)
+                held[[i for i, _ in found(shared.value, b.column(at))]] = True
+                yield b.filter(pa.array(held == hit))
+
+        if count == 1:
+            return docs.mapInArrow(lambda batches: run(batches, False, position), docs.schema)  # noqa: B023
+        text = docs.select("text").where("text IS NOT NULL")
+        part = cut(text.mapInArrow(lambda batches: run(batches, True, 0), text.schema).select(key[0].alias("_a"), key[1].alias("_b")).distinct())  # noqa: B023
+        shared.unpersist()
+        bad = part if bad is None else bad.union(part)
+    if bad is None:
+        return docs
+    return docs.join(bad.distinct(), (key[0] == F.col("_a")) & (key[1] == F.col("_b")), "left_anti")
