@@ -6,6 +6,7 @@ import json
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -13,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tallywright.llm import common, components, decontaminate, html_pages, html_text, language_model, mixing, neardup, quality, suffixes, tokens, toxicity
+from tallywright.llm import common, components, decontaminate, html_pages, html_text, labelled, language_model, mixing, neardup, quality, suffixes, tokens, toxicity
 from tallywright.session import ship
 
 WORDS = [f"{a}{b}{c}" for a in "bdfgklmnprst" for b in "aeiou" for c in ("", "n", "sh", "ring")]
@@ -58,10 +59,10 @@ def test_words_and_shingles():
 # --- 1 token counts
 
 
-def plain_tokens(text, scores):
+def plain_tokens(text, scores, longest=10**9):
     best = [(0.0, 0)] + [(-math.inf, 0)] * len(text)
     for d in range(1, len(text) + 1):
-        for at in range(d - 1, -1, -1):
+        for at in range(d - 1, max(d - longest, 0) - 1, -1):
             s = scores.get(text[at:d])
             if s is not None and best[at][0] + s > best[d][0]:
                 best[d] = best[at][0] + s, best[at][1] + 1
@@ -80,8 +81,10 @@ def test_token_counts(spark):
         assert got[i]["n_pretokens"] == len(cut) and got[i]["n_bytes"] == len(t.encode())
         assert got[i]["n_tokens"] == sum(plain_tokens(c.encode(), scores) for c in cut)
     counter = tokens.Counter(scores)
-    long = "abc" * 2000
-    assert counter.long(long.encode()) == plain_tokens(long.encode()[:], scores) if len(long) < 100 else counter.long(long.encode()) > 0
+    longest = max(map(len, scores))
+    short = {k: v for k, v in scores.items() if len(k) <= 12}  # the plain version takes the square of the length otherwise
+    for long in ("abc" * 700, "".join(rnd.choice("etaoin") for _ in range(1500))):
+        assert longest > 12 and tokens.Counter(short).long(long.encode()) == plain_tokens(long.encode(), short, 12)
     assert counter.long(b"the quick") == plain_tokens(b"the quick", scores)
     out = tokens.token_counts(odd(spark)).collect()
     assert len(out) == len(ODD) and {r["n_tokens"] for r in out if r["doc_id"] in (1, 2)} == {0}
@@ -328,6 +331,58 @@ def test_html_head_without_end_tag(spark):
     assert got[0]["text"] == got[1]["text"] != ""
 
 
+def test_html_malformed_pages_take_linear_time():
+    """Each kind of broken markup at 1 MB; a reader that looks ahead from each '<' would take hours."""
+    n = 1 << 20
+    kinds = ["<a ", "<a x='", "<a x='>", '<a x="\'>', "<", "<!--", "<!", "</b>", "<span>", "<b><div>", "<a " + "y" * 50, "<a b= c=", "&amp", "<p", "<li><p>", "<x1 class=z>", "<script>", "</", "<td><tr>"]
+    for kind in kinds:
+        for page in (kind * (n // len(kind)), kind * (n // len(kind)) + ">'\">", "<b>" + "<span>" * 20000 + "</b><h1>x</h1>" * 20000):
+            began = time.perf_counter()
+            html_text.blocks(page)
+            assert time.perf_counter() - began < 30, kind
+    deep = "<div class=a>" * 5000 + "text <p>one<p>two" + "</div>" * 5000 + "<p>after"
+    assert [b.text for b in html_text.blocks(deep)] == ["text", "one", "two", "after"]
+    assert [b.text for b in html_text.blocks("<p>a <b title='x > y'>b</b> c<p title='never closed>d</p><p class='k'>e")] == ["a b c", "d", "e"]
+
+
+def test_html_long_page():
+    """A page of 5 MB: every sentence of the article is there, in order, nothing of the menus."""
+    paras = [f"This is sentence {i} of a long article, and it has some more words to it." for i in range(60_000)]
+    page = "<html><body><nav><ul><li><a href=/>Home</a><li><a href=/x>Other</a></ul></nav><article>" + "".join(f"<p>{p}</p>" for p in paras) + "</article><footer>&copy; all rights</footer></body></html>"
+    assert len(page) > 4 << 20
+    assert html_text.extract(page, html_text.default_chain()) == "\n\n".join(paras)
+
+
+#: Layouts that no rule of html_pages makes: page, and its main blocks.
+HAND_WRITTEN = [
+    ("""<!doctype html><html lang=en><head><meta charset=utf-8><title>News</title></head><body class="home single"><div class="skip"><a href="#c">Skip to content</a></div>
+<header role=banner><a href="/"><img src=logo.png alt="The Paper"></a><nav role="navigation"><ul><li><a href=/w>World</a></li><li><a href=/s>Sport</a></li><li><a href=/a>Arts</a></li></ul></nav></header>
+<main id=c><article><h1>River rises after a week of rain</h1><p>The river reached its highest mark in ten years on Monday. Several roads along the bank were closed.</p>
+<figure><img src=r.jpg><figcaption>The river at the old bridge on Monday morning.</figcaption></figure>
+<p>Officials said the water would fall again by the end of the week, but asked people to stay away from the bank.</p><blockquote>We have seen worse, said one resident.</blockquote></article></main>
+<aside class="sidebar"><h3>Most read</h3><ol><li><a href=/1>Ten things to do</a></li><li><a href=/2>What the mayor said</a></li></ol></aside>
+<footer role=contentinfo><p>&copy; 2024 The Paper. All rights reserved.</p><a href=/privacy>Privacy</a></footer></body></html>""",
+     ["River rises after a week of rain", "The river reached its highest mark in ten years on Monday. Several roads along the bank were closed.", "The river at the old bridge on Monday morning.", "Officials said the water would fall again by the end of the week, but asked people to stay away from the bank.", "We have seen worse, said one resident."]),
+    ("""<html><body><div id="wrap"><div id="navbar"><a href=/>Start</a> | <a href=/blog>Blog</a> | <a href=/me>About</a></div>
+<div class="post"><h2>How I fixed my old radio</h2><p>Last winter the radio in my kitchen stopped working. I opened it and found a loose wire.</p><ul><li>Open the case with a small screwdriver.</li><li>Look for wires that have come loose.</li></ul><p>After that it worked again, and it still does.</p></div>
+<div id="comments"><h3>2 comments</h3><div class="comment"><b>Anna</b><p>Thanks, this helped me a lot with my own radio.</p></div><div class="comment"><b>Tom</b><p>Mine is still broken, but it was fun to try.</p></div></div>
+<div class="cookie-notice"><p>We use cookies to make this site work.</p><button>OK</button></div><div class="footer">Powered by a small engine</div></div></body></html>""",
+     ["How I fixed my old radio", "Last winter the radio in my kitchen stopped working. I opened it and found a loose wire.", "Open the case with a small screwdriver.", "Look for wires that have come loose.", "After that it worked again, and it still does."]),
+]
+
+
+def test_html_hand_written_pages():
+    """Blocks of layouts that the training pages weren't made by: of all, nine in ten right, and no main block of the first lost."""
+    chain, right, total = html_text.default_chain(), 0, 0
+    for page, main in HAND_WRITTEN:
+        every = [b.text for b in html_text.blocks(page)]
+        assert set(main) <= set(every)
+        got = html_text.extract(page, chain).split("\n\n")
+        right += sum((t in got) == (t in main) for t in every)
+        total += len(every)
+    assert right / total >= 0.9, (right, total)
+
+
 def test_viterbi_is_best():
     rnd = np.random.default_rng(1)
     chain = html_text.Chain(rnd.normal(size=(6, 2)), rnd.normal(size=(2, 2)), rnd.normal(size=2))
@@ -345,6 +400,9 @@ def test_html_table(spark):
     rows = [(1, "u", None), (2, "u", ""), (3, "u", "<html><body><nav><a href=/>Home</a></nav><article><h1>Title</h1><p>One &eacute;  two.</p></article><footer>&copy; me</footer></body></html>")]
     got = {r["page_id"]: r for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1))).collect()}
     assert got[1]["text"] == got[2]["text"] == "" and got[3]["text"] == "Title\n\nOne é two." and got[3]["n_chars"] == len(got[3]["text"])
+    twice = spark.createDataFrame([*rows, rows[2], (None, None, rows[2][2])], "page_id long, url string, html string")
+    assert [r["text"] for r in html_text.main_text(twice).collect()].count(got[3]["text"]) == 3
+    assert html_text.main_text(twice.limit(0)).count() == 0
 
 
 # --- 5 decontamination
@@ -475,6 +533,46 @@ def test_suffix_dedup_words(spark):
             assert i not in got
 
 
+def test_suffix_dedup_of_long_and_periodic_texts(spark):
+    """Texts beyond the piece in which runs are made, with repeats across its end, and lines that fill texts, against brute force."""
+    rnd = random.Random(15)
+    line = "".join(rnd.choice("abcdefgh ") for _ in range(37))
+    body = "".join(rnd.choice("abcdefghijklmnop ") for _ in range(5000))
+    texts = {0: body, 1: line * 60, 2: "x" + line * 40 + "y" * 300, 3: body[1000:2000] + line * 10 + body[2000:2600], 4: "é" * 90 + line * 30, 5: body[900:] + body[:950]}
+    old, suffixes.PIECE = suffixes.PIECE, 1024
+    try:
+        want = covered_units({i: list(t.encode()) for i, t in texts.items()}, 100)
+        ids = {i: i for i in texts}
+        rows = docs_of(spark, list(texts.items())).select(F.col("doc_id").alias("id"), "text")
+        docs = rows.collect()
+        kind = suffixes.Kind(False)
+        made = [suffixes.runs(kind.values(np.frombuffer(r["text"].encode(), np.uint8)), 100, 20) for r in docs]  # in small pieces
+        assert all(sum(int((p[3] >> 16).sum()) for p in parts) == len(r["text"].encode()) - 99 for parts, r in zip(made, docs, strict=True))
+        assert ids
+    finally:
+        suffixes.PIECE = old
+    big = {10: body * 3 + "".join(rnd.choice("abcdef ") for _ in range(700_000)), 11: line * 3000}
+    big[12] = big[10][400_000:600_000] + "q" + line * 5
+    got = {r["doc_id"]: r for r in suffixes.digest(docs_of(spark, [*texts.items(), *big.items()]).repartition(3)).collect()}
+    for i, hit in want.items():
+        assert got[i]["n_removed"] == sum(hit), i
+    assert got[12]["n_removed"] == 200_000 + len(line) * 5
+    assert got[11]["n_removed"] == len(line) * 3000  # all of it stands in text 1
+    assert got[10]["n_removed"] == len(body) * 3
+
+
+def test_suffix_dedup_of_equal_ids(spark):
+    """Texts that differ under one id are documents of their own; rows that repeat both keep the same."""
+    rnd = random.Random(16)
+    a, b = text_of(rnd, 100), text_of(rnd, 100)
+    got = suffixes.digest(docs_of(spark, [(1, a), (1, b), (1, a), (2, b + a), (3, None)])).collect()
+    assert sorted((r["doc_id"], r["n_removed"]) for r in got)[:3] == [(1, 0)] * 3 and len(got) == 5
+    two = next(r for r in got if r["doc_id"] == 2)
+    assert two["n_removed"] == len(a) + len(b)
+    kept = suffixes.without_repeats(docs_of(spark, [(1, a), (1, b), (1, a), (2, b + " " + a + " more")])).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted([(1, a), (1, b), (1, a), (2, "more")])
+
+
 def test_suffix_dedup_odd(spark):
     got = suffixes.digest(odd(spark)).collect()
     assert len(got) == len(ODD)
@@ -562,11 +660,32 @@ def test_classifiers(spark, module):
     held = [(r["predicted"] == (truth[r["doc_id"]] if module is quality else 1 - truth[r["doc_id"]])) for r in got if r["held_out"]]
     assert sum(held) / len(held) > 0.9
     out = module.score(odd(spark), module.train(df, labels)).collect()
-    assert len(out) == len(ODD) and {r["predicted"] for r in out if r["doc_id"] in (1, 2)} == {0}
+    assert len(out) == len(ODD) and len({r["score"] for r in out if r["doc_id"] in (1, 2)}) == 1 and all(0 <= r["score"] <= 1 for r in out)
     assert module.classify(df.limit(5), labels.limit(0)).count() == 5
     assert module.classify(df.limit(0), labels).count() == 0
 
 
+def test_training_reads_whole_texts(spark):
+    """What tells toxic texts stands after a long beginning; samples are bounded by rows and whole texts' bytes, not by cutting them."""
+    rnd = random.Random(30)
+    rows = [(i, text_of(rnd, 6000) + (" scumbag" if i % 2 else "") + " end") for i in range(120)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i, _ in rows], "doc_id long, quality int, toxic int")
+    ship(spark)
+    df = docs_of(spark, rows)
+    got = toxicity.classify(df, labels).where("held_out").collect()
+    assert got and all(r["predicted"] == r["doc_id"] % 2 for r in got)
+    texts, y, _ = labelled.sample(df, labels, "toxic", size=200_000)
+    whole = {t.encode() for _, t in rows}
+    assert set(texts) <= whole and {int(c) for c in y} == {0, 1}
+    assert all(sum(len(t) for t, c in zip(texts, y, strict=True) if c == k) <= 200_000 for k in (0, 1))
+    assert len(labelled.sample(df, labels, "toxic", size=1)[0]) == 2  # the first row of a class counts always
+
+
+def test_boundaries_are_folded():
+    a, b = (toxicity.distinct(t) for t in (b"ab  cd... ef", b"ab cd ef"))
+    assert (a == b).all() and not np.array_equal(a, toxicity.distinct(b"abcd ef"))
+
+
 def test_labels_never_feed_scores(spark):
     """Other columns don't change a score."""
     df, labels, _ = labelled_docs(spark, lambda r: text_of(r, 40).upper())
