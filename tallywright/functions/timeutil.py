@@ -9,18 +9,34 @@ from pyspark.sql import functions as F
 FILETIME_EPOCH = 116444736000000000
 
 
+#: The last microsecond of the year 9999. Fixed value.
+LATEST_US = 253402300799999999
+
+
+def _floor_div(a: Column, b: int) -> Column:
+    """Whole division that rounds down, in longs; doubles would lose the last digits of nanoseconds."""
+    return F.call_function("div", a - F.pmod(a, F.lit(b)), F.lit(b))
+
+
+def _iso(us: Column) -> Column:
+    return F.date_format(F.timestamp_micros(us.cast("long")), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+
+
 def ns_to_iso(ns: Column) -> Column:
-    """Seconds-precision ISO text with +00:00."""
-    return F.date_format(F.timestamp_micros(F.floor(ns / F.lit(1000)).cast("long")), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+    """Seconds-precision ISO text with +00:00. Nanoseconds in a long reach from 1677 to 2262, so that each has one."""
+    return _iso(_floor_div(ns.cast("long"), 1000))
 
 
 def filetime_to_ns(ticks: Column) -> Column:
-    return F.when(ticks > 0, (ticks - F.lit(FILETIME_EPOCH)) * 100)
+    """NULL unless positive, and for times after 2262, which nanoseconds in a long can't hold."""
+    return F.when(ticks > 0, F.try_multiply(ticks - F.lit(FILETIME_EPOCH), F.lit(100)))
 
 
 def filetime_to_iso(ticks: Column) -> Column:
-    """NULL unless positive."""
-    return F.when(ticks > 0, ns_to_iso((ticks - F.lit(FILETIME_EPOCH)) * 100))
+    """NULL unless positive; invalid_ns:N after the year 9999."""
+    us = _floor_div(ticks.cast("long") - F.lit(FILETIME_EPOCH), 10)
+    late = F.concat(F.lit("invalid_ns:"), ((ticks - F.lit(FILETIME_EPOCH)).cast("decimal(24,0)") * 100).cast("decimal(24,0)").cast("string"))
+    return F.when((ticks > 0) & (us > LATEST_US), late).when(ticks > 0, _iso(F.least(us, F.lit(LATEST_US))))
 
 
 def iso_to_ns(text: Column) -> Column:

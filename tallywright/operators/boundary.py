@@ -11,12 +11,13 @@ CLOUD_MARKERS = (
     "box", "mybox", "네이버", "naverworks", "nextcloud", "mega",
 )
 DRIVE_TYPES = {"remote": "remote_mapped", "removable": "removable", "fixed": "local_fixed"}
-VIOLATIONS = ("remote_unc", "cloud_sync", "remote_mapped")
+#: Territories outside the fixed drives of the place.
+VIOLATIONS = ("remote_unc", "cloud_sync", "remote_mapped", "removable")
 
 
 def territories(items: DataFrame, volumes: DataFrame | None = None) -> DataFrame:
     """items (claimed_path) with territory, marker and violation. volumes (drive, type) is optional; drives without a type are unverified."""
-    path = F.trim(F.coalesce("claimed_path", F.lit("")))
+    path = F.btrim(F.trim(F.coalesce("claimed_path", F.lit(""))), F.lit('"'))
     segments = F.split(F.lower(path), r"[\\/]+")
     drive = F.upper(F.regexp_extract(path, "^([A-Za-z]):", 1))
     rows = items.withColumns({"_drive": drive, "_path": path, "marker": F.get(F.flatten(F.transform(segments, lambda s: F.filter(F.array(*map(F.lit, CLOUD_MARKERS)), lambda m: (s == m) | s.startswith(F.concat(m, F.lit(" "))) | s.startswith(F.concat(m, F.lit("-"))) | s.startswith(F.concat(m, F.lit("_")))))), F.lit(0))})
@@ -38,4 +39,4 @@ def territories(items: DataFrame, volumes: DataFrame | None = None) -> DataFrame
 
 
 def counts(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("territory").agg(F.count("*").alias("items"))
+    return rows.groupBy("territory").agg(F.count("*").alias("items"), F.count_if("violation").alias("violations"))

@@ -2,16 +2,41 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 
 def root_hash(sums: DataFrame, key: str) -> DataFrame:
     """key, files, root: sha256 over the digests (rel, digest) of each archive in its path order, component by component.
 
-    An archive's list of sums is one row's array; its length is the archive's number of files."""
-    listed = sums.groupBy(key).agg(F.count("*").alias("files"), F.array_sort(F.collect_list(F.struct(F.split("rel", "/").alias("p"), F.col("digest").alias("d")))).alias("x"))
-    return listed.select(key, "files", F.sha2(F.array_join(F.transform("x", lambda v: v["d"]), ""), 256).alias("root"))
+    The seal is one hash over all digests in a row, so one task must see an archive's digests in order; it streams through them as
+    they come from the sort and holds nothing but the hash so far."""
+    kind = dict(sums.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, n, h, began = None, 0, hashlib.sha256(), False
+
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([at.as_py()], at.type), pa.array([n], pa.int64()), pa.array([h.hexdigest()])], ["key", "files", "root"])
+
+        for b in batches:
+            for k, d in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                if began and k != at:
+                    yield row()
+                    n, h = 0, hashlib.sha256()
+                at, n, began = k, n + 1, True
+                h.update((d or "").encode())
+        if began:
+            yield row()
+
+    ordered = sums.select(F.col(key).alias("key"), "digest", F.split("rel", "/").alias("_p")).repartition("key").sortWithinPartitions("key", "_p")
+    return ordered.select("key", "digest").mapInArrow(run, f"key {kind}, files long, root string").withColumnRenamed("key", key)
 
 
 def check_sums(sums: DataFrame, files: DataFrame) -> DataFrame:
@@ -36,15 +61,44 @@ def mirror_plan(items: DataFrame, files: DataFrame) -> DataFrame:
     return first.join(held, "rel", "left").select("rel", "ord", "size", versus.alias("hash_vs_claimed"))
 
 
-def disposal_lists(results: DataFrame) -> DataFrame:
-    """section, ord: verified items by what should become of them; an item may be in several sections."""
+#: Results of which the origin can't be told.
+NO_ORIGIN = ("ambiguous_path", "not_in_inventory", "unverifiable", "unparsed_item")
+
+
+def disposal_lists(results: DataFrame, changes: DataFrame | None = None) -> DataFrame:
+    """section, ord, path, status: the lists to be handed in. An item may be in several sections; ord is null for changes.
+
+    out_of_scope: items that are judged outside the scope. absent_now: items that were there and are gone. origin_unknown: items whose
+    origin can't be told. backdated: files that were added with a time before the baseline, from changes (as from diff.diff)."""
     sections = F.array_compact(F.array(
-        F.when(F.col("scope_verdict").isin("out_of_scope", "excluded"), F.lit("return_out_of_scope")),
-        F.when(F.col("scope_verdict").isin("borderline", "in_scope_partial", "unverifiable", "unknown"), F.lit("needs_review")),
-        F.when(F.col("status") == "hash_mismatch", F.lit("integrity_dispute")),
-        F.when(F.col("status").isin("not_in_inventory", "ambiguous_path", "unparsed_item"), F.lit("origin_unknown")),
+        F.when(F.col("scope_verdict") == "out_of_scope", F.lit("out_of_scope")),
+        F.when(F.col("missing_now"), F.lit("absent_now")),
+        F.when(F.col("status").isin(*NO_ORIGIN), F.lit("origin_unknown")),
     ))
-    return results.select(F.explode(sections).alias("section"), "ord")
+    listed = results.select(F.explode(sections).alias("section"), "ord", F.col("claimed_path").alias("path"), "status")
+    if changes is None:
+        return listed
+    late = changes.where("change = 'added' AND backdated").select(F.lit("backdated").alias("section"), F.lit(None).cast(dict(results.dtypes)["ord"]).alias("ord"), "path", F.lit("added").alias("status"))
+    return listed.unionByName(late)
+
+
+def numbered_lists(listed: DataFrame) -> DataFrame:
+    """Items of disposal_lists() in each section, with no, their number within it, by ord and path."""
+    order = ["section", "ord", "path"]
+    return numbered(listed, order, ["section"])
+
+
+def numbered(rows: DataFrame, order: list[str], within: list[str]) -> DataFrame:
+    """rows with no, from 1 within each group of the columns within, which lead order. Sorted by range; counts of the ranges are added up,
+    so that no task numbers a whole group."""
+    shared_folder(rows.sparkSession)  # the checkpoint keeps the ranges the same for both uses
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()).checkpoint()
+    inside = Window.partitionBy(*within, "_part").orderBy(*order)
+    local = ranged.withColumn("_no", F.row_number().over(inside))
+    before = Window.partitionBy(*within).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = local.groupBy(*within, "_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    return local.join(counts, [*within, "_part"]).withColumn("no", F.col("_no") + F.col("_before")).drop("_part", "_no", "_before")
 
 
 def inquire(results: DataFrame, changes: DataFrame, queries: DataFrame) -> DataFrame:
@@ -70,3 +124,32 @@ def status_text(scope, status):
         .when(scope.isin("in_scope", "in_scope_partial"), F.lit("within the scope"))
         .otherwise(F.lit("scope not established"))
     )
+
+
+def petition_items(results: DataFrame) -> DataFrame:
+    """no, claimed_path, digest_start, status, scope_verdict: the list of a petition, items outside the scope first, then those that are gone."""
+    outside = results.where("scope_verdict = 'out_of_scope'").withColumn("_list", F.lit(1))
+    gone = results.where("missing_now").withColumn("_list", F.lit(2))
+    both = numbered(outside.unionByName(gone).withColumn("_all", F.lit(1)), ["_all", "_list", "ord", "claimed_path"], ["_all"])
+    return both.select("no", "claimed_path", F.substring("digest", 1, 20).alias("digest_start"), "status", "scope_verdict")
+
+
+def petition_grounds(results: DataFrame, changes: DataFrame | None = None, places: DataFrame | None = None, audit: DataFrame | None = None, noise: DataFrame | None = None) -> DataFrame:
+    """ground, value, term: the numbers that a petition rests on; grounds without data are left out.
+
+    places as from boundary.territories, audit and noise as from audit.keyword_audit and audit.overall."""
+    none = F.lit(None).cast("string")
+    parts = [results.select(F.explode(F.array(F.lit("items"), F.when(F.col("scope_verdict") == "out_of_scope", F.lit("out_of_scope")), F.when(F.col("missing_now"), F.lit("absent_now")))).alias("ground")).where("ground IS NOT NULL").groupBy("ground").agg(F.count("*").cast("double").alias("value")).withColumn("term", none)]
+    if changes is not None:
+        kinds = F.when(F.col("class").isin("modified_unverifiable", "content_changed"), F.lit("changed")).when(F.col("change") == "removed", F.lit("removed"))
+        parts.append(changes.select(kinds.alias("ground")).where("ground IS NOT NULL").groupBy("ground").agg(F.count("*").cast("double").alias("value")).withColumn("term", none))
+    if places is not None:
+        parts.append(places.agg(F.count_if("violation").cast("double").alias("value")).where("value > 0").select(F.lit("outside_territory").alias("ground"), "value", none.alias("term")))
+    if audit is not None and noise is not None:
+        parts.append(noise.where("attributed > 0").select(F.lit("noise").alias("ground"), F.col("noise_ratio").alias("value"), none.alias("term")))
+        top = audit.where("seized > 0").agg(F.max(F.struct("noise_ratio", "seized", -F.col("ord"), "term")).alias("x")).where("x IS NOT NULL")
+        parts.append(top.select(F.lit("worst_keyword").alias("ground"), F.col("x.noise_ratio").alias("value"), F.col("x.term").alias("term")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -140,8 +140,36 @@ def recycle_pairs(info: DataFrame, files: DataFrame) -> DataFrame:
     return wanted.join(held, "content_path", "left")
 
 
+def recycled_list_pairs(info: DataFrame, files: DataFrame, since_filetime: int, until_filetime: int) -> DataFrame:
+    """category, original_path, deleted, size, content_path, content_size of the records of old recycle-bin lists in a window.
+
+    info: path of the list, and r, one of its records (as from parsers.recycled_list). What was deleted stands beside the list as
+    D, the drive's letter, the record's number and the suffix; content_path is NULL if it's gone."""
+    r = lambda c: F.col(f"r.{c}")
+    original = F.when(r("drive").contains(":"), F.concat(r("drive"), r("original_path"))).otherwise(r("original_path"))
+    held = info.where((r("original_path") != "") & (r("drive") != "") & r("deleted").between(since_filetime, until_filetime)).select("path", r("record").alias("record"), r("drive").alias("drive"), original.alias("original_path"), r("deleted").alias("deleted"), r("size").alias("size"))
+    ext = F.coalesce(paths.extension(F.translate("original_path", "\\", "/")), F.lit(""))
+    folder = F.substring("path", F.lit(1), F.length("path") - F.length(paths.basename(F.col("path"))))
+    wanted = held.withColumn("_content", F.concat(folder, F.lit("D"), F.lower(F.substring("drive", 1, 1)), "record", ext))
+    there = files.select(F.col("path").alias("content_path"), F.col("size").alias("content_size"))
+    telling = deleted_leftover(F.translate("original_path", "\\", "/"))
+    joined = wanted.join(there, F.col("_content") == F.col("content_path"), "left")
+    return joined.select(F.when(telling, F.lit("bin_list_or_container")).otherwise(F.lit("bin_deleted")).alias("category"), "original_path", "deleted", "size", "content_path", "content_size")
+
+
+def leftover_summary(rows: DataFrame) -> DataFrame:
+    """channel, category, items of leftovers."""
+    return rows.groupBy("channel", "category").agg(F.count("*").alias("items"))
+
+
+def deleted_leftover(name: Column) -> Column:
+    """Whether a deleted name looks like a list or container, or hints at one, with or without a time window."""
+    return paths.extension(name).isin(*LIST_EXTENSIONS, *LEFTOVER_CONTAINERS) | F.coalesce(name_hinted(name), F.lit(False))
+
+
 def leftovers(files: DataFrame, since_ns: int | None, until_ns: int | None, deleted: DataFrame | None = None) -> DataFrame:
-    """channel, name, category of files in the window, and of deletions (file_name) that look like lists or containers."""
+    """channel, name, category of files in the window, and of deletions (file_name, as from journal.deletions) that look like lists or
+    containers; the latter are all deleted_in_window."""
     bounded = since_ns is not None
     inside = files.where("kind = 'file'")
     if bounded:
@@ -150,7 +178,7 @@ def leftovers(files: DataFrame, since_ns: int | None, until_ns: int | None, dele
         inside = inside.where(F.col("mtime_ns") <= until_ns)
     out = inside.select(F.lit("file").alias("channel"), F.col("path").alias("name"), leftover_category(F.col("path"), bounded).alias("category"))
     if deleted is not None:
-        out = out.unionByName(deleted.select(F.lit("journal").alias("channel"), F.col("file_name").alias("name"), leftover_category(F.col("file_name"), bounded).alias("category")))
+        out = out.unionByName(deleted.where(deleted_leftover(F.col("file_name"))).select(F.lit("journal").alias("channel"), F.col("file_name").alias("name"), F.lit("deleted_in_window").alias("category")))
     return out.where("category IS NOT NULL")
 
 

@@ -36,3 +36,17 @@ def walk_order(path: Column) -> list[Column]:
     parts = F.split(path, "/")
     depth = F.size(parts)
     return [F.transform(parts, lambda x, i: F.struct(F.when(i == depth - 1, F.lit(0)).otherwise(F.lit(1)).alias("inner"), x.alias("name")))]
+
+
+def meta(files: DataFrame, root: str, created_utc: str, modes: list[str] | None = None) -> DataFrame:
+    """key, value (JSON) of an inventory: root, time, number of entries, of each kind and status, and how access times were read."""
+    def as_json(df: DataFrame, key: str) -> DataFrame:
+        pairs = df.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.coalesce(F.col(key), F.lit("unknown")), F.col("count"))))).alias("m"))  # a few names
+        return pairs.select(F.to_json("m").alias("value"))
+
+    mode = access_mode(F.array_sort(F.array_distinct(F.array(*map(F.lit, modes))))) if modes else F.lit("n/a")
+    one = files.sparkSession.range(1)
+    fixed = one.select(F.explode(F.map_from_arrays(F.array(F.lit("root"), F.lit("created_utc"), F.lit("access_mode")), F.array(F.to_json(F.array(F.lit(root))), F.to_json(F.array(F.lit(created_utc))), F.to_json(F.array(mode))))).alias("key", "value"))
+    fixed = fixed.select("key", F.regexp_extract("value", r"^\[(.*)\]$", 1).alias("value"))
+    count = files.agg(F.count("*").cast("string").alias("value")).select(F.lit("entries").alias("key"), "value")
+    return fixed.unionByName(count).unionByName(as_json(counts(files, "kind"), "kind").select(F.lit("kinds").alias("key"), "value")).unionByName(as_json(counts(files, "status"), "status").select(F.lit("statuses").alias("key"), "value"))

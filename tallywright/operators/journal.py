@@ -49,8 +49,19 @@ def window(files: DataFrame, since_ns: int, until_ns: int, birth: str = "ctime_n
     return hit.withColumn("first_seen", timeutil.ns_to_iso(F.when(F.col("created"), F.col(birth)).otherwise(F.col("mtime_ns"))))
 
 
-def window_summary(hits: DataFrame) -> DataFrame:
-    return hits.agg(F.count("*").alias("files"), *[F.count_if(c).alias(c) for c in ("created", "modified", "accessed_only")], F.lit(False).alias("truncated"))
+def window_order(hits: DataFrame) -> DataFrame:
+    """Hits by the time that brought them in, then by path."""
+    return hits.orderBy("first_seen", "path")
+
+
+def window_summary(hits: DataFrame, files: DataFrame | None = None, most: int | None = None) -> DataFrame:
+    """One row: files, created, modified, accessed_only, truncated; with files also how many were looked at and how many couldn't be read.
+
+    truncated: more than most hits, where a report is to list so many only; no hit is dropped."""
+    out = hits.agg(F.count("*").alias("files"), *[F.count_if(c).alias(c) for c in ("created", "modified", "accessed_only")]).withColumn("truncated", F.lit(False) if most is None else F.col("files") > most)
+    if files is None:
+        return out
+    return out.crossJoin(files.where("kind NOT IN ('dir', 'symlink')").agg(F.count("*").alias("entries_scanned"), F.count_if(F.col("status").isin("stat_error", "read_error")).alias("read_errors")))
 
 
 def timeline(*parts: tuple[str, DataFrame, Column, Column]) -> DataFrame:

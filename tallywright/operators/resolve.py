@@ -1,8 +1,9 @@
 """Resolution of claimed paths against an inventory: exact, unique suffix, then similar text.
 
 Suffix matches are an equality join on exploded suffixes (one row for each directory level). Similar paths are
-searched losslessly: a ratio of 0.82 bounds the difference of lengths and how many characters, by kind, can differ; only claims that no
-other tier settles come so far, and they are bucketed by length before the exact ratio is computed in Arrow batches.
+searched losslessly: a ratio bounds the difference of lengths and how many characters, by kind, can differ; only claims that no
+other tier settles come so far, and pairs pass both bounds before the exact ratio is computed in Arrow batches. Paths that are
+alike throughout (one template, other numbers) pass both, so that work can grow with claims times files.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import difflib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths
@@ -50,20 +51,39 @@ def _ratios(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield b.assign(score=out)[["rel", "path", "score"]]
 
 
-def fuzzy(claims: DataFrame, files: DataFrame) -> DataFrame:
-    """rel, fuzzy_path, best, ambiguous of each distinct claims.rel that has a candidate of ratio 0.77 or more.
+def _letters(text: Column) -> Column:
+    """Characters, each with the number of the same before it: sets of these meet in as many as the texts share with repeats."""
+    each = F.transform(F.array_distinct(F.split(text, "")), lambda c: F.transform(F.sequence(F.lit(1), F.size(F.split(text, F.concat(F.lit("\\Q"), c, F.lit("\\E")), -1)) - 1), lambda k: F.concat(c, k.cast("string"))))
+    return F.flatten(each)
+
+
+def candidates(claims: DataFrame, files: DataFrame) -> DataFrame:
+    """rel, path, key, candidate of all pairs whose ratio may be 0.77 or more, by two bounds that lose none.
 
-    ratio >= r needs min(len) / max(len) >= r / (2 - r): candidates come from neighbouring length buckets only."""
+    ratio >= r needs min(len) / max(len) >= r / (2 - r), so only neighbouring length buckets meet; and it needs r / 2 of all
+    characters in common, counted with repeats, which is tested before a pair goes to Python."""
     least = (ACCEPT - MARGIN) / (2 - (ACCEPT - MARGIN))
-    c = claims.select("rel").where("rel IS NOT NULL AND rel <> ''").distinct().withColumn("key", paths.fuzzy_key("rel"))
+    c = claims.select("rel").where("rel IS NOT NULL AND rel <> ''").distinct().withColumn("key", paths.fuzzy_key("rel")).withColumn("_a", _letters(F.col("key")))
     c = c.withColumn("n", F.length("key")).withColumn("bucket", F.explode(F.sequence(F.floor(F.col("n") * least / BUCKET), F.floor(F.col("n") / least / BUCKET))))
-    f = files.select("path", paths.fuzzy_key("path").alias("candidate")).withColumn("m", F.length("candidate")).withColumn("bucket", F.floor(F.col("m") / BUCKET))
+    f = files.select("path", paths.fuzzy_key("path").alias("candidate")).withColumns({"m": F.length("candidate"), "_b": _letters(F.col("candidate"))}).withColumn("bucket", F.floor(F.col("m") / BUCKET))
     near = c.join(f, "bucket").where(F.least("n", "m") >= F.lit(least) * F.greatest("n", "m"))
+    shared = F.size(F.array_intersect("_a", "_b"))
+    return near.where(2 * shared >= F.lit(ACCEPT - MARGIN) * (F.col("n") + F.col("m")) - 1e-9).select("rel", "path", "key", "candidate")
+
+
+def decided(near: DataFrame) -> DataFrame:
+    """rel, fuzzy_path, best, ambiguous of each rel of candidate pairs: the best path, if no other comes near it."""
     scored = near.select("rel", "path", "key", "candidate").mapInPandas(_ratios, "rel string, path string, score double").where(f"score >= {ACCEPT - MARGIN}")
-    top = scored.withColumn("k", F.row_number().over(Window.partitionBy("rel").orderBy(F.desc("score"), "path"))).where("k <= 2")
-    two = top.groupBy("rel").agg(F.max_by("path", F.struct("score", -F.col("k"))).alias("fuzzy_path"), F.max("score").alias("best"), F.max(F.when(F.col("k") == 2, F.col("score"))).alias("second"))
-    clear = (F.col("best") >= ACCEPT) & (F.col("best") - F.coalesce("second", F.lit(0.0)) >= MARGIN)
-    return two.select("rel", F.when(clear, F.col("fuzzy_path")).alias("fuzzy_path"), "best", ((F.col("best") >= ACCEPT) & ~clear).alias("ambiguous"))
+    first = scored.groupBy("rel").agg(F.max("score").alias("best"))  # a hot claim's candidates aren't sorted: two partial aggregates
+    named = scored.join(first, "rel").groupBy("rel").agg(F.first("best").alias("best"), F.min(F.when(F.col("score") == F.col("best"), F.col("path"))).alias("fuzzy_path"), F.count_if(F.col("score") == F.col("best")).alias("ties"), F.max(F.when(F.col("score") < F.col("best"), F.col("score"))).alias("lower"))
+    second = F.when(F.col("ties") > 1, F.col("best")).otherwise(F.coalesce("lower", F.lit(0.0)))
+    clear = (F.col("best") >= ACCEPT) & (F.col("best") - second >= MARGIN)
+    return named.select("rel", F.when(clear, F.col("fuzzy_path")).alias("fuzzy_path"), "best", ((F.col("best") >= ACCEPT) & ~clear).alias("ambiguous"))
+
+
+def fuzzy(claims: DataFrame, files: DataFrame) -> DataFrame:
+    """rel, fuzzy_path, best, ambiguous of each distinct claims.rel that has a candidate of ratio 0.77 or more."""
+    return decided(candidates(claims, files))
 
 
 def deepest_ancestor(items: DataFrame, directories: DataFrame) -> DataFrame:
@@ -71,3 +91,16 @@ def deepest_ancestor(items: DataFrame, directories: DataFrame) -> DataFrame:
     up = items.select("rel").distinct().select("rel", F.explode(paths.ancestors(F.col("rel"))).alias("dir"))
     found = up.join(directories.select(F.col("path").alias("dir")), "dir").groupBy("rel").agg(F.max_by("dir", F.length("dir")).alias("scope"))
     return items.select("rel").distinct().join(found, "rel", "left")
+
+
+def scoped(items: DataFrame, files: DataFrame, directories: DataFrame) -> DataFrame:
+    """rel, path, status of claims (rel): resolved_direct if the path is there, resolved_fuzzy if a similar one lies in the deepest
+    directory above it that exists, not_found otherwise. A claim of which no directory exists isn't searched for."""
+    known = files.select(F.col("path").alias("_path"))
+    direct = items.select("rel").distinct().join(known, F.col("rel") == F.col("_path"), "left")
+    open_ = deepest_ancestor(direct.where("_path IS NULL"), directories).where("scope IS NOT NULL")
+    near = candidates(open_.select("rel"), files).join(open_, "rel").where(F.startswith("path", F.concat("scope", F.lit("/"))))
+    best = decided(near)
+    joined = direct.join(best, "rel", "left")
+    status = F.when(F.col("_path").isNotNull(), F.lit("resolved_direct")).when(F.col("fuzzy_path").isNotNull(), F.lit("resolved_fuzzy")).otherwise(F.lit("not_found"))
+    return joined.select("rel", F.coalesce("_path", "fuzzy_path").alias("path"), status.alias("status"))

@@ -11,7 +11,7 @@ import re
 from dataclasses import dataclass, field
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths
@@ -97,6 +97,21 @@ def _globs(patterns: tuple[str, ...], *texts: Column) -> Column:
     return _any([F.lower(t).rlike(paths.glob_to_regex(p.lower())) for p in patterns for t in texts])
 
 
+def load_hash_sets(spark: SparkSession, profile_path: str) -> DataFrame | None:
+    """digest, name of the digest lists that a profile names (hash_sets with file, relative to the profile); None if it has none.
+
+    A line is a digest, or begins with one; blank lines and # lines are skipped."""
+    raw = json.loads(Path(profile_path).read_text(encoding="utf-8-sig"))
+    out = None
+    for s in raw.get("criteria", raw).get("hash_sets", []):
+        if "file" not in s:
+            continue
+        lines = spark.read.text(str(Path(profile_path).parent / s["file"]))
+        one = lines.select(F.lower(F.regexp_extract("value", r"^\s*([0-9a-fA-F]{32,128})(?![0-9a-fA-F])", 1)).alias("digest"), F.lit(s["name"]).alias("name")).where("digest <> ''")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def group_columns(profile: Profile, rel: Column, size: Column, times: dict[str, Column], content: Column | None = None, in_hash_set: Column | None = None) -> dict[str, Column]:
     """One nullable boolean for each criterion group that the profile uses, in evaluation order."""
     name = paths.basename(rel)

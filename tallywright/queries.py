@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import digests, paths, reasons, timeutil
-from .operators import audit, boundary, certificate, custody, diff, evidence, inventory, journal, resolve, scan, verify
+from .operators import artifacts, audit, boundary, certificate, custody, diff, evidence, inventory, journal, resolve, scan, verify
 from .plans.criteria import Keyword, Profile, evaluate
 from .session import shared_folder, ship
 from .sources import claims as claim_lists
@@ -170,6 +170,17 @@ def scan_summary(spark, sf_dir):
     return judged(spark, sf_dir).groupBy("verdict").agg(F.count("*").alias("files"))
 
 
+@query(SCOPE.replace("b.path, b.path LIKE", "b.path, b.status, b.size, b.text, b.path LIKE") + f""", j AS (SELECT *, {VERDICT} AS verdict, text IS NOT NULL AS got FROM v)
+  SELECT count(*) AS evaluated, count(*) FILTER (WHERE excluded) AS excluded, count(*) FILTER (WHERE verdict NOT IN ('excluded', 'unverifiable')) AS hits, count(*) FILTER (WHERE verdict = 'in_scope') AS in_scope, count(*) FILTER (WHERE verdict = 'in_scope_partial') AS in_scope_partial,
+    count(*) FILTER (WHERE verdict = 'borderline') AS borderline, count(*) FILTER (WHERE status = 'read_error') AS errors, count(*) FILTER (WHERE size <= 5000 AND got) AS content_extracted, count(*) FILTER (WHERE size <= 5000 AND NOT got) AS content_extract_failed, count(*) FILTER (WHERE size > 5000) AS content_not_evaluated,
+    0 AS unverifiable, 1 AS content_keyword_terms, count(*) FILTER (WHERE status = 'ok') AS status_ok, count(*) FILTER (WHERE status = 'read_error') AS status_read_error FROM j""")
+def scan_counters(spark, sf_dir):
+    docs = view(spark, sf_dir, BASE)
+    toxic = docs.join(table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id"), "doc_id").select(F.col("sha256").alias("digest"))
+    row = scan.counters(docs, PROFILE, content="text", hash_sets=toxic, extractable=5000)
+    return row.withColumns({f"status_{n}": F.coalesce(F.try_element_at("statuses", F.lit(n)), F.lit(0)) for n in ("ok", "read_error")}).drop("statuses")
+
+
 @query(f"WITH base AS ({BASE}), h AS (SELECT path, doc_id, size FROM base WHERE size <= 3000 OR contains(path, 'src1')) SELECT path, row_number() OVER (ORDER BY string_split(path, '/')) AS seq FROM h")
 def scan_hits(spark, sf_dir):
     return scan.scan(base(spark, sf_dir), Profile(keywords=(Keyword("src1"),), size_max=3000)).select("path", "seq")
@@ -208,13 +219,23 @@ def resolve_paths(spark, sf_dir):
 
 @query()
 def resolve_similar(spark, sf_dir):
-    """Nation names with scanned look-alikes, against the names themselves; difflib has no SQL counterpart."""
-    nation = table(spark, sf_dir, "nation")
-    files = nation.select(F.concat(F.lit("countries/"), "n_name", F.lit("/notes_"), "n_nationkey", F.lit(".txt")).alias("path"))
-    noisy = nation.select(F.translate(F.concat(F.lit("countries/"), "n_name", F.lit("/n0tes_"), "n_nationkey", F.lit(".txt")), "OI", "01").alias("rel"))
+    """Every page's address as a scanner might read it, against all addresses; difflib has no SQL counterpart."""
+    pages = table(spark, sf_dir, "pages")
+    rel = paths.normalise(F.col("url"))
+    files = pages.select(rel.alias("path")).distinct()
+    noisy = pages.select(F.translate(rel, "oil", "01|").alias("rel"))
     return resolve.fuzzy(noisy, files)
 
 
+@query()
+def resolve_scoped(spark, sf_dir):
+    """Claims with a misread file name, searched for in the deepest folder above them that exists."""
+    files = base(spark, sf_dir).withColumn("path", F.concat(F.lit("docs/"), F.substring(F.md5("path"), 1, 2), F.lit("/"), F.substring_index("path", "/", -3)))
+    folders = files.select(F.explode(paths.ancestors(F.col("path"))).alias("path")).distinct()
+    claimed = files.select(F.when(F.crc32(F.col("path").cast("binary")) % 3 == 0, F.regexp_replace("path", "txt$", "tx7")).otherwise(F.col("path")).alias("rel"))
+    return resolve.scoped(claimed, files, folders)
+
+
 def results(spark, sf_dir):
     return verify.verify(claims(spark, sf_dir), base(spark, sf_dir), Profile(extensions=(".txt",), filename_patterns=("*[13579].txt",), size_max=3000), similar=False)
 
@@ -234,9 +255,9 @@ def verify_status(spark, sf_dir):
     return results(spark, sf_dir).select("ord", "matched_path", "status", "scope_verdict", "hash_incomparable", "no_claimed_hash")
 
 
-@query(VERIFIED + "SELECT count(*) AS items, " + ", ".join(f"count(*) FILTER (WHERE status = '{s}') AS {s}" for s in verify.VERIFY_STATUSES) + ", count(*) FILTER (WHERE hash_incomparable) AS hash_incomparable, count(*) FILTER (WHERE no_claimed_hash) AS no_claimed_hash, count(*) FILTER (WHERE scope_verdict = 'in_scope') AS scope_in_scope, count(*) FILTER (WHERE scope_verdict = 'borderline') AS scope_borderline, count(*) FILTER (WHERE scope_verdict = 'unknown') AS scope_unknown FROM verified")
+@query(VERIFIED + "SELECT count(*) AS items, " + ", ".join(f"count(*) FILTER (WHERE status = '{s}') AS {s}" for s in verify.VERIFY_STATUSES) + ", count(*) FILTER (WHERE hash_incomparable) AS hash_incomparable, count(*) FILTER (WHERE no_claimed_hash) AS no_claimed_hash, count(*) FILTER (WHERE tier = 'live') AS missing_now, count(*) FILTER (WHERE tier = 'fuzzy') AS fuzzy_matched, count(*) FILTER (WHERE scope_verdict = 'in_scope') AS scope_in_scope, count(*) FILTER (WHERE scope_verdict = 'in_scope_partial') AS scope_in_scope_partial, count(*) FILTER (WHERE scope_verdict = 'borderline') AS scope_borderline, count(*) FILTER (WHERE scope_verdict = 'out_of_scope') AS scope_out_of_scope, count(*) FILTER (WHERE scope_verdict = 'unverifiable') AS scope_unverifiable, count(*) FILTER (WHERE scope_verdict = 'unknown') AS scope_unknown FROM verified")
 def verify_summary(spark, sf_dir):
-    return verify.summary(results(spark, sf_dir)).drop("missing_now", "fuzzy_matched", "scope_in_scope_partial", "scope_out_of_scope", "scope_unverifiable")
+    return verify.summary(results(spark, sf_dir))
 
 
 TERMS = ["1", "22", "TXT", "bin", "nothing"]
@@ -245,20 +266,78 @@ _LOST, _NOISE = "status IN ('not_in_inventory', 'ambiguous_path', 'unparsed_item
 
 @query(VERIFIED + f""", terms AS (SELECT unnest({TERMS!r}) AS term), a AS (SELECT t.term, v.* FROM terms t LEFT JOIN verified v ON contains(lower(regexp_extract(v.claimed_path, '[^/]*$')), lower(t.term)))
   SELECT term, count(ord) AS seized, count(*) FILTER (WHERE ord IS NOT NULL AND NOT {_LOST} AND scope_verdict = 'in_scope') AS in_scope, count(*) FILTER (WHERE NOT {_LOST} AND {_NOISE}) AS out_of_scope,
-    count(*) FILTER (WHERE {_LOST}) AS missing, CASE WHEN count(ord) = 0 THEN 0.0 ELSE round(count(*) FILTER (WHERE NOT {_LOST} AND {_NOISE}) / count(ord), 4) END AS noise_ratio FROM a GROUP BY term""")
+    count(*) FILTER (WHERE NOT {_LOST} AND scope_verdict IN ('unverifiable', 'unknown')) AS unverifiable, count(*) FILTER (WHERE {_LOST}) AS missing, CASE WHEN count(ord) = 0 THEN 0.0 ELSE round(count(*) FILTER (WHERE NOT {_LOST} AND {_NOISE}) / count(ord), 4) END AS noise_ratio FROM a GROUP BY term""")
 def keyword_audit(spark, sf_dir):
-    return audit.keyword_audit(results(spark, sf_dir), TERMS).select("term", "seized", "in_scope", "out_of_scope", "missing", "noise_ratio")
+    return audit.keyword_audit(results(spark, sf_dir), TERMS).select("term", "seized", "in_scope", "out_of_scope", "unverifiable", "missing", "noise_ratio")
+
 
+_AUDITED = f""", terms AS (SELECT unnest({TERMS!r}) AS term, unnest(range({len(TERMS)})) AS ord), a AS (SELECT t.term, t.ord AS term_ord, v.* FROM terms t LEFT JOIN verified v ON contains(lower(regexp_extract(v.claimed_path, '[^/]*$')), lower(t.term))),
+  k AS (SELECT term, term_ord, count(ord) AS seized, count(*) FILTER (WHERE NOT {_LOST} AND {_NOISE}) AS noise FROM a GROUP BY term, term_ord)"""
 
-@query(VERIFIED + "SELECT section, count(*) AS items FROM (SELECT CASE WHEN scope_verdict IN ('out_of_scope', 'excluded') THEN 'return_out_of_scope' END AS section FROM verified UNION ALL SELECT CASE WHEN scope_verdict IN ('borderline', 'unknown') THEN 'needs_review' END FROM verified UNION ALL SELECT CASE WHEN status = 'hash_mismatch' THEN 'integrity_dispute' END FROM verified UNION ALL SELECT CASE WHEN " + _LOST + " THEN 'origin_unknown' END FROM verified) WHERE section IS NOT NULL GROUP BY section")
+
+@query(VERIFIED + _AUDITED + """ SELECT sum(seized)::BIGINT AS attributed, sum(noise)::BIGINT AS noise, (SELECT count(*) FROM verified) AS items, (SELECT count(*) FROM verified WHERE ord NOT IN (SELECT ord FROM a WHERE ord IS NOT NULL)) AS unattributed, coalesce(round(sum(noise) / nullif(sum(seized), 0), 4), 0) AS noise_ratio FROM k""")
+def audit_overall(spark, sf_dir):
+    return audit.overall(results(spark, sf_dir), TERMS)
+
+
+@query(VERIFIED + _AUDITED + " SELECT term, round(noise / seized, 4) AS noise_ratio FROM k WHERE seized > 0 ORDER BY round(noise / seized, 4) DESC, seized DESC, term_ord LIMIT 1")
+def worst_keyword(spark, sf_dir):
+    return audit.worst(audit.keyword_audit(results(spark, sf_dir), TERMS))
+
+
+@query(RESOLVED + f""", cur AS ({CURRENT}), judged AS (SELECT r.ord, r.claimed_path, r.digest, r.matched_path, b.sha256 AS held, b.size, a.path IS NOT NULL AS present, a.sha256 AS now, r.matched_path IS NOT NULL AND NOT r.unparsed AS matched,
+    CASE WHEN unparsed THEN 'unparsed_item' WHEN matched_path IS NULL THEN CASE WHEN suffix_hits > 1 THEN 'ambiguous_path' ELSE 'not_in_inventory' END
+      WHEN r.digest IS NULL OR length(r.digest) <> 64 THEN 'verified' WHEN b.sha256 IS NULL THEN 'unverifiable' WHEN b.sha256 <> r.digest THEN 'hash_mismatch' ELSE 'verified' END AS before,
+    regexp_matches(b.path, '[13579][.]txt$') OR b.size <= 3000 AS some_group
+  FROM resolved r LEFT JOIN base b ON b.path = r.matched_path LEFT JOIN cur a ON a.path = r.matched_path),
+  v AS (SELECT *, CASE WHEN before = 'verified' AND now <> held THEN 'hash_mismatch' ELSE before END AS status, before = 'verified' AND NOT present AS missing_now FROM judged),
+  {CHANGED.replace("WITH base AS (" + BASE + "), cur AS (" + CURRENT + "), ", "").rstrip()},
+  listed AS (SELECT 'out_of_scope' AS section, ord, claimed_path AS path, status FROM v WHERE matched AND NOT some_group UNION ALL SELECT 'absent_now', ord, claimed_path, status FROM v WHERE missing_now
+    UNION ALL SELECT 'origin_unknown', ord, claimed_path, status FROM v WHERE status IN ('ambiguous_path', 'not_in_inventory', 'unverifiable', 'unparsed_item') UNION ALL SELECT 'backdated', NULL, path, 'added' FROM changes WHERE change = 'added' AND backdated)
+  SELECT section, row_number() OVER (PARTITION BY section ORDER BY ord NULLS FIRST, path) AS no, ord, path, status FROM listed""")
 def disposal_lists(spark, sf_dir):
-    return custody.disposal_lists(results(spark, sf_dir)).groupBy("section").agg(F.count("*").alias("items"))
+    live = current(spark, sf_dir).select("path", "sha256", *[F.lit(None).cast("string").alias(n) for n in digests.LENGTHS if n != "sha256"])
+    checked = verify.verify(claims(spark, sf_dir), base(spark, sf_dir), Profile(filename_patterns=("*[13579].txt",), size_max=3000), live=live, similar=False)
+    return custody.numbered_lists(custody.disposal_lists(checked, changes(spark, sf_dir))).select("section", "no", "ord", "path", "status")
+
 
+PETITION = ORACLE_SQL["disposal_lists"].rpartition("listed AS (")[0].rstrip().rstrip(",")
 
-SPOTS = "CASE doc_id % 7 WHEN 0 THEN concat('\\\\srv\\', source) WHEN 1 THEN concat('C:\\Users\\OneDrive - ', lang, '\\', source) WHEN 2 THEN concat('D:\\XboxGaming\\', source) WHEN 3 THEN concat('e:\\', source) WHEN 4 THEN '' WHEN 5 THEN concat('F:\\box\\', source) ELSE concat('local/', source) END"
 
+def checked_now(spark, sf_dir):
+    """Claims against the inventory and against the files as they are now."""
+    live = current(spark, sf_dir).select("path", "sha256", *[F.lit(None).cast("string").alias(n) for n in digests.LENGTHS if n != "sha256"])
+    return verify.verify(claims(spark, sf_dir), base(spark, sf_dir), Profile(filename_patterns=("*[13579].txt",), size_max=3000), live=live, similar=False)
 
-@query(f"""WITH s AS (SELECT doc_id % 7 AS k FROM documents) SELECT CASE k WHEN 0 THEN 'remote_unc' WHEN 1 THEN 'cloud_sync' WHEN 2 THEN 'removable' WHEN 3 THEN 'remote_mapped' WHEN 5 THEN 'cloud_sync' ELSE 'unknown' END AS territory, count(*) AS items FROM s GROUP BY 1""")
+
+@query(PETITION + """, p AS (SELECT 1 AS list, * FROM v WHERE matched AND NOT some_group UNION ALL SELECT 2, * FROM v WHERE missing_now)
+  SELECT row_number() OVER (ORDER BY list, ord, claimed_path) AS no, claimed_path, substr(digest, 1, 20) AS digest_start, status, CASE WHEN NOT matched THEN 'unknown' WHEN NOT some_group THEN 'out_of_scope' WHEN regexp_matches(matched_path, '[13579][.]txt$') AND NOT size_over THEN 'in_scope' ELSE 'borderline' END AS scope_verdict FROM p""".replace("size_over", "coalesce(size > 3000, false)"))
+def petition_items(spark, sf_dir):
+    return custody.petition_items(checked_now(spark, sf_dir))
+
+
+@query(PETITION + """ SELECT 'items' AS ground, count(*)::DOUBLE AS value, NULL::VARCHAR AS term FROM v UNION ALL SELECT 'out_of_scope', count(*), NULL FROM v WHERE matched AND NOT some_group HAVING count(*) > 0 UNION ALL SELECT 'absent_now', count(*), NULL FROM v WHERE missing_now HAVING count(*) > 0
+  UNION ALL SELECT 'changed', count(*), NULL FROM changes WHERE class IN ('modified_unverifiable', 'content_changed') HAVING count(*) > 0 UNION ALL SELECT 'removed', count(*), NULL FROM changes WHERE change = 'removed' HAVING count(*) > 0""")
+def petition_grounds(spark, sf_dir):
+    return custody.petition_grounds(checked_now(spark, sf_dir), changes(spark, sf_dir))
+
+
+#: Places named by documents' own columns; some quoted.
+SPOTS = "CASE doc_id % 7 WHEN 0 THEN concat('\\\\srv\\', source) WHEN 1 THEN concat('C:\\Users\\OneDrive - ', lang, '\\', source) WHEN 2 THEN concat('\"D:\\XboxGaming\\', source, '\"') WHEN 3 THEN concat('e:\\', source) WHEN 4 THEN ' ' WHEN 5 THEN concat(' \"F:\\box\\', source, '\" ') ELSE concat('local/', source) END"
+
+
+@query(f"""WITH s AS (SELECT doc_id, trim(trim({SPOTS}), '"') AS p FROM documents), d AS (SELECT doc_id, p, CASE upper(regexp_extract(p, '^([A-Za-z]):', 1)) WHEN 'C' THEN 'local_fixed' WHEN 'D' THEN 'removable' WHEN 'E' THEN 'remote_mapped' WHEN '' THEN 'unknown' ELSE 'local_unverified' END AS by_drive,
+    len(list_filter(string_split_regex(lower(p), '[\\\\/]+'), lambda x: regexp_matches(x, '^({'|'.join(boundary.CLOUD_MARKERS)})([ _-]|$)'))) > 0 AS cloud FROM s),
+  t AS (SELECT doc_id, CASE WHEN p = '' THEN 'unknown' WHEN starts_with(p, '\\\\') OR starts_with(p, '//') THEN 'remote_unc' WHEN cloud THEN 'cloud_sync' ELSE by_drive END AS territory FROM d)
+  SELECT doc_id, territory, territory IN ('remote_unc', 'cloud_sync', 'remote_mapped', 'removable') AS violation FROM t""".replace("'^([A-Za-z]):', 1", "'^([A-Za-z]):', 1"))
+def boundary_violations(spark, sf_dir):
+    """Territory of each place and whether it lies outside the fixed drives."""
+    items = table(spark, sf_dir, "documents").selectExpr("doc_id", SPOTS.replace("\\", "\\\\") + " AS claimed_path")
+    volumes = spark.createDataFrame([("C:", "fixed"), ("D:", "removable"), ("E:", "remote")], "drive string, type string")
+    return boundary.territories(items, volumes).select("doc_id", "territory", "violation")
+
+
+@query(f"SELECT territory, count(*) AS items, count(*) FILTER (WHERE violation) AS violations FROM ({ORACLE_SQL['boundary_violations']}) GROUP BY territory")
 def boundary_territory(spark, sf_dir):
     items = table(spark, sf_dir, "documents").selectExpr(SPOTS.replace("\\", "\\\\") + " AS claimed_path")
     volumes = spark.createDataFrame([("C:", "fixed"), ("D:", "removable"), ("E:", "remote")], "drive string, type string")
@@ -274,7 +353,7 @@ def certificate_sequences(spark, sf_dir):
     return certificate.sequence_report(rows, "l_orderkey").select("l_orderkey", "rows", "repeated", "gaps", "missing")
 
 
-CERTIFICATE = """SELECT doc_id AS ord, CAST(doc_id AS STRING) AS seq, concat(CAST(doc_id AS STRING), CASE WHEN doc_id % 13 = 0 THEN '.doc' ELSE '.txt' END) AS name, CAST(n_chars AS STRING) AS size,
+CERTIFICATE = """SELECT doc_id AS ord, CASE WHEN doc_id % 50 = 7 THEN '' WHEN doc_id % 100 = 31 THEN concat('no. ', CAST(doc_id AS STRING)) WHEN doc_id % 40 = 3 THEN CAST(doc_id - 2 AS STRING) ELSE CAST(doc_id AS STRING) END AS seq, concat(CAST(doc_id AS STRING), CASE WHEN doc_id % 13 = 0 THEN '.doc' ELSE '.txt' END) AS name, CAST(n_chars AS STRING) AS size,
     concat('C:/docs/', source, '/', CAST(doc_id AS STRING), '.txt') AS path, MD5(text) AS md5, CASE WHEN doc_id % 10 = 0 THEN 'NOT-HEX' ELSE SHA1(text) END AS sha1, '' AS sha256,
     '' AS created, CASE WHEN doc_id % 8 = 0 THEN '2026-13-45' WHEN doc_id % 8 = 1 THEN '2026-02-01 12:00:00' ELSE '2025-12-30 08:15:00' END AS modified, '' AS accessed FROM documents"""
 
@@ -308,11 +387,34 @@ def certificate_after_issue(spark, sf_dir):
   UNION ALL SELECT 'duplicate_md5', 'warn', count(*) FROM (SELECT md5(text) FROM documents GROUP BY 1 HAVING count(*) > 1)
   UNION ALL SELECT 'duplicate_sha1', 'warn', count(*) FROM (SELECT CASE WHEN doc_id % 10 = 0 THEN 'not-hex' ELSE sha1(text) END FROM documents GROUP BY 1 HAVING count(*) > 1)
   UNION ALL SELECT 'duplicate_path', 'warn', count(*) FROM (SELECT lower(concat(source, CAST(doc_id AS STRING))) FROM documents GROUP BY 1 HAVING count(*) > 1)
-  UNION ALL SELECT 'seq_integrity', 'warn', count(*) FROM (SELECT doc_id, lead(doc_id) OVER (ORDER BY doc_id) AS n FROM (SELECT DISTINCT doc_id FROM documents)) WHERE n > doc_id + 1) WHERE count > 0""")
+  UNION ALL SELECT 'seq_integrity', 'warn', odd + CASE WHEN odd > 0 THEN 1 ELSE 0 END + CASE WHEN many > kinds THEN 1 ELSE 0 END + CASE WHEN high - low + 1 > kinds THEN 1 ELSE 0 END + CASE WHEN downs > 0 THEN 1 ELSE 0 END
+    FROM (SELECT count(*) FILTER (WHERE seq <> '' AND n IS NULL) AS odd, count(n) AS many, count(DISTINCT n) AS kinds, min(n) AS low, max(n) AS high, count(*) FILTER (WHERE n < before) AS downs
+      FROM (SELECT seq, n, lag(n IGNORE NULLS) OVER (ORDER BY ord) AS before FROM (SELECT ord, seq, CASE WHEN regexp_full_match(seq, '[0-9]+') THEN CAST(seq AS BIGINT) END AS n FROM (""" + CERTIFICATE + """))))) WHERE count > 0""")
 def certificate_findings(spark, sf_dir):
     return certificate.findings(certificate_rows(spark, sf_dir), certificate.issued_at(F.lit("list_20260101120000.xlsx"))).select("check", "severity", "count")
 
 
+#: Files on the returned disk: most as listed, some of another size or content, some gone; names as in CERTIFICATE.
+RETURNED = """SELECT concat('docs/', source, '/', CAST(doc_id AS STRING), '.txt') AS path, n_chars + CASE WHEN doc_id % 14 = 0 THEN 1 ELSE 0 END AS size, CASE WHEN doc_id % 15 = 0 THEN NULL ELSE MD5(text) END AS md5, CASE WHEN doc_id % 16 = 0 THEN SHA1(concat(text, 'x')) ELSE SHA1(text) END AS sha1, CAST(NULL AS STRING) AS sha256 FROM documents WHERE doc_id % 12 <> 5"""
+
+
+def returned(spark, sf_dir):
+    return spark.sql(RETURNED.replace("FROM documents", "FROM {documents}"), documents=table(spark, sf_dir, "documents"))
+
+
+_LIVE = f"""WITH c AS ({CERTIFICATE}), r AS ({RETURNED}), j AS (SELECT c.ord, replace(c.path, 'C:/', '') AS path, r.path IS NOT NULL AS here, CAST(c.size AS BIGINT) AS claimed, r.size, lower(c.sha1) AS csha1, r.sha1, c.md5 AS cmd5, r.md5 FROM c LEFT JOIN r ON r.path = replace(c.path, 'C:/', '')) """
+
+
+@query(_LIVE + """SELECT ord, path, CASE WHEN NOT here THEN 'missing' WHEN claimed <> size THEN 'size_mismatch' WHEN csha1 <> sha1 OR cmd5 <> md5 THEN 'hash_mismatch' ELSE 'match' END AS result FROM j""")
+def certificate_reverify(spark, sf_dir):
+    return certificate.reverify(certificate_rows(spark, sf_dir), returned(spark, sf_dir))
+
+
+@query(_LIVE + "SELECT count(*) FILTER (WHERE here) AS resolved, count(*) FILTER (WHERE NOT here) AS missing, count(*) FILTER (WHERE here AND claimed = size) AS size_match, count(*) FILTER (WHERE here AND claimed <> size) AS size_mismatch, count(*) FILTER (WHERE here AND csha1 = sha1) AS hash_verified, count(*) FILTER (WHERE here AND csha1 <> sha1) AS hash_mismatch, count(*) FILTER (WHERE here AND sha1 IS NULL) AS hash_skipped FROM j")
+def certificate_live(spark, sf_dir):
+    return certificate.live_stats(certificate_rows(spark, sf_dir), returned(spark, sf_dir))
+
+
 EVENT_MASK = "CASE event_type WHEN 'click' THEN 256 WHEN 'view' THEN 512 WHEN 'purchase' THEN 2147483648 + 2 WHEN 'scroll' THEN 4096 ELSE 2048 END + CASE WHEN user_id % 5 = 0 THEN 32768 ELSE 0 END"
 
 
@@ -340,6 +442,35 @@ def journal_notable(spark, sf_dir):
     return journal.notable(journal_events(spark, sf_dir)).select("event_id")
 
 
+@query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-10 00:00:00' AND concat('f', user_id % 100, '.tmp') LIKE '%7.tmp%'")
+def journal_select(spark, sf_dir):
+    return journal.select(journal_events(spark, sf_dir), "2024-01-10T00:00:00+00:00", "7.TMP").select("event_id")
+
+
+@query("WITH t AS (SELECT concat('log', user_id % 50) AS path, event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00') AS t FROM events) SELECT path, 'ok' AS status, count(*) AS event_count, arg_min(t, event_id) AS first_event_utc, arg_max(t, event_id) AS last_event_utc FROM t GROUP BY path UNION ALL SELECT 'empty', 'no_records', 0, NULL, NULL")
+def event_timelines(spark, sf_dir):
+    """First and last record of each log by its place in the file, and one log without records."""
+    records = table(spark, sf_dir, "events").select(F.concat(F.lit("log"), F.col("user_id") % 50).alias("path"), F.col("event_id").alias("at"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("timestamp_utc"))
+    logs = records.select("path").distinct().union(spark.createDataFrame([("empty",)], "path string"))
+    return artifacts.timelines(logs, records)
+
+
+#: Records of started programs as a hive keeps them: count at byte 4 and time at 60, least byte first; short ones have the time at 8.
+_LE = "concat(substr(h, 15, 2), substr(h, 13, 2), substr(h, 11, 2), substr(h, 9, 2), substr(h, 7, 2), substr(h, 5, 2), substr(h, 3, 2), substr(h, 1, 2))"
+
+
+@query("SELECT concat('NTUSER', CAST(user_id % 7 AS STRING)) AS path, concat('C:/Bin/', event_type, CAST(event_id AS STRING), '.exe') AS program, CASE WHEN event_id % 11 > 0 THEN user_id END AS run_count, CASE WHEN event_id % 11 > 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00') END AS last_run_utc FROM events")
+def hive_userassist(spark, sf_dir):
+    ticks = F.unix_micros(F.col("ts").cast("timestamp")) * 10 + timeutil.FILETIME_EPOCH
+    e = table(spark, sf_dir, "events").withColumn("h", F.lpad(F.hex(ticks), 16, "0")).withColumn("time", F.expr(_LE)).withColumn("h", F.lpad(F.hex(F.col("user_id").cast("long")), 16, "0"))
+    count = F.substring(F.expr(_LE), 1, 8)
+    zeros = lambda n: F.repeat(F.lit("00"), F.lit(n))
+    data = F.when(F.col("event_id") % 11 == 0, zeros(12)).when(F.col("event_id") % 3 == 0, F.concat(zeros(4), count, F.col("time"))).otherwise(F.concat(zeros(4), count, zeros(52), F.col("time"), zeros(4)))
+    name = parsers.rot13(F.concat(F.lit("C:/Bin/"), "event_type", "event_id", F.lit(".exe")))
+    rows = e.select(F.concat(F.lit("NTUSER"), F.col("user_id") % 7).alias("path"), F.lit("ntuser.dat").alias("hive"), F.lit("software/microsoft/windows/currentversion/explorer/userassist/{x}/count").alias("rel"), name.alias("value_name"), F.unhex(data).alias("data"))
+    return artifacts.userassist(rows)
+
+
 @query(f"SELECT event_id, CAST({EVENT_MASK} AS BIGINT) AS mask FROM events")
 def journal_reason_text(spark, sf_dir):
     return journal_events(spark, sf_dir).select("event_id", reasons.mask(F.array_join("reasons", " | ")).alias("mask"))
@@ -360,6 +491,38 @@ def raid_window(spark, sf_dir):
     return journal.window(order_files(spark, sf_dir), LOW, HIGH).select("o_orderkey", "created", "modified", "accessed_only", "first_seen")
 
 
+@query("WITH w AS (" + ORACLE_SQL["raid_window"] + "), f AS (SELECT count(*) AS n FROM orders WHERE o_orderstatus <> 'P') SELECT count(*) AS files, count(*) FILTER (WHERE created) AS created, count(*) FILTER (WHERE modified) AS modified, count(*) FILTER (WHERE accessed_only) AS accessed_only, count(*) > 1000 AS truncated, (SELECT n FROM f) AS entries_scanned, 0 AS read_errors FROM w")
+def window_summary(spark, sf_dir):
+    files = order_files(spark, sf_dir).withColumn("status", F.lit("ok"))
+    return journal.window_summary(journal.window(files, LOW, HIGH), files, most=1000)
+
+
+#: Paths made of pages' addresses and documents' columns, in places that mean something and others.
+TRACES = "concat(CASE doc_id % 9 WHEN 0 THEN 'Windows/Prefetch/' WHEN 1 THEN 'Windows/System32/winevt/Logs/' WHEN 2 THEN 'Users/a/AppData/Roaming/Microsoft/Windows/Recent/' WHEN 3 THEN 'Windows/System32/config/' WHEN 4 THEN 'Windows/System32/drivers/' WHEN 5 THEN 'Users/b/AppData/Roaming/Apple Computer/MobileSync/Backup/' WHEN 6 THEN 'Users/b/Documents/smart_Switch1/' WHEN 7 THEN 'Users/c/AppData/Local/Kakao/KakaoTalk/' ELSE 'docs/' END, CASE doc_id % 4 WHEN 0 THEN 'Security.evtx' WHEN 1 THEN 'SYSTEM' WHEN 2 THEN concat(source, '.lnk') ELSE concat(lang, '-0A1B2C3D.pf') END)"
+
+
+@query(f"""WITH t AS (SELECT doc_id, {TRACES} AS p FROM documents), l AS (SELECT *, lower(p) AS low, lower(regexp_extract(p, '[^/]*$')) AS base FROM t)
+  SELECT doc_id, CASE WHEN list_contains(string_split(low, '/'), 'prefetch') THEN 'prefetch' WHEN list_contains(string_split(low, '/'), 'winevt') AND (contains(base, 'system.evtx') OR contains(base, 'security.evtx') OR contains(base, 'printservice') OR contains(base, 'operational.evtx') OR contains(base, 'kernel-pnp') OR contains(base, 'partition')) THEN 'evtx'
+    WHEN contains(low, 'microsoft/windows/recent') THEN 'recent_items' WHEN base IN ('system', 'software', 'sam', 'security', 'ntuser.dat', 'usrclass.dat', 'amcache.hve', 'setupapi.dev.log') THEN 'registry_or_device_log' WHEN starts_with(low, 'windows/system32/drivers/') THEN 'drivers' END AS category,
+    CASE WHEN regexp_matches(p, '^Users/.*/AppData/Local/Kakao/KakaoTalk/') THEN 'kakaotalk_pc' WHEN regexp_matches(p, '^Users/.*/MobileSync/Backup/') THEN 'itunes_backup' WHEN regexp_matches(p, '^Users/.*/Documents/.*[Ss]mart[ _-][Ss]witch.*/') THEN 'smartswitch' END AS target,
+    CASE WHEN regexp_matches(regexp_extract(p, '[^/]*$'), '(?i)^.+-[0-9a-f]{{8,16}}[.]pf$') THEN regexp_extract(regexp_extract(p, '[^/]*$'), '(?i)^(.+)-[0-9a-f]{{8,16}}[.]pf$', 1) ELSE regexp_replace(regexp_extract(p, '[^/]*$'), '[.][^.]*$', '') END AS exe FROM l""")
+def artifact_places(spark, sf_dir):
+    """What kind of artifact each path is, whether it belongs to a phone's data, and the program that its name gives."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.expr(TRACES).alias("p"))
+    p = F.col("p")
+    return rows.select("doc_id", evidence.artifact_category(p).alias("category"), evidence.mobile_target(p).alias("target"), artifacts.exe_guess(paths.basename(p)).alias("exe"))
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN epoch_us(date_trunc('day', ts)) WHEN 1 THEN epoch_us(date_trunc('second', ts)) WHEN 2 THEN epoch_us(date_trunc('second', ts)) - 9 * 3600000000 END * 1000 AS ns, strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M:%S') AS loose FROM events")
+def written_times(spark, sf_dir):
+    """Times read from ISO texts (a date, Z, an offset, no time) and from loosely written Korean ones."""
+    t = F.col("ts").cast("timestamp")
+    iso = F.when(F.col("event_id") % 4 == 0, F.date_format(t, "yyyy-MM-dd")).when(F.col("event_id") % 4 == 1, F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(F.col("event_id") % 4 == 2, F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss'+09:00'")).otherwise(F.lit("soon"))
+    hour = F.hour(t)
+    loose = F.when(F.col("event_id") % 2 == 0, F.concat(F.date_format(t, "yyyy년 M월 d일 "), F.when(hour < 12, F.lit("오전 ")).otherwise(F.lit("오후 ")), F.when(hour % 12 == 0, F.lit(12)).otherwise(hour % 12), F.lit("시 "), F.minute(t), F.lit("분"))).otherwise(F.date_format(t, "yyyy.M.d. H:mm"))
+    return table(spark, sf_dir, "events").select("event_id", timeutil.iso_to_ns(iso).alias("ns"), F.date_format(timeutil.lenient_datetime(loose), "yyyy-MM-dd HH:mm:ss").alias("loose"))
+
+
 NAMES = "concat(CASE doc_id % 8 WHEN 0 THEN 'selected_files' WHEN 1 THEN 'deselectedTab' WHEN 2 THEN '압수물목록' WHEN 3 THEN 'gpresult' WHEN 4 THEN 'forensic-report' ELSE lang END, CASE doc_id % 5 WHEN 0 THEN '.txt' WHEN 1 THEN '.xlsx' WHEN 2 THEN '.zip' WHEN 3 THEN '.gif' ELSE '.exe' END)"
 _HINT = "(regexp_matches(name, '(^|[^a-z0-9])(list|seiz|evid|forens|output|report|result|export|extract|select|item)') OR regexp_matches(name, '목록|리스트|압수|전자정보|압수물|선별|영장|조서|수사|증거'))"
 
@@ -372,6 +535,20 @@ def leftovers_signature(spark, sf_dir):
     return names.select("doc_id", evidence.leftover_category(F.col("path")).alias("category")).where("category IS NOT NULL")
 
 
+#: Journal names made from an event's own columns, half of them telling ones.
+GONE_NAME = "concat(CASE user_id % 4 WHEN 0 THEN 'selected_' WHEN 1 THEN 'deselected' WHEN 2 THEN '목록_' ELSE 'x' END, event_type, CASE event_id % 5 WHEN 0 THEN '.xlsx' WHEN 1 THEN '.tmp' WHEN 2 THEN '.zip' WHEN 3 THEN '.dat' ELSE '' END)"
+
+
+@query(MASKS + f""", g AS (SELECT event_id, m, lower({GONE_NAME}) AS name FROM e JOIN events USING (event_id, user_id, ts)) SELECT name, count(*) AS events FROM g
+  WHERE m & (512 | 4096) <> 0 AND (name LIKE '%.xlsx' OR name LIKE '%.zip' OR {_HINT}) GROUP BY name""")
+def leftovers_deleted(spark, sf_dir):
+    """Deleted or renamed-away names that look like lists or containers, or hint at one; no time window."""
+    events = journal_events(spark, sf_dir).select("event_id", "reasons", "timestamp_utc").join(table(spark, sf_dir, "events").select("event_id", F.expr(GONE_NAME).alias("file_name")), "event_id")
+    none = base(spark, sf_dir).where("false")
+    found = evidence.leftovers(none, None, None, journal.deletions(events))
+    return found.where("channel = 'journal' AND category = 'deleted_in_window'").groupBy(F.lower("name").alias("name")).agg(F.count("*").alias("events"))
+
+
 STEMS = "concat(CASE doc_id % 6 WHEN 0 THEN 'FTKImager' WHEN 1 THEN 'xways_xwforens' WHEN 2 THEN 'md-live' WHEN 3 THEN 'ufed_cellebrite' ELSE source END, '_', lang)"
 
 
@@ -419,9 +596,13 @@ def html_text_strip(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.trim(F.regexp_replace(F.regexp_replace("html", "<[^>]+>", " "), "[ \\t\\n\\r]+", " ")).alias("text"))
 
 
-@query("WITH t AS (SELECT doc_id, concat('x ', sha1(text), ' ', sha256(text), ', ', sha1(source), '.') AS t FROM documents) SELECT doc_id, 2 AS printed FROM t")
+PRINTED = "concat('x ', CASE WHEN doc_id % 3 > 0 THEN SHA1(text) ELSE 'none' END, ' ', SHA256(text), ', ', substr(SHA1(source), 1, 39 + doc_id % 2), '.')"
+
+
+@query(f"SELECT doc_id, len(list_filter(regexp_split_to_array({PRINTED}, '[^0-9a-fA-F]+'), lambda x: length(x) = 40)) AS printed FROM documents")
 def printed_digests(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", certificate.printed_digests(F.concat(F.lit("x "), F.sha1("text"), F.lit(" "), F.sha2("text", 256), F.lit(", "), F.sha1("source"), F.lit("."))).alias("printed"))
+    text = F.expr(PRINTED.replace("SHA1(", "sha1(").replace("SHA256(text)", "sha2(text, 256)"))
+    return table(spark, sf_dir, "documents").select("doc_id", certificate.printed_digests(text).alias("printed"))
 
 
 ASKED = ["src8/", ".bin", "moved/", "absent"]
@@ -467,7 +648,7 @@ def stream_watch(spark, sf_dir):
     root = f"{shared_folder(spark)}/watch-{uuid.uuid4()}"
     table_ = passes(spark, sf_dir).persist()
     for (number,) in sorted(table_.select("pass").distinct().collect()):
-        table_.where(F.col("pass") == number).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        table_.where(F.col("pass") == number).repartition(1).write.mode("append").parquet(f"{root}/in")  # the stream takes a pass as one file
     table_.unpersist()
     stream = spark.readStream.schema(watch.SNAPSHOT).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
     watch.start(stream, f"{root}/state", f"{root}/events", f"{root}/checkpoint").awaitTermination()
@@ -480,12 +661,11 @@ def text_strings(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", parsers.strings(F.col("html").cast("binary"), F.lit(2000)).alias("strings"))
 
 
-@query("SELECT page_id, regexp_replace(html, '<[^>]+>', ' ', 'g') = regexp_replace(html, '<[^>]+>', ' ', 'g') AS same, length(html) AS chars FROM pages")
+@query("SELECT page_id, sha256(html) AS digest, length(html) AS chars FROM pages")
 def text_extraction(spark, sf_dir):
     """Text of each page's bytes as a .html file: decoding gives every character back."""
-    p = table(spark, sf_dir, "pages")
-    got = p.select("page_id", "html", parsers.extract_text(F.col("html").cast("binary"), F.lit(".html")).alias("t"))
-    return got.select("page_id", (F.col("t") == F.col("html")).alias("same"), F.length("t").cast("long").alias("chars"))
+    got = table(spark, sf_dir, "pages").select("page_id", parsers.extract_text(F.col("html").cast("binary"), F.lit(".html")).alias("t"))
+    return got.select("page_id", F.sha2("t", 256).alias("digest"), F.length("t").cast("long").alias("chars"))
 
 
 @query("SELECT doc_id AS ord, concat('C:/d/', CAST(doc_id AS STRING), '.txt') AS claimed_path, concat('d/', CAST(doc_id AS STRING), '.txt') AS rel, CASE WHEN doc_id % 3 = 0 THEN md5(text) END AS digest FROM documents")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 FILES = "path string, size long, mtime_ns long, ctime_ns long, atime_ns long, sha256 string, kind string, status string"
 KINDS = ("file", "dir", "symlink", "other", "error")
-STATUSES = ("ok", "stat_error", "read_error", "hash_skipped_oversize")
+STATUSES = ("ok", "stat_error", "read_error", "hash_skipped_oversize", "changed_while_read")
 #: A claimed item. ord is its place in the list it came from; lists are ordered, DataFrames aren't.
 ITEMS = "ord long, claimed_path string, rel string, digest string, hash_algo string, unparsed boolean, raw string, claimed_meta map<string,string>"
 CERTIFICATE = "seq string, name string, ext string, size string, path string, md5 string, sha1 string, sha256 string, created string, modified string, accessed string, note string, sheet string, row int"

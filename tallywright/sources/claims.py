@@ -62,11 +62,19 @@ def json_items(texts: DataFrame) -> DataFrame:
 
 def sheet_items(files: DataFrame) -> DataFrame:
     """files (content) of workbooks; the strongest digest of each row."""
-    rows = files.select(F.explode(read_xlsx("content")).alias("r")).select("r.*")
+    read = files.select(read_xlsx("content").alias("rows"))
+    rows = read.select(F.explode("rows").alias("r")).select("r.*")
     digest = F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in ("sha256", "sha1", "md5")])
     path = F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in ("path", "name")])
     names = ("seq", "name", "ext", "size", "created", "modified", "accessed", "note", "sheet")
-    return rows.select(*item(F.col("row"), path, digest, F.to_json(F.struct("*")), F.create_map(*[x for n in names for x in (F.lit(n), F.col(n))])))
+    out = rows.select(*item(F.col("row"), path, digest, F.to_json(F.struct("*")), F.create_map(*[x for n in names for x in (F.lit(n), F.col(n))])))
+    return out.unionByName(unread(read.where(F.coalesce(F.size("rows"), F.lit(0)) <= 0), "no rows of a list found, or not a workbook"))
+
+
+def unread(files: DataFrame, why: str) -> DataFrame:
+    """One unparsed item for each row of files, so that a list that can't be read is counted."""
+    none = F.lit(None).cast("string")
+    return files.select(*item(F.lit(0), none, none, F.lit(why)))
 
 
 def pdf_items(files: DataFrame) -> DataFrame:
@@ -78,8 +86,11 @@ def pdf_items(files: DataFrame) -> DataFrame:
 
 
 def read_claims(spark: SparkSession, path: str) -> DataFrame:
-    """A list file by suffix; a text file whose first line has a comma is read as CSV. An empty file gives no rows."""
+    """A list file by suffix, or by its first character where that is [ or {; a text file whose first line has a comma is read as CSV. An
+    empty file gives no rows; an old binary workbook gives one unparsed item."""
     low = path.lower()
+    if low.endswith(".xls"):
+        return unread(spark.read.format("binaryFile").load(path).select("path"), "old binary workbook: save it as .xlsx or CSV")
     if low.endswith((".xlsx", ".xlsm")):
         return sheet_items(spark.read.format("binaryFile").load(path))
     if low.endswith(".pdf"):
@@ -87,6 +98,8 @@ def read_claims(spark: SparkSession, path: str) -> DataFrame:
     if low.endswith(".json"):
         return json_items(spark.read.text(path, wholetext=True))
     head = spark.read.text(path).limit(1).collect()
+    if head and head[0][0].lstrip("\ufeff \t")[:1] in ("[", "{"):
+        return json_items(spark.read.text(path, wholetext=True))
     if low.endswith(".csv") or (head and "," in head[0][0]):
         return csv_items(spark.read.csv(path, header=True, multiLine=True).withColumn("ord", F.monotonically_increasing_id()))
     return text_items(spark.read.text(path).withColumn("ord", F.monotonically_increasing_id()))
@@ -129,7 +142,9 @@ def read_journal(rows: DataFrame) -> DataFrame:
         is_time = lambda c: c.rlike(date) | (c.rlike(r"^\s*\d+\s*$") & (c.try_cast("long") > 10**15))
         name = F.get(F.filter("cells", lambda c: ~c.rlike(number) & ~c.rlike(date) & (F.trim(c) != "")), F.lit(0))
         time = F.get(F.filter("cells", is_time), F.lit(0))
-        texts = F.filter("cells", lambda c: (c.contains("|") | F.lower(c).rlike(words)) & ~c.rlike(date) & (c != name))
+        body = body.withColumns({"_name": name, "_time": time})  # once a row, not once a cell
+        name, time = F.col("_name"), F.col("_time")
+        texts = F.filter("cells", lambda c: (c.contains("|") | F.lower(c).rlike(words)) & ~c.rlike(date) & (c != F.col("_name")))
         masks = F.filter("cells", lambda c: c.rlike(r"^\s*0x[0-9a-fA-F]+\s*$"))
         reason = F.coalesce(F.element_at(F.when(F.size(texts) > 0, texts), -1), F.element_at(F.when(F.size(masks) > 0, masks), -1))
         before = F.slice("cells", F.lit(1), F.greatest(F.array_position("cells", time).cast("int") - 1, F.lit(0)))

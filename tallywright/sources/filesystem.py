@@ -3,9 +3,11 @@
     spark.dataSource.register(FilesystemSource)
     spark.read.format("inventory").option("hashFiles", "true").load("/evidence")
 
-Options: hashFiles, maxHashBytes, maxDepth, maxEntries (each partition), followLinks. Symbolic links are rows, not followed unless asked; a folder seen
-before (by real path) isn't entered again. Folders that can't be read give an 'error' row. Access times are put back after hashing.
-The path must be mounted on the executors; on a cluster that is a shared mount."""
+Options: hashFiles, maxHashBytes, maxDepth, maxEntries (each partition), followLinks, splitDepth (2: folders down to that depth are tasks of their
+own). Symbolic links are rows, not followed unless asked; then a folder is only entered where its real path lies outside of
+the folders that lead to it and below no other task's. Folders that can't be read give an 'error' row. Files are opened without
+changing their access time where the system allows it, else it's put back; a file that changed while it was hashed is marked
+changed_while_read and has no digest. The path must be mounted on the executors; on a cluster that is a shared mount."""
 
 from __future__ import annotations
 
@@ -27,22 +29,36 @@ class Subtree(InputPartition):
         self.rel, self.deep = rel, deep
 
 
-def hash_file(path: str, limit: int | None, times: tuple[int, int]) -> tuple[str | None, str]:
-    """Digest and status; the access time is restored where the system allows it."""
+def opened(path: str) -> tuple[int, bool]:
+    """A descriptor, and whether reading leaves the access time alone."""
+    quiet = getattr(os, "O_NOATIME", 0)
+    try:
+        return os.open(path, os.O_RDONLY | quiet), bool(quiet)
+    except PermissionError:  # only the owner may ask for it
+        return os.open(path, os.O_RDONLY), False
+
+
+def hash_file(path: str, limit: int | None, before: os.stat_result) -> tuple[str | None, str]:
+    """Digest and status; before: the file's state before it was opened."""
     h, done = hashlib.sha256(), 0
     try:
-        with open(path, "rb") as f:
+        fd, quiet = opened(path)
+        with os.fdopen(fd, "rb") as f:
             while chunk := f.read(CHUNK):
                 done += len(chunk)
                 if limit is not None and done > limit:
                     return None, "hash_skipped_oversize"
                 h.update(chunk)
+            after = os.fstat(f.fileno())
     except OSError:
         return None, "read_error"
-    try:
-        os.utime(path, ns=times)
-    except OSError:
-        pass
+    if not quiet:
+        try:
+            os.utime(path, ns=(before.st_atime_ns, before.st_mtime_ns))
+        except OSError:
+            pass
+    if (after.st_size, after.st_mtime_ns) != (before.st_size, before.st_mtime_ns):
+        return None, "changed_while_read"
     return h.hexdigest(), "ok"
 
 
@@ -53,23 +69,36 @@ class FilesystemReader(DataSourceReader):
         number = lambda k: int(v) if (v := options.get(k.lower(), options.get(k))) else None
         self.hash, self.follow = on("hashFiles"), on("followLinks")
         self.limit, self.depth, self.entries = number("maxHashBytes"), number("maxDepth"), number("maxEntries")
+        self.split = number("splitDepth") or 2
 
-    def partitions(self) -> list[InputPartition]:
-        """The root's own entries, then each folder below it."""
-        parts: list[InputPartition] = [Subtree("", False)]
+    def folders(self, rel: str) -> list[str]:
+        """Folders directly below one, in name order; none if it can't be read."""
         try:
-            with os.scandir(self.root) as found:
-                parts += [Subtree(e.name, True) for e in sorted(found, key=lambda e: e.name) if e.is_dir(follow_symlinks=self.follow)]
+            with os.scandir(os.path.join(self.root, rel)) as found:
+                return [f"{rel}/{e.name}" if rel else e.name for e in sorted(found, key=lambda e: e.name) if e.is_dir(follow_symlinks=self.follow)]
         except OSError:
-            pass
+            return []
+
+    def partitions(self) -> list[InputPartition]:
+        """The root's own entries, then those of each folder down to the split depth, then each folder at it with all below."""
+        parts: list[InputPartition] = [Subtree("", False)]
+        level, deepest = [""], self.split if self.depth is None else min(self.split, self.depth)
+        for depth in range(1, deepest + 1):
+            level = [f for rel in level for f in self.folders(rel) if not self.follow or self.leads_out(f)]
+            parts += [Subtree(f, depth == deepest) for f in level]
         return parts
 
+    def leads_out(self, rel: str) -> bool:
+        """Whether a followed folder is none of those above it and not also met as itself below the root."""
+        full, real = os.path.join(os.path.realpath(self.root), rel), os.path.realpath(os.path.join(self.root, rel))
+        return real == full or not (full.startswith(real.rstrip("/") + "/") or (real + "/").startswith(os.path.realpath(self.root).rstrip("/") + "/"))
+
     def read(self, partition: Subtree) -> Iterator[tuple]:
         seen: set[str] = set()
         left = self.entries if self.entries is not None else float("inf")
-        todo = [(partition.rel, 1 if partition.deep else 0)]
+        todo = [(partition.rel, partition.rel.count("/") + 1 if partition.rel else 0)]
         while todo:
-            rel, depth = todo.pop(0)
+            rel, depth = todo.pop()
             full = os.path.join(self.root, rel) if rel else self.root
             real = os.path.realpath(full)
             if real in seen:
@@ -88,9 +117,9 @@ class FilesystemReader(DataSourceReader):
                 left -= 1
                 path = f"{rel}/{e.name}" if rel else e.name
                 yield self.row(path, os.path.join(full, e.name))
-                if partition.deep and e.is_dir(follow_symlinks=self.follow) and (self.depth is None or depth < self.depth):
+                if partition.deep and e.is_dir(follow_symlinks=self.follow) and (self.depth is None or depth < self.depth) and (not self.follow or self.leads_out(path)):
                     inner.append((path, depth + 1))
-            todo[:0] = inner
+            todo += reversed(inner)
 
     def row(self, path: str, full: str) -> tuple:
         try:
@@ -103,7 +132,7 @@ class FilesystemReader(DataSourceReader):
             if self.limit is not None and s.st_size > self.limit:
                 status = "hash_skipped_oversize"
             else:
-                digest, status = hash_file(full, self.limit, (s.st_atime_ns, s.st_mtime_ns))
+                digest, status = hash_file(full, self.limit, s)
         return (path, s.st_size, s.st_mtime_ns, s.st_ctime_ns, s.st_atime_ns, digest, kind, status)
 
 

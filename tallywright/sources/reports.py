@@ -48,8 +48,10 @@ def write_csv(df: DataFrame, folder: str) -> None:
 
 
 def markdown(df: DataFrame, title: str) -> str:
-    """A small table as Markdown."""
-    rows = df.limit(SUMMARY_ROWS).collect()
+    """A small table as Markdown; more than SUMMARY_ROWS rows are refused, not cut."""
+    rows = df.limit(SUMMARY_ROWS + 1).collect()
+    if len(rows) > SUMMARY_ROWS:
+        raise ValueError("not a summary: write it as a table")
     cell = lambda x: "" if x is None else str(x).replace("|", "\\|").replace("\n", " ")
     lines = [f"# {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
     return "\n".join([*lines, *("| " + " | ".join(map(cell, r)) + " |" for r in rows), ""])
@@ -91,3 +93,37 @@ def import_sqlite(spark: SparkSession, path: str, rows: int = 50_000) -> DataFra
                     yield pd.read_sql_query(f"SELECT {', '.join(names)} FROM files WHERE rowid BETWEEN ? AND ?", con, params=(int(start), int(start) + rows - 1), dtype_backend="numpy_nullable")
 
     return spark.range(low, high + 1, rows, max(1, -(-(high + 1 - low) // rows))).mapInPandas(read, FILES)
+
+
+#: Where a case keeps a step's table, in the order in which they are looked for: itself, its own folder, the steps of a field run.
+LAYOUTS = ("{folder}/{name}", "{folder}/{name}/{name}", "{folder}/steps/{name}", "{folder}/steps/{name}/{name}")
+
+
+def case_table(spark: SparkSession, folder: str, name: str) -> DataFrame | None:
+    """A step's table from an earlier run, as Parquet, or as JSON lines or one JSON text with .json; None if the case has none."""
+    fs = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    for layout in LAYOUTS:
+        at = layout.format(folder=folder.rstrip("/"), name=name)
+        for path, read in ((at, spark.read.parquet), (f"{at}.json", lambda p: spark.read.json(p, multiLine=True))):
+            if fs(path).getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs(path)):
+                return read(path)
+    return None
+
+
+def results_from_json(texts: DataFrame) -> DataFrame:
+    """ord, claimed_path, digest, matched_path, status, scope_verdict, missing_now from verify results kept as JSON texts (value) with items."""
+    note = "notes array<string>"
+    kind = f"items array<struct<claimed_path:string, claimed_sha256:string, matched_path:string, status:string, scope_verdict:string, {note.replace(' ', ':')}>>"
+    rows = texts.select(F.posexplode(F.from_json("value", kind)["items"]).alias("at", "i"))
+    gone = F.exists(F.coalesce("i.notes", F.array().cast("array<string>")), lambda n: n.contains("absent on current disk"))
+    return rows.select(F.col("at").cast("long").alias("ord"), "i.claimed_path", F.col("i.claimed_sha256").alias("digest"), "i.matched_path", "i.status", F.coalesce("i.scope_verdict", F.lit("unknown")).alias("scope_verdict"), gone.alias("missing_now"))
+
+
+def changes_from_json(texts: DataFrame) -> DataFrame:
+    """path, change, backdated from a diff kept as JSON texts (value) with lists added, removed, modified and accessed."""
+    entry = "array<struct<path:string, backdated:boolean>>"
+    names = ("added", "removed", "modified", "accessed")
+    held = texts.select(F.from_json("value", ", ".join(f"{n} {entry}" for n in names)).alias("d"))
+    listed = lambda n: F.transform(F.coalesce(F.col(f"d.{n}"), F.array().cast(entry)), lambda e: F.struct(e["path"].alias("path"), F.lit(n).alias("change"), F.coalesce(e["backdated"], F.lit(False)).alias("backdated")))
+    every = held.select(F.explode(F.concat(*map(listed, names))).alias("x"))
+    return every.select("x.*")

@@ -6,9 +6,12 @@ committed snapshot; a pass that was already committed is skipped, so replays of
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.query import StreamingQuery
 
 SNAPSHOT = "pass long, path string, size long, mtime_ns long, kind string"
@@ -30,13 +33,45 @@ def process_changes(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def all_passes(snapshots: DataFrame) -> DataFrame:
-    """Batch form over a table of snapshots (SNAPSHOT): pass, event, path of every pass after the first; one shuffle by path."""
-    passes = snapshots.agg(F.collect_set("pass").alias("p")).select(F.array_sort("p").alias("passes"))  # one number for each pass
-    here = snapshots.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("pass", F.struct("size", "mtime_ns").alias("v")))).alias("seen"))
-    each = here.join(F.broadcast(passes)).select("path", "seen", F.posexplode("passes").alias("i", "pass"), "passes").where("i > 0")
-    now, was = F.try_element_at("seen", F.col("pass")), F.try_element_at("seen", F.get("passes", F.col("i") - 1))
-    event = F.when(was.isNull() & now.isNotNull(), F.lit("created")).when(was.isNotNull() & now.isNull(), F.lit("removed")).when(now != was, F.lit("modified"))
-    return each.select("pass", event.alias("event"), "path").where("event IS NOT NULL")
+    """Batch form over a table of snapshots (SNAPSHOT): pass, event, path of every pass after the first; one shuffle by path.
+
+    A path that a pass lists twice counts once, with its greatest size and time."""
+    order = Window.orderBy("pass")  # one row for each pass
+    passes = snapshots.select("pass").distinct().select("pass", F.lag("pass").over(order).alias("_prior"), F.lead("pass").over(order).alias("_next"))
+    own = Window.partitionBy("path").orderBy("pass")
+    held = snapshots.groupBy("path", "pass").agg(F.max(F.struct("size", "mtime_ns")).alias("v"))
+    seen = held.withColumns({"was": F.lag(F.struct("pass", "v")).over(own), "then": F.lead("pass").over(own)}).join(passes, "pass")
+    before = F.col("was.pass").eqNullSafe(F.col("_prior"))
+    here = F.when(F.col("_prior").isNotNull(), F.when(~before, F.lit("created")).when(F.col("v") != F.col("was.v"), F.lit("modified")))
+    gone = F.when(F.col("_next").isNotNull() & ~F.col("then").eqNullSafe(F.col("_next")), F.lit("removed"))
+    each = seen.select("path", F.explode(F.array(F.struct(F.col("pass").alias("at"), here.alias("event")), F.struct(F.col("_next").alias("at"), gone.alias("event")))).alias("x"))
+    return each.select(F.col("x.at").alias("pass"), "x.event", "path").where("event IS NOT NULL")
+
+
+def pass_summary(events: DataFrame) -> DataFrame:
+    """pass, event, items of the monitor's events; the first pass counts as snapshot_init."""
+    return events.groupBy("pass", "event").agg(F.count("*").alias("items"))
+
+
+class StopMarker(StreamingQueryListener):
+    """Appends a line with the time and the reason to a table of stops when the query of that id ends, by stop() or by an error."""
+
+    def __init__(self, spark: SparkSession, folder: str, query_id: str):
+        self.spark, self.folder, self.query_id = spark, folder, query_id
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        if str(event.id) == self.query_id:
+            row = [(dt.datetime.now(dt.UTC).isoformat(timespec="seconds"), "failed" if event.exception else "stopped")]
+            self.spark.createDataFrame(row, "at_utc string, reason string").write.mode("append").parquet(self.folder)
 
 
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame | None:

@@ -117,6 +117,9 @@ def test_places_and_names(spark):
     items = [("\\\\srv\\x", "remote_unc"), ("C:\\Users\\OneDrive - 회사\\a", "cloud_sync"), ("C:\\XboxGaming\\a", "local_unverified"), ("D:\\box\\a", "cloud_sync"), ("", "unknown"), (None, "unknown"), ("C:\\네이버리뷰링크\\a", "local_unverified")]
     got = boundary.territories(spark.createDataFrame([(p,) for p, _ in items], "claimed_path string")).collect()
     assert sorted((r["claimed_path"] or "", r["territory"]) for r in got) == sorted((p or "", t) for p, t in items)
+    volumes = spark.createDataFrame([("D:", "removable"), ("E", "fixed")], "drive string, type string")
+    got = boundary.territories(spark.createDataFrame([('"D:\\x"',), (" e:\\y ",), ('"\\\\srv\\z"',)], "claimed_path string"), volumes).collect()
+    assert sorted((r["territory"], r["violation"]) for r in got) == [("local_fixed", False), ("remote_unc", True), ("removable", True)]
     quiet = ["deselectedTab_1x1.gif", "DevDispItemProvider.dll", "gpresult.exe", "ExtExport.exe", "DXToolsReporting.dll"]
     loud = {"selected_files.txt": "list_named", "forensic-report.pdf": "list_named", "압수물목록.xlsx": "list_named", "a.zip": "container_in_window", "x.pdf": "possible_list"}
     for n in quiet:

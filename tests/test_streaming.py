@@ -27,3 +27,22 @@ def test_processes(spark):
     a = spark.createDataFrame([(1, "x"), (2, "y")], "pid int, name string")
     b = spark.createDataFrame([(2, "y"), (3, "z")], "pid int, name string")
     assert sorted(tuple(r) for r in watch.process_changes(a, b).collect()) == [("process_ended", 1, "x"), ("process_started", 3, "z")]
+
+
+def test_all_passes(spark):
+    """The batch form: a path that comes back, one that a pass lists twice, and one that never changes."""
+    rows = [(1, "a", 1), (3, "a", 1), (7, "a", 2), (1, "b", 1), (3, "b", 1), (3, "b", 5), (7, "b", 5), (1, "c", 1), (7, "c", 1), (3, "d", 1)]
+    df = spark.createDataFrame([(n, p, s, 1, "file") for n, p, s in rows], watch.SNAPSHOT)
+    events = watch.all_passes(df)
+    assert sorted(tuple(r) for r in events.collect()) == [(3, "created", "d"), (3, "modified", "b"), (3, "removed", "c"), (7, "created", "c"), (7, "modified", "a"), (7, "removed", "d")]
+    assert {(r["pass"], r["event"]): r["items"] for r in watch.pass_summary(events).collect()}[7, "created"] == 1
+    assert watch.all_passes(df.limit(0)).count() == 0
+
+
+def test_stop_marker(spark, tmp_path):
+    from types import SimpleNamespace
+
+    marker = watch.StopMarker(spark, f"{tmp_path}/stops", "q1")
+    for query in ("other", "q1"):
+        marker.onQueryTerminated(SimpleNamespace(id=query, exception=None))
+    assert [r["reason"] for r in spark.read.parquet(f"{tmp_path}/stops").collect()] == ["stopped"]
