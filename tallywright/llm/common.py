@@ -87,6 +87,18 @@ def tidy(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow, after which a worker gives back what Arrow's pool holds: workers live on and serve the next stages."""
+
+    def tidily(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(tidily, schema)
+
+
 def fold(doc_id: str | Column = "doc_id") -> Column:
     """crc32 of the id as text, mod 5; a null id counts as an empty text."""
     column = F.col(doc_id) if isinstance(doc_id, str) else doc_id

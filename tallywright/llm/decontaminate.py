@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, buffers, cut, shingles, words
+from .common import U64, buffers, cut, mapped, shingles, words
 
 THRESHOLD = 0.8
 RADIUS = 15
@@ -227,7 +227,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 numbers = [pa.array([r[c] for r in rows], t) for c, t in ((3, pa.float64()), (2, pa.int64()), (4, pa.int64()))]
                 yield pa.RecordBatch.from_arrays([ids, item, *numbers], ["doc_id", "item_id", "similarity", "first_word", "n_words"])
 
-        part = text.mapInArrow(run, schema)
+        part = mapped(text, run, schema)
         if count > 1:
             part = cut(part)
             shared.unpersist()
@@ -266,9 +266,9 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 yield b.filter(pa.array(held == hit))
 
         if count == 1:
-            return docs.mapInArrow(lambda batches: run(batches, False, position), docs.schema)  # noqa: B023
+            return mapped(docs, lambda batches: run(batches, False, position), docs.schema)  # noqa: B023
         text = docs.select("text").where("text IS NOT NULL")
-        part = cut(text.mapInArrow(lambda batches: run(batches, True, 0), text.schema).select(key[0].alias("_a"), key[1].alias("_b")).distinct())  # noqa: B023
+        part = cut(mapped(text, lambda batches: run(batches, True, 0), text.schema).select(key[0].alias("_a"), key[1].alias("_b")).distinct())  # noqa: B023
         shared.unpersist()
         bad = part if bad is None else bad.union(part)
     if bad is None:

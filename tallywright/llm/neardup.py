@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, WORD_MIX, buffers, cut, mix, scratch, shingles, tidy, words
+from .common import U64, WORD_MIX, buffers, cut, mapped, mix, scratch, shingles, tidy, words
 from .components import components
 
 THRESHOLD = 0.8
@@ -157,7 +157,7 @@ def sketches(docs: DataFrame) -> DataFrame:
             k1, k2 = (pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1))
             yield pa.RecordBatch.from_arrays([batch.column(0), k1, k2, pa.array(n, pa.int64()), lists(held)], ["doc_id", "k1", "k2", "n", "bands"])
 
-    return with_ids(docs).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, k1 long, k2 long, n long, bands array<long>")
+    return mapped(with_ids(docs), run, f"doc_id {dict(docs.dtypes)['doc_id']}, k1 long, k2 long, n long, bands array<long>")
 
 
 def sequences(docs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -179,7 +179,7 @@ def sequences(docs: DataFrame, reps: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(held)), keys, n, lists(held)], ["rep", "key", "n", "x"])
 
     texts = with_ids(docs).join(reps, F.col("doc_id") == F.col("rep"), "left_semi")
-    return texts.mapInArrow(run, f"rep {dict(docs.dtypes)['doc_id']}, key long, n long, x array<long>")
+    return mapped(texts, run, f"rep {dict(docs.dtypes)['doc_id']}, key long, n long, x array<long>")
 
 
 def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
@@ -195,7 +195,7 @@ def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(value).filter(keep)], ["u", "v", "similarity"])
 
     kind = dict(held.dtypes)["rep"]
-    return full.mapInArrow(run, f"u {kind}, v {kind}, similarity double")
+    return mapped(full, run, f"u {kind}, v {kind}, similarity double")
 
 
 def buckets(banded: DataFrame) -> DataFrame:

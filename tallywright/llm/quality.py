@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, fold, tidy
+from .common import buffers, fold, mapped, tidy
 from .labelled import sample
 
 DICTIONARY_BYTES = 110_000
@@ -51,6 +51,12 @@ class Model:
         x = features(np.array([(*self.sizes(t), len(t)) for t in texts], float))
         return logistic(((x - self.mean) / self.scale) @ self.weights[1:] + self.weights[0])
 
+    def score_column(self, texts: pa.Array) -> np.ndarray:
+        """Scores of an Arrow column; the texts aren't copied."""
+        data, offs = buffers(texts)
+        view, ends = memoryview(data), offs.tolist()
+        return self.score([view[a:b] for a, b in zip(ends, ends[1:], strict=False)])
+
 
 def features(sizes: np.ndarray) -> np.ndarray:
     """From compressed sizes (good, bad) and byte lengths: the normalised difference and both ratios, with squares."""
@@ -110,13 +116,11 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, offs = buffers(b.column(2))
-            view = data.tobytes()
-            got = model.score([view[offs[i] : offs[i + 1]] for i in range(b.num_rows)])
+            got = model.score_column(b.column(2))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.float64()), pa.array((got >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     kind = dict(docs.select("doc_id").dtypes)["doc_id"]
-    return docs.select("doc_id", (fold() == 0).alias("held_out"), F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return mapped(docs.select("doc_id", (fold() == 0).alias("held_out"), F.coalesce(F.col("text"), F.lit("")).alias("text")), run, f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -131,8 +135,6 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, offs = buffers(b.column(position))
-            view = data.tobytes()
-            yield b.filter(pa.array(model.score([view[offs[i] : offs[i + 1]] for i in range(b.num_rows)]) >= threshold))
+            yield b.filter(pa.array(model.score_column(b.column(position)) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUE, PIECE, U64, WORD_MIX, buffers, cut, mix, power_tables, scratch, tidy, words
+from .common import BYTE_VALUE, PIECE, U64, WORD_MIX, buffers, cut, mapped, mix, power_tables, scratch, tidy, words
 
 BYTES, BYTE_GRAM = 100, 20
 WORDS, WORD_GRAM = 50, 10
@@ -180,7 +180,7 @@ def first_rows(docs: DataFrame, kind: Kind) -> DataFrame:
                         parts, which, size = [], [], 0
             yield batch()
 
-    return docs.mapInArrow(run, ROW.format(dict(docs.dtypes)["id"]))
+    return mapped(docs, run, ROW.format(dict(docs.dtypes)["id"]))
 
 
 def sort_pass(rows: DataFrame, last: bool) -> tuple[DataFrame, DataFrame | None]:
@@ -226,7 +226,7 @@ def snippets(docs: DataFrame, wanted: DataFrame, kind: Kind) -> DataFrame:
                     out, which, ats, shapes, size = [], [], [], [], 0
             yield batch()
 
-    return held.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, at int, shape int, units binary")
+    return mapped(held, run, f"id {dict(docs.dtypes)['id']}, at int, shape int, units binary")
 
 
 def split_rows(pieces: DataFrame, kind: Kind, step: int) -> DataFrame:
@@ -242,7 +242,7 @@ def split_rows(pieces: DataFrame, kind: Kind, step: int) -> DataFrame:
             parent = b.column(1).to_numpy()[which]
             yield rows_batch(b.column(0), core, units, which, at + parent, shape, parent)
 
-    return pieces.mapInArrow(run, ROW.format(dict(pieces.dtypes)["id"]))
+    return mapped(pieces, run, ROW.format(dict(pieces.dtypes)["id"]))
 
 
 def narrowed(pieces: DataFrame, wanted: DataFrame, kind: Kind) -> DataFrame:
@@ -319,7 +319,7 @@ def digest(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(shas, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     held = with_spans(texts, False).select("doc_id", "text", "_ats", "_windows")
-    return held.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return mapped(held, run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -356,4 +356,4 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 arrays[at_chars] = pa.array(chars, arrays[at_chars].type)
             yield pa.RecordBatch.from_arrays(arrays, columns).filter(pa.array(keep))
 
-    return held.mapInArrow(run, docs.schema)
+    return mapped(held, run, docs.schema)
