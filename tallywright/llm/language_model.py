@@ -1,16 +1,19 @@
 """Operator 7, LM scoring: a hashed maximum-entropy model with class-factored softmax.
 
-P(token | history) = P(class | history) P(token | class), plus P(repeat | history) if the token is the one before it.
+P(token | history) = P(class | history) P(part | class, history) P(token | part), plus P(repeat | history) if the token is the one before it.
 
 Classes: a word's last three bytes name one of BUCKETS buckets; buckets are clustered by what comes before their words (counted over all
 training texts), so that a class is, say, the words of one language. The end of a text is a class, and so is "the same
-token again". P(class | history) is a softmax over hashed n-gram and skip features of the history. P(token | class) is the
-maximum-entropy solution with the token itself as only feature: its count + 0.5 over those of its class, with one more
-token for all unknown ones. Probabilities over all tokens sum to 1.
+token again". A class's tokens are dealt into PARTS by their hash. Both factors are softmaxes over n-gram and skip features:
+the class's of the last bytes of earlier tokens, the part's of whole tokens, hashed with the class: the two before, and the one
+before the last. A part's score starts at the log of its share of the counts, which is what it is without a history. Within a part
+a token has its count + 0.5 over those of the part, with one more token for all unknown ones. Probabilities over all tokens sum to 1.
 
-Training is distributed: each task makes AdaGrad updates over its own texts, in sparse numpy batches, and the tasks' weights are
-averaged by their tokens. Token counts are summed over all training texts. Scoring broadcasts the model and the
-FREQUENT most frequent tokens' counts (both of bounded size); other tokens meet their counts in a join.
+Training is distributed: each task makes AdaGrad updates over its own texts, in sparse numpy batches; the classes' weights of the tasks
+are averaged by their tokens, the parts' row by row by how often each task met the row. Token counts are summed over all
+training texts. Scoring broadcasts the model and the FREQUENT most frequent tokens' counts (all of bounded size); other tokens
+meet their counts in a join. A hashed row serves all histories that fall into it, so what one rare history teaches fades as the corpus
+grows; HASHED is the parameter for that.
 
 Tokens are compared by 64-bit hashes of their lower-cased bytes.
 
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, buffers, cut, fold, words
+from .common import U64, WORD_MIX, buffers, cut, fold, mix, words
 
 BUCKETS = 1024
 COARSE = 128
@@ -39,6 +42,11 @@ SKIPS = (1, 2, 3, 5, 8)
 ROWS = 4 + len(SKIPS) * BUCKETS + PAIRS
 BATCH = 8192
 RATE = 0.15
+#: Parts of a class, and rows of weights for each kind of feature that chooses among them.
+PARTS = 16
+HASHED = 1 << 16
+KINDS = 2
+PART_RATE = 0.3
 #: At most so many tokens' counts are broadcast: 16 bytes each.
 FREQUENT = 300_000
 END_HASH = U64(0x1F3A5C7E9B2D4F61)
@@ -73,6 +81,21 @@ class Tokens:
             out[k:] = np.where(self.place[k:] >= k, self.bucket[:-k], 1)
         return out
 
+    def token_before(self, k: int) -> np.ndarray:
+        """The hash of the token k places earlier in the text; that of an end before its start."""
+        out = np.full(len(self.hash), END_HASH, U64)
+        if len(out) > k:
+            out[k:] = np.where(self.place[k:] >= k, self.hash[:-k], END_HASH)
+        return out
+
+    def part(self) -> np.ndarray:
+        return (mix(self.hash ^ WORD_MIX[30]) >> U64(60)).astype(np.int64)
+
+    def part_features(self, classes: np.ndarray) -> list[np.ndarray]:
+        """A row of each kind of weights for the part of each token: of the two tokens before it, and of the one before the last."""
+        last, second, own = self.token_before(1), self.token_before(2), classes.astype(U64) * WORD_MIX[31]
+        return [(mix(h) >> U64(48)).astype(np.uint16) for h in (last * WORD_MIX[32] + second * WORD_MIX[33] + own, second * WORD_MIX[34] + own)]
+
     def repeated(self) -> np.ndarray:
         out = np.zeros(len(self.hash), bool)
         out[1:] = (self.hash[1:] == self.hash[:-1]) & (self.place[1:] > 0)
@@ -102,7 +125,8 @@ def slices(column: pa.Array) -> Iterator[tuple[int, int, Tokens]]:
 
 
 def counts(texts: DataFrame) -> DataFrame:
-    """kind, key, bucket, n: of each token (kind 0) and of each bucket after each coarse bucket (kind 1), over all texts."""
+    """kind, key, bucket, n: of each token (kind 0; bucket and part in one number) and of each bucket after each coarse bucket (kind 1),
+    over all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = np.zeros(BUCKETS * COARSE, np.int64)
@@ -111,7 +135,7 @@ def counts(texts: DataFrame) -> DataFrame:
             for _, _, t in slices(b.column(0)):
                 key, at, n = np.unique(t.hash, return_index=True, return_counts=True)
                 hashes.append(key)
-                buckets.append(t.bucket[at])
+                buckets.append(t.bucket[at] * PARTS + t.part()[at])
                 numbers.append(n)
                 pairs += np.bincount(t.bucket * COARSE + t.before(1) % COARSE, minlength=len(pairs))
             if hashes:
@@ -153,16 +177,48 @@ def softmax(weights: np.ndarray, active: np.ndarray) -> np.ndarray:
     return z
 
 
-def train(texts: DataFrame, class_of: np.ndarray) -> np.ndarray:
-    """Weights, averaged over what each task has learned from its texts; sums meet in two levels of tasks."""
+def part_shares(base: np.ndarray, weights: np.ndarray, classes: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+    """P(part | class, history) of several tokens; base: logs of the parts' shares without a history."""
+    z = base[classes]
+    for kind, r in enumerate(rows):
+        z += weights[kind, r]
+    z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(axis=1, keepdims=True)
+    return z
+
+
+def learn_parts(base: np.ndarray, weights: np.ndarray, squares: np.ndarray, hits: np.ndarray, classes: np.ndarray, part: np.ndarray, rows: list[np.ndarray]) -> None:
+    """One AdaGrad update of the rows that a batch of tokens meets."""
+    g = part_shares(base, weights, classes, rows)
+    g[np.arange(len(part)), part] -= 1
+    for kind, r in enumerate(rows):
+        order = np.argsort(r, kind="stable")
+        first = np.flatnonzero(np.append(True, r[order][1:] != r[order][:-1]))
+        met, total = r[order[first]], np.add.reduceat(g[order], first, axis=0)
+        squares[kind, met] += total * total
+        weights[kind, met] -= PART_RATE * total / np.sqrt(squares[kind, met])
+        hits[kind, met] += np.diff(np.append(first, len(r)))
+
+
+def train(texts: DataFrame, class_of: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of classes and of parts, averaged over what each task has learned from its texts; sums meet in two levels of tasks."""
+    slabs = 32  # pieces that the parts' weights travel in
+    wide = KINDS * HASHED // slabs
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, squares, seen = np.zeros((ROWS, CLASSES), np.float32), np.full(ROWS * CLASSES, 1e-3), 0
+        inner, inner_squares, hits = np.zeros((KINDS, HASHED, PARTS), np.float32), np.ones((KINDS, HASHED, PARTS), np.float32), np.zeros((KINDS, HASHED), np.float32)
         columns = np.arange(CLASSES)
         for b in batches:
             for _, _, t in slices(b.column(0)):
                 active, target = t.features(), class_of[t.bucket]
                 target[t.repeated()] = REPEAT
+                inside = np.flatnonzero(target < CLUSTERS)
+                part, hashed = t.part(), t.part_features(target)
+                for k in range(0, len(inside), BATCH):
+                    some = inside[k : k + BATCH]
+                    learn_parts(base, inner, inner_squares, hits, target[some], part[some], [h[some] for h in hashed])
                 at = 0
                 while at < len(target):  # small batches at first: a task's first tokens teach most
                     size = min(BATCH, max(128, seen // 8))
@@ -176,37 +232,68 @@ def train(texts: DataFrame, class_of: np.ndarray) -> np.ndarray:
                     w -= (RATE * total / np.sqrt(squares)).astype(np.float32).reshape(w.shape)
                     seen += len(y)
         if seen:
-            flat = (w.astype(np.float64) * seen).ravel()
-            parts = np.array_split(flat, 16)
-            yield pa.RecordBatch.from_arrays([pa.array(range(16), pa.int32()), pa.array([seen] * 16, pa.int64()), pa.array(parts, pa.list_(pa.float64()))], ["part", "seen", "sums"])
+            flat = (w.astype(np.float64) * seen).ravel().astype(np.float32)
+            sums = [*np.array_split(flat, 16), *np.split((inner * hits[:, :, None]).ravel(), slabs)]
+            weights = [*[np.array([seen], np.float32)] * 16, *np.split(hits.ravel(), slabs)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(sums)), pa.int32()), pa.array(sums, pa.list_(pa.float32())), pa.array(weights, pa.list_(pa.float32()))], ["part", "sums", "weights"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, tuple[int, np.ndarray]] = {}
+        sums: dict[int, list[np.ndarray]] = {}
         for b in batches:
-            for part, seen, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                old = sums.get(part, (0, 0.0))
-                sums[part] = old[0] + seen, old[1] + x.values.to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s for s, _ in sums.values()], pa.int64()), pa.array([x for _, x in sums.values()], pa.list_(pa.float64()))], ["part", "seen", "sums"])
-
-    schema = "part int, seen long, sums array<double>"
+            for part, x, n in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+                x, n = x.values.to_numpy().astype(np.float64), n.values.to_numpy().astype(np.float64)
+                if part in sums:
+                    sums[part][0] += x
+                    sums[part][1] += n
+                else:
+                    sums[part] = [x, n]
+        kinds = pa.list_(pa.float32())
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), *[pa.array([v[k].astype(np.float32) for v in sums.values()], kinds) for k in (0, 1)]], ["part", "sums", "weights"])
+
+    schema = "part int, sums array<float>, weights array<float>"
     local = texts.mapInArrow(learn, schema)
     some = local.repartition(F.col("part"), F.floor(F.rand(5) * 8)).mapInArrow(add, schema)
-    rows = some.repartition("part").mapInArrow(add, schema).collect()
-    if not rows:
-        return np.zeros((ROWS, CLASSES), np.float32)
-    rows.sort(key=lambda r: r["part"])
-    return np.concatenate([np.array(r["sums"]) / r["seen"] for r in rows]).astype(np.float32).reshape(ROWS, CLASSES)
+    got = some.repartition("part").mapInArrow(add, schema).toArrow()  # 48 rows: the model, of fixed size
+    outer, inner = np.zeros((ROWS, CLASSES), np.float32), np.zeros((KINDS, HASHED, PARTS), np.float32)
+    if not got.num_rows:
+        return outer, inner
+    rows = {p: (x.values.to_numpy(), n.values.to_numpy()) for p, x, n in zip(got["part"].to_pylist(), got["sums"], got["weights"], strict=True)}
+    outer[:] = np.concatenate([rows[k][0] / rows[k][1][0] for k in range(16)]).reshape(ROWS, CLASSES)
+    inner[:] = np.concatenate([rows[16 + k][0].reshape(wide, PARTS) / np.maximum(rows[16 + k][1], 1)[:, None] for k in range(slabs)]).reshape(inner.shape)
+    return outer, inner
 
 
 class Model:
-    """Bounded: weights, the class of each bucket, class totals and the most frequent tokens' counts."""
+    """Bounded: weights, the class of each bucket, totals of parts and the most frequent tokens' counts."""
 
-    def __init__(self, weights, class_of, known, frequent, frequent_n, total, distinct):
-        self.weights, self.class_of, self.frequent, self.frequent_n = weights, class_of, frequent, frequent_n
-        self.total, self.distinct = total, distinct
-        self.norm = np.array([n + 0.5 * (v + 1) for n, v in known])
+    def __init__(self, weights, inner, base, norm, class_of, frequent, frequent_n, total, distinct):
+        self.weights, self.inner, self.base, self.norm, self.class_of = weights, inner, base, norm, class_of
+        self.frequent, self.frequent_n, self.total, self.distinct = frequent, frequent_n, total, distinct
         self.base_norm = total + 0.5 * (distinct + 1)
 
+    def shares(self, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
+        """For each token: what a count of 1 in its part is worth, and P(repeat)."""
+        cls, part, active = self.class_of[t.bucket], t.part(), t.features()
+        hashed = t.part_features(cls)
+        share, repeat = np.empty(len(cls)), np.empty(len(cls))
+        for k in range(0, len(cls), BATCH):
+            at = slice(k, k + BATCH)
+            p, own = softmax(self.weights, active[at]), np.arange(len(cls[at]))
+            share[at] = p[own, cls[at]]
+            repeat[at] = p[:, REPEAT]
+            inside = np.flatnonzero(cls[at] < CLUSTERS)
+            q = part_shares(self.base, self.inner, cls[at][inside], [h[at][inside] for h in hashed])
+            share[k + inside] *= q[np.arange(len(inside)), part[at][inside]]
+        return share / self.norm[cls, part], repeat
+
+
+def part_totals(known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """norm: what the probabilities of a part's tokens are divided by; logs of the parts' shares. known: n, v of [class, part].
+
+    The end of a text has one part, its own."""
+    norm = known[:, :, 0] + 0.5 * (known[:, :, 1] + 1)
+    return norm, np.log(norm / norm.sum(axis=1, keepdims=True)).astype(np.float32)
+
 
 def fit(spark: SparkSession, texts: DataFrame) -> tuple[Model, DataFrame]:
     """The model, and key, n of every training token."""
@@ -217,10 +304,11 @@ def fit(spark: SparkSession, texts: DataFrame) -> tuple[Model, DataFrame]:
     class_of = cluster(pairs.reshape(BUCKETS, COARSE))
     tokens = every.where("kind = 0").select("key", "bucket", "n")
     by_bucket = tokens.groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
-    known = np.zeros((CLASSES, 2))
+    known = np.zeros((CLASSES, PARTS, 2))
     for r in by_bucket:
-        known[class_of[r["bucket"]]] += (r["n"], r["v"])
-    total, distinct = int(known[:, 0].sum()), int(known[:, 1].sum())
+        known[class_of[r["bucket"] // PARTS], r["bucket"] % PARTS] += (r["n"], r["v"])
+    total, distinct = int(known[:, :, 0].sum()), int(known[:, :, 1].sum())
+    norm, base = part_totals(known)
     # the least count of which FREQUENT tokens at most have as much; counts from 4096 on are counted in powers of two
     size = F.when(F.col("n") < 4096, F.col("n")).otherwise(F.pow(F.lit(2), F.floor(F.log2("n"))).cast("long"))
     levels = tokens.groupBy(size.alias("n")).count().collect()
@@ -236,7 +324,8 @@ def fit(spark: SparkSession, texts: DataFrame) -> tuple[Model, DataFrame]:
         keys = got["key"].to_numpy().view(U64)
         order = np.argsort(keys)
         frequent, frequent_n = keys[order], got["n"].to_numpy()[order].astype(float)
-    return Model(train(texts, class_of), class_of, known, frequent, frequent_n, total, distinct), tokens.select("key", "n")
+    weights, inner = train(texts, class_of, base)
+    return Model(weights, inner, base, norm, class_of, frequent, frequent_n, total, distinct), tokens.select("key", "n")
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -253,18 +342,12 @@ def score(docs: DataFrame) -> DataFrame:
         for b in batches:
             row = b.column(0).to_numpy()
             for at, till, t in slices(b.column(2)):
-                again, cls = t.repeated(), m.class_of[t.bucket]
-                share, repeat = np.empty(len(cls)), np.empty(len(cls))
-                active = t.features()
-                for k in range(0, len(cls), BATCH):
-                    p = softmax(m.weights, active[k : k + BATCH])
-                    share[k : k + BATCH] = p[np.arange(len(p)), cls[k : k + BATCH]]
-                    repeat[k : k + BATCH] = p[:, REPEAT]
-                share /= m.norm[cls]
+                again = t.repeated()
+                share, repeat = m.shares(t)
                 repeat[~again] = 0
                 place = np.minimum(np.searchsorted(m.frequent, t.hash), max(len(m.frequent) - 1, 0))
-                common = m.frequent[place] == t.hash if len(m.frequent) else np.zeros(len(cls), bool)
-                n = np.where(common, m.frequent_n[place], 0.0) if len(m.frequent) else np.zeros(len(cls))
+                common = m.frequent[place] == t.hash if len(m.frequent) else np.zeros(len(share), bool)
+                n = np.where(common, m.frequent_n[place], 0.0) if len(m.frequent) else np.zeros(len(share))
                 base = np.where(common, np.log10((n + 0.5) / m.base_norm), 0.0)
                 own = np.where(common, np.log10(repeat + share * (n + 0.5)), 0.0)
                 first = t.first[:-1]
