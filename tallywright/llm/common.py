@@ -36,8 +36,14 @@ SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
 
 
+#: Texts go to Python workers in batches of so many bytes at most, or one by one where a text is longer.
+BATCH_BYTES = 8 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder; the session then bounds its Arrow batches by bytes, which holds down both the JVM's and the workers' memory."""
     ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
