@@ -1,14 +1,14 @@
 """Operator 10, document fingerprints: one-permutation MinHash with optimal densification and packed low-order bits.
 
 DataFrame functions only. A text's distinct five-word shingles are hashed once; the top bits of a hash name its bin and
-each bin keeps its least hash. An empty bin takes over the value of the first filled bin on its own pseudo-random probe
-sequence, the same for every text. Of each bin's value, re-hashed with the bin's number, the low 8 bits are kept.
+each bin keeps its least hash. An empty bin takes over the value of the first filled bin on its own probe sequence, the same
+for every text: from a hashed start by a hashed odd step, so that every bin comes by (not a fresh draw at each step). Of each bin's value, re-hashed with the bin's number, the low 8 bits are kept.
 The likeness of two fingerprints is the share of equal bins, corrected for the 1 in 256 that agree by chance.
 
 Edge cases: words are split at ASCII white space and compared with a-z folded to lower case; a text of one to four words
 is one shingle; a text without words (empty, null, white space) has the fingerprint '', like 1.0 to another such text and
 0.0 to any other. Equal texts have equal fingerprints. Documents with equal ids follow one another by hash of the text;
-a null id comes last. A sole document is its own next one.
+a null id comes last. A sole document is its own next one. Ids are numbers.
 """
 
 from __future__ import annotations

@@ -6,7 +6,7 @@ released block with the earliest deadline. As the weights sum to Q, the schedule
 source has had its due share within less than one block. Only one period is simulated, on the driver, whatever the size
 of the corpus; where a block falls follows by arithmetic.
 
-The mix is as long as it takes for every block of every source to be used once; sources with less text than their weight asks
+The mix goes on to the last of the deadlines of all sources' last blocks, so that every block of every source is used once; sources with less text than their weight asks
 for go round again (epoch 1, 2, ...). No document is dropped.
 
 Edge cases: a null source is a source of its own; empty and null texts count as one byte; documents with equal ids keep

@@ -74,6 +74,33 @@ def test_bins_match_plain_version(spark):
     assert got == "".join(f"{r['x']:02x}" for r in sorted(expected))
 
 
+def test_empty_bins_match_plain_version(spark):
+    """Texts of few shingles: each empty bin has the value of the first filled bin on its own probe sequence."""
+    import random
+
+    rnd = random.Random(4)
+    texts = {n: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(n)) for n in (1, 4, 5, 6, 9, 20, 60, 150, 400)}
+    walks = {r["j"]: r["w"] for r in spark.range(fp.BINS).select(F.col("id").alias("j"), F.array(*[fp.probe(F.col("id").cast("int"), F.lit(t)) for t in range(fp.BINS)]).alias("w")).collect()}
+    assert all(sorted(w) == list(range(fp.BINS)) for w in walks.values())
+    expected = []
+    for n, text in texts.items():
+        least = least_by_bin(text)
+        for j in range(fp.BINS):
+            value = least[j] if j in least else next(least[c] for c in walks[j] if c in least)
+            expected.append((n, j, signed(value)))
+    low = spark.createDataFrame(expected, "n int, j int, h long").select("n", "j", F.pmod(F.xxhash64("h", "j"), F.lit(256)).alias("x")).collect()
+    want = {n: "".join(f"{x:02x}" for _, x in sorted((r["j"], r["x"]) for r in low if r["n"] == n)) for n in texts}
+    got = {r["doc_id"]: r["fingerprint"] for r in fp.fingerprints(docs_of(spark, list(texts.items()))).collect()}
+    assert got == want
+
+
+def test_long_text(spark):
+    """A text of 2 million characters is fingerprinted whole: a change at its end shows."""
+    text = "word " * 300_000 + "one two three four five"
+    rows = fp.fingerprints(docs_of(spark, [(1, text), (2, text + " six seven eight nine ten")])).collect()
+    assert rows[0]["n_chars"] == len(text) and rows[0]["fingerprint"] != rows[1]["fingerprint"]
+
+
 def test_likeness_follows_jaccard(spark):
     import random
 

@@ -294,6 +294,43 @@ def test_mixing(spark):
     assert mixing.place(odd(spark)).select("doc_id").where("epoch = 0").count() == len(ODD)
 
 
+def test_mixing_against_plain_version(spark):
+    """Every row, from a simulation of the whole stream slot by slot."""
+    rnd = random.Random(31)
+    rows = [(i, text_of(rnd, rnd.randrange(0, 50)), "hot" if i % 3 else f"s{i % 5}") for i in range(300)] + [(900, None, None), (901, "", None), (902, "x" * 3000, "s1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    block, period = 700, 64
+    got = [(r["doc_id"], r["source"], r["block"], r["epoch"], r["slot"], r["offset"]) for r in mixing.place(df, block_bytes=block, period=period).collect()]
+    hashes = {r["doc_id"]: r["h"] for r in df.select("doc_id", F.xxhash64("doc_id", F.lit("mix")).alias("h")).collect()}
+    key = lambda s: "null" if s is None else f"={s}"
+    size = lambda t: max(len((t or "").encode()), 1)
+    total = collections.Counter()
+    for _, t, s in rows:
+        total[key(s)] += size(t)
+    slots, period = mixing.whole_weights({k: b**mixing.TEMPERATURE for k, b in total.items()}, period)
+    groups, place = 16, {}
+    for k in total:
+        at = 0
+        for i, t, _ in sorted((r for r in rows if key(r[2]) == k), key=lambda r: (hashes[r[0]] % groups, hashes[r[0]], r[0])):
+            place[i] = (k, at // block, at % block)
+            at += size(t)
+    blocks = {k: -(-b // block) for k, b in total.items()}
+    done, stream = dict.fromkeys(slots, 0), []
+    while len(stream) < max(-(-blocks[k] * period // slots[k]) for k in slots):  # each slot to the released block with the earliest deadline
+        t = len(stream)
+        ready = [(-(-(done[k] + 1) * period // a), k) for k, a in slots.items() if done[k] * period // a <= t]
+        k = min(ready)[1]
+        stream.append((k, done[k]))
+        done[k] += 1
+    want = []
+    for slot, (k, turn) in enumerate(stream):
+        for i, _, s in rows:
+            if place[i][:2] == (k, turn % blocks[k]):
+                want.append((i, s, place[i][1], turn // blocks[k], slot, place[i][2]))
+    ordered = lambda xs: sorted(xs, key=lambda x: (x[0], x[3], x[4]))
+    assert ordered(got) == ordered(want)
+
+
 # --- 4 html
 
 
@@ -612,26 +649,81 @@ def test_language_model(spark):
     assert language_model.score(odd(spark)).count() == len(ODD)
 
 
+def tokens_of_text(text):
+    return language_model.Tokens(*common.buffers(pa.array([text])))
+
+
+def plain_score(model, known, text):
+    """log10 of a text's probability, token by token from the model's definition."""
+    t = tokens_of_text(text)
+    total = 0.0
+    for i in range(len(t.hash)):
+        z = sum(model.weights[r].astype(float) for r in t.features()[i])
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        c, part = int(model.class_of[t.bucket[i]]), int(t.part()[i])
+        q = 1.0
+        if c < language_model.CLUSTERS:
+            rows = [h[i] for h in t.part_features(np.full(len(t.hash), c))]
+            y = model.base[c].astype(float) + sum(model.inner[k, r] for k, r in enumerate(rows))
+            q = float(np.exp(y[part]) / np.exp(y).sum())
+        n = known.get(int(np.array(t.hash[i]).view(np.int64)), 0)
+        total += math.log10(p[c] * q * (n + 0.5) / model.norm[c, part] + (p[language_model.REPEAT] if t.repeated()[i] else 0.0))
+    return total
+
+
+def test_model_score_against_plain_version(spark):
+    rnd = random.Random(21)
+    rows = [(i, " ".join(rnd.choice(WORDS[: rnd.choice([6, 200])]) for _ in range(rnd.randrange(1, 60)))) for i in range(80)] + [(100, None), (101, "one one one two")]
+    df = docs_of(spark, rows)
+    old, language_model.FREQUENT = language_model.FREQUENT, 40  # most tokens meet their counts in the join
+    try:
+        model, found = language_model.fit(spark, df.where(common.fold() != 1).select(F.coalesce("text", F.lit("")).alias("text")))
+        known = {r["key"]: r["n"] for r in found.collect()}
+        got = {r["doc_id"]: r["score"] for r in language_model.score(df).collect()}
+    finally:
+        language_model.FREQUENT = old
+    for i, t in rows:
+        assert got[i] == pytest.approx(plain_score(model, known, t or ""), abs=2e-3), i
+
+
+def test_parts_learn_from_whole_tokens(spark):
+    """Of a few fixed phrases of words that are alike to the classes, the history tells which word comes next."""
+    rnd = random.Random(22)
+    pool = [f"{a}{b}x{c}ka" for a in "bdfgk" for b in "aeiou" for c in "lmnrst"]
+    phrases = [rnd.sample(pool, 6) for _ in range(12)]
+    df = docs_of(spark, [(i, " ".join(w for _ in range(20) for w in rnd.choice(phrases))) for i in range(200)])
+    model, _ = language_model.fit(spark, df.select("text"))
+    gain = 0.0
+    for p in phrases:
+        t = tokens_of_text(" ".join(p))
+        cls, part = model.class_of[t.bucket], t.part()
+        inside = np.flatnonzero((cls < language_model.CLUSTERS) & (t.place >= 2))
+        with_history = language_model.part_shares(model.base, model.inner, cls[inside], [h[inside] for h in t.part_features(cls)])[np.arange(len(inside)), part[inside]]
+        gain += np.log10(with_history / np.exp(model.base[cls[inside], part[inside]])).sum()
+    assert gain / sum(len(p) - 2 for p in phrases) > 0.3
+
+
 def test_model_sums_to_one(spark):
-    """Over every known token and the unknown one of each class, for a history with a repeat to come."""
+    """Over every known token and the unknown one of each part, for a history with a repeat to come."""
     rnd = random.Random(1)
     df = docs_of(spark, [(i, text_of(rnd, 30)) for i in range(40)])
     model, found = language_model.fit(spark, df.select("text"))
     known = {r["key"]: r["n"] for r in found.collect()}
     words_ = sorted({w for r in df.collect() for w in r["text"].split()})
-    history = "bash dan fin"
-    total, classes = 0.0, set()
+    history, at = "bash dan fin", 3
+    total = 0.0
     for w in [*words_, None]:
-        data, offs = common.buffers(pa.array([history + (f" {w}" if w else "")]))
-        t = language_model.Tokens(data, offs)
-        at = 3
-        p = language_model.softmax(model.weights, t.features()[at : at + 1])[0]
-        c = model.class_of[t.bucket[at]]
-        n = known.get(int(np.array(t.hash[at]).view(np.int64)), 0)
-        total += p[c] * (n + 0.5) / model.norm[c]
-        classes.add(int(c))
-    total += sum(p[k] * 0.5 / model.norm[k] for k in range(language_model.CLASSES - 1)) + p[language_model.REPEAT]
-    assert total == pytest.approx(1.0, abs=1e-5)
+        t = tokens_of_text(history + (f" {w}" if w else ""))
+        share, repeat = model.shares(t)
+        total += share[at] * (known.get(int(np.array(t.hash[at]).view(np.int64)), 0) + 0.5)
+    t = tokens_of_text(history + " x")
+    p = language_model.softmax(model.weights, t.features()[at : at + 1])[0]
+    for c in range(language_model.CLUSTERS):
+        q = language_model.part_shares(model.base, model.inner, np.array([c]), [h[at : at + 1] for h in t.part_features(np.full(len(t.hash), c))])[0]
+        total += (p[c] * q * 0.5 / model.norm[c]).sum()
+    own = tokens_of_text("").part()[0]
+    total += p[language_model.END] * 0.5 / model.norm[language_model.END, own] + p[language_model.REPEAT]
+    assert total == pytest.approx(1.0, abs=1e-4)
 
 
 # --- 8 and 9 classifiers
@@ -733,3 +825,21 @@ def test_pipeline(spark, tmp_path):
     assert set(seen["mixing"]) == set(seen["decontamination"])
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(seen["mixing"])
     assert json.dumps([n for n, _ in corpus_pipeline.STAGES])
+
+
+def test_pipeline_on_odd_inputs(spark, tmp_path):
+    """Null ids and texts, repeated ids and rows, extra columns with clashing names, and empty tables go through all stages."""
+    import corpus_pipeline
+
+    rnd = random.Random(40)
+    rows = [(i, text_of(rnd, 60), "en", "s", 1) for i in range(60)] + [(None, text_of(rnd, 50), None, None, None), (3, "same id other text " + text_of(rnd, 40), "en", "s", 1), (70, None, None, "s", None), (71, "", "en", None, 0)]
+    rows += [rows[5], rows[5]]
+    labels = spark.createDataFrame([(i, int(i % 2), 0) for i in range(60)] + [(None, 1, 1)], "doc_id long, quality int, toxic int")
+    for name, keep in (("some", "true"), ("none", "false")):
+        folder = f"{tmp_path}/{name}"
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").where(keep)
+        docs.withColumns({c: F.lit(1) for c in ("id", "at", "shape", "rep", "h", "_id", "_text", "_kept", "score", "k")}).write.parquet(f"{folder}/documents.parquet")
+        labels.where(keep).write.parquet(f"{folder}/labels.parquet")
+        spark.createDataFrame([(1, "none of these words stand there at all")], "item_id long, text string").where(keep).write.parquet(f"{folder}/benchmark.parquet")
+        got = corpus_pipeline.run(spark, folder).collect()
+        assert (not got) == (name == "none") and {r["doc_id"] for r in got} <= {None, *range(60), 70, 71}
