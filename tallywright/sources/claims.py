@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import digests, paths
@@ -153,3 +153,34 @@ def read_journal(rows: DataFrame) -> DataFrame:
     mask = F.coalesce(digests.number(reason), reasons.mask(reason))
     out = body.select(F.trim(name).alias("file_name"), mask.alias("reason_mask"), timeutil.usn_time(time).alias("timestamp_utc"), digests.number(usn).alias("usn"))
     return out.where("file_name <> ''")
+
+
+#: Lists that a collector's output may hold, the most telling first. Fixed values.
+SOURCE_PRIORITY = ("report.json", "selected_files_ranked.txt", "likely_seized_files.txt", "selected_files.txt", "file_paths.txt", "copy_candidates.txt", "user_files.txt")
+#: What is tried, in path order, where none of those is there. Fixed values.
+OTHER_SOURCES = (".xlsx", ".csv", ".json", ".txt")
+
+
+def source_candidates(files: DataFrame) -> DataFrame:
+    """path, rank of the files (path) that may hold a collector's list, rank 1 to be tried first: by name, of equal names the last in path
+    order, which is the newest scan; lists of other names only where there is none of a known one."""
+    name = paths.basename(F.col("path"))
+    known = F.array_position(F.array(*map(F.lit, SOURCE_PRIORITY)), name)
+    rows = files.select("path", F.when(known > 0, known).alias("place"), paths.extension(F.col("path")).isin(*OTHER_SOURCES).alias("other"))
+    named = rows.where("place IS NOT NULL")
+    none = named.limit(1).groupBy().count().where("count = 0").select(F.lit(True).alias("_none"))  # one row, if there is none
+    rest = rows.where("place IS NULL AND other").join(none)
+    best = Window.orderBy("place", F.desc("path"))
+    return named.select("path", F.row_number().over(best).alias("rank")).unionByName(rest.select("path", F.row_number().over(Window.orderBy("path")).alias("rank")))
+
+
+def read_best(spark: SparkSession, files: DataFrame, folder: str = "") -> tuple[DataFrame | None, str | None]:
+    """Items of the first candidate, in rank order, with a row that can be read, or else of the first at all; and its path. Lists of several scans
+    are never mixed. files (path) below folder."""
+    first: tuple[DataFrame | None, str | None] = None, None
+    for (path,) in source_candidates(files).orderBy("rank").select("path").collect():  # names only
+        items = read_claims(spark, f"{folder.rstrip('/')}/{path}" if folder else path)
+        if items.where("NOT unparsed").limit(1).count():
+            return items, path
+        first = first if first[1] else (items, path)
+    return first

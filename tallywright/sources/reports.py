@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import timeutil
+from ..functions import paths, timeutil
 from ..schema import FILES
 
 SUMMARY_ROWS = 10_000
@@ -127,3 +127,15 @@ def changes_from_json(texts: DataFrame) -> DataFrame:
     listed = lambda n: F.transform(F.coalesce(F.col(f"d.{n}"), F.array().cast(entry)), lambda e: F.struct(e["path"].alias("path"), F.lit(n).alias("change"), F.coalesce(e["backdated"], F.lit(False)).alias("backdated")))
     every = held.select(F.explode(F.concat(*map(listed, names))).alias("x"))
     return every.select("x.*")
+
+
+def field_inputs(files: DataFrame) -> DataFrame:
+    """kind, path of a folder's inputs (path), by how their names begin: profile (.json, the first), seized (the first that is no PDF, or else
+    the first), baseline (the first), info (the last .json, or else the first .txt)."""
+    name, ext = F.lower(paths.basename(F.col("path"))), paths.extension(F.col("path"))
+    starts = lambda w: name.startswith(w)
+    kind = F.when(starts("profile") & (ext == ".json"), F.lit("profile")).when(starts("seized"), F.lit("seized")).when(starts("baseline"), F.lit("baseline")).when(starts("info") & ext.isin(".json", ".txt"), F.lit("info"))
+    told = files.select(kind.alias("kind"), "path", ext.alias("ext")).where("kind IS NOT NULL")
+    better = F.when(F.col("kind") == "seized", F.col("ext") != ".pdf").when(F.col("kind") == "info", F.col("ext") == ".json").otherwise(F.lit(False))
+    picked = told.groupBy("kind").agg(F.min("path").alias("first"), F.min(F.when(better & (F.col("kind") == "seized"), F.col("path"))).alias("text"), F.max(F.when(better & (F.col("kind") == "info"), F.col("path"))).alias("json"))
+    return picked.select("kind", F.coalesce("text", "json", "first").alias("path"))

@@ -163,6 +163,30 @@ def test_lists_that_cannot_be_read(spark, tmp_path):
     assert [r["rel"] for r in claims.read_claims(spark, str(tmp_path / "d.lst")).collect()] == ["x.txt"]
 
 
+def test_best_source(spark, tmp_path):
+    """The list of the first name that has rows; of equal names the newest scan's; others only where no known name is there."""
+    def put(name, text):
+        p = tmp_path / name
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_text(text)
+
+    def names():
+        return spark.createDataFrame([(str(p.relative_to(tmp_path)),) for p in tmp_path.rglob("*") if p.is_file()], "path string")
+
+    put("zz/list.txt", "C:/a.txt\n")
+    put("b.csv", "path\nC:/b.txt\n")
+    assert [r["path"] for r in claims.source_candidates(names()).orderBy("rank").collect()] == ["b.csv", "zz/list.txt"]
+    put("scan_1/report.json", '{"files": ["C:/old.txt"]}')
+    put("scan_2/report.json", '{"x": 1}')
+    put("scan_2/file_paths.txt", "C:/1\nC:/2\n")
+    assert [r["path"] for r in claims.source_candidates(names()).orderBy("rank").collect()] == ["scan_2/report.json", "scan_1/report.json", "scan_2/file_paths.txt"]
+    items, used = claims.read_best(spark, names(), str(tmp_path))
+    assert used == "scan_1/report.json" and [r["rel"] for r in items.collect()] == ["old.txt"]
+    assert claims.read_best(spark, names().limit(0)) == (None, None)
+    found = spark.createDataFrame([(n,) for n in ("profile-1.json", "profile.txt", "seized.pdf", "seized-ocr.txt", "baseline.db", "info.txt", "info.json", "x")], "path string")
+    assert {r["kind"]: r["path"] for r in reports.field_inputs(found).collect()} == {"profile": "profile-1.json", "seized": "seized-ocr.txt", "baseline": "baseline.db", "info": "info.json"}
+
+
 def test_compound_file(spark):
     """One stream of a compound file, deflated, found through the allocation table."""
     packed = zlib.compressobj(wbits=-15)
