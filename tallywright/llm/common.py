@@ -11,6 +11,7 @@ import gc
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -56,22 +57,24 @@ def cut(df: DataFrame) -> DataFrame:
     if _scratch:
         _scratch[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _written[out] = path
+    return out
 
 
 _scratch: list[list[str]] = []
+_written: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 @contextmanager
-def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
-    """Tables that cut() writes in this block are deleted at its end, but for those that a DataFrame reads which was given to the
-    function that the block gets. Later loss of an executor does no harm: what is deleted is read by nothing any more."""
+def scratch(spark: SparkSession) -> Iterator[Callable[..., DataFrame]]:
+    """Tables that cut() writes in this block are deleted at its end, but for those given to the function that the block gets:
+    keep(result, table, ...) gives back the result and spares the tables that it still reads (the result itself, if none are named)."""
     paths, kept = [], []
 
-    def keep(df: DataFrame) -> DataFrame:
-        folders = {f.rpartition("/")[0].rpartition("/")[2] for f in df.inputFiles()}
-        kept.extend(p for p in paths if p.rpartition("/")[2] in folders)
-        return df
+    def keep(result: DataFrame, *tables: DataFrame) -> DataFrame:
+        kept.extend(_written[t] for t in tables or (result,))
+        return result
 
     _scratch.append(paths)
     try:

@@ -287,17 +287,18 @@ def classes(docs: DataFrame) -> DataFrame:
         found = members.join(named, "rep", "left")
         known = found.select("doc_id", F.coalesce("label", "rep").alias("class_id"), F.col("rep").alias("copies_of"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "linked_to", "similarity")
         none = docs.where(F.col("doc_id").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copies_of"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("linked_to"), F.lit(None).cast("double").alias("similarity"))
-        return keep(known.unionByName(none))
+        return keep(known.unionByName(none), rows, same, labels, links)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, that come first in their class (least id); rows with a null id stay.
 
     Of rows that repeat both id and text one stays; rows with equal ids and different texts stay or go together."""
-    first = cut(classes(docs).where("doc_id = class_id").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows")))
-    rest = docs.where(F.col("doc_id").isNull())
-    once = docs.join(first, F.col("doc_id") == F.col("_kept"), "left_semi")
-    if first.where("_rows > 1").limit(1).count():  # ids that occur again: only their rows are shuffled
-        again = once.join(first.where("_rows > 1"), F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id", "text"])
-        once = once.join(first.where("_rows > 1"), F.col("doc_id") == F.col("_kept"), "left_anti").unionByName(again)
-    return once.unionByName(rest)
+    with scratch(docs.sparkSession) as keep:
+        first = cut(classes(docs).where("doc_id = class_id").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows")))
+        rest = docs.where(F.col("doc_id").isNull())
+        once = docs.join(first, F.col("doc_id") == F.col("_kept"), "left_semi")
+        if first.where("_rows > 1").limit(1).count():  # ids that occur again: only their rows are shuffled
+            again = once.join(first.where("_rows > 1"), F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id", "text"])
+            once = once.join(first.where("_rows > 1"), F.col("doc_id") == F.col("_kept"), "left_anti").unionByName(again)
+        return keep(once.unionByName(rest), first)

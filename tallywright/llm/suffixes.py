@@ -266,7 +266,7 @@ def repeats(docs: DataFrame, by_words: bool = False) -> DataFrame:
         blocks = cut(narrowed(pieces, wanted, kind))
         single, _ = sort_pass(cut(split_rows(blocks, kind, 1)), last=True)
         every = found.unionByName(more).unionByName(single)
-        return keep(every.select("id", "ats", F.shiftright("shape", 16).alias("windows")))
+        return keep(every.select("id", "ats", F.shiftright("shape", 16).alias("windows")), found, more, single)
 
 
 def covered(ats: np.ndarray, counts: np.ndarray, size: int, length: int) -> tuple[np.ndarray, np.ndarray]:
