@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tallywright.llm import decontaminate, mixing, neardup, quality, suffixes
-from tallywright.llm.common import cut, table
+from tallywright.llm.common import cut, scratch, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,5 +52,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each but the last is written to the shared folder and read back."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        with scratch(spark) as keep:  # what a stage wrote on its way goes when its result is written
+            docs = keep(cut(stage(spark, docs, sf_dir)))
     return STAGES[-1][1](spark, docs, sf_dir)
