@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import argparse
 import datetime as dt
+import hashlib
 import sys
 from collections.abc import Callable
 from pathlib import Path
@@ -71,7 +72,7 @@ def run_case(
     keep("certificate", lambda: certificate.package_findings(certificate.members(package), files if {"md5", "sha1"} <= set(files.columns) else None), package is not None)
     keep("artifacts", lambda: artifacts.matched(contents, since_ns).drop("content"), contents is not None)
     keep("artifact_tools", lambda: artifacts.observed(contents, since_ns), contents is not None)
-    keep("manifest", lambda: reports.manifest(spark, "case", dt.datetime.now(dt.UTC).isoformat(timespec="seconds"), (inputs or {}) | {"profile": reports.canonical_json_hash(repr(profile))}))
+    keep("manifest", lambda: reports.manifest(spark, "case", dt.datetime.now(dt.UTC).isoformat(timespec="seconds"), (inputs or {}) | {"criteria": reports.canonical_json_hash(repr(profile))}))
     made["steps"] = reports.write_table(spark.createDataFrame(log, "step string, status string, error string"), out, "steps")
     return made
 
@@ -95,6 +96,14 @@ def _bytes(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(rel.alias("path"), F.col("length").alias("size"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), F.lit("file").alias("kind"), "content")
 
 
+def _digest(path: str) -> str:
+    """Of a file's content; of a folder the name."""
+    if not Path(path).is_file():
+        return str(path)
+    with open(path, "rb") as f:
+        return hashlib.file_digest(f, "sha256").hexdigest()
+
+
 def _scan(spark, a):
     profile, sets = _profile(spark, a)
     files = _files(spark, a.inventory)
@@ -216,7 +225,7 @@ def _case(spark, a):
     profile, sets = _profile(spark, a)
     cells = spark.read.csv(a.journal) if a.journal else None
     events = journal.decode(read_journal(cells.select(F.monotonically_increasing_id().alias("ord"), F.array(*cells.columns).alias("cells")))) if cells is not None else None
-    names = {n: str(getattr(a, n)) for n in ("inventory", "claims", "current", "journal", "package", "artifacts") if getattr(a, n)}
+    names = {n: _digest(getattr(a, n)) for n in ("inventory", "claims", "profile", "current", "journal", "package", "artifacts") if getattr(a, n)}
     made = run_case(
         spark, _files(spark, a.inventory), read_claims(spark, a.claims), profile, a.out, _files(spark, a.current) if a.current else None, iso_ns(a.since), iso_ns(a.until),
         events, _bytes(spark, a.package) if a.package else None, _bytes(spark, a.artifacts) if a.artifacts else None, sets, names,

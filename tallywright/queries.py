@@ -367,17 +367,17 @@ def certificate_duplicates(spark, sf_dir):
     return certificate.duplicates(certificate_rows(spark, sf_dir))
 
 
-@query("SELECT doc_id AS ord, 'sha1' AS field, 'NOT-HEX' AS value FROM documents WHERE doc_id % 10 = 0")
+@query(f"WITH c AS ({CERTIFICATE}), d AS (SELECT ord, 'sha1' AS field, sha1 AS value, 40 AS n FROM c UNION ALL SELECT ord, 'md5', md5, 32 FROM c UNION ALL SELECT ord, 'sha256', sha256, 64 FROM c) SELECT ord, field, value FROM d WHERE value <> '' AND (length(value) <> n OR NOT regexp_full_match(value, '[0-9a-fA-F]+'))")
 def certificate_digests(spark, sf_dir):
     return certificate.bad_digests(certificate_rows(spark, sf_dir))
 
 
-@query("SELECT doc_id AS ord, concat(CAST(doc_id AS STRING), '.doc') AS name, concat(CAST(doc_id AS STRING), '.txt') AS base FROM documents WHERE doc_id % 13 = 0")
+@query(f"WITH c AS ({CERTIFICATE}) SELECT ord, name, string_split(path, '/')[-1] AS base FROM c WHERE name <> string_split(path, '/')[-1]")
 def certificate_names(spark, sf_dir):
     return certificate.name_mismatches(certificate_rows(spark, sf_dir))
 
 
-@query("SELECT doc_id AS ord FROM documents WHERE doc_id % 8 = 1")
+@query(f"WITH c AS ({CERTIFICATE}) SELECT ord FROM c WHERE TRY_CAST(modified AS TIMESTAMP) > TIMESTAMP '2026-01-01 12:00:00'")
 def certificate_after_issue(spark, sf_dir):
     return certificate.after_issue(certificate_rows(spark, sf_dir), certificate.issued_at(F.lit("list_20260101120000.xlsx"))).select("ord")
 
@@ -394,6 +394,15 @@ def certificate_findings(spark, sf_dir):
     return certificate.findings(certificate_rows(spark, sf_dir), certificate.issued_at(F.lit("list_20260101120000.xlsx"))).select("check", "severity", "count")
 
 
+@query(f"""WITH c AS ({CERTIFICATE}), f AS (SELECT 'hash_format' AS "check", ord FROM ({ORACLE_SQL['certificate_digests']}) UNION ALL SELECT 'name_path_mismatch', ord FROM ({ORACLE_SQL['certificate_names']}) UNION ALL SELECT 'post_cert_mtime', ord FROM ({ORACLE_SQL['certificate_after_issue']})
+    UNION ALL SELECT 'unparseable_date', ord FROM c WHERE modified <> '' AND TRY_CAST(modified AS TIMESTAMP) IS NULL UNION ALL SELECT concat('duplicate_', field), first_row FROM ({ORACLE_SQL['certificate_duplicates']}))
+  SELECT "check", array_to_string(list_slice(list(ord ORDER BY ord), 1, 10), ',') AS samples FROM f GROUP BY "check" """)
+def certificate_samples(spark, sf_dir):
+    """The first ten places of each check but that of the numbering."""
+    found = certificate.findings(certificate_rows(spark, sf_dir), certificate.issued_at(F.lit("list_20260101120000.xlsx")))
+    return found.where("check <> 'seq_integrity'").select("check", F.array_join("samples", ",").alias("samples"))
+
+
 #: Files on the returned disk: most as listed, some of another size or content, some gone; names as in CERTIFICATE.
 RETURNED = """SELECT concat('docs/', source, '/', CAST(doc_id AS STRING), '.txt') AS path, n_chars + CASE WHEN doc_id % 14 = 0 THEN 1 ELSE 0 END AS size, CASE WHEN doc_id % 15 = 0 THEN NULL ELSE MD5(text) END AS md5, CASE WHEN doc_id % 16 = 0 THEN SHA1(concat(text, 'x')) ELSE SHA1(text) END AS sha1, CAST(NULL AS STRING) AS sha256 FROM documents WHERE doc_id % 12 <> 5"""
 
@@ -549,21 +558,28 @@ def leftovers_deleted(spark, sf_dir):
     return found.where("channel = 'journal' AND category = 'deleted_in_window'").groupBy(F.lower("name").alias("name")).agg(F.count("*").alias("events"))
 
 
-STEMS = "concat(CASE doc_id % 6 WHEN 0 THEN 'FTKImager' WHEN 1 THEN 'xways_xwforens' WHEN 2 THEN 'md-live' WHEN 3 THEN 'ufed_cellebrite' ELSE source END, '_', lang)"
+#: Names with each tool's marker in turn, some with two; and names of none.
+_MARKS = "|".join([*evidence.TOOL_MARKERS, "", "", ""])
+STEMS = f"concat('My', split_part('{_MARKS}', '|', CAST(doc_id % {len(evidence.TOOL_MARKERS) + 3} AS INT) + 1), CASE WHEN doc_id % 7 = 3 THEN '-KAPE' ELSE '' END, '_', source)"
+_LABELS = "CASE " + " ".join(f"WHEN contains(lower(stem), '{m}') THEN '{label}'" for m, label in evidence.TOOL_MARKERS.items()) + " END"
 
 
-@query(f"""SELECT label, count(*) AS items FROM (SELECT CASE doc_id % 6 WHEN 0 THEN 'FTK Imager' WHEN 1 THEN 'X-Ways' WHEN 2 THEN 'MD-LIVE' WHEN 3 THEN 'Cellebrite' END AS label FROM documents) WHERE label IS NOT NULL GROUP BY label""")
+@query(f"WITH s AS (SELECT {STEMS} AS stem FROM documents), l AS (SELECT stem, {_LABELS} AS label FROM s) SELECT label, count(*) AS items, min(concat(stem, '.exe')) AS first_path FROM l WHERE label IS NOT NULL GROUP BY label")
 def tool_labels(spark, sf_dir):
-    items = table(spark, sf_dir, "documents").select(F.concat(F.expr(STEMS), F.lit(".exe")).alias("path"))
-    return evidence.observed_tools(items).select("label", "items")
+    return evidence.observed_tools(table(spark, sf_dir, "documents").select(F.concat(F.expr(STEMS), F.lit(".exe")).alias("path")))
 
 
-PLACES = "CASE doc_id % 6 WHEN 0 THEN 'Windows/System32/spool/PRINTERS/1.spl' WHEN 1 THEN '$Recycle.Bin/S-1/$R1.txt' WHEN 2 THEN 'Users/Temp/evidence.bin' WHEN 3 THEN 'Users/Temp/cache.bin' WHEN 4 THEN concat('Users/Temp/', source, '.csv') ELSE concat('docs/', source) END"
+#: Places of print spools, bins and temporary files, and look-alikes of them.
+PLACES = "concat(CASE doc_id % 8 WHEN 0 THEN 'Windows/System32/spool/PRINTERS/' WHEN 1 THEN '$Recycle.Bin/S-1/' WHEN 2 THEN 'Users/Temp/' WHEN 3 THEN 'Users/x/AppData/Local/Temp/' WHEN 4 THEN 'RECYCLER/' WHEN 5 THEN 'docs/printers/' WHEN 6 THEN 'docs/recycler2/' ELSE 'Temporary/' END, CASE doc_id % 5 WHEN 0 THEN 'evidence' WHEN 1 THEN 'cache' WHEN 2 THEN '압수' WHEN 3 THEN 'seized-' ELSE source END, CASE doc_id % 3 WHEN 0 THEN '.bin' WHEN 1 THEN '.CSV' ELSE '' END)"
+_REPORTS, _TELLING = "|".join(e[1:] for e in evidence.REPORT_EXTENSIONS), "|".join(evidence.SOURCE_HINTS)
 
 
-@query("SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'spool' WHEN 1 THEN 'recycle_bin' WHEN 2 THEN 'temp' WHEN 4 THEN 'temp' END AS reason FROM documents")
+@query(f"""WITH p AS (SELECT doc_id, lower({PLACES}) AS p FROM documents), n AS (SELECT doc_id, string_split(p, '/') AS parts, string_split(p, '/')[-1] AS name FROM p)
+  SELECT doc_id, CASE WHEN list_contains(parts, 'spool') AND list_contains(parts, 'printers') THEN 'spool' WHEN parts[1] LIKE '$recycle.bin%' OR list_contains(parts, 'recycler') THEN 'recycle_bin'
+    WHEN list_contains(parts, 'temp') AND doc_id >= 50 AND (regexp_matches(name, '[.]({_REPORTS})$') OR regexp_matches(name, '{_TELLING}')) THEN 'temp' END AS reason FROM n""")
 def source_reasons(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.expr(PLACES).alias("p")).select("doc_id", evidence.source_reason(F.col("p"), F.lit(0)).alias("reason"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.expr(PLACES).alias("p"))
+    return rows.select("doc_id", evidence.source_reason(F.col("p"), F.col("doc_id"), since_ns=50).alias("reason"))
 
 
 @query("""WITH s AS (SELECT source, sha256(string_agg(sha256(text), '' ORDER BY lang, CAST(doc_id AS STRING))) AS root, count(*) AS files FROM documents GROUP BY source) SELECT source, files, root FROM s""")

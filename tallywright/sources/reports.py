@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import sqlite3
 from pathlib import Path
 
@@ -31,8 +32,8 @@ def summary_json(df: DataFrame) -> str:
 
 
 def manifest(spark: SparkSession, command: str, finished: str, inputs: dict[str, str], version: str = "1") -> DataFrame:
-    """One row: what ran, when it was done, and the digest of each input's content or name."""
-    items = {k: hashlib.sha256(v.encode()).hexdigest() for k, v in sorted(inputs.items())}
+    """One row: what ran, when it was done, and the digest of each input's content, given as 64 hex digits, or else of its name."""
+    items = {k: v if re.fullmatch("[0-9a-f]{64}", v) else hashlib.sha256(v.encode()).hexdigest() for k, v in sorted(inputs.items())}
     return spark.createDataFrame([(command, version, finished, items)], "command string, version string, finished_utc string, inputs map<string,string>")
 
 
