@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .html_pages import MARK, labelled_pages
@@ -373,10 +373,21 @@ def train(pages: list[str]) -> Chain:
 
 @functools.cache
 def default_chain() -> Chain:
-    """Trained on the labelled pages; the same each time."""
+    """Trained on the labelled pages; the same each time, and once in a process."""
     return train(labelled_pages())
 
 
+def save(chain: Chain, spark: SparkSession, folder: str) -> None:
+    """Keeps a trained field as a small table, so that later jobs needn't train it."""
+    parts = [(n, getattr(chain, n).ravel().tolist()) for n in ("emission", "transition", "start")]
+    spark.createDataFrame(parts, "name string, weights array<double>").coalesce(1).write.mode("overwrite").parquet(folder)
+
+
+def load(spark: SparkSession, folder: str) -> Chain:
+    rows = {r["name"]: np.array(r["weights"]) for r in spark.read.parquet(folder).collect()}  # three rows of fixed size
+    return Chain(rows["emission"].reshape(WIDTH, 2), rows["transition"].reshape(2, 2), rows["start"])
+
+
 def main_text(pages: DataFrame, chain: Chain | None = None) -> DataFrame:
     """page_id, url, text, n_chars of every row; no shuffle. Other columns are ignored."""
     shared = pages.sparkSession.sparkContext.broadcast(chain or default_chain())  # 2 * WIDTH numbers

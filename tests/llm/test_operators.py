@@ -132,61 +132,81 @@ def test_near_duplicates(spark):
     assert sorted(r["doc_id"] for r in kept) == sorted(set(got.values()))
 
 
-def test_near_duplicates_hot_group(spark):
-    """A star of copies, each near the original but not near each other, comes out as one class."""
-    rnd = random.Random(8)
+def star(rnd):
+    """Copies each near the original but not near each other: one class."""
     base = text_of(rnd, 400).split()
-    rows = [(500, " ".join(base))]
+    texts = {60: " ".join(base)}
     for i in range(60):
         w = list(base)
         for at in rnd.sample(range(0, 400, 6), 7):
             w[at] = f"edit{i}x{at}"
-        rows.append((i, " ".join(w)))
-    got = {r["class_id"] for r in neardup.classes(docs_of(spark, rows)).collect()}
-    assert got == {0}
+        texts[i] = " ".join(w)
+    return texts, dict.fromkeys(texts, 0)
 
 
-def test_near_duplicates_with_repeated_lines(spark):
+def repeated_lines(rnd):
     """Shingles are labelled with their occurrence: a line that stands 30 times is near one of 30 or 29 times, not one of 5 times."""
-    rnd = random.Random(9)
-    rows = []
-    for i in range(30):
+    texts = {}
+    for i in range(0, 120, 4):
         line, rest = text_of(rnd, 10), text_of(rnd, 90).split()
-        rows.append((4 * i, " ".join([" ".join([line] * 30), *rest])))
-        rows.append((4 * i + 1, " ".join([" ".join([line] * 5), *rest])))
+        texts[i] = " ".join([" ".join([line] * 30), *rest])
+        texts[i + 1] = " ".join([" ".join([line] * 5), *rest])
         rest[45] = "edit"
-        rows.append((4 * i + 2, " ".join([" ".join([line] * 30), *rest])))
-        rows.append((4 * i + 3, " ".join([" ".join([line] * 29), *rest])))
-    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(docs_of(spark, rows)).collect()}
-    assert got == {i: i if i % 4 == 1 else i - i % 4 for i in range(120)}
+        texts[i + 2] = " ".join([" ".join([line] * 30), *rest])
+        texts[i + 3] = " ".join([" ".join([line] * 29), *rest])
+    return texts, {i: i if i % 4 == 1 else i - i % 4 for i in texts}
 
 
-def test_near_duplicates_recall(spark):
-    """Pairs at 0.8 to 0.82, by words changed far from each other: each is found."""
-    rnd = random.Random(13)
+def at_threshold(rnd):
+    """Pairs at 0.8 to 0.82, by words changed far from each other."""
     texts = {}
-    for i in range(300):
+    for i in range(0, 600, 2):
         n = rnd.choice([60, 104, 150, 400])
         w = text_of(rnd, n).split()
-        texts[2 * i] = " ".join(w)
+        texts[i] = " ".join(w)
         for k in range((n - 4) // 45):  # each change takes 5 shingles of each text
             w[7 + 12 * k] = f"edit{i}x{k}"
-        texts[2 * i + 1] = " ".join(w)
-    got = {r["doc_id"]: (r["class_id"], r["similarity"]) for r in neardup.classes(docs_of(spark, list(texts.items()))).collect()}
-    assert {i: x for i, (x, _) in got.items()} == {i: i - i % 2 for i in texts}
-    assert min(x for _, x in got.values()) < 0.84
+        texts[i + 1] = " ".join(w)
+    return texts, {i: i - i % 2 for i in texts}
 
 
-def test_near_duplicates_of_few_words(spark):
-    """Each text of 8 to 20 words meets its copy with as many words appended as 0.8 allows."""
-    rnd = random.Random(10)
+def few_words(rnd):
+    """Each text of 8 to 20 words and its copy with as many words appended as 0.8 allows."""
     texts = {}
-    for i in range(150):
+    for i in range(0, 300, 2):
         n = rnd.randrange(8, 21)
-        texts[2 * i] = text_of(rnd, n)
-        texts[2 * i + 1] = texts[2 * i] + " " + text_of(rnd, int((n - 4) / 0.8) - (n - 4))
-    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(docs_of(spark, list(texts.items()))).collect()}
-    assert got == jaccard_classes(texts) == {i: i - i % 2 for i in texts}
+        texts[i] = text_of(rnd, n)
+        texts[i + 1] = texts[i] + " " + text_of(rnd, int((n - 4) / 0.8) - (n - 4))
+    assert jaccard_classes(texts) == {i: i - i % 2 for i in texts}
+    return texts, {i: i - i % 2 for i in texts}
+
+
+def variants(rnd):
+    """200 variants of one text, at random distances about the threshold, and a chain of texts each near its neighbours only."""
+    base = text_of(rnd, 120).split()
+    texts = {}
+    for i in range(200):
+        w = list(base)
+        for at in rnd.sample(range(120), rnd.randrange(1, 5)):
+            w[at] = f"edit{i}x{at}"
+        texts[i] = " ".join(w)
+    w = text_of(rnd, 150).split()
+    for i in range(300, 340):
+        w[rnd.randrange(150)] = f"step{i}"
+        texts[i] = " ".join(w)
+    return texts, jaccard_classes(texts)
+
+
+def test_near_duplicates_of_many_kinds(spark):
+    """Groups of several kinds in one table: the classes of each are those that all its pairs make."""
+    rnd = random.Random(9)
+    made = {1000 * k: kind(rnd) for k, kind in enumerate((star, repeated_lines, at_threshold, few_words, variants))}
+    rows = [(base + i, t) for base, (texts, _) in made.items() for i, t in texts.items()]
+    got = {r["doc_id"]: r for r in neardup.classes(docs_of(spark, rows).repartition(4)).collect()}
+    for base, (texts, want) in made.items():
+        assert {i: got[base + i]["class_id"] - base for i in texts} == want
+    near = [got[2000 + i]["similarity"] for i in range(600)]
+    assert min(near) < 0.84 and all(x >= 0.8 for x in near) and all(got[2000 + i]["n_links"] == 1 and got[2000 + i]["linked_to"] == 2000 + (i ^ 1) for i in range(600))
 
 
 def test_near_duplicates_in_a_crowd(spark):
@@ -208,24 +228,6 @@ def test_near_duplicates_in_a_crowd(spark):
     assert len(set(got.values())) > 100 and links.where("similarity < 0.8").count() == 0
 
 
-def test_near_duplicates_of_many_variants(spark):
-    """200 variants of one text, at random distances about the threshold, and a chain: classes are those of all pairs."""
-    rnd = random.Random(14)
-    base = text_of(rnd, 120).split()
-    texts = {}
-    for i in range(200):
-        w = list(base)
-        for at in rnd.sample(range(120), rnd.randrange(1, 5)):
-            w[at] = f"edit{i}x{at}"
-        texts[i] = " ".join(w)
-    w = text_of(rnd, 150).split()
-    for i in range(300, 400):  # each near its neighbours only
-        w[rnd.randrange(150)] = f"step{i}"
-        texts[i] = " ".join(w)
-    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(docs_of(spark, list(texts.items())).repartition(4)).collect()}
-    assert got == jaccard_classes(texts)
-
-
 def test_prefixes():
     g = np.random.default_rng(1)
     for n in [*range(1, 120)] * 5:  # any two sets at the threshold share a shingle of their prefixes
@@ -432,8 +434,11 @@ def test_viterbi_is_best():
     assert chain.decode([]) == []
 
 
-def test_html_table(spark):
+def test_html_table(spark, tmp_path):
     ship(spark)
+    html_text.save(html_text.default_chain(), spark, f"{tmp_path}/field")
+    kept = html_text.load(spark, f"{tmp_path}/field")
+    assert all((getattr(kept, n) == getattr(html_text.default_chain(), n)).all() for n in ("emission", "transition", "start"))
     rows = [(1, "u", None), (2, "u", ""), (3, "u", "<html><body><nav><a href=/>Home</a></nav><article><h1>Title</h1><p>One &eacute;  two.</p></article><footer>&copy; me</footer></body></html>")]
     got = {r["page_id"]: r for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1))).collect()}
     assert got[1]["text"] == got[2]["text"] == "" and got[3]["text"] == "Title\n\nOne é two." and got[3]["n_chars"] == len(got[3]["text"])
