@@ -20,13 +20,14 @@ def root_hash(sums: DataFrame, key: str) -> DataFrame:
     kind = dict(sums.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, n, h, began = None, 0, hashlib.sha256(), False
+        at, n, h, began, type_ = None, 0, hashlib.sha256(), False, None
 
         def row() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([at.as_py()], at.type), pa.array([n], pa.int64()), pa.array([h.hexdigest()])], ["key", "files", "root"])
+            return pa.RecordBatch.from_arrays([pa.array([at], type_), pa.array([n], pa.int64()), pa.array([h.hexdigest()])], ["key", "files", "root"])
 
         for b in batches:
-            for k, d in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+            type_ = b.column(0).type
+            for k, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if began and k != at:
                     yield row()
                     n, h = 0, hashlib.sha256()
