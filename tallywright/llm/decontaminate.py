@@ -273,4 +273,5 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         bad = part if bad is None else bad.union(part)
     if bad is None:
         return docs
-    return docs.join(bad.distinct(), (key[0] == F.col("_a")) & (key[1] == F.col("_b")), "left_anti")
+    bad = bad.distinct()
+    return docs.join(bad, (key[0] == bad["_a"]) & (key[1] == bad["_b"]), "left_anti")

@@ -295,10 +295,12 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
     Of rows that repeat both id and text one stays; rows with equal ids and different texts stay or go together."""
     with scratch(docs.sparkSession) as keep:
-        first = cut(classes(docs).where("doc_id = class_id").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows")))
+        first = cut(classes(docs).where("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("rows")))
+        own = [F.col(f"`{c}`") for c in docs.columns]  # joins by name put the id first, and no other name can clash
         rest = docs.where(F.col("doc_id").isNull())
-        once = docs.join(first, F.col("doc_id") == F.col("_kept"), "left_semi")
-        if first.where("_rows > 1").limit(1).count():  # ids that occur again: only their rows are shuffled
-            again = once.join(first.where("_rows > 1"), F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id", "text"])
-            once = once.join(first.where("_rows > 1"), F.col("doc_id") == F.col("_kept"), "left_anti").unionByName(again)
+        once = docs.join(first.select("doc_id"), "doc_id", "left_semi").select(*own)
+        several = first.where("rows > 1").select("doc_id")
+        if several.limit(1).count():  # ids that occur again: only their rows are shuffled
+            again = once.join(several, "doc_id", "left_semi").select(*own).dropDuplicates(["doc_id", "text"])
+            once = once.join(several, "doc_id", "left_anti").select(*own).unionByName(again)
         return keep(once.unionByName(rest), first)
