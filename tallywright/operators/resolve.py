@@ -99,8 +99,10 @@ def scoped(items: DataFrame, files: DataFrame, directories: DataFrame) -> DataFr
     known = files.select(F.col("path").alias("_path"))
     direct = items.select("rel").distinct().join(known, F.col("rel") == F.col("_path"), "left")
     open_ = deepest_ancestor(direct.where("_path IS NULL"), directories).where("scope IS NOT NULL")
-    near = candidates(open_.select("rel"), files).join(open_, "rel").where(F.startswith("path", F.concat("scope", F.lit("/"))))
-    best = decided(near)
+    below = files.select("path", F.explode(paths.ancestors(F.col("path"))).alias("scope"))  # one row a folder level
+    near = open_.join(below, "scope").select("rel", "path", paths.fuzzy_key("rel").alias("key"), paths.fuzzy_key("path").alias("candidate"))
+    shared = 2 * F.size(F.array_intersect(_letters(F.col("key")), _letters(F.col("candidate"))))
+    best = decided(near.where(shared >= F.lit(ACCEPT - MARGIN) * (F.length("key") + F.length("candidate")) - 1e-9))
     joined = direct.join(best, "rel", "left")
     status = F.when(F.col("_path").isNotNull(), F.lit("resolved_direct")).when(F.col("fuzzy_path").isNotNull(), F.lit("resolved_fuzzy")).otherwise(F.lit("not_found"))
     return joined.select("rel", F.coalesce("_path", "fuzzy_path").alias("path"), status.alias("status"))
