@@ -58,17 +58,20 @@ def _letters(text: Column) -> Column:
 
 
 def candidates(claims: DataFrame, files: DataFrame) -> DataFrame:
-    """rel, path, key, candidate of all pairs whose ratio may be 0.77 or more, by two bounds that lose none.
+    """rel, path, key, candidate of all pairs whose ratio may be 0.77 or more, by two bounds that lose none; where a path reads exactly as
+    the claim, 0.95 or more, as others can't raise a doubt.
 
     ratio >= r needs min(len) / max(len) >= r / (2 - r), so only neighbouring length buckets meet; and it needs r / 2 of all
     characters in common, counted with repeats, which is tested before a pair goes to Python."""
-    least = (ACCEPT - MARGIN) / (2 - (ACCEPT - MARGIN))
-    c = claims.select("rel").where("rel IS NOT NULL AND rel <> ''").distinct().withColumn("key", paths.fuzzy_key("rel")).withColumn("_a", _letters(F.col("key")))
-    c = c.withColumn("n", F.length("key")).withColumn("bucket", F.explode(F.sequence(F.floor(F.col("n") * least / BUCKET), F.floor(F.col("n") / least / BUCKET))))
     f = files.select("path", paths.fuzzy_key("path").alias("candidate")).withColumns({"m": F.length("candidate"), "_b": _letters(F.col("candidate"))}).withColumn("bucket", F.floor(F.col("m") / BUCKET))
-    near = c.join(f, "bucket").where(F.least("n", "m") >= F.lit(least) * F.greatest("n", "m"))
+    c = claims.select("rel").where("rel IS NOT NULL AND rel <> ''").distinct().withColumn("key", paths.fuzzy_key("rel"))
+    same = f.select(F.col("candidate").alias("key"), F.lit(True).alias("_same")).distinct()
+    c = c.join(same, "key", "left").withColumns({"_a": _letters(F.col("key")), "n": F.length("key"), "r": F.when(F.col("_same"), F.lit(1 - MARGIN)).otherwise(F.lit(ACCEPT - MARGIN))})
+    least = F.col("r") / (2 - F.col("r"))
+    c = c.withColumn("least", least - 1e-9).withColumn("bucket", F.explode(F.sequence(F.floor(F.col("n") * F.col("least") / BUCKET), F.floor(F.col("n") / F.col("least") / BUCKET))))
+    near = c.join(f, "bucket").where(F.least("n", "m") >= F.col("least") * F.greatest("n", "m"))
     shared = F.size(F.array_intersect("_a", "_b"))
-    return near.where(2 * shared >= F.lit(ACCEPT - MARGIN) * (F.col("n") + F.col("m")) - 1e-9).select("rel", "path", "key", "candidate")
+    return near.where(2 * shared >= F.col("r") * (F.col("n") + F.col("m")) - 1e-9).select("rel", "path", "key", "candidate")
 
 
 def decided(near: DataFrame) -> DataFrame:
