@@ -108,6 +108,22 @@ def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return df.mapInArrow(tidily, schema)
 
 
+#: Keys of more than one SPREADth of all rows are dealt over salts; there are fewer than SPREAD of them.
+SPREAD = 1000
+
+
+def dealt(rows: DataFrame, keyed: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined with keyed, which has each key once, with its rows' number as weight. total: the sum of the weights.
+
+    A key that has more than a SPREADth of all rows is dealt over as many salts as it has SPREADths, so that no task gets a hot key whole.
+    keyed should be a written table, its keys short: the hot ones (fewer than SPREAD) are broadcast."""
+    most = max(total / SPREAD, 1)
+    hot = F.broadcast(keyed.where(F.col("weight") > most).select(key, F.ceil(F.col("weight") / most).cast("int").alias("_salts")))
+    left = rows.withColumn("_row", F.monotonically_increasing_id()).join(hot, key, "left").withColumn("_salt", F.pmod("_row", F.coalesce("_salts", F.lit(1))).cast("int"))
+    right = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(F.col("weight") > most, F.ceil(F.col("weight") / most).cast("int")).otherwise(1) - 1)))
+    return left.join(right, [key, "_salt"]).drop("_row", "_salt", "_salts")
+
+
 def fold(doc_id: str | Column = "doc_id") -> Column:
     """crc32 of the id as text, mod 5; a null id counts as an empty text."""
     column = F.col(doc_id) if isinstance(doc_id, str) else doc_id

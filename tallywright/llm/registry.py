@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprint, html_text, language_model, mixing, neardup, quality, suffixes, tokens, toxicity
+from . import centroids, decontaminate, fingerprint, html_text, language_model, manifest, mixing, neardup, quality, suffixes, tokens, toxicity, url_templates
 from .common import table
 
 
@@ -50,6 +50,18 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited(table(spark, sf_dir, "documents"))
 
 
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_templates.judged(table(spark, sf_dir, "pages"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_near_duplicates": op2_near_duplicates,
@@ -61,5 +73,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_toxicity": op9_toxicity,
     "op10_fingerprint": op10_fingerprint,
+    "op11_url_filters": op11_url_filters,
+    "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op12_centroid_clustering": centroids.ORACLE_SQL, "op13_merkle_manifest": manifest.ORACLE_SQL}
