@@ -19,9 +19,8 @@ from pyspark.sql import functions as F
 from .operators import artifacts, audit, boundary, certificate, custody, diff, evidence, inventory, journal, resolve, scan, verify
 from .plans.criteria import Profile, iso_ns, load_hash_sets
 from .session import ship
-from .sources import reports
+from .sources import reports, tree
 from .sources.claims import canonical, read_claims, read_journal
-from .sources.filesystem import FilesystemSource
 
 LATEST = 2**63 - 1
 
@@ -122,11 +121,9 @@ def _diff(spark, a):
 
 
 def _inventory(spark, a):
-    spark.dataSource.register(FilesystemSource)
-    rows = spark.read.format("inventory").option("hashFiles", str(a.hash).lower()).load(a.root)
-    if a.earlier:
-        rows = inventory.reuse_digests(rows, _files(spark, a.earlier)).select(*rows.columns)
-    return {"summary": inventory.meta(rows, a.root, dt.datetime.now(dt.UTC).isoformat(timespec="seconds")), "files": rows}
+    """The table files is written by the job itself."""
+    rows = tree.take_inventory(spark, a.root, a.out, a.hash, _files(spark, a.earlier) if a.earlier else None, int(a.max_hash_bytes) if a.max_hash_bytes else None)
+    return {"summary": inventory.meta(rows, a.root, dt.datetime.now(dt.UTC).isoformat(timespec="seconds"))}
 
 
 def _boundary(spark, a):
@@ -236,7 +233,7 @@ def _case(spark, a):
 #: Each command with its needed and its other arguments; paths are checked before Spark is started.
 COMMANDS: dict[str, tuple[Callable, tuple[str, ...], tuple[str, ...]]] = {
     "case": (_case, ("inventory", "claims", "profile", "out"), ("current", "since", "until", "journal", "package", "artifacts")),
-    "inventory": (_inventory, ("root", "out"), ("earlier", "hash")),
+    "inventory": (_inventory, ("root", "out"), ("earlier", "hash", "max_hash_bytes")),
     "scan": (_scan, ("inventory", "profile", "out"), ()),
     "verify": (_verify, ("inventory", "claims", "out"), ("profile", "live")),
     "diff": (_diff, ("inventory", "current", "out"), ("created",)),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,9 +28,19 @@ def counts(files: DataFrame, by: str = "kind") -> DataFrame:
     return files.groupBy(by).count()
 
 
+def refreshed(live: DataFrame, previous: DataFrame, digest: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """live with its digests up to date: those of unchanged records from previous, the others from digest(), which gets the rows that must be
+    hashed and gives them back with sha256 and status. Columns of live and reused. Records of previous that live doesn't have don't come back."""
+    plan = reuse_digests(live, previous)
+    fresh = digest(plan.where("to_hash").drop("to_hash")).select(*live.columns, F.lit(False).alias("reused"))
+    return plan.where("NOT to_hash").select(*live.columns, "reused").unionByName(fresh)
+
+
 def access_mode(modes: Column) -> Column:
-    """Rollup of the set of access-time modes of a run."""
-    return F.when(F.size(modes) == 0, F.lit("n/a")).when(F.size(modes) == 1, modes[0]).otherwise(F.lit("mixed"))
+    """Rollup of the set of access-time modes of a run; files that were skipped for their size don't tell more than none."""
+    told = F.array_sort(F.array_distinct(F.transform(modes, lambda m: F.when(m == "skipped", F.lit("none")).otherwise(m))))
+    both = F.array_remove(told, "none")
+    return F.when(F.size(told) == 0, F.lit("n/a")).when(F.size(both) == 0, F.lit("none")).when((F.size(told) == 1), told[0]).otherwise(F.lit("mixed"))
 
 
 def walk_order(path: Column) -> list[Column]:
@@ -39,14 +51,24 @@ def walk_order(path: Column) -> list[Column]:
 
 
 def meta(files: DataFrame, root: str, created_utc: str, modes: list[str] | None = None) -> DataFrame:
-    """key, value (JSON) of an inventory: root, time, number of entries, of each kind and status, and how access times were read."""
+    """key, value (JSON) of an inventory: root, time, number of entries, of each kind and status, how access times were read (modes, or else
+    the rows' access_mode) and, if the rows tell, how many digests were reused."""
     def as_json(df: DataFrame, key: str) -> DataFrame:
         pairs = df.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.coalesce(F.col(key), F.lit("unknown")), F.col("count"))))).alias("m"))  # a few names
         return pairs.select(F.to_json("m").alias("value"))
 
-    mode = access_mode(F.array_sort(F.array_distinct(F.array(*map(F.lit, modes))))) if modes else F.lit("n/a")
+    def said(key: str, df: DataFrame) -> DataFrame:
+        return df.select(F.lit(key).alias("key"), F.regexp_extract(F.to_json(F.array("value")), r"^\[(.*)\]$", 1).alias("value"))
+
     one = files.sparkSession.range(1)
-    fixed = one.select(F.explode(F.map_from_arrays(F.array(F.lit("root"), F.lit("created_utc"), F.lit("access_mode")), F.array(F.to_json(F.array(F.lit(root))), F.to_json(F.array(F.lit(created_utc))), F.to_json(F.array(mode))))).alias("key", "value"))
-    fixed = fixed.select("key", F.regexp_extract("value", r"^\[(.*)\]$", 1).alias("value"))
-    count = files.agg(F.count("*").cast("string").alias("value")).select(F.lit("entries").alias("key"), "value")
-    return fixed.unionByName(count).unionByName(as_json(counts(files, "kind"), "kind").select(F.lit("kinds").alias("key"), "value")).unionByName(as_json(counts(files, "status"), "status").select(F.lit("statuses").alias("key"), "value"))
+    if modes is None and "access_mode" in files.columns:
+        told = files.agg(F.array_sort(F.collect_set("access_mode")).alias("m"))  # a few names
+    else:
+        told = one.select(F.array(*map(F.lit, modes or [])).cast("array<string>").alias("m"))
+    out = said("root", one.select(F.lit(root).alias("value"))).unionByName(said("created_utc", one.select(F.lit(created_utc).alias("value")))).unionByName(said("access_mode", told.select(access_mode(F.col("m")).alias("value"))))
+    out = out.unionByName(files.agg(F.count("*").cast("string").alias("value")).select(F.lit("entries").alias("key"), "value"))
+    if "reused" in files.columns:
+        out = out.unionByName(files.agg(F.count_if("reused").cast("string").alias("value")).select(F.lit("reused").alias("key"), "value"))
+    for key, name in (("kind", "kinds"), ("status", "statuses")):
+        out = out.unionByName(as_json(counts(files, key), key).select(F.lit(name).alias("key"), "value"))
+    return out

@@ -129,6 +129,19 @@ def incremental_reuse(spark, sf_dir):
     return inventory.reuse_digests(current(spark, sf_dir), base(spark, sf_dir)).select("path", "sha256", "reused", "to_hash")
 
 
+@query(f"""WITH base AS ({BASE}), cur AS ({CURRENT}), j AS (SELECT a.*, p.sha256 AS old, coalesce(a.size = p.size AND a.mtime_ns = p.mtime_ns AND a.kind = p.kind AND p.sha256 IS NOT NULL AND p.status = 'ok', false) AS reused
+    FROM cur a LEFT JOIN base p ON a.path = p.path)
+  SELECT path, size, mtime_ns, kind, reused, CASE WHEN reused THEN old WHEN kind = 'file' THEN SHA256(CASE WHEN doc_id % 11 = 0 THEN concat(text, 'x') ELSE text END) END AS sha256 FROM j""")
+def incremental_inventory(spark, sf_dir):
+    """An inventory brought up to date: unchanged records keep their digest, contents are only read for the others."""
+    contents = view(spark, sf_dir, CURRENT).select("path", F.when(F.col("doc_id") % 11 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")).alias("content"))
+
+    def digest(rows: DataFrame) -> DataFrame:
+        return rows.drop("sha256").join(contents, "path", "left").withColumn("sha256", F.sha2("content", 256))
+
+    return inventory.refreshed(current(spark, sf_dir), base(spark, sf_dir), digest).select("path", "size", "mtime_ns", "kind", "reused", "sha256")
+
+
 @query(f"WITH cur AS ({CURRENT}) SELECT kind, count(*) AS count FROM cur GROUP BY kind")
 def inventory_counts(spark, sf_dir):
     return inventory.counts(current(spark, sf_dir))
@@ -658,17 +671,15 @@ def watch_passes(spark, sf_dir):
 
 @query(ORACLE_SQL["watch_passes"])
 def stream_watch(spark, sf_dir):
-    """The same passes, one file each, through the streaming monitor; its events are those of watch_passes."""
+    """The same passes, one micro-batch each, through the streaming monitor; its events are those of watch_passes."""
     import uuid
 
     root = f"{shared_folder(spark)}/watch-{uuid.uuid4()}"
-    table_ = passes(spark, sf_dir).persist()
-    for (number,) in sorted(table_.select("pass").distinct().collect()):
-        table_.where(F.col("pass") == number).repartition(1).write.mode("append").parquet(f"{root}/in")  # the stream takes a pass as one file
-    table_.unpersist()
-    stream = spark.readStream.schema(watch.SNAPSHOT).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
-    watch.start(stream, f"{root}/state", f"{root}/events", f"{root}/checkpoint").awaitTermination()
-    return spark.read.option("basePath", f"{root}/events").parquet(f"{root}/events").where("event <> 'snapshot_init'").select(F.col("pass").cast("long").alias("pass"), "event", "path")
+    rows = passes(spark, sf_dir)
+    for (number,) in sorted(rows.select("pass").distinct().collect()):  # a few
+        rows.where(F.col("pass") == number).write.mode("append").parquet(f"{root}/in")
+        watch.start(spark.readStream.schema(watch.SNAPSHOT).parquet(f"{root}/in"), f"{root}/events", f"{root}/checkpoint", buckets=64).awaitTermination()
+    return watch.monitored(spark, f"{root}/events").where("event <> 'snapshot_init'").select("pass", "event", "path")
 
 
 @query()

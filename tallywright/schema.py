@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 FILES = "path string, size long, mtime_ns long, ctime_ns long, atime_ns long, sha256 string, kind string, status string"
+#: Inventories taken here also say how a file was read: o_noatime (its access time stays), restored, none, skipped (too large); NULL if it wasn't.
+FILES_READ = FILES + ", access_mode string"
 KINDS = ("file", "dir", "symlink", "other", "error")
 STATUSES = ("ok", "stat_error", "read_error", "hash_skipped_oversize", "changed_while_read")
 #: A claimed item. ord is its place in the list it came from; lists are ordered, DataFrames aren't.

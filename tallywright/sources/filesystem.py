@@ -3,10 +3,12 @@
     spark.dataSource.register(FilesystemSource)
     spark.read.format("inventory").option("hashFiles", "true").load("/evidence")
 
+It suits trees of moderate size; tree.take_inventory takes those of any shape.
+
 Options: hashFiles, maxHashBytes, maxDepth, maxEntries (each partition), followLinks, splitDepth (2: folders down to that depth are tasks of their
 own). Symbolic links are rows, not followed unless asked; then a folder is only entered where its real path lies outside of
 the folders that lead to it and below no other task's. Folders that can't be read give an 'error' row. Files are opened without
-changing their access time where the system allows it, else it's put back; a file that changed while it was hashed is marked
+changing their access time where the system allows it, else it's put back, and access_mode says which; a file that changed while it was hashed is marked
 changed_while_read and has no digest. The path must be mounted on the executors; on a cluster that is a shared mount."""
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..schema import FILES
+from ..schema import FILES_READ
 
 CHUNK = 1 << 20
 
@@ -38,28 +40,43 @@ def opened(path: str) -> tuple[int, bool]:
         return os.open(path, os.O_RDONLY), False
 
 
-def hash_file(path: str, limit: int | None, before: os.stat_result) -> tuple[str | None, str]:
-    """Digest and status; before: the file's state before it was opened."""
-    h, done = hashlib.sha256(), 0
+def hash_file(path: str, limit: int | None, before: os.stat_result) -> tuple[str | None, str, str]:
+    """Digest, status and access mode; before: the file's state before it was opened."""
+    h, done, mode = hashlib.sha256(), 0, "none"
     try:
+        if limit is not None and before.st_size > limit:
+            return None, "hash_skipped_oversize", "skipped"
         fd, quiet = opened(path)
         with os.fdopen(fd, "rb") as f:
             while chunk := f.read(CHUNK):
                 done += len(chunk)
                 if limit is not None and done > limit:
-                    return None, "hash_skipped_oversize"
+                    return None, "hash_skipped_oversize", "skipped"
                 h.update(chunk)
             after = os.fstat(f.fileno())
     except OSError:
-        return None, "read_error"
-    if not quiet:
+        return None, "read_error", mode
+    if quiet:
+        mode = "o_noatime"
+    else:
         try:
             os.utime(path, ns=(before.st_atime_ns, before.st_mtime_ns))
+            mode = "restored"
         except OSError:
             pass
     if (after.st_size, after.st_mtime_ns) != (before.st_size, before.st_mtime_ns):
-        return None, "changed_while_read"
-    return h.hexdigest(), "ok"
+        return None, "changed_while_read", mode
+    return h.hexdigest(), "ok", mode
+
+
+def record(path: str, full: str, follow: bool) -> tuple:
+    """A row of FILES_READ, without a digest."""
+    try:
+        s = os.stat(full, follow_symlinks=follow)
+    except OSError:
+        return (path, None, None, None, None, None, "error", "stat_error", None)
+    kind = "symlink" if st.S_ISLNK(s.st_mode) else "dir" if st.S_ISDIR(s.st_mode) else "file" if st.S_ISREG(s.st_mode) else "other"
+    return (path, s.st_size, s.st_mtime_ns, s.st_ctime_ns, s.st_atime_ns, None, kind, "ok", None)
 
 
 class FilesystemReader(DataSourceReader):
@@ -108,7 +125,7 @@ class FilesystemReader(DataSourceReader):
                 with os.scandir(full) as found:
                     entries = sorted(found, key=lambda e: e.name)
             except OSError:
-                yield (rel or ".", None, None, None, None, None, "error", "stat_error")
+                yield (rel or ".", None, None, None, None, None, "error", "stat_error", None)
                 continue
             inner = []
             for e in entries:
@@ -122,18 +139,17 @@ class FilesystemReader(DataSourceReader):
             todo += reversed(inner)
 
     def row(self, path: str, full: str) -> tuple:
+        row = record(path, full, self.follow)
+        if not self.hash or row[6] != "file":
+            return row
         try:
-            s = os.stat(full, follow_symlinks=self.follow)
+            return (*row[:5], *self.digest(full))
         except OSError:
-            return (path, None, None, None, None, None, "error", "stat_error")
-        kind = "symlink" if st.S_ISLNK(s.st_mode) else "dir" if st.S_ISDIR(s.st_mode) else "file" if st.S_ISREG(s.st_mode) else "other"
-        digest, status = None, "ok"
-        if self.hash and kind == "file":
-            if self.limit is not None and s.st_size > self.limit:
-                status = "hash_skipped_oversize"
-            else:
-                digest, status = hash_file(full, self.limit, s)
-        return (path, s.st_size, s.st_mtime_ns, s.st_ctime_ns, s.st_atime_ns, digest, kind, status)
+            return (*row[:5], None, "file", "read_error", None)
+
+    def digest(self, full: str) -> tuple:
+        digest, status, mode = hash_file(full, self.limit, os.stat(full, follow_symlinks=self.follow))
+        return digest, "file", status, mode
 
 
 class FilesystemSource(DataSource):
@@ -142,7 +158,7 @@ class FilesystemSource(DataSource):
         return "inventory"
 
     def schema(self) -> str:
-        return FILES
+        return FILES_READ
 
     def reader(self, schema) -> DataSourceReader:
         return FilesystemReader(dict(self.options))
