@@ -1,26 +1,19 @@
-"""Resolution of claimed paths against an inventory: exact, unique suffix, then similar text.
+"""Resolution of claimed paths against an inventory: exact, unique suffix, then similar text (similar.py), anywhere or below a folder.
 
-Suffix matches are an equality join on exploded suffixes (one row for each directory level). Similar paths are
-searched losslessly: a ratio bounds the difference of lengths and how many characters, by kind, can differ; only claims that no
-other tier settles come so far, and pairs pass both bounds before the exact ratio is computed in Arrow batches. Paths that are
-alike throughout (one template, other numbers) pass both, so that work can grow with claims times files.
-"""
+Suffix matches are an equality join on exploded suffixes (one row for each directory level). Similar paths are searched for only for claims
+that no other tier settles."""
 
 from __future__ import annotations
 
-import difflib
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from ..session import shared_folder
+from .similar import most_similar, most_similar_of
 
-ACCEPT = 0.82
-MARGIN = 0.05
-#: Width of the length buckets of fuzzy_key that claims and candidates meet in.
-BUCKET = 8
+#: Files below a folder that are simply all compared.
+FEW = 100
 
 
 def exact_and_suffix(items: DataFrame, files: DataFrame) -> DataFrame:
@@ -40,53 +33,10 @@ def exact_and_suffix(items: DataFrame, files: DataFrame) -> DataFrame:
     )
 
 
-def _ratios(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        out = []
-        matcher = difflib.SequenceMatcher()
-        for key, candidate in zip(b["key"], b["candidate"], strict=True):
-            matcher.set_seqs(key, candidate)  # the claim comes first: the ratio isn't symmetric
-            low = matcher.real_quick_ratio() < ACCEPT - MARGIN or matcher.quick_ratio() < ACCEPT - MARGIN
-            out.append(0.0 if low else matcher.ratio())
-        yield b.assign(score=out)[["rel", "path", "score"]]
-
-
-def _letters(text: Column) -> Column:
-    """Characters, each with the number of the same before it: sets of these meet in as many as the texts share with repeats."""
-    each = F.transform(F.array_distinct(F.split(text, "")), lambda c: F.transform(F.sequence(F.lit(1), F.size(F.split(text, F.concat(F.lit("\\Q"), c, F.lit("\\E")), -1)) - 1), lambda k: F.concat(c, k.cast("string"))))
-    return F.flatten(each)
-
-
-def candidates(claims: DataFrame, files: DataFrame) -> DataFrame:
-    """rel, path, key, candidate of all pairs whose ratio may be 0.77 or more, by two bounds that lose none; where a path reads exactly as
-    the claim, 0.95 or more, as others can't raise a doubt.
-
-    ratio >= r needs min(len) / max(len) >= r / (2 - r), so only neighbouring length buckets meet; and it needs r / 2 of all
-    characters in common, counted with repeats, which is tested before a pair goes to Python."""
-    f = files.select("path", paths.fuzzy_key("path").alias("candidate")).withColumns({"m": F.length("candidate"), "_b": _letters(F.col("candidate"))}).withColumn("bucket", F.floor(F.col("m") / BUCKET))
-    c = claims.select("rel").where("rel IS NOT NULL AND rel <> ''").distinct().withColumn("key", paths.fuzzy_key("rel"))
-    same = f.select(F.col("candidate").alias("key"), F.lit(True).alias("_same")).distinct()
-    c = c.join(same, "key", "left").withColumns({"_a": _letters(F.col("key")), "n": F.length("key"), "r": F.when(F.col("_same"), F.lit(1 - MARGIN)).otherwise(F.lit(ACCEPT - MARGIN))})
-    least = F.col("r") / (2 - F.col("r"))
-    c = c.withColumn("least", least - 1e-9).withColumn("bucket", F.explode(F.sequence(F.floor(F.col("n") * F.col("least") / BUCKET), F.floor(F.col("n") / F.col("least") / BUCKET))))
-    near = c.join(f, "bucket").where(F.least("n", "m") >= F.col("least") * F.greatest("n", "m"))
-    shared = F.size(F.array_intersect("_a", "_b"))
-    return near.where(2 * shared >= F.col("r") * (F.col("n") + F.col("m")) - 1e-9).select("rel", "path", "key", "candidate")
-
-
-def decided(near: DataFrame) -> DataFrame:
-    """rel, fuzzy_path, best, ambiguous of each rel of candidate pairs: the best path, if no other comes near it."""
-    scored = near.select("rel", "path", "key", "candidate").mapInPandas(_ratios, "rel string, path string, score double").where(f"score >= {ACCEPT - MARGIN}")
-    first = scored.groupBy("rel").agg(F.max("score").alias("best"))  # a hot claim's candidates aren't sorted: two partial aggregates
-    named = scored.join(first, "rel").groupBy("rel").agg(F.first("best").alias("best"), F.min(F.when(F.col("score") == F.col("best"), F.col("path"))).alias("fuzzy_path"), F.count_if(F.col("score") == F.col("best")).alias("ties"), F.max(F.when(F.col("score") < F.col("best"), F.col("score"))).alias("lower"))
-    second = F.when(F.col("ties") > 1, F.col("best")).otherwise(F.coalesce("lower", F.lit(0.0)))
-    clear = (F.col("best") >= ACCEPT) & (F.col("best") - second >= MARGIN)
-    return named.select("rel", F.when(clear, F.col("fuzzy_path")).alias("fuzzy_path"), "best", ((F.col("best") >= ACCEPT) & ~clear).alias("ambiguous"))
-
-
 def fuzzy(claims: DataFrame, files: DataFrame) -> DataFrame:
     """rel, fuzzy_path, best, ambiguous of each distinct claims.rel that has a candidate of ratio 0.77 or more."""
-    return decided(candidates(claims, files))
+    asked = claims.select("rel").where("rel IS NOT NULL AND rel <> ''").distinct().select("rel", F.lit(None).cast("string").alias("scope"), paths.fuzzy_key("rel").alias("key"))
+    return most_similar(asked, files.select("path", paths.fuzzy_key("path").alias("key"))).drop("scope")
 
 
 def deepest_ancestor(items: DataFrame, directories: DataFrame) -> DataFrame:
@@ -98,14 +48,24 @@ def deepest_ancestor(items: DataFrame, directories: DataFrame) -> DataFrame:
 
 def scoped(items: DataFrame, files: DataFrame, directories: DataFrame) -> DataFrame:
     """rel, path, status of claims (rel): resolved_direct if the path is there, resolved_fuzzy if a similar one lies in the deepest
-    directory above it that exists, not_found otherwise. A claim of which no directory exists isn't searched for."""
+    directory above it that exists, not_found otherwise. A claim of which no directory exists isn't searched for.
+
+    Below a folder of FEW files a claim meets all of them, below a larger one those that share grams with it."""
+    shared_folder(items.sparkSession)
     known = files.select(F.col("path").alias("_path"))
     direct = items.select("rel").distinct().join(known, F.col("rel") == F.col("_path"), "left")
     open_ = deepest_ancestor(direct.where("_path IS NULL"), directories).where("scope IS NOT NULL")
-    below = files.select("path", F.explode(paths.ancestors(F.col("path"))).alias("scope"))  # one row a folder level
-    near = open_.join(below, "scope").select("rel", "path", paths.fuzzy_key("rel").alias("key"), paths.fuzzy_key("path").alias("candidate"))
-    shared = 2 * F.size(F.array_intersect(_letters(F.col("key")), _letters(F.col("candidate"))))
-    best = decided(near.where(shared >= F.lit(ACCEPT - MARGIN) * (F.length("key") + F.length("candidate")) - 1e-9))
+    asked = open_.select("rel", "scope", paths.fuzzy_key("rel").alias("key"))
+    below = files.select("path", F.explode(paths.ancestors(F.col("path"))).alias("scope")).join(asked.select("scope").distinct(), "scope", "left_semi")
+    sizes = below.groupBy("scope").agg(F.count("*").alias("held"))
+    asked = asked.join(sizes, "scope").checkpoint()
+    keyed = files.select("path", paths.fuzzy_key("path").alias("key"))
+    few = asked.where(F.col("held") <= FEW).join(below, "scope").select("rel", "scope", "key", "path", paths.fuzzy_key("path").alias("candidate"))
+    best = most_similar_of(few)
+    many = asked.where(F.col("held") > FEW)
+    if not many.isEmpty():
+        best = best.unionByName(most_similar(many, keyed))
+    best = best.drop("scope")
     joined = direct.join(best, "rel", "left")
     status = F.when(F.col("_path").isNotNull(), F.lit("resolved_direct")).when(F.col("fuzzy_path").isNotNull(), F.lit("resolved_fuzzy")).otherwise(F.lit("not_found"))
     return joined.select("rel", F.coalesce("_path", "fuzzy_path").alias("path"), status.alias("status"))

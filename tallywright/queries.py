@@ -240,6 +240,20 @@ def resolve_similar(spark, sf_dir):
     return resolve.fuzzy(noisy, files)
 
 
+def stored(spark, sf_dir):
+    """Documents as files of unlike names."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 12), F.lit("/"), "source", F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"))
+
+
+@query()
+def resolve_damaged(spark, sf_dir):
+    """Every document's path with a wrong letter, two in some, against all paths; difflib has no SQL counterpart."""
+    files = stored(spark, sf_dir)
+    once = F.overlay("path", F.lit("x"), (F.col("doc_id") % 8 + 3).cast("int"))
+    damaged = F.when(F.col("doc_id") % 10 == 0, F.overlay(once, F.lit("y"), F.lit(14))).otherwise(once)
+    return resolve.fuzzy(files.select(damaged.alias("rel")), files.select("path"))
+
+
 @query()
 def resolve_scoped(spark, sf_dir):
     """Claims with a misread file name, searched for in the deepest folder above them that exists."""
@@ -250,7 +264,7 @@ def resolve_scoped(spark, sf_dir):
 
 
 def results(spark, sf_dir):
-    return verify.verify(claims(spark, sf_dir), base(spark, sf_dir), Profile(extensions=(".txt",), filename_patterns=("*[13579].txt",), size_max=3000), similar=False)
+    return verify.verify(claims(spark, sf_dir), base(spark, sf_dir), Profile(extensions=(".txt",), filename_patterns=("*[13579].txt",), size_max=3000))
 
 
 VERIFIED = RESOLVED + """, verified AS (SELECT r.ord, r.claimed_path, r.digest, r.matched_path, r.tier,
@@ -310,7 +324,7 @@ def worst_keyword(spark, sf_dir):
   SELECT section, row_number() OVER (PARTITION BY section ORDER BY ord NULLS FIRST, path) AS no, ord, path, status FROM listed""")
 def disposal_lists(spark, sf_dir):
     live = current(spark, sf_dir).select("path", "sha256", *[F.lit(None).cast("string").alias(n) for n in digests.LENGTHS if n != "sha256"])
-    checked = verify.verify(claims(spark, sf_dir), base(spark, sf_dir), Profile(filename_patterns=("*[13579].txt",), size_max=3000), live=live, similar=False)
+    checked = verify.verify(claims(spark, sf_dir), base(spark, sf_dir), Profile(filename_patterns=("*[13579].txt",), size_max=3000), live=live)
     return custody.numbered_lists(custody.disposal_lists(checked, changes(spark, sf_dir))).select("section", "no", "ord", "path", "status")
 
 
@@ -320,7 +334,7 @@ PETITION = ORACLE_SQL["disposal_lists"].rpartition("listed AS (")[0].rstrip().rs
 def checked_now(spark, sf_dir):
     """Claims against the inventory and against the files as they are now."""
     live = current(spark, sf_dir).select("path", "sha256", *[F.lit(None).cast("string").alias(n) for n in digests.LENGTHS if n != "sha256"])
-    return verify.verify(claims(spark, sf_dir), base(spark, sf_dir), Profile(filename_patterns=("*[13579].txt",), size_max=3000), live=live, similar=False)
+    return verify.verify(claims(spark, sf_dir), base(spark, sf_dir), Profile(filename_patterns=("*[13579].txt",), size_max=3000), live=live)
 
 
 @query(PETITION + """, p AS (SELECT 1 AS list, * FROM v WHERE matched AND NOT some_group UNION ALL SELECT 2, * FROM v WHERE missing_now)
