@@ -16,7 +16,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import artifacts, audit, boundary, certificate, custody, diff, evidence, inventory, journal, resolve, scan, verify
+from .operators import artifacts, audit, boundary, certificate, custody, diff, evidence, inventory, journal, procedure, resolve, scan, verify
 from .plans.criteria import Profile, iso_ns, load_hash_sets
 from .session import ship
 from .sources import reports, tree
@@ -203,6 +203,20 @@ def _sums(spark, a):
     return {"summary": custody.overall(verdicts), "files": verdicts}
 
 
+def _procedure(spark, a):
+    """The case's log, and the digests of all its files."""
+    rows = procedure.log(procedure.steps(procedure.read_manifests(spark, a.case)), procedure.watches(procedure.read_events(spark, a.case)))
+    index = tree.take_inventory(spark, a.case, a.out).where("kind = 'file'")
+    return {"summary": rows.agg(F.count("*").alias("entries"), F.min("ts").alias("first"), F.max("ts").alias("last")), "log": rows, "index": index.select("path", "size", "sha256", "status")}
+
+
+def _rejoin(spark, a):
+    parts = reports.parts(_bytes(spark, a.parts))
+    told = reports.checksum_list(spark.read.text(a.sums)).select(F.col("name").alias("archive"), "digest")
+    rows = custody.rejoined(parts, told)
+    return {"summary": rows.groupBy("verdict").count(), "archives": rows, "parts": custody.check_sums(reports.checksum_list(spark.read.text(a.sums)), parts.select(F.col("path").alias("name"), F.sha2("content", 256).alias("digest")))}
+
+
 def _inquiry(spark, a):
     results, changes = (reports.case_table(spark, a.case, n) for n in ("verify", "diff"))
     if results is None:
@@ -251,11 +265,13 @@ COMMANDS: dict[str, tuple[Callable, tuple[str, ...], tuple[str, ...]]] = {
     "mirror": (_mirror, ("inventory", "claims", "out"), ()),
     "seal": (_seal, ("inventory", "out"), ()),
     "check-sums": (_sums, ("sums", "inventory", "out"), ()),
+    "procedure": (_procedure, ("case", "out"), ()),
+    "rejoin": (_rejoin, ("parts", "sums", "out"), ()),
     "inquiry": (_inquiry, ("case", "query", "out"), ()),
     "petition": (_petition, ("case", "out"), ()),
 }
 #: Arguments that name something that must be there.
-PATHS = ("inventory", "claims", "profile", "current", "journal", "package", "artifacts", "root", "earlier", "live", "export", "sums", "case")
+PATHS = ("inventory", "claims", "profile", "current", "journal", "package", "artifacts", "root", "earlier", "live", "export", "sums", "case", "parts")
 
 
 def parser() -> argparse.ArgumentParser:

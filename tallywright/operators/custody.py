@@ -53,6 +53,41 @@ def overall(verdicts: DataFrame) -> DataFrame:
     return verdicts.agg(F.when(n("mismatch") > 0, F.lit("mismatch")).when(n("missing") > 0, F.lit("missing")).when(n("unverifiable") > 0, F.lit("unverifiable")).otherwise(F.lit("ok")).alias("verdict"), F.count("*").alias("parts"))
 
 
+def rejoined(parts: DataFrame, expected: DataFrame) -> DataFrame:
+    """Per archive of parts (archive, part, content): parts, bytes, sha256 of its parts in order, missing (numbers from 1 on that no part has; what is missing
+    after the last can't be seen) and verdict against expected (archive, digest): missing_part, unverifiable without a digest to compare with, ok or mismatch.
+
+    A digest of the whole runs through all bytes in order, so an archive is one task's; it holds a part at a time. A repeated number counts as found."""
+    kind = dict(parts.dtypes)["archive"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, began, type_ = None, False, None
+        n, size, lost, last, h = 0, 0, 0, 0, hashlib.sha256()
+
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"archive": pa.array([at], type_), "parts": [n], "bytes": [size], "sha256": [h.hexdigest()], "missing": [lost]})
+
+        for b in batches:
+            type_ = b.column(0).type
+            for i in range(len(b)):
+                archive, number, content = b.column(0)[i].as_py(), b.column(1)[i].as_py(), b.column(2)[i].as_buffer()
+                if began and archive != at:
+                    yield row()
+                    n, size, lost, last, h = 0, 0, 0, 0, hashlib.sha256()
+                at, began = archive, True
+                lost += max(0, number - last - 1)
+                n, size, last = n + 1, size + (content.size if content is not None else 0), number
+                h.update(content if content is not None else b"")
+        if began:
+            yield row()
+
+    ordered = parts.select("archive", F.col("part").cast("long").alias("part"), F.col("content").cast("binary").alias("content")).repartition("archive").sortWithinPartitions("archive", "part")
+    whole = ordered.mapInArrow(run, f"archive {kind}, parts long, bytes long, sha256 string, missing long")
+    told = expected.select("archive", F.lower(F.nullif("digest", F.lit(""))).alias("_told"))
+    verdict = F.when(F.col("missing") > 0, F.lit("missing_part")).when(F.col("_told").isNull(), F.lit("unverifiable")).when(F.col("_told") == F.col("sha256"), F.lit("ok")).otherwise(F.lit("mismatch"))
+    return whole.join(told, "archive", "left").select("archive", "parts", "bytes", "sha256", "missing", verdict.alias("verdict"))
+
+
 def mirror_plan(items: DataFrame, files: DataFrame) -> DataFrame:
     """What to copy: the first item of each rel, with the file's size and how its digest compares with the claim."""
     first = items.withColumn("_k", F.row_number().over(Window.partitionBy("rel").orderBy("ord"))).where("_k = 1").drop("_k")

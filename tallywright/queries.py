@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import digests, paths, reasons, timeutil
-from .operators import artifacts, audit, boundary, certificate, custody, diff, evidence, inventory, journal, resolve, scan, verify
+from .operators import artifacts, audit, boundary, certificate, custody, diff, evidence, inventory, journal, procedure, resolve, scan, verify
 from .plans.criteria import Keyword, Profile, evaluate
 from .session import shared_folder, ship
 from .sources import claims as claim_lists
@@ -696,6 +696,39 @@ def stream_watch(spark, sf_dir):
     return watch.monitored(spark, f"{root}/events").where("event <> 'snapshot_init'").select("pass", "event", "path")
 
 
+#: Documents as parts of archives of a source's next 1,000 ids; of some archives the second part is lost, of some the digest that they had isn't known or another.
+PARTS = """SELECT concat(source, '-', CAST(CAST(floor(doc_id / 1000) AS BIGINT) AS STRING), '.zip') AS archive, row_number() OVER (PARTITION BY source, floor(doc_id / 1000) ORDER BY doc_id) AS part, text, doc_id FROM documents"""
+
+
+@query(f"""WITH p AS ({PARTS}), w AS (SELECT archive, sha256(string_agg(text, '' ORDER BY part)) AS whole FROM p GROUP BY archive), kept AS (SELECT * FROM p WHERE NOT (archive LIKE 'src3-%' AND part = 2)),
+  h AS (SELECT archive, count(*) AS parts, sum(strlen(text))::BIGINT AS bytes, sha256(string_agg(text, '' ORDER BY part)) AS sha256, (max(part) - count(*))::BIGINT AS missing FROM kept GROUP BY archive)
+  SELECT h.archive, parts, bytes, sha256, missing, CASE WHEN missing > 0 THEN 'missing_part' WHEN h.archive LIKE 'src5-%' THEN 'unverifiable' WHEN h.archive LIKE 'src7-%' THEN 'mismatch' WHEN sha256 = whole THEN 'ok' ELSE 'mismatch' END AS verdict FROM h JOIN w ON w.archive = h.archive""")
+def rejoin_check(spark, sf_dir):
+    """Archives joined from their parts, against the digests that they had before they were split."""
+    parts = view(spark, sf_dir, PARTS).withColumnRenamed("text", "content")
+    before = custody.rejoined(parts, parts.select("archive", F.lit(None).cast("string").alias("digest")).limit(0))
+    known = F.when(F.startswith("archive", F.lit("src7-")), F.sha2("sha256", 256)).when(~F.startswith("archive", F.lit("src5-")), F.col("sha256"))
+    return custody.rejoined(parts.where("NOT (archive LIKE 'src3-%' AND part = 2)"), before.select("archive", known.alias("digest")))
+
+
+#: Orders as manifests, a user's events as a watcher's log.
+MANIFESTS = '''SELECT concat('case/run-', CAST(o_orderkey AS STRING), '/manifest.json') AS path, concat('{"command":"', lower(o_orderpriority), '","finished_utc":"', CAST(o_orderdate AS STRING), '"}') AS content FROM orders'''
+LOGS = '''SELECT concat('watch/', CAST(user_id AS STRING)) AS path, event_id AS ord, concat(CASE WHEN event_id % 13 = 0 THEN 'torn ' ELSE '' END, '{"event":"', event_type, '"', CASE WHEN event_id % 5 = 0 THEN '' ELSE concat(',"ts":"', CAST(ts AS STRING), '"') END, '}') AS value FROM events'''
+
+
+@query(f"""WITH m AS ({MANIFESTS}), l AS (SELECT *, json_extract_string(value, '$.event') AS event, json_extract_string(value, '$.ts') AS ts FROM ({LOGS}) WHERE value LIKE '{{%'),
+  k AS (SELECT path, string_agg(event || '=' || n, ', ' ORDER BY event) AS kinds FROM (SELECT path, event, count(*) AS n FROM l GROUP BY 1, 2) GROUP BY path),
+  w AS (SELECT path, arg_min(ts, ord) FILTER (WHERE ts IS NOT NULL) AS first, arg_max(ts, ord) FILTER (WHERE ts IS NOT NULL) AS last FROM l GROUP BY path),
+  e AS (SELECT json_extract_string(content, '$.finished_utc') AS ts, json_extract_string(content, '$.command') || ' finished (' || split_part(path, '/', 2) || '/, manifest ' || left(sha256(content), 16) || ')' AS description FROM m
+    UNION ALL SELECT coalesce(first, '?'), 'watched from ' || coalesce(first, '?') || ' to ' || coalesce(last, '?') || ': ' || kinds FROM w JOIN k ON k.path = w.path)
+  SELECT row_number() OVER (ORDER BY ts, description) AS no, ts, description FROM e""")
+def procedure_log(spark, sf_dir):
+    """Steps and watches of a case in one numbered order."""
+    own = lambda sql, name: spark.sql(sql.replace("{", "{{").replace("}", "}}").replace(f"FROM {name}", f"FROM {{{name}}}"), **{name: table(spark, sf_dir, name)})
+    manifests, lines = own(MANIFESTS, "orders"), own(LOGS, "events")
+    return procedure.log(procedure.steps(manifests), procedure.watches(lines))
+
+
 @query()
 def text_strings(spark, sf_dir):
     """Readable runs of each page's bytes."""
