@@ -546,25 +546,31 @@ def hive_text(data: bytes, kind: int) -> str | None:
 
 
 SHIM = "path string, filetime long, how string"
+#: Mark, reserved, size of the entry, bytes of its path, FILETIME, reserved; the path follows.
+_SHIM_HEAD, _SHIM_SIZE = "<4s4xIIQ8x", 32
+#: A path with a drive, a share or a device before it, or one of a program.
+_PATH = re.compile(r'''(?:[A-Za-z]:|\\\\[^\\/:*?"<>|\x00-\x1f]+|\\\?\?\\[A-Za-z]:)(?:\\[^\\/:*?"<>|\x00-\x1f]+)+|(?:[^\\/:*?"<>|\x00-\x1f]+\\)+[^\\/:*?"<>|\x00-\x1f]+\.exe\b''', re.I)
 
 
 @parser(f"array<struct<{SHIM.replace(' ', ':').replace(',:', ',')}>>", pa.list_(fields(SHIM)))
 def shimcache_entries(blob: bytes) -> list[dict]:
-    """Programs in an application compatibility cache: entries marked 00ts with size, path size, FILETIME and path; where there are none,
-    two-byte texts that read as program paths."""
-    found, at = [], 0
-    while (at := blob.find(b"00ts", at)) >= 0 and at + 48 <= len(blob):
-        size, n = u32(blob, at + 8), u32(blob, at + 12)
-        if not 0 < n <= 2048 or at + 32 + n > len(blob):
-            at += 4
+    """Programs in an application compatibility cache: its entries, as far as their heads make sense; where there are none, texts of two-byte characters
+    that read as paths. An entry's path is whole two-byte text without control characters, inside the value and inside the entry."""
+    entries, past = [], 0
+    for mark in re.finditer(b"00ts", blob):
+        if mark.start() < past or len(blob) - mark.start() < _SHIM_SIZE:
+            continue  # bytes of an entry that has been read, or a torn head
+        _, size, length, filetime = struct.unpack_from(_SHIM_HEAD, blob, mark.start())
+        raw = blob[mark.start() + _SHIM_SIZE :][:length]
+        path = raw.decode("utf-16-le", "replace").rstrip("\0")
+        if length % 2 or len(raw) < length or not path or not path.isprintable():
             continue
-        if path := blob[at + 32 : at + 32 + n].decode("utf-16-le", "replace").rstrip("\0"):
-            found.append({"path": path, "filetime": min(u64(blob, at + 16), 2**63 - 1), "how": "entry"})
-        at += max(4, size)
-    if found:
-        return found
-    texts = (m[0].decode("utf-16-le") for m in re.finditer(rb"(?:[\x20-\x7e]\x00){3,}", blob))
-    return [{"path": t, "filetime": None, "how": "text"} for t in texts if "\\" in t and (".exe" in t.lower() or t[1:3] == ":\\")]
+        entries.append({"path": path, "filetime": min(filetime, 2**63 - 1), "how": "entry"})
+        past = mark.start() + _SHIM_SIZE + length
+    if entries:
+        return entries
+    texts = [m[0] for shift in (0, 1) for m in _PATH.finditer(blob[shift:].decode("utf-16-le", "replace"))]
+    return [{"path": t, "filetime": None, "how": "text"} for t in dict.fromkeys(texts) if t.isascii()]
 
 
 @parser("array<string>", pa.list_(pa.string()))
