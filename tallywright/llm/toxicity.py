@@ -69,13 +69,20 @@ def padded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     keep = data != 32
     keep[1:] |= data[:-1] != 32
     keep[offs[:-1]] = True
-    return data[keep], np.concatenate([[0], np.cumsum(keep)])[offs]
+    kept = np.add.reduceat(keep.view(np.uint8), offs[:-1], dtype=np.int64) if len(texts) else []
+    return data[keep], np.concatenate([[0], np.cumsum(kept)]).astype(np.int64)
 
 
 def distinct(text: bytes) -> np.ndarray:
-    """All distinct features of one text."""
+    """All distinct features of one text, ascending; piece by piece, as in present()."""
     data, _ = padded([text])
-    return np.unique(np.concatenate([grams(data, n) + np.int32(k << BITS) for k, n in enumerate(SIZES)]))
+    lead = max(SIZES) - 1
+    found = np.zeros(0, np.int32)
+    for at in range(0, len(data), PIECE):
+        piece = data[at : at + PIECE + lead]
+        for k, n in enumerate(SIZES):
+            found = np.union1d(found, grams(piece, n)[:PIECE] + np.int32(k << BITS))
+    return found
 
 
 class Model:
