@@ -135,9 +135,9 @@ def recycle_pairs(info: DataFrame, files: DataFrame) -> DataFrame:
     """info (path of an $I file, ...) with the $R file of the same folder and suffix, NULL if it is gone."""
     name = paths.basename(F.col("path"))
     folder = F.regexp_extract("path", "^(.*/)?[^/]*$", 1)
-    wanted = info.withColumn("content_path", F.concat(folder, F.lit("$R"), F.substring(name, 3, 1000)))
+    wanted = info.withColumn("_content", F.concat(folder, F.lit("$R"), F.substring(name, 3, 1000)))
     held = files.select(F.col("path").alias("content_path"), F.col("size").alias("content_size"))
-    return wanted.join(held, "content_path", "left")
+    return wanted.join(held, F.col("_content") == F.col("content_path"), "left").drop("_content")
 
 
 def recycled_list_pairs(info: DataFrame, files: DataFrame, since_filetime: int, until_filetime: int) -> DataFrame:
@@ -157,9 +157,20 @@ def recycled_list_pairs(info: DataFrame, files: DataFrame, since_filetime: int,
     return joined.select(F.when(telling, F.lit("bin_list_or_container")).otherwise(F.lit("bin_deleted")).alias("category"), "original_path", "deleted", "size", "content_path", "content_size")
 
 
-def leftover_summary(rows: DataFrame) -> DataFrame:
-    """channel, category, items of leftovers."""
-    return rows.groupBy("channel", "category").agg(F.count("*").alias("items"))
+def recycle_bin(info: DataFrame, files: DataFrame, since_filetime: int, until_filetime: int) -> DataFrame:
+    """category, original_path, deleted, size, content_path, content_size of the $I files of recycle bins whose files were deleted in a window.
+
+    info: path of the $I file, and r, its record (as from parsers.recycled). content_path is NULL if the $R file is gone."""
+    r = lambda c: F.col(f"r.{c}").alias(c)
+    held = info.where(F.col("r.deleted").between(since_filetime, until_filetime)).select("path", r("original_path"), r("deleted"), r("size"))
+    telling = deleted_leftover(F.translate("original_path", "\\", "/"))
+    return recycle_pairs(held, files).select(F.when(telling, F.lit("bin_list_or_container")).otherwise(F.lit("bin_deleted")).alias("category"), "original_path", "deleted", "size", "content_path", "content_size")
+
+
+def leftover_summary(rows: DataFrame, most: int | None = None) -> DataFrame:
+    """channel, category, items of leftovers, and truncated: more than most items in it, where a report is to list so many only; none is dropped."""
+    counted = rows.groupBy("channel", "category").agg(F.count("*").alias("items"))
+    return counted.withColumn("truncated", F.lit(False) if most is None else F.col("items") > most)
 
 
 def deleted_leftover(name: Column) -> Column:
@@ -167,9 +178,9 @@ def deleted_leftover(name: Column) -> Column:
     return paths.extension(name).isin(*LIST_EXTENSIONS, *LEFTOVER_CONTAINERS) | F.coalesce(name_hinted(name), F.lit(False))
 
 
-def leftovers(files: DataFrame, since_ns: int | None, until_ns: int | None, deleted: DataFrame | None = None) -> DataFrame:
-    """channel, name, category of files in the window, and of deletions (file_name, as from journal.deletions) that look like lists or
-    containers; the latter are all deleted_in_window."""
+def leftovers(files: DataFrame, since_ns: int | None, until_ns: int | None, deleted: DataFrame | None = None, binned: DataFrame | None = None) -> DataFrame:
+    """channel, name, category of files in the window, of deletions (file_name, as from journal.deletions) that look like lists or
+    containers, which are all deleted_in_window, and of what lies in recycle bins (as from recycle_bin and recycled_list_pairs)."""
     bounded = since_ns is not None
     inside = files.where("kind = 'file'")
     if bounded:
@@ -179,6 +190,8 @@ def leftovers(files: DataFrame, since_ns: int | None, until_ns: int | None, dele
     out = inside.select(F.lit("file").alias("channel"), F.col("path").alias("name"), leftover_category(F.col("path"), bounded).alias("category"))
     if deleted is not None:
         out = out.unionByName(deleted.where(deleted_leftover(F.col("file_name"))).select(F.lit("journal").alias("channel"), F.col("file_name").alias("name"), F.lit("deleted_in_window").alias("category")))
+    if binned is not None:
+        out = out.unionByName(binned.select(F.lit("recycle_bin").alias("channel"), F.col("original_path").alias("name"), "category"))
     return out.where("category IS NOT NULL")
 
 

@@ -571,6 +571,22 @@ def leftovers_signature(spark, sf_dir):
     return names.select("doc_id", evidence.leftover_category(F.col("path")).alias("category")).where("category IS NOT NULL")
 
 
+@query(ORACLE_SQL["leftovers_signature"].rpartition("SELECT doc_id, category FROM c")[0] + f""", b AS (SELECT CASE WHEN name LIKE '%.txt' OR name LIKE '%.xlsx' OR name LIKE '%.zip' OR {_HINT} THEN 'bin_list_or_container' ELSE 'bin_deleted' END AS category FROM n WHERE doc_id % 3 > 0)
+  SELECT channel, category, count(*) AS items, count(*) > 100 AS truncated FROM (SELECT 'file' AS channel, category FROM c WHERE category IS NOT NULL UNION ALL SELECT 'recycle_bin', category FROM b) GROUP BY channel, category""")
+def leftover_channels(spark, sf_dir):
+    """Files of the window and what recycle bins hold of it, by channel and category."""
+    names = table(spark, sf_dir, "documents").select("doc_id", F.expr(NAMES).alias("path"), F.lit("file").alias("kind"), F.lit(T0).alias("mtime_ns"), F.col("n_chars").alias("size"))
+    record = F.struct(F.concat(F.lit("C:\\x\\"), "path").alias("original_path"), (F.col("doc_id") % 3).alias("deleted"), "size")
+    info = names.select(F.concat(F.lit("$Recycle.Bin/S/$I"), "doc_id").alias("path"), record.alias("r"))
+    held = names.where("doc_id % 2 = 0").select(F.concat(F.lit("$Recycle.Bin/S/$R"), "doc_id").alias("path"), "size")
+    return evidence.leftover_summary(evidence.leftovers(names, T0, None, None, evidence.recycle_bin(info, held, 1, 2)), 100)
+
+
+@query(f"WITH base AS ({BASE}) SELECT status, count(*) AS count FROM base GROUP BY status")
+def inventory_statuses(spark, sf_dir):
+    return inventory.counts(base(spark, sf_dir), "status")
+
+
 #: Journal names made from an event's own columns, half of them telling ones.
 GONE_NAME = "concat(CASE user_id % 4 WHEN 0 THEN 'selected_' WHEN 1 THEN 'deselected' WHEN 2 THEN '목록_' ELSE 'x' END, event_type, CASE event_id % 5 WHEN 0 THEN '.xlsx' WHEN 1 THEN '.tmp' WHEN 2 THEN '.zip' WHEN 3 THEN '.dat' ELSE '' END)"
 

@@ -143,6 +143,17 @@ def test_sequence_issues(spark):
     assert issues(*[str(i) for i in range(20_000)], "5") == ["descent", "duplicate"]
 
 
+def test_recycle_bin_channel(spark):
+    rows = [("$Recycle.Bin/S/$IA.xlsx", ("C:\\x\\목록.xlsx", FILETIME, 5)), ("$Recycle.Bin/S/$IB", ("C:\\x\\photo.gif", FILETIME, 6)), ("$Recycle.Bin/S/$IC", ("C:\\late.zip", FILETIME + 9, 7))]
+    info = spark.createDataFrame(rows, "path string, r struct<original_path: string, deleted: long, size: long>")
+    files = spark.createDataFrame([("$Recycle.Bin/S/$RA.xlsx", 9, "file", 1)], "path string, size long, kind string, mtime_ns long")
+    binned = evidence.recycle_bin(info, files, FILETIME, FILETIME)
+    assert sorted(tuple(r) for r in binned.select("category", "original_path", "content_path").collect()) == [("bin_deleted", "C:\\x\\photo.gif", None), ("bin_list_or_container", "C:\\x\\목록.xlsx", "$Recycle.Bin/S/$RA.xlsx")]
+    every = evidence.leftovers(files, 0, None, None, binned)
+    assert every.where("channel = 'recycle_bin'").count() == 2
+    assert {(r["category"], r["truncated"]) for r in evidence.leftover_summary(every.unionByName(every), 3).where("channel = 'recycle_bin'").collect()} == {("bin_deleted", False), ("bin_list_or_container", False)}
+
+
 def test_old_recycle_list(spark):
     record = struct.pack("<I4sQI", 3, b"C:\0\0", FILETIME, 5) + b"\0".ljust(260, b"\0") + wide("\\x\\목록.xlsx").ljust(520, b"\0")
     ship(spark)
