@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
+from .needles import contained
 
 
 def root_hash(sums: DataFrame, key: str) -> DataFrame:
@@ -139,16 +140,13 @@ def numbered(rows: DataFrame, order: list[str], within: list[str]) -> DataFrame:
 
 def inquire(results: DataFrame, changes: DataFrame, queries: DataFrame) -> DataFrame:
     """query, source, path: for each query (query), items whose claimed or matched path contains it, in any case; changed paths only for
-    queries that no item answers. queries is small by nature and checked: each text is tested against each row."""
-    terms = [r["query"] for r in queries.select("query").distinct().limit(1001).collect()]
-    if len(terms) > 1000:
-        raise ValueError("more than 1000 queries at once")
-    every = F.array(*map(F.lit, terms)) if terms else F.array().cast("array<string>")
-    text = F.lower(F.concat_ws("\n", "claimed_path", "matched_path"))
-    hits = results.select(F.explode(F.filter(every, lambda q: text.contains(F.lower(q)))).alias("query"), F.lit("item").alias("source"), F.coalesce("matched_path", "claimed_path").alias("path"))
-    answered = hits.select("query").distinct()
-    other = changes.where("change <> 'unchanged'").select(F.explode(F.filter(every, lambda q: F.lower("path").contains(F.lower(q)))).alias("query"), F.lit("change").alias("source"), "path")
-    return hits.unionByName(other.join(answered, "query", "left_anti"))
+    queries that no item answers."""
+    needles = queries.select(F.col("query").alias("needle"))
+    items = results.select(F.concat_ws("\n", "claimed_path", "matched_path").alias("text"), F.lit("item").alias("source"), F.coalesce("matched_path", "claimed_path").alias("path"))
+    hits = contained(items, F.col("text"), needles)
+    left = needles.distinct().join(hits.select("needle").distinct(), "needle", "left_anti")
+    other = changes.where("change <> 'unchanged'").select(F.col("path").alias("text"), F.lit("change").alias("source"), "path")
+    return hits.unionByName(contained(other, F.col("text"), left)).select(F.col("needle").alias("query"), "source", "path")
 
 
 def status_text(scope, status):
