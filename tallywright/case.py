@@ -123,6 +123,7 @@ def _diff(spark, a):
 def _inventory(spark, a):
     """The table files is written by the job itself."""
     rows = tree.take_inventory(spark, a.root, a.out, a.hash, _files(spark, a.earlier) if a.earlier else None, int(a.max_hash_bytes) if a.max_hash_bytes else None)
+    rows = rows if a.earlier else rows.drop("reused")
     return {"summary": inventory.meta(rows, a.root, dt.datetime.now(dt.UTC).isoformat(timespec="seconds"))}
 
 
