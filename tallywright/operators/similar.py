@@ -27,8 +27,8 @@ from ..session import shared_folder, ship
 
 ACCEPT = 0.82
 MARGIN = 0.05
-#: Least ratios and the lengths of the grams by which they are searched. Each is within MARGIN of the one before.
-LEVELS = ((0.95, 3), (0.90, 3), (0.85, 2), (0.80, 2), (ACCEPT - MARGIN, 2))
+#: Least ratios and the lengths of the grams by which they are searched. Any falling ratios do that end with the last; more of them mean more jobs of fewer pairs.
+LEVELS = ((0.95, 3), (0.90, 3), (0.85, 2), (ACCEPT - MARGIN, 2))
 #: So many common grams are asked for.
 COMMON = 3
 #: Grams are ordered by how often those of the same remainder occur.
