@@ -9,9 +9,11 @@ the class's of the last bytes of earlier tokens, the part's of whole tokens, has
 before the last. A part's score starts at the log of its share of the counts, which is what it is without a history. Within a part
 a token has its count + 0.5 over those of the part, with one more token for all unknown ones. Probabilities over all tokens sum to 1.
 
-Training is distributed: each task makes AdaGrad updates over its own texts, in sparse numpy batches; the classes' weights of the tasks
-are averaged by their tokens, the parts' row by row by how often each task met the row. Token counts are summed over all
-training texts. Scoring broadcasts the model and the FREQUENT most frequent tokens' counts (all of bounded size); other tokens
+Training is distributed: texts are dealt by the hash of text and id into logical shards of about SHARD_TOKENS tokens, and a learner makes
+AdaGrad updates over each shard in the order of its texts' hashes, in sparse numpy batches; the classes' weights of the shards are averaged by their
+tokens, the parts' row by row by how often each shard met the row. How many shards there are and what they hold depends on the texts only,
+so the model is the same however the table is partitioned, and a shard has enough to learn from on a cluster of any size. A task takes
+several shards where there are many, so that sums of weights travel less than the texts. Token counts are summed over all training texts. Scoring broadcasts the model and the FREQUENT most frequent tokens' counts (all of bounded size); other tokens
 meet their counts in a join. A hashed row serves all histories that fall into it, so what one rare history teaches fades as the corpus
 grows; HASHED is the parameter for that.
 
@@ -23,6 +25,7 @@ equally likely; repeated rows, and rows with equal or null ids, are each learned
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,6 +50,10 @@ PARTS = 16
 HASHED = 1 << 16
 KINDS = 2
 PART_RATE = 0.3
+#: Training tokens of a logical shard, about 13 MB of text; tasks take one shard each up to TASKS shards, then SHARDS_A_TASK at most.
+SHARD_TOKENS = 1 << 21
+TASKS = 200
+SHARDS_A_TASK = 16
 #: At most so many tokens' counts are broadcast: 16 bytes each.
 FREQUENT = 300_000
 END_HASH = U64(0x1F3A5C7E9B2D4F61)
@@ -201,41 +208,87 @@ def learn_parts(base: np.ndarray, weights: np.ndarray, squares: np.ndarray, hits
         hits[kind, met] += np.diff(np.append(first, len(r)))
 
 
-def train(texts: DataFrame, class_of: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of classes and of parts, averaged over what each task has learned from its texts; sums meet in two levels of tasks."""
-    slabs = 32  # pieces that the parts' weights travel in
-    wide = KINDS * HASHED // slabs
+#: Rows in which the sums of classes' and of parts' weights travel.
+OUTER_SLABS, INNER_SLABS = 16, 32
+
+
+class Learner:
+    """Learns from the texts of one shard after another, each from nothing; keeps sums of what they learned, weighted by what they met."""
+
+    def __init__(self, class_of: np.ndarray, base: np.ndarray):
+        self.class_of, self.base = class_of, base
+        self.outer, self.seen_all = np.zeros((ROWS, CLASSES)), 0
+        self.inner, self.hits_all = np.zeros((KINDS, HASHED, PARTS), np.float32), np.zeros((KINDS, HASHED), np.float32)
+        self.start()
+
+    def start(self) -> None:
+        self.w, self.squares, self.seen = np.zeros((ROWS, CLASSES), np.float32), np.full(ROWS * CLASSES, 1e-3), 0
+        self.parts, self.part_squares = np.zeros((KINDS, HASHED, PARTS), np.float32), np.ones((KINDS, HASHED, PARTS), np.float32)
+        self.hits = np.zeros((KINDS, HASHED), np.float32)
+
+    def finish(self) -> None:
+        self.outer += self.w.astype(np.float64) * self.seen
+        self.seen_all += self.seen
+        self.inner += self.parts * self.hits[:, :, None]
+        self.hits_all += self.hits
+        self.start()
+
+    def learn(self, t: Tokens) -> None:
+        active, target = t.features(), self.class_of[t.bucket]
+        target[t.repeated()] = REPEAT
+        inside = np.flatnonzero(target < CLUSTERS)
+        part, hashed = t.part(), t.part_features(target)
+        for k in range(0, len(inside), BATCH):
+            some = inside[k : k + BATCH]
+            learn_parts(self.base, self.parts, self.part_squares, self.hits, target[some], part[some], [h[some] for h in hashed])
+        columns, at = np.arange(CLASSES), 0
+        while at < len(target):  # small batches at first: a shard's first tokens teach most
+            size = min(BATCH, max(128, self.seen // 8))
+            rows, y = active[at : at + size], target[at : at + size]
+            at += size
+            g = softmax(self.w, rows)
+            g[np.arange(len(y)), y] -= 1
+            keys = (rows.astype(np.int64)[:, :, None] * CLASSES + columns).ravel()
+            total = np.bincount(keys, weights=np.broadcast_to(g[:, None, :], (*rows.shape, CLASSES)).ravel(), minlength=ROWS * CLASSES)
+            self.squares += total * total
+            self.w -= (RATE * total / np.sqrt(self.squares)).astype(np.float32).reshape(self.w.shape)
+            self.seen += len(y)
+
+    def sums(self) -> pa.RecordBatch:
+        sums = [*np.array_split(self.outer.ravel().astype(np.float32), OUTER_SLABS), *np.split(self.inner.ravel(), INNER_SLABS)]
+        weights = [*[np.array([self.seen_all], np.float32)] * OUTER_SLABS, *np.split(self.hits_all.ravel(), INNER_SLABS)]
+        return pa.RecordBatch.from_arrays([pa.array(range(len(sums)), pa.int32()), pa.array(sums, pa.list_(pa.float32())), pa.array(weights, pa.list_(pa.float32()))], ["part", "sums", "weights"])
+
+
+def sharded(texts: DataFrame, total: int) -> tuple[DataFrame, int]:
+    """shard, text of all rows, each shard in one task and in an order that only its rows decide; and the number of tasks."""
+    shards = max(1, -(-total // SHARD_TOKENS))
+    per = min(SHARDS_A_TASK, -(-shards // TASKS))
+    tasks = -(-shards // per)
+    rows = texts.select("text", F.xxhash64("text").alias("h"), F.pmod(F.xxhash64(*texts.columns), F.lit(shards)).cast("int").alias("shard"))
+    dealt = rows.repartitionById(tasks, F.floor(F.col("shard") / per).cast("int"))
+    return dealt.sortWithinPartitions("shard", "h").select("shard", "text"), tasks
+
+
+def train(texts: DataFrame, total: int, class_of: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of classes and of parts, averaged over what was learned from each shard of texts, which have total tokens; sums
+    meet in two levels of tasks. Columns of texts beside the first, text, only spread equal texts over the shards."""
+    wide = KINDS * HASHED // INNER_SLABS
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, squares, seen = np.zeros((ROWS, CLASSES), np.float32), np.full(ROWS * CLASSES, 1e-3), 0
-        inner, inner_squares, hits = np.zeros((KINDS, HASHED, PARTS), np.float32), np.ones((KINDS, HASHED, PARTS), np.float32), np.zeros((KINDS, HASHED), np.float32)
-        columns = np.arange(CLASSES)
+        learner, now = Learner(class_of, base), None
         for b in batches:
-            for _, _, t in slices(b.column(0)):
-                active, target = t.features(), class_of[t.bucket]
-                target[t.repeated()] = REPEAT
-                inside = np.flatnonzero(target < CLUSTERS)
-                part, hashed = t.part(), t.part_features(target)
-                for k in range(0, len(inside), BATCH):
-                    some = inside[k : k + BATCH]
-                    learn_parts(base, inner, inner_squares, hits, target[some], part[some], [h[some] for h in hashed])
-                at = 0
-                while at < len(target):  # small batches at first: a task's first tokens teach most
-                    size = min(BATCH, max(128, seen // 8))
-                    rows, y = active[at : at + size], target[at : at + size]
-                    at += size
-                    g = softmax(w, rows)
-                    g[np.arange(len(y)), y] -= 1
-                    keys = (rows.astype(np.int64)[:, :, None] * CLASSES + columns).ravel()
-                    total = np.bincount(keys, weights=np.broadcast_to(g[:, None, :], (*rows.shape, CLASSES)).ravel(), minlength=ROWS * CLASSES)
-                    squares += total * total
-                    w -= (RATE * total / np.sqrt(squares)).astype(np.float32).reshape(w.shape)
-                    seen += len(y)
-        if seen:
-            flat = (w.astype(np.float64) * seen).ravel().astype(np.float32)
-            sums = [*np.array_split(flat, 16), *np.split((inner * hits[:, :, None]).ravel(), slabs)]
-            weights = [*[np.array([seen], np.float32)] * 16, *np.split(hits.ravel(), slabs)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(sums)), pa.int32()), pa.array(sums, pa.list_(pa.float32())), pa.array(weights, pa.list_(pa.float32()))], ["part", "sums", "weights"])
+            shard = b.column(0).to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+            for a, z in zip(edges, edges[1:], strict=False):
+                if a < z and shard[a] != now:
+                    learner.finish()
+                    now = shard[a]
+                for _, _, t in slices(b.column(1).slice(a, z - a)):
+                    learner.learn(t)
+        learner.finish()
+        if learner.seen_all:
+            yield learner.sums()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, list[np.ndarray]] = {}
@@ -251,15 +304,16 @@ def train(texts: DataFrame, class_of: np.ndarray, base: np.ndarray) -> tuple[np.
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), *[pa.array([v[k].astype(np.float32) for v in sums.values()], kinds) for k in (0, 1)]], ["part", "sums", "weights"])
 
     schema = "part int, sums array<float>, weights array<float>"
-    local = texts.mapInArrow(learn, schema)
-    some = local.repartition(F.col("part"), F.floor(F.rand(5) * 8)).mapInArrow(add, schema)
+    rows, tasks = sharded(texts, total)
+    local = rows.mapInArrow(learn, schema).withColumn("group", F.spark_partition_id() % max(8, math.isqrt(tasks)))
+    some = local.repartition("part", "group").select("part", "sums", "weights").mapInArrow(add, schema)
     got = some.repartition("part").mapInArrow(add, schema).toArrow()  # 48 rows: the model, of fixed size
     outer, inner = np.zeros((ROWS, CLASSES), np.float32), np.zeros((KINDS, HASHED, PARTS), np.float32)
     if not got.num_rows:
         return outer, inner
     rows = {p: (x.values.to_numpy(), n.values.to_numpy()) for p, x, n in zip(got["part"].to_pylist(), got["sums"], got["weights"], strict=True)}
-    outer[:] = np.concatenate([rows[k][0] / rows[k][1][0] for k in range(16)]).reshape(ROWS, CLASSES)
-    inner[:] = np.concatenate([rows[16 + k][0].reshape(wide, PARTS) / np.maximum(rows[16 + k][1], 1)[:, None] for k in range(slabs)]).reshape(inner.shape)
+    outer[:] = np.concatenate([rows[k][0] / rows[k][1][0] for k in range(OUTER_SLABS)]).reshape(ROWS, CLASSES)
+    inner[:] = np.concatenate([rows[OUTER_SLABS + k][0].reshape(wide, PARTS) / np.maximum(rows[OUTER_SLABS + k][1], 1)[:, None] for k in range(INNER_SLABS)]).reshape(inner.shape)
     return outer, inner
 
 
@@ -296,8 +350,8 @@ def part_totals(known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(spark: SparkSession, texts: DataFrame) -> tuple[Model, DataFrame]:
-    """The model, and key, n of every training token."""
-    every = cut(counts(texts))
+    """The model, and key, n of every training token. texts: text, then columns that tell equal texts apart, if there are any."""
+    every = cut(counts(texts.select("text")))
     cells = every.where("kind = 1").select("key", "n").toArrow()  # BUCKETS * COARSE rows at most
     pairs = np.zeros(BUCKETS * COARSE)
     pairs[cells["key"].to_numpy()] = cells["n"].to_numpy()
@@ -324,7 +378,7 @@ def fit(spark: SparkSession, texts: DataFrame) -> tuple[Model, DataFrame]:
         keys = got["key"].to_numpy().view(U64)
         order = np.argsort(keys)
         frequent, frequent_n = keys[order], got["n"].to_numpy()[order].astype(float)
-    weights, inner = train(texts, class_of, base)
+    weights, inner = train(texts, total, class_of, base)
     return Model(weights, inner, base, norm, class_of, frequent, frequent_n, total, distinct), tokens.select("key", "n")
 
 
@@ -332,7 +386,7 @@ def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row."""
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit("")).alias("text")
-    model, tokens = fit(spark, docs.where(fold() != 1).select(text))
+    model, tokens = fit(spark, docs.where(fold() != 1).select(text, "doc_id"))
     shared = spark.sparkContext.broadcast(model)
     kind = dict(docs.dtypes)["doc_id"]
     names = ["row", "doc_id", "key", "share", "again", "n_tokens", "n_known", "base_score", "score"]
