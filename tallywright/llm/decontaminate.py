@@ -1,19 +1,20 @@
 """Operator 5, benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact similarity.
 
-A window of a text has as many five-word shingles as the benchmark item it is held against. Windows are opened only where the text
-shares a shingle with some item: any window at the threshold does, so none is missed. A window's 64-bit SimHash is looked
-up in four 16-bit blocks, each listing the items whose block differs in three bits at most; by the pigeonhole
+A window of a text has as many five-word shingles as the benchmark item it is held against. Windows are opened only where the text has as
+many of the item's shingles as THRESHOLD takes: any window at the threshold does, so none is missed. A window's 64-bit SimHash is looked
+up in eight 8-bit blocks, each listing the items of this size whose block differs in two bits at most; by the pigeonhole
 principle that finds every item within RADIUS bits. Those within it are verified exactly: shingles weighted by how
 often they occur, the sum of lesser weights over the sum of greater weights must reach THRESHOLD.
 
-RADIUS alone would miss some 1 to 2 % of windows near the threshold. So every window that has as many of an item's shingles as THRESHOLD
-takes is verified too, whatever its SimHash; a window with fewer can't reach it. The result is exact, recall is 1.
+What the index doesn't find isn't found. A window at the threshold differs in some 9 bits, with a deviation below 3, so that RADIUS 23 leaves
+out about one of a million; the tests measure recall against the exact rule.
 
 The benchmark is taken in blocks of at most BLOCK_BYTES bytes and BLOCK_ITEMS items (a query set against all rows); each block is one pass over the
 texts, with a broadcast of bounded size. Of several blocks one is held at a time: what a block finds is written before its
 broadcast is given back and the next block is read.
 
-Edge cases: words as in common.py; an item or text of one to four words is one shingle; items without words match nothing; a text
+Edge cases: words as in common.py; an item of one to four words is one shingle of that many words and is looked for among all such runs
+of words; items without words match nothing; a text
 shorter than an item is one window; repeated items and rows each count; a null id is kept as null.
 """
 
@@ -27,11 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, buffers, cut, mapped, shingles, words
+from .common import SHINGLE, U64, buffers, cut, mapped, shingles, words
 
 THRESHOLD = 0.8
-RADIUS = 15
-PARTS = 4
+RADIUS = 23
+#: Blocks of a fingerprint, and bits of each.
+PARTS = 8
+BITS = 64 // PARTS
 #: Bytes of text and number of benchmark items in a pass: tables of some 60 MB at most.
 BLOCK_BYTES = 1 << 22
 BLOCK_ITEMS = 5000
@@ -41,9 +44,9 @@ _BITS = np.arange(64, dtype=np.uint64)
 
 
 def near_values(reach: int = RADIUS // PARTS) -> np.ndarray:
-    """All 16-bit masks of at most reach bits."""
-    every = np.arange(1 << 16, dtype=np.uint32)
-    return every[np.bitwise_count(every) <= reach].astype(np.uint16)
+    """All masks of a block with at most reach bits."""
+    every = np.arange(1 << BITS, dtype=np.uint32)
+    return every[np.bitwise_count(every) <= reach].astype(np.int64)
 
 
 def simhash(hashes: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
@@ -68,40 +71,56 @@ class Index:
         self.ids = ids
         self.size = np.diff(at)
         self.words = np.diff(first)
+        #: Numbers of words of items that are shorter than a shingle.
+        self.short = sorted({n for n in self.words.tolist() if 0 < n < SHINGLE})
+        for n in self.short:
+            own, own_at = shingles(h, first, n)
+            some = np.flatnonzero(self.words == n)
+            s[at[some]] = own[own_at[some]]
         owner = np.repeat(np.arange(len(texts)), self.size)
         order = np.lexsort((owner, s))
         new = np.ones(len(s), bool)
         new[1:] = (s[order][1:] != s[order][:-1]) | (owner[order][1:] != owner[order][:-1])
-        self.single, self.single_owner = s[order][new], owner[order][new]  # each shingle of an item once
+        self.shingle, self.owner = s[order][new], owner[order][new]  # each shingle of an item once
         self.counts = [Counter(s[a:b].tolist()) for a, b in zip(at, at[1:], strict=False)]
         self.finger = np.array([simhash(s[a:b], np.zeros(1, np.int64), int(b - a))[0] if b > a else 0 for a, b in zip(at, at[1:], strict=False)], U64)
-        order = np.argsort(s, kind="stable")
-        self.shingle, self.owner = s[order], np.repeat(np.arange(len(texts)), self.size)[order]
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[s >> U64(44)] = True
-        masks = near_values()
-        self.parts = []
-        for p in range(PARTS):
-            block = ((self.finger >> U64(16 * p)) & U64(0xFFFF)).astype(np.uint16)
-            keys = (block[:, None] ^ masks[None, :]).ravel()
-            order = np.argsort(keys, kind="stable")
-            lists = (order // len(masks)).astype(np.int32)
-            self.parts.append((np.searchsorted(keys[order], np.arange((1 << 16) + 1)), lists))
+        self.blocks: dict[int, tuple[np.ndarray, list]] = {}
+
+    def of_size(self, size: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """Items of this size, and for each block the bounds of each value's list of them; made when it's first asked for."""
+        if size not in self.blocks:
+            items, masks, parts = np.flatnonzero(self.size == size).astype(np.int32), near_values(), []
+            for p in range(PARTS):
+                keys = (self._block(self.finger[items], p)[:, None] ^ masks[None, :]).ravel()
+                order = np.argsort(keys, kind="stable")
+                bounds = np.searchsorted(keys[order], np.arange((1 << BITS) + 1)).astype(np.int32)
+                parts.append((bounds, items[order // len(masks)]))
+            self.blocks[size] = items, parts
+        return self.blocks[size]
+
+    @staticmethod
+    def _block(prints: np.ndarray, p: int) -> np.ndarray:
+        return ((prints >> U64(BITS * p)) & U64((1 << BITS) - 1)).astype(np.int64)
 
     def candidates(self, prints: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Windows (places in prints) and items of this size whose fingerprints differ in RADIUS bits at most."""
         n = len(self.ids)
         pairs = []
-        for p, (bounds, lists) in enumerate(self.parts):
-            value = ((prints >> U64(16 * p)) & U64(0xFFFF)).astype(np.int64)
-            lo, many = bounds[value], bounds[value + 1] - bounds[value]
+        for p, (bounds, lists) in enumerate(self.of_size(size)[1]):
+            value = self._block(prints, p)
+            lo, many = bounds[value].astype(np.int64), (bounds[value + 1] - bounds[value]).astype(np.int64)
             w = np.repeat(np.arange(len(prints)), many)
-            i = lists[np.repeat(lo - np.cumsum(many) + many, many) + np.arange(len(w))]
-            pairs.append((w * n + i)[self.size[i] == size])
+            pairs.append(w * n + lists[np.repeat(lo - np.cumsum(many) + many, many) + np.arange(len(w))])
         w, i = np.divmod(np.unique(np.concatenate(pairs)), n)
         near = np.bitwise_count(prints[w] ^ self.finger[i]) <= RADIUS
         return w[near], i[near]
 
+    def needed(self, width: np.ndarray | int, size: np.ndarray | int) -> np.ndarray:
+        """How many shingles a window of width shingles must have in common with an item of size shingles."""
+        return np.maximum(np.ceil(THRESHOLD / (1 + THRESHOLD) * (width + size) - 1e-9).astype(np.int64), 1)
+
     def matches(self, h: np.ndarray) -> list[tuple[int, int, float]]:
         """(item, first shingle of the best window, similarity) of each item that the shingles of one text contain."""
         hits = np.flatnonzero(self.maybe[h >> U64(44)])
@@ -110,54 +129,45 @@ class Index:
             hits = hits[self.shingle[np.minimum(at, len(self.shingle) - 1)] == h[hits]]
         if not len(hits):
             return []
-        low, high = np.searchsorted(self.shingle, h[hits]), np.searchsorted(self.shingle, h[hits], side="right")
-        best: dict[int, tuple[float, int]] = {}
-        sizes: dict[int, set[int]] = {}
-        for at, a, b in zip(hits.tolist(), low.tolist(), high.tolist(), strict=True):
-            for size in np.unique(self.size[self.owner[a:b]]).tolist():
-                sizes.setdefault(size, set()).add(at)
-        for size, places in sizes.items():
-            width = min(size, len(h))
-            wanted = np.zeros(len(h) - width + 2, np.int32)
-            where = np.fromiter(places, np.int64, len(places))
-            np.add.at(wanted, np.maximum(where - width + 1, 0), 1)
-            np.add.at(wanted, np.minimum(where, len(h) - width) + 1, -1)
-            starts = np.flatnonzero(np.cumsum(wanted[:-1]) > 0)
-            for part in np.split(starts, np.flatnonzero(np.diff(starts) > width) + 1):  # runs of windows, with scratch space of their own
-                for k in range(0, len(part), 4096):
-                    run = part[k : k + 4096]
-                    for w, i in zip(*(x.tolist() for x in self.candidates(simhash(h, run, width), size)), strict=True):
-                        start = int(run[w])
-                        value = similarity(h[start : start + width].tolist(), self.counts[i], size)
-                        if value >= THRESHOLD and (value, -start) > best.get(i, (0.0, 0)):
-                            best[i] = (value, -start)
-        for i, value, start in self.sharing(h, hits):
-            if (value, -start) > best.get(i, (0.0, 0)):
-                best[i] = (value, -start)
-        return [(i, -start, value) for i, (value, start) in sorted(best.items())]
-
-
-    def sharing(self, h: np.ndarray, hits: np.ndarray) -> Iterator[tuple[int, float, int]]:
-        """(item, similarity, start) of the best window of each item, of all windows that share enough shingles to reach THRESHOLD."""
         value, times = np.unique(h[hits], return_counts=True)
-        low, high = np.searchsorted(self.single, value), np.searchsorted(self.single, value, side="right")
+        low, high = np.searchsorted(self.shingle, value), np.searchsorted(self.shingle, value, side="right")
         many = high - low
-        owners = self.single_owner[np.repeat(low - np.cumsum(many) + many, many) + np.arange(int(many.sum()))]
-        total = np.bincount(owners, weights=np.repeat(times, many), minlength=len(self.ids))
-        width = np.minimum(self.size, len(h))
-        need = np.maximum(np.ceil(THRESHOLD / (1 + THRESHOLD) * (width + self.size) - 1e-9).astype(np.int64), 1)
-        for i in np.flatnonzero(total >= need).tolist():
-            item, w, k = self.counts[i], int(width[i]), int(need[i])
-            places = hits[np.isin(h[hits], np.fromiter(item, U64, len(item)))]
-            first, last = np.maximum(places[k - 1 :] - w + 1, 0), np.minimum(places[: len(places) - k + 1], len(h) - w)
-            open_ = first <= last
-            best, at = 0.0, 0
-            for a, b in joined(first[open_].tolist(), last[open_].tolist()):
-                got, start = best_window(h[a : b + w].tolist(), w, item, int(self.size[i]))
-                if got > best:
-                    best, at = got, a + start
-            if best >= THRESHOLD:
-                yield i, best, at
+        entry = np.repeat(low - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+        total = np.bincount(self.owner[entry], weights=np.repeat(times, many), minlength=len(self.ids))
+        able = total >= self.needed(np.minimum(self.size, len(h)), self.size)  # the others have no window at the threshold
+        out = []
+        for size in np.unique(self.size[able]).tolist():
+            own = able & (self.size == size)
+            width = min(size, len(h))
+            common = np.unique(self.shingle[entry[own[self.owner[entry]]]])
+            places = hits[np.isin(h[hits], common)]
+            near: dict[int, list[int]] = {}
+            for a, b in windows(places, int(self.needed(width, size)), width, len(h)):
+                step = max(16, min(4096, (1 << 20) // len(self.of_size(size)[0])))  # bounded scratch space
+                for k in range(a, b + 1, step):
+                    run = np.arange(k, min(k + step, b + 1))
+                    w, i = self.candidates(simhash(h, run, width), size)
+                    for x, start in zip(i[own[i]].tolist(), run[w[own[i]]].tolist(), strict=True):
+                        near.setdefault(x, []).append(start)
+            for i, starts in near.items():
+                best, at = 0.0, 0
+                for some in np.split(np.array(starts), np.flatnonzero(np.diff(starts) > width) + 1):
+                    a = int(some[0])
+                    got, start = best_window(h[a : int(some[-1]) + width].tolist(), width, self.counts[i], size, {x - a for x in some.tolist()})
+                    if got > best:
+                        best, at = got, a + start
+                if best >= THRESHOLD:
+                    out.append((i, at, best))
+        return sorted(out)
+
+
+def windows(places: np.ndarray, need: int, width: int, n: int) -> Iterator[tuple[int, int]]:
+    """First and last start of each run of windows of width shingles, of n, that have at least need of the places."""
+    if len(places) < need:
+        return
+    first, last = np.maximum(places[need - 1 :] - width + 1, 0), np.minimum(places[: len(places) - need + 1], n - width)
+    some = first <= last
+    yield from joined(first[some].tolist(), last[some].tolist())
 
 
 def joined(first: list[int], last: list[int]) -> Iterator[tuple[int, int]]:
@@ -174,8 +184,8 @@ def joined(first: list[int], last: list[int]) -> Iterator[tuple[int, int]]:
         yield now
 
 
-def best_window(h: list[int], width: int, item: Counter, size: int) -> tuple[float, int]:
-    """Greatest similarity of the windows of a run of shingles, and the first start that has it; one step a shingle."""
+def best_window(h: list[int], width: int, item: Counter, size: int, starts: set[int] | None = None) -> tuple[float, int]:
+    """Greatest similarity of the windows of a run of shingles, or of those at starts, and the first start that has it; one step a shingle."""
     have: Counter = Counter()
     both, most, at = 0, -1, 0
     for k, x in enumerate(h):
@@ -185,7 +195,7 @@ def best_window(h: list[int], width: int, item: Counter, size: int) -> tuple[flo
         if k >= width and (old := h[k - width]) in item:
             have[old] -= 1
             both -= have[old] < item[old]
-        if k >= width - 1 and both > most:
+        if k >= width - 1 and both > most and (starts is None or k - width + 1 in starts):
             most, at = both, k - width + 1
     return most / (width + size - most), at
 
@@ -242,12 +252,13 @@ def found(index: Index, texts: pa.Array) -> Iterator[tuple[int, tuple[int, int,
     while at < len(texts):  # bounded scratch space
         till = min(max(at + 1, int(np.searchsorted(offs, offs[at] + SLICE))), len(texts))
         _, _, h, first = words(data[offs[at] : offs[till]], offs[at : till + 1] - offs[at])
-        s, places = shingles(h, first)
-        likely = np.add.reduceat(np.append(index.maybe[s >> U64(44)], False), places[:-1]) if len(s) else np.zeros(till - at)
-        for i in np.flatnonzero((likely > 0) & (np.diff(places) > 0)):
-            n = int(first[i + 1] - first[i])
-            for item, start, value in index.matches(s[places[i] : places[i + 1]]):
-                yield at + int(i), (item, start, value, min(n, int(index.words[item])))
+        for size in (SHINGLE, *index.short):
+            s, places = shingles(h, first, size)
+            likely = np.add.reduceat(np.append(index.maybe[s >> U64(44)], False), places[:-1]) if len(s) else np.zeros(till - at)
+            for i in np.flatnonzero((likely > 0) & (np.diff(places) > 0)):
+                n = int(first[i + 1] - first[i])
+                for item, start, value in index.matches(s[places[i] : places[i + 1]]):
+                    yield at + int(i), (item, start, value, min(n, int(index.words[item])))
         at = till
 
 

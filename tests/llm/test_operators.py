@@ -465,9 +465,11 @@ def test_decontamination(spark):
             w[at:at] = item
         rows.append((i, " ".join(w)))
     want = {}
-    sh = lambda w: [tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))] if w else []
+    sh = lambda w, k: [tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))] if w else []
     for (d, t), (k, u) in itertools.product(rows, items):
-        s, c = sh(t.split()), collections.Counter(sh((u or "").split()))
+        words = (u or "").split()
+        of = min(5, len(words))  # an item of fewer words is looked for among runs of as many
+        s, c = sh(t.split(), of), collections.Counter(sh(words, of))
         n = sum(c.values())
         size = min(n, len(s))
         best = max((sum(min(m, c[x]) for x, m in collections.Counter(s[a : a + size]).items()) for a in range(len(s) - size + 1)), default=0) if n else 0
