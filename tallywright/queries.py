@@ -6,6 +6,7 @@ perturbed by rules on their keys to make two snapshots, right and wrong claims;
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,7 @@ from .operators import artifacts, audit, boundary, certificate, custody, diff, e
 from .plans.criteria import Keyword, Profile, evaluate
 from .session import shared_folder, ship
 from .sources import claims as claim_lists
-from .sources import parsers
+from .sources import delivery, parsers
 from .streaming import watch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -774,6 +775,17 @@ def claims_from_json(spark, sf_dir):
     return items.select(note[0].cast("long").alias("conv_id"), note[1].cast("long").alias("turn"), "claimed_path", "digest")
 
 
+@query("SELECT doc_id, source, lang, text FROM documents")
+def delivered_rows(spark, sf_dir):
+    """Documents as a list through the committing sink: what a second job overwrites is gone, what a third adds counts, each row once."""
+    folder = delivery.mounted(shared_folder(spark)) + f"/delivery-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    spark.dataSource.register(delivery.Delivery)
+    for rows, mode in ((docs.where("doc_id % 3 = 0"), "append"), (docs.where("doc_id % 2 = 0"), "overwrite"), (docs.where("doc_id % 2 <> 0 OR doc_id IS NULL"), "append")):
+        rows.write.format("delivery").mode(mode).save(folder)
+    return delivery.delivered(spark, folder, docs.schema)
+
+
 @query("""SELECT doc_id AS "row", concat('C:/d/', CAST(doc_id AS STRING), '.txt') AS path, CASE WHEN doc_id % 3 = 0 THEN md5(text) ELSE '' END AS md5, '.txt' AS ext, 'false' AS unparsed FROM documents""")
 def canonical_list(spark, sf_dir):
     lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), F.expr("CASE doc_id % 3 WHEN 0 THEN concat(upper(md5(text)), '  C:/d/', doc_id, '.txt') ELSE concat('  C:/d/', doc_id, '.txt ') END").alias("value"))
