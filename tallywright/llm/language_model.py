@@ -175,9 +175,9 @@ def cluster(pairs: np.ndarray) -> np.ndarray:
 
 
 def softmax(weights: np.ndarray, active: np.ndarray) -> np.ndarray:
-    z = weights[active[:, 0]].copy()
+    z = weights.take(active[:, 0], axis=0)
     for j in range(1, active.shape[1]):
-        z += weights[active[:, j]]
+        z += weights.take(active[:, j], axis=0)
     z -= z.max(axis=1, keepdims=True)
     np.exp(z, out=z)
     z /= z.sum(axis=1, keepdims=True)
@@ -186,9 +186,9 @@ def softmax(weights: np.ndarray, active: np.ndarray) -> np.ndarray:
 
 def part_shares(base: np.ndarray, weights: np.ndarray, classes: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
     """P(part | class, history) of several tokens; base: logs of the parts' shares without a history."""
-    z = base[classes]
-    for kind, r in enumerate(rows):
-        z += weights[kind, r]
+    z = base.take(classes, axis=0)
+    for own, r in zip(weights, rows, strict=True):
+        z += own.take(r, axis=0)
     z -= z.max(axis=1, keepdims=True)
     np.exp(z, out=z)
     z /= z.sum(axis=1, keepdims=True)
@@ -202,10 +202,11 @@ def learn_parts(base: np.ndarray, weights: np.ndarray, squares: np.ndarray, hits
     for kind, r in enumerate(rows):
         order = np.argsort(r, kind="stable")
         first = np.flatnonzero(np.append(True, r[order][1:] != r[order][:-1]))
-        met, total = r[order[first]], np.add.reduceat(g[order], first, axis=0)
-        squares[kind, met] += total * total
-        weights[kind, met] -= PART_RATE * total / np.sqrt(squares[kind, met])
-        hits[kind, met] += np.diff(np.append(first, len(r)))
+        met, total = r[order[first]].astype(np.intp), np.add.reduceat(g.take(order, axis=0), first, axis=0)
+        squared = squares[kind].take(met, axis=0) + total * total
+        squares[kind][met] = squared
+        weights[kind][met] -= PART_RATE * total / np.sqrt(squared)
+        hits[kind][met] += np.diff(np.append(first, len(r)))
 
 
 #: Rows in which the sums of classes' and of parts' weights travel.
@@ -222,7 +223,7 @@ class Learner:
         self.start()
 
     def start(self) -> None:
-        self.w, self.squares, self.seen = np.zeros((ROWS, CLASSES), np.float32), np.full(ROWS * CLASSES, 1e-3), 0
+        self.w, self.squares, self.seen = np.zeros((ROWS, CLASSES), np.float32), np.full((ROWS, CLASSES), 1e-3), 0
         self.parts, self.part_squares = np.zeros((KINDS, HASHED, PARTS), np.float32), np.ones((KINDS, HASHED, PARTS), np.float32)
         self.hits = np.zeros((KINDS, HASHED), np.float32)
 
@@ -241,17 +242,18 @@ class Learner:
         for k in range(0, len(inside), BATCH):
             some = inside[k : k + BATCH]
             learn_parts(self.base, self.parts, self.part_squares, self.hits, target[some], part[some], [h[some] for h in hashed])
-        columns, at = np.arange(CLASSES), 0
+        total, at = np.empty((ROWS, CLASSES)), 0
         while at < len(target):  # small batches at first: a shard's first tokens teach most
             size = min(BATCH, max(128, self.seen // 8))
             rows, y = active[at : at + size], target[at : at + size]
             at += size
             g = softmax(self.w, rows)
             g[np.arange(len(y)), y] -= 1
-            keys = (rows.astype(np.int64)[:, :, None] * CLASSES + columns).ravel()
-            total = np.bincount(keys, weights=np.broadcast_to(g[:, None, :], (*rows.shape, CLASSES)).ravel(), minlength=ROWS * CLASSES)
+            keys, by_class = rows.T.ravel().astype(np.intp), g.T.astype(np.float64)
+            for c in range(CLASSES):
+                total[:, c] = np.bincount(keys, weights=np.tile(by_class[c], rows.shape[1]), minlength=ROWS)
             self.squares += total * total
-            self.w -= (RATE * total / np.sqrt(self.squares)).astype(np.float32).reshape(self.w.shape)
+            self.w -= (RATE * total / np.sqrt(self.squares)).astype(np.float32)
             self.seen += len(y)
 
     def sums(self) -> pa.RecordBatch:
