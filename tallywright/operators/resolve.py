@@ -10,10 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..session import shared_folder
-from .similar import most_similar, most_similar_of
-
-#: Files below a folder that are simply all compared.
-FEW = 100
+from .similar import LARGE, most_similar
 
 
 def exact_and_suffix(items: DataFrame, files: DataFrame) -> DataFrame:
@@ -36,7 +33,7 @@ def exact_and_suffix(items: DataFrame, files: DataFrame) -> DataFrame:
 def fuzzy(claims: DataFrame, files: DataFrame) -> DataFrame:
     """rel, fuzzy_path, best, ambiguous of each distinct claims.rel that has a candidate of ratio 0.77 or more."""
     asked = claims.select("rel").where("rel IS NOT NULL AND rel <> ''").distinct().select("rel", F.lit(None).cast("string").alias("scope"), paths.fuzzy_key("rel").alias("key"))
-    return most_similar(asked, files.select("path", paths.fuzzy_key("path").alias("key"))).drop("scope")
+    return most_similar(asked, files.select(F.lit(None).cast("string").alias("scope"), "path", paths.fuzzy_key("path").alias("key"))).drop("scope")
 
 
 def deepest_ancestor(items: DataFrame, directories: DataFrame) -> DataFrame:
@@ -50,21 +47,20 @@ def scoped(items: DataFrame, files: DataFrame, directories: DataFrame) -> DataFr
     """rel, path, status of claims (rel): resolved_direct if the path is there, resolved_fuzzy if a similar one lies in the deepest
     directory above it that exists, not_found otherwise. A claim of which no directory exists isn't searched for.
 
-    Below a folder of FEW files a claim meets all of them, below a larger one those that share grams with it."""
+    A folder's files are one task's work, those of a LARGE one many tasks'."""
     shared_folder(items.sparkSession)
     known = files.select(F.col("path").alias("_path"))
     direct = items.select("rel").distinct().join(known, F.col("rel") == F.col("_path"), "left")
     open_ = deepest_ancestor(direct.where("_path IS NULL"), directories).where("scope IS NOT NULL")
-    asked = open_.select("rel", "scope", paths.fuzzy_key("rel").alias("key"))
+    asked = open_.select("rel", "scope", paths.fuzzy_key("rel").alias("key")).checkpoint()
     below = files.select("path", F.explode(paths.ancestors(F.col("path"))).alias("scope")).join(asked.select("scope").distinct(), "scope", "left_semi")
-    sizes = below.groupBy("scope").agg(F.count("*").alias("held"))
-    asked = asked.join(sizes, "scope").checkpoint()
-    keyed = files.select("path", paths.fuzzy_key("path").alias("key"))
-    few = asked.where(F.col("held") <= FEW).join(below, "scope").select("rel", "scope", "key", "path", paths.fuzzy_key("path").alias("candidate"))
-    best = most_similar_of(few)
-    many = asked.where(F.col("held") > FEW)
-    if not many.isEmpty():
-        best = best.unionByName(most_similar(many, keyed))
+    keyed = below.select("scope", "path", paths.fuzzy_key("path").alias("key")).checkpoint()
+    large = keyed.groupBy("scope").count().where(F.col("count") > LARGE).select("scope").checkpoint()
+    if large.isEmpty():
+        best = most_similar(asked, keyed, together=True)
+    else:
+        best = most_similar(asked.join(large, "scope", "left_anti"), keyed.join(large, "scope", "left_anti"), together=True)
+        best = best.unionByName(most_similar(asked.join(large, "scope", "left_semi"), keyed.join(large, "scope", "left_semi")))
     best = best.drop("scope")
     joined = direct.join(best, "rel", "left")
     status = F.when(F.col("_path").isNotNull(), F.lit("resolved_direct")).when(F.col("fuzzy_path").isNotNull(), F.lit("resolved_fuzzy")).otherwise(F.lit("not_found"))

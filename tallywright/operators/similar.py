@@ -1,13 +1,16 @@
-"""The most similar path to each claimed one, by difflib's ratio, without comparing all with all.
+"""The most similar path to each claimed one, by difflib's ratio, without taking the ratio of all with all.
 
-A ratio of r over texts of n and m characters means r / 2 * (n + m) characters matched in blocks, and between two blocks at least one character that
-isn't; so the texts share at least (n + m) * (r / 2 - (q - 1) * (1 - r)) - (q - 1) of their q-grams, repeats counted. Two sets of grams that share so many share
-one among the rarest of each (all but so many less one), and only texts that do are joined. Texts so short that the bound says nothing
-meet on single characters, of which they share one at least. What meets must pass the bounds on lengths and on characters in common
-before the ratio itself is taken; for each claim the most promising come first, and those that can't change the outcome are skipped.
+A ratio of r over texts of n and m characters means r / 2 * (n + m) characters matched in order, so the texts have as many characters in common, repeats
+counted, and a common subsequence as long. Each text's characters, with the number of the same before them, are bits of a signature of WORDS words: bits of
+one text that the other hasn't are characters that can't be matched. Texts are sorted by length and letters and packed into blocks with the bits that any and
+that all of them have. Blocks meet blocks; pairs of blocks without a text in reach are left out before anything is read from them, within the others groups of
+GROUP texts are left out by the same bound, then single pairs by their bits, then by the length of their longest common subsequence; only the rest gets a
+ratio. Pairs are never written or shuffled: a task keeps the two best of each of its claims. No pair is lost, as every bound is one from above.
 
 A claim's outcome is its best path and whether another comes within MARGIN of it. Levels of falling ratios therefore settle first the claims that have near
-paths, most of them where the grams in question are few; only claims without any go down to the last level."""
+paths; only claims without any go down to the last level. What a claim still needs (its best less MARGIN) goes down with it.
+
+Where names are alike throughout, pairs of blocks remain that grow as the square of the input; their bits are compared some hundred million a second and core."""
 
 from __future__ import annotations
 
@@ -18,23 +21,36 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import shared_folder, ship
 
 ACCEPT = 0.82
 MARGIN = 0.05
-#: Least ratios and the lengths of the grams by which they are searched. Any falling ratios do that end with the last; more of them mean more jobs of fewer pairs.
+#: Least ratios, and the lengths of the grams that long texts must share. Any falling ratios do that end with the last; more of them mean more jobs of fewer pairs.
 LEVELS = ((0.95, 3), (0.90, 3), (0.85, 2), (ACCEPT - MARGIN, 2))
-#: So many common grams are asked for.
+#: Of an index of rarest grams (tokens): so many common ones are asked for, and they are ordered by how often those of the same remainder occur.
 COMMON = 3
-#: Grams are ordered by how often those of the same remainder occur.
 REMAINDERS = 1 << 16
-#: Parts that a token's files, and a claim's candidates, are dealt over.
-SALTS = 4
+#: Texts of a block, and characters that end one before.
+BLOCK = 4096
+BLOCK_CHARACTERS = 1 << 19
+#: Texts of a group within a block.
+GROUP = 64
+#: Words of a signature: characters seen first, second, third and more often in a text.
+WORDS = 4
+#: File blocks that a task of the unscoped search holds.
+HELD = 64
+#: Folders of more files are searched like the whole inventory, by many tasks each.
+LARGE = 1 << 17
+#: Candidates looked at in one go.
+CHUNK = 2048
+#: Arrow batches end at so many bytes.
+BATCH_BYTES = 8 << 20
 _EPS = 1e-9
 
 
@@ -63,112 +79,275 @@ def tokens(text: str, ratio: float, q: int, often: np.ndarray) -> list[int]:
     return keep + (_grams(text, 1) if least <= _EPS else [])
 
 
-def _frequencies(texts: DataFrame, q: int) -> np.ndarray:
-    """How many grams of texts (key) have each remainder; a table of one size, whatever the texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = np.zeros(REMAINDERS, np.int64)
-        for b in batches:
-            for text in b.column("key").to_pylist():
-                for g in _grams(text, q):
-                    count[g % REMAINDERS] += 1
-        at = np.flatnonzero(count)
-        yield pa.RecordBatch.from_pydict({"at": at, "n": count[at]})
-
-    out = np.zeros(REMAINDERS, np.int64)
-    for at, n in texts.select("key").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n")).collect():
-        out[at] = n
+def _slots(codes: np.ndarray) -> np.ndarray:
+    """The bit of each character (code point): letters and digits of ASCII have their own."""
+    letter, digit = (codes >= 97) & (codes < 123), (codes >= 48) & (codes < 58)
+    return np.select([letter, digit, codes < 128], [codes - 97, codes - 22, 36 + codes % 28], codes % 64).astype(np.uint64)
+
+
+def signatures(texts: list[str]) -> np.ndarray:
+    """WORDS rows of 64 bits a text: one for each of its characters, by the number of the same before it."""
+    lens = np.fromiter(map(len, texts), np.int64, len(texts))
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    at = np.repeat(np.arange(len(texts)), lens)
+    order = np.lexsort((codes, at))
+    codes, at = codes[order], at[order]
+    start = np.flatnonzero(np.r_[True, (codes[1:] != codes[:-1]) | (at[1:] != at[:-1])]) if len(codes) else np.zeros(0, np.int64)
+    seen = np.arange(len(codes)) - np.repeat(start, np.diff(np.r_[start, len(codes)]))
+    bit = (_slots(codes) + 5 * np.maximum(seen - WORDS + 1, 0).astype(np.uint64)) % np.uint64(64)
+    out = np.zeros((WORDS, len(texts)), np.uint64)
+    np.bitwise_or.at(out, (np.minimum(seen, WORDS - 1), at), np.uint64(1) << bit)
     return out
 
 
-def _tokened(texts: DataFrame, ratio: float, q: int, often: np.ndarray) -> DataFrame:
-    """id, n (characters), token of texts (id, key), a row for each token."""
-    shared = texts.sparkSession.sparkContext.broadcast(often)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            held = b.column("key").to_pylist()
-            found = [tokens(t, ratio, q, shared.value) for t in held]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(map(len, held), pa.int32()), pa.array(found, pa.list_(pa.int32()))], names=["id", "n", "tokens"])
-
-    return texts.select("id", "key").mapInArrow(run, "id long, n int, tokens array<int>").select("id", "n", F.explode("tokens").alias("token"))
+def _blocks(texts: DataFrame, name: str) -> DataFrame:
+    """id, scope, lo, hi (lengths), least, any_, all_ (bits) and data of blocks of texts (scope, name, key, least) as they come; a block has one scope."""
 
+    def block(number: int, scope: str | None, held: list[tuple]) -> dict:
+        keys = [h[1] for h in held]
+        bits, lens, least = signatures(keys), [len(k) for k in keys], [h[2] for h in held]
+        batch = pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.string()), pa.array(keys, pa.string()), pa.array(least, pa.float64()), *map(pa.array, bits)], names=["name", "key", "least", *[f"w{i}" for i in range(WORDS)]])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, batch.schema) as out:
+            out.write_batch(batch)
+        whole = [x.view(np.int64).tolist() for x in (np.bitwise_or.reduce(bits, 1), np.bitwise_and.reduce(bits, 1))]
+        return {"id": TaskContext.get().partitionId() << 32 | number, "scope": scope, "lo": min(lens), "hi": max(lens), "least": min(least), "any_": whole[0], "all_": whole[1], "data": sink.getvalue().to_pybytes()}
 
-def _grammed(texts: DataFrame, q: int) -> DataFrame:
-    """texts (key, ...) with all their grams."""
+    schema = pa.schema([("id", pa.int64()), ("scope", pa.string()), ("lo", pa.int32()), ("hi", pa.int32()), ("least", pa.float64()), ("any_", pa.list_(pa.int64())), ("all_", pa.list_(pa.int64())), ("data", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, scope, size, number = [], None, 0, 0
         for b in batches:
-            grams = pa.array([_grams(t, q) for t in b.column("key").to_pylist()], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*b.columns, grams], names=[*b.schema.names, "grams"])
-
-    return texts.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in texts.dtypes) + ", grams array<int>")
-
-
-def pairs(claims: DataFrame, files: DataFrame, ratio: float, q: int) -> DataFrame:
-    """rel, scope, key, path, candidate, common (grams) of all pairs that may have the ratio, each once. claims: rel, scope (a folder that the path must lie
-    below, or NULL), key; files: path, key."""
-    claims, files = claims.withColumn("id", F.xxhash64("rel", "scope")), files.withColumn("id", F.xxhash64("path"))
-    often = _frequencies(files, q)
-    a = _tokened(claims, ratio, q, often).select(F.col("id").alias("a"), "n", "token", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    b = _tokened(files, ratio, q, often).select(F.col("id").alias("b"), F.col("n").alias("m"), "token", F.pmod("id", F.lit(SALTS)).cast("int").alias("salt"))
-    # small rows, much work: as many parts as there are, which Spark would otherwise join by their size
-    parts = max(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), files.sparkSession.sparkContext.defaultParallelism)
-    a, b = (x.repartition(parts, "token", "salt") for x in (a, b))
-    near = F.least("n", "m") >= (ratio / (2 - ratio) - _EPS) * F.greatest("n", "m")
-    met = a.join(b, ["token", "salt"]).where(near).groupBy("a", "b").agg(F.count("*").alias("common"), F.first("n").alias("n"), F.first("m").alias("m"))
-    total = F.col("n") + F.col("m")
-    least = total * (ratio / 2 - (q - 1) * (1 - ratio)) - (q - 1) - _EPS
-    met = met.where(F.col("common") >= F.least(F.lit(COMMON), F.greatest(F.lit(1), F.ceil(least))))
-    theirs = _grammed(files.select("id", "path", "key"), q).select(F.col("id").alias("b"), "path", F.col("key").alias("candidate"), F.col("grams").alias("others"))
-    met = met.select("a", "b", least.alias("least")).repartition(parts, "b").join(theirs, "b").join(_grammed(claims.select("id", "rel", "scope", "key"), q).withColumnRenamed("id", "a"), "a")
-    met = met.withColumn("common", F.size(F.array_intersect("grams", "others"))).where(F.col("common") >= F.col("least"))
-    return met.where(F.col("scope").isNull() | F.startswith("path", F.concat("scope", F.lit("/")))).select("rel", "scope", "key", "path", "candidate", "common")
-
-
-def _top(ratio: float):
-    """The two best of each claim's pairs, which come together and those with most in common first."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: tuple | None = None
-        best: list[tuple[float, str]] = []
-        out = []
+            for s, *row in zip(*(b.column(c).to_pylist() for c in ("scope", name, "key", "least")), strict=True):
+                if held and (s != scope or len(held) == BLOCK or size > BLOCK_CHARACTERS):
+                    yield pa.RecordBatch.from_pylist([block(number, scope, held)], schema)
+                    held, size, number = [], 0, number + 1
+                held.append(row)
+                scope, size = s, size + len(row[1])
+        if held:
+            yield pa.RecordBatch.from_pylist([block(number, scope, held)], schema)
+
+    return texts.select("scope", name, "key", "least").mapInArrow(run, "id long, scope string, lo int, hi int, least double, any_ array<long>, all_ array<long>, data binary")
+
+
+def _order() -> list[Column]:
+    """By scope, length and letters, so that texts of a block have much in common."""
+    return [F.col("scope"), F.length("key"), F.array_join(F.array_sort(F.split(F.regexp_replace("key", "[0-9]", ""), "")), ""), F.col("key")]
+
+
+def _parts(texts: DataFrame, rows: int | None = None) -> int:
+    """Parts of a table whose work is much for its size: few of few rows, of eight blocks each at most."""
+    spark = texts.sparkSession
+    usual = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return usual if rows is None else max(1, min(usual, -(-rows // 256)), -(-rows // (8 * BLOCK)))
+
+
+def _packed(texts: DataFrame, name: str, parts: int | None) -> DataFrame:
+    """Blocks of texts: sorted over parts, or, where that is None, with all of a scope together."""
+    dealt = texts.repartition(_parts(texts), "scope") if parts is None else texts.repartitionByRange(parts, *_order())
+    return _blocks(dealt.sortWithinPartitions(*_order()), name).checkpoint()
+
+
+def longest(n_lo, n_hi, m_lo, m_hi, x, y, clip):
+    """The lengths n and m in given ranges at which texts of which x and y characters have no counterpart reach the greatest ratio, 2 * min(n - x, m - y) / (n + m)."""
+    n = clip(m_hi - y + x, n_lo, n_hi)
+    m = clip(n - x + y, m_lo, m_hi)
+    return n, m
+
+
+def _meet(a: DataFrame, b: DataFrame) -> Column:
+    """Whether a text of block a and one of block b may reach what one of a's needs."""
+
+    def missing(these: str, those: str) -> Column:
+        return sum((F.bit_count(F.get(these, F.lit(w)).bitwiseAND(F.bitwise_not(F.get(those, F.lit(w))))) for w in range(WORDS)), F.lit(0))
+
+    x, y = missing("a.all_", "b.any_"), missing("b.all_", "a.any_")
+    n, m = longest(F.col("a.lo"), F.col("a.hi"), F.col("b.lo"), F.col("b.hi"), x, y, lambda v, lo, hi: F.least(F.greatest(v, lo), hi))
+    return 2 * F.least(n - x, m - y) >= (F.col("a.least") - _EPS) * (n + m)
+
+
+class _Texts:
+    """A block's columns, padded to whole groups."""
+
+    def __init__(self, data: bytes) -> None:
+        batch = pa.ipc.open_stream(data).read_next_batch()
+        self.batch, self.n = batch, batch.num_rows
+        self.least = batch.column("least").to_numpy(zero_copy_only=False)
+        padded = -(-self.n // GROUP) * GROUP
+        self.bits = np.zeros((WORDS, padded), np.uint64)
+        for w in range(WORDS):
+            self.bits[w, : self.n] = batch.column(f"w{w}").to_numpy()
+        self.count = np.bitwise_count(self.bits).astype(np.int32)
+        self._keys: list[str] | None = None
+        self.lens = np.zeros(padded, np.int32)
+        self.lens[: self.n] = pc.utf8_length(batch.column("key")).to_numpy()
+
+    @property
+    def keys(self) -> list[str]:
+        if self._keys is None:
+            self._keys = self.batch.column("key").to_pylist()
+        return self._keys
+
+    def groups(self) -> tuple[np.ndarray, ...]:
+        """any, all, shortest and longest of each group."""
+        bits, lens = self.bits.reshape(WORDS, -1, GROUP), self.lens.reshape(-1, GROUP)
+        there = lens > 0
+        every = np.bitwise_and.reduce(np.where(there, bits, ~np.uint64(0)), 2)
+        return np.bitwise_or.reduce(bits, 2), every, np.where(there, lens, 1 << 30).min(1), lens.max(1)
+
+    def codes(self) -> tuple[np.ndarray, np.ndarray]:
+        """All characters in a row, and where each text begins."""
+        return np.frombuffer("".join(self.keys).encode("utf-32-le", "surrogatepass"), "<u4"), np.r_[0, np.cumsum(self.lens[: self.n])]
+
+
+def common(masks: np.ndarray, ia: np.ndarray, n: np.ndarray, codes: np.ndarray, start: np.ndarray, jb: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Lengths of the longest common subsequences of pairs: masks has for each of a's texts (n <= 64 characters) and each code its places as bits."""
+    rows = np.full(len(ia), ~np.uint64(0))
+    begin = start[jb]
+    for i in range(int(m.max(initial=0))):
+        code = np.where(i < m, codes[np.minimum(begin + i, len(codes) - 1)], 0)
+        met = rows & masks[ia, code]
+        rows = (rows + met) | (rows - met)
+    inside = ~np.uint64(0) >> (np.uint64(64) - n.astype(np.uint64))
+    return np.bitwise_count(~rows & inside).astype(np.int32)
+
+
+class _Claims:
+    """The claims of a block and the two best of each so far."""
+
+    def __init__(self, data: bytes) -> None:
+        self.texts = _Texts(data)
+        self.floor = self.texts.least - _EPS  # what a bound must be above to change an outcome
+        self.best: dict[int, list[tuple[float, str]]] = {}
+        self._masks: tuple | None = None
+
+    def masks(self) -> tuple[np.ndarray, np.ndarray]:
+        """The codes in these claims, and each claim's places of each of them (0: of none); only claims of up to 64 characters have any."""
+        if self._masks is None:
+            codes, start = self.texts.codes()
+            known, dense = np.unique(codes, return_inverse=True)
+            lens = self.texts.lens[: self.texts.n]
+            at = np.repeat(np.arange(self.texts.n), lens)
+            place = np.arange(len(codes)) - start[at]
+            out = np.zeros((self.texts.n, len(known) + 1), np.uint64)
+            short = lens[at] <= 64
+            np.bitwise_or.at(out, (at[short], dense[short] + 1), np.uint64(1) << place[short].astype(np.uint64))
+            self._masks = known, out
+        return self._masks
+
+    def meet(self, files: _Texts) -> None:
+        a, b = self.texts, files
+        n = a.lens[: a.n]
+        some, every, lo, hi = b.groups()
+        x, y = (np.zeros((a.n, len(lo)), np.int32) for _ in range(2))
+        for w in range(WORDS):
+            mine = a.bits[w, : a.n, None]
+            x += np.bitwise_count(mine & ~some[w])
+            y += np.bitwise_count(every[w] & ~mine)
+        nn, mm = longest(n[:, None], n[:, None], lo, hi, x, y, np.clip)
+        bound = 2.0 * np.minimum(nn - x, mm - y) / (nn + mm)
+        ia, g = np.nonzero(bound > self.floor[:, None])
+        if not len(ia):
+            return
+        order = np.argsort(-bound[ia, g], kind="stable")  # the most promising first
+        ia, g, bound = ia[order], g[order], bound[ia[order], g[order]]
+        at = None
+        for k in range(0, len(ia), CHUNK):
+            part = slice(k, k + CHUNK)
+            i, j = ia[part], g[part]
+            still = bound[part] > self.floor[i]
+            i, j, ratio = self._bits(i[still], j[still], n, b)
+            if not len(i):
+                continue
+            if at is None:
+                codes, start = b.codes()
+                known, masks = self.masks()
+                found = np.searchsorted(known, codes).clip(max=len(known) - 1)
+                at = np.where(known[found] == codes, found + 1, 0), start, masks
+            for q in range(0, len(i), 1 << 16):
+                few = slice(q, q + (1 << 16))
+                self._ratios(i[few], j[few], ratio[few], n, b, *at)
+
+    def _bits(self, i: np.ndarray, g: np.ndarray, n: np.ndarray, b: _Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs (claim, file) of claims and groups whose bits leave them in reach, with that bound."""
+        a = self.texts
+        n_i, floor = n[i][:, None], self.floor[i][:, None]
+        m, theirs = b.lens.reshape(-1, GROUP)[g], b.count[0].reshape(-1, GROUP)[g]
+        miss = np.bitwise_count(a.bits[0][i][:, None] & ~b.bits[0].reshape(-1, GROUP)[g]).astype(np.int32)
+        can = np.minimum(n_i, m - theirs + a.count[0][i][:, None]) - miss
+        r, c = np.nonzero(2.0 * can > floor * (n_i + m))
+        i, j, miss = i[r], g[r] * GROUP + c, miss[r, c]
+        for w in range(1, WORDS):
+            miss += np.bitwise_count(a.bits[w][i] & ~b.bits[w][j])
+        m = b.lens[j]
+        can = np.minimum(n[i], m - b.count[:, j].sum(0) + a.count[:, i].sum(0)) - miss
+        ratio = 2.0 * can / (n[i] + m)
+        still = (ratio > self.floor[i]) & (m > 0)
+        return i[still], j[still], ratio[still]
+
+    def _ratios(self, i: np.ndarray, j: np.ndarray, ratio: np.ndarray, n: np.ndarray, b: _Texts, codes: np.ndarray, start: np.ndarray, masks: np.ndarray) -> None:
+        still = ratio > self.floor[i]
+        i, j, ratio = i[still], j[still], ratio[still]
+        m, short = b.lens[j], n[i] <= 64
+        s, t = i[short], j[short]
+        ratio[short] = 2.0 * common(masks, s, n[s], codes, start, t, m[short]) / (n[s] + m[short])
+        still = np.flatnonzero(ratio > self.floor[i])
+        mine, theirs = self.texts.keys, b.keys
         matcher = difflib.SequenceMatcher()
-        for b in batches:
-            for rel, scope, key, path, candidate in zip(b["rel"], b["scope"], b["key"], b["path"], b["candidate"], strict=True):
-                if (rel, scope) != held:
-                    out += [(*held, s, p) for s, p in best] if held else []
-                    held, best = (rel, scope), []
-                least = ratio  # what can change the best or the doubt about it
-                if len(best) > 1:
-                    least = max(best[1][0], best[0][0] if best[0][0] - best[1][0] < MARGIN else 0.0)
-                matcher.set_seqs(key, candidate)  # the claim comes first: the ratio isn't symmetric
-                if matcher.real_quick_ratio() < least or matcher.quick_ratio() < least:
-                    continue
-                score = matcher.ratio()
-                if score >= ratio:
-                    best = sorted([*best, (score, path)], reverse=True)[:2]
-            if len(out) > 10_000:
-                yield pd.DataFrame(out, columns=["rel", "scope", "score", "path"])
-                out = []
-        out += [(*held, s, p) for s, p in best] if held else []
-        yield pd.DataFrame(out, columns=["rel", "scope", "score", "path"])
-
-    return run
-
-
-def _best(met: DataFrame, ratio: float) -> DataFrame:
-    """rel, scope, best, path and second (the next ratio) of claims that have a path of the ratio."""
-    salt = F.pmod(F.xxhash64("path"), F.lit(SALTS))
-    dealt = met.repartition("rel", "scope", salt).sortWithinPartitions("rel", "scope", F.col("common").desc(), "path")
-    top = dealt.select("rel", "scope", "key", "path", "candidate").mapInPandas(_top(ratio), "rel string, scope string, score double, path string")
-    two = top.groupBy("rel", "scope").agg(F.sort_array(F.collect_list(F.struct("score", "path")), asc=False).alias("t"))  # 2 * SALTS at most
+        for k in still[np.lexsort((j[still], -ratio[still], i[still]))]:
+            at, to = int(i[k]), int(j[k])
+            if ratio[k] <= self.floor[at]:
+                continue
+            matcher.set_seqs(mine[at], theirs[to])  # the claim comes first: the ratio isn't symmetric
+            if matcher.quick_ratio() <= self.floor[at]:
+                continue
+            score = matcher.ratio()
+            if score <= self.floor[at]:
+                continue
+            best = self.best[at] = sorted([*self.best.get(at, ()), (score, b.batch.column("name")[to].as_py())], reverse=True)[:2]
+            if len(best) > 1:  # then only what changes the best or the doubt about it; an equal one doesn't
+                self.floor[at] = max(self.floor[at], best[0][0] if best[0][0] - best[1][0] < MARGIN else best[1][0])
+
+    def rows(self) -> list[tuple[str, float, str]]:
+        names = self.texts.batch.column("name")
+        return [(names[i].as_py(), score, path) for i, two in self.best.items() for score, path in two]
+
+
+def _top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The two best of each claim of pairs of blocks (id, scope, a, b); those with the same claims come together."""
+    held, scope, claims = None, None, None
+
+    def out() -> pa.RecordBatch:
+        rel, score, path = zip(*rows, strict=True) if (rows := claims.rows()) else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(rel, pa.string()), pa.array([scope] * len(rel), pa.string()), pa.array(score, pa.float64()), pa.array(path, pa.string())], names=["rel", "scope", "score", "path"])
+
+    for batch in batches:
+        for number, at, a, b in zip(batch.column("id").to_pylist(), batch.column("scope").to_pylist(), batch.column("a"), batch.column("b"), strict=True):
+            if number != held:
+                if claims is not None:
+                    yield out()
+                held, scope, claims = number, at, _Claims(a.as_buffer())
+            claims.meet(_Texts(b.as_buffer()))
+    if claims is not None:
+        yield out()
+
+
+def _best(top: DataFrame) -> DataFrame:
+    """rel, scope, best, path and second (the next ratio) of claims by the best that each task found (rel, scope, score, path)."""
+    two = top.groupBy("rel", "scope").agg(F.sort_array(F.collect_list(F.struct("score", "path")), asc=False).alias("t"))  # two for each task that had the claim
     return two.select("rel", "scope", F.get("t", F.lit(0))["score"].alias("best"), F.get("t", F.lit(0))["path"].alias("path"), F.get("t", F.lit(1))["score"].alias("second"))
 
 
-def _level(open_: DataFrame, files: DataFrame, ratio: float, q: int) -> DataFrame:
-    """open_ with best, path and second of those that have a path of the ratio."""
-    two = _best(pairs(open_, files, ratio, q), ratio).withColumnsRenamed({"rel": "_rel", "scope": "_scope"})
+def _searched(open_: DataFrame, blocks: DataFrame, scoped: bool) -> DataFrame:
+    """open_ (rel, scope, key, least) with best, path and second of those that have a path of the ratio least."""
+    a = _packed(open_, "rel", None if scoped else _parts(open_, open_.count()))
+    a, b = a.alias("a"), blocks.alias("b")
+    if scoped:
+        met = a.join(b, (F.col("a.scope") == F.col("b.scope")) & _meet(a, b))
+    else:
+        met = a.hint("shuffle_replicate_nl").join(b, F.col("a.scope").eqNullSafe(F.col("b.scope")) & _meet(a, b))
+    top = met.select("a.id", "a.scope", F.col("a.data").alias("a"), F.col("b.data").alias("b")).mapInArrow(_top, "rel string, scope string, score double, path string")
+    two = _best(top).withColumnsRenamed({"rel": "_rel", "scope": "_scope"})
     return open_.join(two, (F.col("rel") == F.col("_rel")) & F.col("scope").eqNullSafe(F.col("_scope")), "left").drop("_rel", "_scope")
 
 
@@ -177,25 +356,28 @@ def _decided(found: DataFrame) -> DataFrame:
     return found.select("rel", "scope", F.when(clear, F.col("path")).alias("fuzzy_path"), "best", ((F.col("best") >= ACCEPT) & ~clear).alias("ambiguous"))
 
 
-def most_similar_of(met: DataFrame) -> DataFrame:
-    """As most_similar, of given pairs (rel, scope, key, path, candidate): for claims that have few candidates."""
-    return _decided(_best(met.withColumn("common", F.lit(0)), LEVELS[-1][0]))
-
-
-def most_similar(claims: DataFrame, files: DataFrame) -> DataFrame:
+def most_similar(claims: DataFrame, files: DataFrame, together: bool = False) -> DataFrame:
     """rel, scope, fuzzy_path, best, ambiguous of claims (rel, scope, key) that have a path of ratio ACCEPT - MARGIN or more: fuzzy_path if its ratio is ACCEPT or
-    more and no other's within MARGIN of it. files: path, key."""
-    ship(claims.sparkSession)
-    shared_folder(claims.sparkSession)
-    open_, done = claims.select("rel", "scope", "key"), []
-    for ratio, q in LEVELS:
-        last = ratio == LEVELS[-1][0]
-        found = _level(open_, files, ratio, q).checkpoint()
+    more and no other's within MARGIN of it. files: scope, path, key; a claim meets the files of its scope (NULL meets NULL). together: scopes are of moderate size,
+    so that each may be one task's work."""
+    spark = claims.sparkSession
+    ship(spark)
+    shared_folder(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    files = files.select("scope", "path", "key", F.lit(0.0).alias("least"))
+    blocks = _packed(files, "path", None if together else _parts(files, files.count()))
+    if not together:
+        blocks = blocks.coalesce(max(1, -(-blocks.count() // HELD)))
+    open_, done = claims.select("rel", "scope", "key", F.lit(LEVELS[0][0]).alias("least")).checkpoint(), []
+    for (ratio, _), (lower, _) in zip(LEVELS, [*LEVELS[1:], (None, 0)], strict=True):
+        found = _searched(open_, blocks, together).checkpoint()
         close = F.coalesce(F.col("second") > F.col("best") - MARGIN, F.lit(False))
-        settled = F.coalesce(F.lit(last) | close | (F.col("best") - MARGIN >= ratio), F.lit(False))
-        done.append(found.where(settled & F.col("best").isNotNull()))
-        open_ = found.where(~(settled & F.col("best").isNotNull())).select("rel", "scope", "key")
-        if last or open_.isEmpty():
+        settled = F.col("best").isNotNull() & F.coalesce(F.lit(lower is None) | close | (F.col("best") - MARGIN >= ratio), F.lit(False))
+        done.append(found.where(settled))
+        if lower is None:
+            break
+        open_ = found.where(~settled).select("rel", "scope", "key", F.greatest(F.lit(lower), F.col("best") - MARGIN).alias("least"))
+        if open_.isEmpty():
             break
     every = done[0]
     for d in done[1:]:
