@@ -47,8 +47,9 @@ WORDS = 4
 HELD = 64
 #: Folders of more files are searched like the whole inventory, by many tasks each.
 LARGE = 1 << 17
-#: Candidates looked at in one go.
-CHUNK = 2048
+#: Claims, and pairs, looked at in one go.
+CHUNK = 64
+PAIRS = 1 << 14
 #: Arrow batches end at so many bytes.
 BATCH_BYTES = 8 << 20
 _EPS = 1e-9
@@ -177,7 +178,7 @@ class _Texts:
         self.bits = np.zeros((WORDS, padded), np.uint64)
         for w in range(WORDS):
             self.bits[w, : self.n] = batch.column(f"w{w}").to_numpy()
-        self.count = np.bitwise_count(self.bits).astype(np.int32)
+        self.count = np.bitwise_count(self.bits).sum(0, dtype=np.int32)
         self._keys: list[str] | None = None
         self.lens = np.zeros(padded, np.int32)
         self.lens[: self.n] = pc.utf8_length(batch.column("key")).to_numpy()
@@ -246,44 +247,50 @@ class _Claims:
             y += np.bitwise_count(every[w] & ~mine)
         nn, mm = longest(n[:, None], n[:, None], lo, hi, x, y, np.clip)
         bound = 2.0 * np.minimum(nn - x, mm - y) / (nn + mm)
-        ia, g = np.nonzero(bound > self.floor[:, None])
-        if not len(ia):
+        near = bound > self.floor[:, None]
+        if not near.any():
             return
-        order = np.argsort(-bound[ia, g], kind="stable")  # the most promising first
-        ia, g, bound = ia[order], g[order], bound[ia[order], g[order]]
-        at = None
-        for k in range(0, len(ia), CHUNK):
-            part = slice(k, k + CHUNK)
-            i, j = ia[part], g[part]
-            still = bound[part] > self.floor[i]
-            i, j, ratio = self._bits(i[still], j[still], n, b)
-            if not len(i):
+        (mine, theirs), at = self._matrices(b), None
+        for k in range(0, a.n, CHUNK):
+            some = np.flatnonzero(near[k : k + CHUNK].any(1)) + k
+            g = np.flatnonzero(near[some].any(0))
+            if not len(g):
                 continue
+            j = (g[:, None] * GROUP + np.arange(GROUP)).ravel()
+            i, at_j = np.divmod(np.flatnonzero(mine[some] @ theirs[g].reshape(len(j), -1).T > 0), len(j))
+            i, j = some[i], j[at_j]
+            there = b.lens[j] > 0
+            i, j = i[there], j[there]
+            m, held = b.lens[j], sum(np.bitwise_count(a.bits[w][i] & b.bits[w][j]).astype(np.int32) for w in range(WORDS))
+            ratio = 2.0 * (held + np.minimum(n[i] - a.count[i], m - b.count[j])) / (n[i] + m)
+            order = np.flatnonzero(ratio > self.floor[i])
+            if not len(order):
+                continue
+            if len(order) > PAIRS:
+                order = order[np.argsort(-ratio[order], kind="stable")]  # the most promising first
             if at is None:
                 codes, start = b.codes()
                 known, masks = self.masks()
                 found = np.searchsorted(known, codes).clip(max=len(known) - 1)
                 at = np.where(known[found] == codes, found + 1, 0), start, masks
-            for q in range(0, len(i), 1 << 16):
-                few = slice(q, q + (1 << 16))
+            for q in range(0, len(order), PAIRS):
+                few = order[q : q + PAIRS]
                 self._ratios(i[few], j[few], ratio[few], n, b, *at)
 
-    def _bits(self, i: np.ndarray, g: np.ndarray, n: np.ndarray, b: _Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Pairs (claim, file) of claims and groups whose bits leave them in reach, with that bound."""
-        a = self.texts
-        n_i, floor = n[i][:, None], self.floor[i][:, None]
-        m, theirs = b.lens.reshape(-1, GROUP)[g], b.count[0].reshape(-1, GROUP)[g]
-        miss = np.bitwise_count(a.bits[0][i][:, None] & ~b.bits[0].reshape(-1, GROUP)[g]).astype(np.int32)
-        can = np.minimum(n_i, m - theirs + a.count[0][i][:, None]) - miss
-        r, c = np.nonzero(2.0 * can > floor * (n_i + m))
-        i, j, miss = i[r], g[r] * GROUP + c, miss[r, c]
-        for w in range(1, WORDS):
-            miss += np.bitwise_count(a.bits[w][i] & ~b.bits[w][j])
-        m = b.lens[j]
-        can = np.minimum(n[i], m - b.count[:, j].sum(0) + a.count[:, i].sum(0)) - miss
-        ratio = 2.0 * can / (n[i] + m)
-        still = (ratio > self.floor[i]) & (m > 0)
-        return i[still], j[still], ratio[still]
+    def _matrices(self, b: _Texts) -> tuple[np.ndarray, np.ndarray]:
+        """A row for each claim, and one for each file by groups, whose product is above 0 if their bits leave the pair in reach: bits in common and the claim's
+        characters without a bit of their own, less half the floor for each character of both. Bits that all have, or only claims, need no column."""
+        a, one = self.texts, np.uint64(1)
+        ours, theirs = a.bits[:, : a.n], b.bits[:, : b.n]
+        always = np.bitwise_and.reduce(ours, 1) & np.bitwise_and.reduce(theirs, 1)
+        some = np.bitwise_or.reduce(ours, 1) & np.bitwise_or.reduce(theirs, 1) & ~always
+        word, bit = np.nonzero((some[:, None] >> np.arange(64, dtype=np.uint64)) & one)
+        bit = bit[:, None].astype(np.uint64)
+        n, half = a.lens[: a.n], self.floor / 2
+        slack = int(np.bitwise_count(always).sum()) + n - a.count[: a.n] - half * n + 1e-3
+        mine = np.vstack([(ours[word] >> bit) & one, half, slack]).T.astype(np.float32)
+        facing = np.vstack([(b.bits[word] >> bit) & one, -b.lens, np.ones(len(b.lens))]).T.astype(np.float32)
+        return mine, facing.reshape(-1, GROUP, len(word) + 2)
 
     def _ratios(self, i: np.ndarray, j: np.ndarray, ratio: np.ndarray, n: np.ndarray, b: _Texts, codes: np.ndarray, start: np.ndarray, masks: np.ndarray) -> None:
         still = ratio > self.floor[i]
@@ -299,7 +306,7 @@ class _Claims:
             if ratio[k] <= self.floor[at]:
                 continue
             matcher.set_seqs(mine[at], theirs[to])  # the claim comes first: the ratio isn't symmetric
-            if matcher.quick_ratio() <= self.floor[at]:
+            if n[at] > 64 and matcher.quick_ratio() <= self.floor[at]:
                 continue
             score = matcher.ratio()
             if score <= self.floor[at]:
