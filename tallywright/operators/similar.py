@@ -7,6 +7,8 @@ that all of them have. Blocks meet blocks; pairs of blocks without a text in rea
 GROUP texts are left out by the same bound, then single pairs by their bits, then by the length of their longest common subsequence; only the rest gets a
 ratio. Pairs are never written or shuffled: a task keeps the two best of each of its claims. No pair is lost, as every bound is one from above.
 
+Claims in blocks of which no block of paths is in reach at the least ratio leave before the search; for that only the blocks' lengths and bits are compared.
+
 A claim's outcome is its best path and whether another comes within MARGIN of it. Levels of falling ratios therefore settle first the claims that have near
 paths; only claims without any go down to the last level. What a claim still needs (its best less MARGIN) goes down with it.
 
@@ -345,6 +347,21 @@ def _best(top: DataFrame) -> DataFrame:
     return two.select("rel", "scope", F.get("t", F.lit(0))["score"].alias("best"), F.get("t", F.lit(0))["path"].alias("path"), F.get("t", F.lit(1))["score"].alias("second"))
 
 
+def _within_reach(open_: DataFrame, blocks: DataFrame) -> DataFrame:
+    """open_ (rel, scope, key, least) without claims whose whole block has no block of paths in reach."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for scope, data in zip(batch.column("scope").to_pylist(), batch.column("data"), strict=True):
+                held = pa.ipc.open_stream(data.as_buffer()).read_next_batch()
+                yield pa.RecordBatch.from_arrays([held.column("name"), pa.array([scope] * held.num_rows, pa.string()), held.column("key"), held.column("least")], names=["rel", "scope", "key", "least"])
+
+    heads = blocks.drop("data").alias("b")  # a row for BLOCK paths
+    a = _packed(open_, "rel", _parts(open_, open_.count())).alias("a")
+    near = a.join(F.broadcast(heads), F.col("a.scope").eqNullSafe(F.col("b.scope")) & _meet(a, heads), "left_semi")
+    return near.select("scope", "data").mapInArrow(run, "rel string, scope string, key string, least double")
+
+
 def _searched(open_: DataFrame, blocks: DataFrame, scoped: bool) -> DataFrame:
     """open_ (rel, scope, key, least) with best, path and second of those that have a path of the ratio least."""
     a = _packed(open_, "rel", None if scoped else _parts(open_, open_.count()))
@@ -375,8 +392,13 @@ def most_similar(claims: DataFrame, files: DataFrame, together: bool = False) ->
     blocks = _packed(files, "path", None if together else _parts(files, files.count()))
     if not together:
         blocks = blocks.coalesce(max(1, -(-blocks.count() // HELD)))
-    open_, done = claims.select("rel", "scope", "key", F.lit(LEVELS[0][0]).alias("least")).checkpoint(), []
+    open_, done = claims.select("rel", "scope", "key", F.lit(LEVELS[-1][0]).alias("least")).checkpoint(), []
+    if not together:
+        open_ = _within_reach(open_, blocks).checkpoint()
+    open_ = open_.withColumn("least", F.lit(LEVELS[0][0]))
     for (ratio, _), (lower, _) in zip(LEVELS, [*LEVELS[1:], (None, 0)], strict=True):
+        if open_.isEmpty():
+            break
         found = _searched(open_, blocks, together).checkpoint()
         close = F.coalesce(F.col("second") > F.col("best") - MARGIN, F.lit(False))
         settled = F.col("best").isNotNull() & F.coalesce(F.lit(lower is None) | close | (F.col("best") - MARGIN >= ratio), F.lit(False))
@@ -384,9 +406,7 @@ def most_similar(claims: DataFrame, files: DataFrame, together: bool = False) ->
         if lower is None:
             break
         open_ = found.where(~settled).select("rel", "scope", "key", F.greatest(F.lit(lower), F.col("best") - MARGIN).alias("least"))
-        if open_.isEmpty():
-            break
-    every = done[0]
+    every = done[0] if done else open_.withColumns({"best": F.lit(None).cast("double"), "path": F.lit(None).cast("string"), "second": F.lit(None).cast("double")})
     for d in done[1:]:
         every = every.unionByName(d)
     return _decided(every)

@@ -52,3 +52,22 @@ def test_large_folder_is_many_tasks_work(spark, monkeypatch):
     monkeypatch.setattr(resolve, "LARGE", 100)
     assert sorted(map(tuple, resolve.scoped(asked, files, folders).collect())) == want
     assert sum(s == "resolved_fuzzy" for *_, s in want) > 50
+
+
+def test_claims_out_of_reach_leave_before_the_search(spark, monkeypatch):
+    """Claims that no path can resemble are never searched for; the others' outcomes stay, also where both kinds come together or no claim or file is there."""
+    ship(spark)
+    searched, search = [], similar._searched
+    monkeypatch.setattr(similar, "_searched", lambda open_, *rest: searched.append(open_.count()) or search(open_, *rest))
+    names = [f"docs/src{i % 20}/en/{i * 7}.txt" for i in range(600)]
+    files = spark.createDataFrame([(n,) for n in names], "path string")
+    gone = spark.range(500).select(F.format_string("gone/%d.bin", F.col("id") * 9).alias("rel"))
+    near = files.limit(40).select(F.overlay("path", F.lit("x"), F.lit(2)).alias("rel"))
+    assert resolve.fuzzy(gone, files).collect() == [] and resolve.fuzzy(gone, files.limit(0)).collect() == [] and resolve.fuzzy(gone.limit(0), files).collect() == []
+    assert sum(searched) == 0
+    alone = sorted(map(tuple, resolve.fuzzy(near, files).collect()))
+    assert len(alone) == 40 and sum(searched) > 0
+    assert sorted(map(tuple, resolve.fuzzy(gone.unionByName(near), files).collect())) == alone
+    key = lambda n: n.lower().translate(str.maketrans("oil|szgq", "01115299"))
+    for rel, _, best, _ in alone[:10]:
+        assert abs(best - max(difflib.SequenceMatcher(None, key(rel), key(n)).ratio() for n in names)) < 1e-9
