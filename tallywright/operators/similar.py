@@ -7,12 +7,18 @@ that all of them have. Blocks meet blocks; pairs of blocks without a text in rea
 GROUP texts are left out by the same bound, then single pairs by their bits, then by the length of their longest common subsequence; only the rest gets a
 ratio. Pairs are never written or shuffled: a task keeps the two best of each of its claims. No pair is lost, as every bound is one from above.
 
+Where blocks leave many pairs in reach, these come from an index of segments instead. A pair of ratio above r has at most D = (1 - r) * (n + m) characters without
+counterpart; a path is cut into D + 1 segments, so one of them is whole in the claim: the first before whose end lie fewer such characters than segments. Before
+it there are as many of them as segments, which leaves it few places (_shifts). Where a length's paths are cut is what makes equal segments least likely. Pairs
+with a segment in common go on to the bounds by bits and subsequence; claims for which that'd be more work than all pairs' bits meet whole blocks as before.
+
 Claims in blocks of which no block of paths is in reach at the least ratio leave before the search; for that only the blocks' lengths and bits are compared.
 
 A claim's outcome is its best path and whether another comes within MARGIN of it. Levels of falling ratios therefore settle first the claims that have near
 paths; only claims without any go down to the last level. What a claim still needs (its best less MARGIN) goes down with it.
 
-Where names are alike throughout, pairs of blocks remain that grow as the square of the input; their bits are compared some hundred million a second and core."""
+Where names are alike throughout and the index doesn't tell them apart, pairs of blocks remain that grow as the square of the input; their bits are compared some
+hundred million a second and core. Pairs with a segment in common grow as the square too, but are a few thousandths of all at most where names are unlike."""
 
 from __future__ import annotations
 
@@ -45,10 +51,20 @@ BLOCK_CHARACTERS = 1 << 19
 GROUP = 64
 #: Words of a signature: characters seen first, second, third and more often in a text.
 WORDS = 4
-#: File blocks that a task of the unscoped search holds.
+#: File blocks, and claim blocks, that a task of the unscoped search holds.
 HELD = 64
+CLAIMED = 32
+#: Of the index of segments: it is asked where more pairs than SMALL are in reach and texts have at most LONGEST characters; a pair that it gives, and a look into it,
+#: cost as much as the bits of so many pairs; looks made together cost CALL more.
+SMALL = 1 << 24
+LONGEST = 256
+DEAR = 8
+LOOK = 20
+CALL = 1000
 #: Folders of more files are searched like the whole inventory, by many tasks each.
 LARGE = 1 << 17
+#: From so many characters on difflib takes frequent ones for junk.
+JUNK = 200
 #: Claims, and pairs, looked at in one go.
 CHUNK = 64
 PAIRS = 1 << 14
@@ -133,9 +149,13 @@ def _blocks(texts: DataFrame, name: str) -> DataFrame:
     return texts.select("scope", name, "key", "least").mapInArrow(run, "id long, scope string, lo int, hi int, least double, any_ array<long>, all_ array<long>, data binary")
 
 
-def _order() -> list[Column]:
-    """By scope, length and letters, so that texts of a block have much in common."""
-    return [F.col("scope"), F.length("key"), F.array_join(F.array_sort(F.split(F.regexp_replace("key", "[0-9]", ""), "")), ""), F.col("key")]
+#: By scope, length and letters, so that texts of a block have much in common.
+_ORDER = ("scope", "_length", "_letters", "key")
+
+
+def _ordered(texts: DataFrame) -> DataFrame:
+    """With the columns of _ORDER: a sort would take expressions anew for each comparison."""
+    return texts.withColumns({"_length": F.length("key"), "_letters": F.array_join(F.sort_array(F.split(F.regexp_replace("key", "[0-9]", ""), "")), "")})
 
 
 def _parts(texts: DataFrame, rows: int | None = None) -> int:
@@ -147,8 +167,8 @@ def _parts(texts: DataFrame, rows: int | None = None) -> int:
 
 def _packed(texts: DataFrame, name: str, parts: int | None) -> DataFrame:
     """Blocks of texts: sorted over parts, or, where that is None, with all of a scope together."""
-    dealt = texts.repartition(_parts(texts), "scope") if parts is None else texts.repartitionByRange(parts, *_order())
-    return _blocks(dealt.sortWithinPartitions(*_order()), name).checkpoint()
+    dealt = _ordered(texts.repartition(_parts(texts), "scope")) if parts is None else _ordered(texts).repartitionByRange(parts, *_ORDER)
+    return _blocks(dealt.sortWithinPartitions(*_ORDER), name).checkpoint()
 
 
 def longest(n_lo, n_hi, m_lo, m_hi, x, y, clip):
@@ -172,8 +192,7 @@ def _meet(a: DataFrame, b: DataFrame) -> Column:
 class _Texts:
     """A block's columns, padded to whole groups."""
 
-    def __init__(self, data: bytes) -> None:
-        batch = pa.ipc.open_stream(data).read_next_batch()
+    def __init__(self, batch: pa.RecordBatch) -> None:
         self.batch, self.n = batch, batch.num_rows
         self.least = batch.column("least").to_numpy(zero_copy_only=False)
         padded = -(-self.n // GROUP) * GROUP
@@ -185,6 +204,10 @@ class _Texts:
         self.lens = np.zeros(padded, np.int32)
         self.lens[: self.n] = pc.utf8_length(batch.column("key")).to_numpy()
 
+    def spare(self) -> np.ndarray:
+        """Characters without a bit of their own."""
+        return (self.lens - self.count)[: self.n].astype(np.uint32)
+
     @property
     def keys(self) -> list[str]:
         if self._keys is None:
@@ -215,11 +238,121 @@ def common(masks: np.ndarray, ia: np.ndarray, n: np.ndarray, codes: np.ndarray,
     return np.bitwise_count(~rows & inside).astype(np.int32)
 
 
+def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... (count[0] of them), start[1], ..."""
+    return np.repeat(start - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+
+
+def _columns(codes: np.ndarray, start: np.ndarray, of: np.ndarray, length: int) -> np.ndarray:
+    """A row for each place of texts of one length, a column for each text."""
+    return np.stack([codes[start[of] + p] for p in range(length)]).astype(np.uint64)
+
+
+def _hashed(columns: np.ndarray) -> np.ndarray:
+    """A number for each text's piece; equal pieces have equal ones."""
+    out = np.zeros(columns.shape[1], np.uint64)
+    for c in columns:
+        out = (out ^ c) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def _shifts(k: int, errors: int, more: int) -> list[int]:
+    """How far the path's segment k (from 0) may lie behind its place in a claim that has more characters more, if k of the errors come before it: each moves it by one."""
+    return [v for v in range(-k, k + 1, 2) if abs(more - v) <= errors - k]
+
+
+class _Shelf:
+    """Blocks of paths of one scope, and the index of their segments."""
+
+    def __init__(self, data: bytes) -> None:
+        self.batches = list(pa.ipc.open_stream(data))
+        self.all = _Texts(pa.Table.from_batches(self.batches).combine_chunks().to_batches()[0])
+        self.sizes = np.array([b.num_rows for b in self.batches])
+        starts, bits, lens = np.cumsum(self.sizes) - self.sizes, self.all.bits[:, : self.all.n], self.all.lens[: self.all.n]
+        self.heads = np.bitwise_or.reduceat(bits, starts, 1), np.bitwise_and.reduceat(bits, starts, 1), np.minimum.reduceat(lens, starts), np.maximum.reduceat(lens, starts)
+        self.facing, self.spare = np.ascontiguousarray(bits.T), self.all.spare()
+        self.codes, self.start = self.all.codes()
+        order = np.argsort(lens, kind="stable")
+        known, first = np.unique(lens[order], return_index=True)
+        self.lengths = {int(m): part for m, part in zip(known, np.split(order, first[1:]), strict=True) if m}
+        self._blocks: dict[int, _Texts] = {}
+        self._places: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self._cut: dict[tuple[int, int, int], tuple[float, list[int]] | None] = {}
+        self._sorted: dict[tuple[int, int, int], tuple[np.ndarray, np.ndarray]] = {}
+
+    def block(self, number: int) -> _Texts:
+        if number not in self._blocks:
+            self._blocks[number] = _Texts(self.batches[number])
+        return self._blocks[number]
+
+    def _length(self, m: int) -> tuple[np.ndarray, np.ndarray]:
+        """Columns of the paths of m characters, and bits that tell two of them apart by their first 0, 1, ... characters (places taken one by one)."""
+        if m not in self._places:
+            columns = _columns(self.codes, self.start, self.lengths[m], m)
+            same = [np.square(np.bincount((c % np.uint64(1021)).astype(np.int64)) / len(c)).sum() for c in columns]
+            self._places[m] = columns.astype(np.uint32), np.r_[0.0, np.cumsum(-np.log2(same))]
+        return self._places[m]
+
+    def cuts(self, m: int, errors: int, more: int) -> tuple[float, list[int]] | None:
+        """Where paths of m characters are cut into segments for claims of more characters more, and how many of these paths a claim is likely to meet then."""
+        at = m, errors, more
+        if at not in self._cut:
+            self._cut[at] = None
+            if errors < m <= LONGEST:
+                bits = self._length(m)[1]
+                alike = np.where(np.tri(m + 1, dtype=bool), np.inf, np.exp2(np.minimum(bits[:, None] - bits, 0)))
+                cost, back = np.where(np.arange(m + 1), np.inf, 0.0), []
+                for k in range(errors + 1):
+                    every = cost[:, None] + max(len(_shifts(k, errors, more)), 1e-3) * alike
+                    back.append(every.argmin(0))
+                    cost = every.min(0)
+                ends = [m]
+                for b in back[::-1]:
+                    ends.append(int(b[ends[-1]]))
+                self._cut[at] = float(cost[m]) * len(self.lengths[m]), ends[::-1]
+        return self._cut[at]
+
+    def segments(self, m: int, begin: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the segments of the paths of m characters in order, and the paths' numbers."""
+        at = m, begin, end
+        if at not in self._sorted:
+            hashes = _hashed(self._length(m)[0][begin:end].astype(np.uint64))
+            order = np.argsort(hashes)
+            self._sorted[at] = hashes[order], self.lengths[m][order].astype(np.int32)
+        return self._sorted[at]
+
+
+def matched(a: str, b: str) -> int:
+    """Characters in difflib's matching blocks of two texts, of which b is too short for characters to be taken for junk: the longest block, of these the first in a
+    and then in b, then the same before and after it."""
+    total, open_ = 0, [(0, len(a), 0, len(b))]
+    while open_:
+        a_lo, a_hi, b_lo, b_hi = open_.pop()
+        low, high, at, to, size = 1, min(a_hi - a_lo, b_hi - b_lo), 0, 0, 0
+        while low <= high:
+            k = (low + high + 1) // 2
+            for i in range(a_lo, a_hi - k + 1):
+                j = b.find(a[i : i + k], b_lo, b_hi)
+                if j >= 0:
+                    while i + k < a_hi and j + k < b_hi and a[i + k] == b[j + k]:
+                        k += 1
+                    at, to, size, low = i, j, k, k + 1
+                    break
+            else:
+                high = k - 1
+        if size:
+            total += size
+            open_ += (a_lo, at, b_lo, to), (at + size, a_hi, to + size, b_hi)
+    return total
+
+
 class _Claims:
     """The claims of a block and the two best of each so far."""
 
-    def __init__(self, data: bytes) -> None:
-        self.texts = _Texts(data)
+    def __init__(self, batch: pa.RecordBatch) -> None:
+        self.texts = _Texts(batch)
+        self._seen: set[tuple[int, int]] = set()
         self.floor = self.texts.least - _EPS  # what a bound must be above to change an outcome
         self.best: dict[int, list[tuple[float, str]]] = {}
         self._masks: tuple | None = None
@@ -238,7 +371,94 @@ class _Claims:
             self._masks = known, out
         return self._masks
 
+    def meet_shelf(self, shelf: _Shelf) -> None:
+        """meet() with all blocks of a shelf, or the same by its index."""
+        a = self.texts
+        (some, every, lo, hi), bits, lens = shelf.heads, a.bits[:, : a.n], a.lens[: a.n]
+        x = np.bitwise_count(np.bitwise_and.reduce(bits, 1)[:, None] & ~some).sum(0, dtype=np.int32)
+        y = np.bitwise_count(every & ~np.bitwise_or.reduce(bits, 1)[:, None]).sum(0, dtype=np.int32)
+        n, m = longest(lens.min(), lens.max(), lo, hi, x, y, np.clip)
+        near = np.flatnonzero(2 * np.minimum(n - x, m - y) >= self.floor.min() * (n + m))
+        pairs = a.n * int(shelf.sizes[near].sum())
+        looks = self._looks(shelf, pairs) if pairs > SMALL else None
+        if looks is None:
+            for number in near:
+                self.meet(shelf.block(number))
+        else:
+            self._seen.clear()
+            self._met(shelf, looks)
+
+    def _looks(self, shelf: _Shelf, most: float) -> list[tuple[np.ndarray, ...]] | None:
+        """Claims, paths by segment, the first and last of the paths that share one with each of the claims, and how many characters a pair must match; None if that's
+        more work than the bits of so many pairs."""
+        a, asked = self.texts, []
+        lens = a.lens[: a.n]
+        for n in np.unique(lens).tolist():
+            of = np.flatnonzero(lens == n)
+            for m in shelf.lengths:
+                errors = ((1 - self.floor[of]) * (n + m) + _EPS).astype(np.int64)
+                errors -= (errors ^ (n + m)) & 1  # as many as characters in all, by twos
+                for d in np.unique(errors[errors >= abs(n - m)]).tolist():
+                    some = of[errors == d]
+                    most -= (len(some) + CALL) * LOOK * sum(len(_shifts(k, d, n - m)) for k in range(d + 1))
+                    if most < 0 or (cut := shelf.cuts(m, d, n - m)) is None:
+                        return None
+                    most -= len(some) * DEAR * cut[0]
+                    asked.append((n, m, d, some, cut))
+        if most < 0:
+            return None
+        most += DEAR * sum(len(some) * cut[0] for *_, some, cut in asked)  # now what there really is
+        out = []
+        codes, start = a.codes()
+        for n, m, d, some, (_, ends) in asked:
+            columns = _columns(codes, start, some, n)
+            for k in range(d + 1):
+                begin, end = ends[k], ends[k + 1]
+                for shift in _shifts(k, d, n - m):
+                    if begin + shift < 0 or end + shift > n:
+                        continue
+                    hashes, paths = shelf.segments(m, begin, end)
+                    mine = _hashed(columns[begin + shift : end + shift])
+                    order = np.argsort(mine)
+                    first, last = (np.searchsorted(hashes, mine[order], side) for side in ("left", "right"))
+                    hit = last > first
+                    most -= DEAR * int((last - first).sum())
+                    if most < 0:
+                        return None
+                    out.append((some[order[hit]], paths, first[hit], last[hit], (n + m - d) // 2))
+        return out
+
+    def _met(self, shelf: _Shelf, looks: list[tuple[np.ndarray, ...]]) -> None:
+        """The ratios that matter among pairs with a segment in common."""
+        a, b = self.texts, shelf.all
+        n, mine, more = a.lens[: a.n], np.ascontiguousarray(a.bits[:, : a.n].T), a.spare()
+        known, masks = self.masks()
+        place = np.zeros(int(known.max(initial=0)) + 2, np.int64)
+        place[known] = np.arange(len(known)) + 1
+        start = np.zeros(b.n, np.int64)
+        for some, paths, first, last, least in looks:
+            count = last - first
+            parts = np.split(np.arange(len(some)), np.flatnonzero(np.diff(np.cumsum(count) // (16 * PAIRS))) + 1) if len(some) else []
+            for part in parts:
+                i, j = some[part], paths[_ranges(first[part], count[part])]
+                bits = np.repeat(mine[i], count[part], 0)
+                bits &= shelf.facing.take(j, 0)
+                held = (np.bitwise_count(bits).view(np.uint32) * np.uint32(0x01010101) >> np.uint32(24)).ravel()  # the sum of a pair's four bytes
+                held += np.minimum(np.repeat(more[i], count[part]), shelf.spare.take(j))
+                left = np.flatnonzero(held >= least)
+                i, j = np.repeat(i, count[part])[left], j[left]
+                ratio = 2.0 * held[left] / (n[i] + b.lens[j])
+                left = np.flatnonzero(ratio > self.floor[i])
+                for q in range(0, len(left), PAIRS):
+                    few = left[q : q + PAIRS]
+                    theirs = np.unique(j[few])
+                    size = b.lens[theirs].astype(np.int64)
+                    codes = place[np.minimum(shelf.codes[_ranges(shelf.start[theirs], size)], len(place) - 1)]
+                    start[theirs] = np.cumsum(size) - size
+                    self._ratios(i[few], j[few], ratio[few], n, b, codes, start, masks)
+
     def meet(self, files: _Texts) -> None:
+        self._seen.clear()
         a, b = self.texts, files
         n = a.lens[: a.n]
         some, every, lo, hi = b.groups()
@@ -305,12 +525,17 @@ class _Claims:
         matcher = difflib.SequenceMatcher()
         for k in still[np.lexsort((j[still], -ratio[still], i[still]))]:
             at, to = int(i[k]), int(j[k])
-            if ratio[k] <= self.floor[at]:
-                continue
-            matcher.set_seqs(mine[at], theirs[to])  # the claim comes first: the ratio isn't symmetric
-            if n[at] > 64 and matcher.quick_ratio() <= self.floor[at]:
+            if ratio[k] <= self.floor[at] or (at, to) in self._seen:
                 continue
-            score = matcher.ratio()
+            self._seen.add((at, to))
+            # the claim comes first: the ratio isn't symmetric
+            if n[at] > 64 or len(theirs[to]) >= JUNK:
+                matcher.set_seqs(mine[at], theirs[to])
+                if n[at] > 64 and matcher.quick_ratio() <= self.floor[at]:
+                    continue
+                score = matcher.ratio()
+            else:
+                score = 2.0 * matched(mine[at], theirs[to]) / (len(mine[at]) + len(theirs[to]))
             if score <= self.floor[at]:
                 continue
             best = self.best[at] = sorted([*self.best.get(at, ()), (score, b.batch.column("name")[to].as_py())], reverse=True)[:2]
@@ -335,12 +560,49 @@ def _top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if number != held:
                 if claims is not None:
                     yield out()
-                held, scope, claims = number, at, _Claims(a.as_buffer())
-            claims.meet(_Texts(b.as_buffer()))
+                held, scope, claims = number, at, _Claims(*pa.ipc.open_stream(a.as_buffer()))
+            claims.meet(_Texts(*pa.ipc.open_stream(b.as_buffer())))
     if claims is not None:
         yield out()
 
 
+def _bundled(blocks: DataFrame, parts: int) -> DataFrame:
+    """scope and data of the blocks of a part together, a row for each scope."""
+
+    def bundle(scope: str | None, held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, held[0].schema) as out:
+            for b in held:
+                out.write_batch(b)
+        return pa.RecordBatch.from_arrays([pa.array([scope], pa.string()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["scope", "data"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, scope = [], None
+        for batch in batches:
+            for at, data in zip(batch.column("scope").to_pylist(), batch.column("data"), strict=True):
+                if held and (at != scope or len(held) == HELD):
+                    yield bundle(scope, held)
+                    held = []
+                held, scope = [*held, *pa.ipc.open_stream(data.as_py())], at
+        if held:
+            yield bundle(scope, held)
+
+    return blocks.coalesce(max(1, parts)).select("scope", "data").mapInArrow(run, "scope string, data binary")
+
+
+def _top_of_shelves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The two best of each claim of pairs of bundles (scope, a, b)."""
+    for batch in batches:
+        for scope, a, b in zip(batch.column("scope").to_pylist(), batch.column("a"), batch.column("b"), strict=True):
+            shelf = _Shelf(b.as_buffer())
+            for held in pa.ipc.open_stream(a.as_buffer()):
+                claims = _Claims(held)
+                claims.meet_shelf(shelf)
+                if rows := claims.rows():
+                    rel, score, path = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(rel, pa.string()), pa.array([scope] * len(rel), pa.string()), pa.array(score, pa.float64()), pa.array(path, pa.string())], names=["rel", "scope", "score", "path"])
+
+
 def _best(top: DataFrame) -> DataFrame:
     """rel, scope, best, path and second (the next ratio) of claims by the best that each task found (rel, scope, score, path)."""
     two = top.groupBy("rel", "scope").agg(F.sort_array(F.collect_list(F.struct("score", "path")), asc=False).alias("t"))  # two for each task that had the claim
@@ -364,13 +626,18 @@ def _within_reach(open_: DataFrame, blocks: DataFrame) -> DataFrame:
 
 def _searched(open_: DataFrame, blocks: DataFrame, scoped: bool) -> DataFrame:
     """open_ (rel, scope, key, least) with best, path and second of those that have a path of the ratio least."""
-    a = _packed(open_, "rel", None if scoped else _parts(open_, open_.count()))
-    a, b = a.alias("a"), blocks.alias("b")
+    schema = "rel string, scope string, score double, path string"
     if scoped:
+        a, b = _packed(open_, "rel", None).alias("a"), blocks.alias("b")
         met = a.join(b, (F.col("a.scope") == F.col("b.scope")) & _meet(a, b))
+        top = met.select("a.id", "a.scope", F.col("a.data").alias("a"), F.col("b.data").alias("b")).mapInArrow(_top, schema)
     else:
-        met = a.hint("shuffle_replicate_nl").join(b, F.col("a.scope").eqNullSafe(F.col("b.scope")) & _meet(a, b))
-    top = met.select("a.id", "a.scope", F.col("a.data").alias("a"), F.col("b.data").alias("b")).mapInArrow(_top, "rel string, scope string, score double, path string")
+        rows, shelves = open_.count(), max(1, -(-blocks.count() // HELD))
+        parts = max(-(-3 * open_.sparkSession.sparkContext.defaultParallelism // shelves), -(-rows // (CLAIMED * BLOCK)))
+        a = _bundled(_packed(open_, "rel", _parts(open_, rows)), parts).alias("a")
+        b = _bundled(blocks, shelves).alias("b")
+        met = a.hint("shuffle_replicate_nl").join(b, F.col("a.scope").eqNullSafe(F.col("b.scope")))
+        top = met.select("a.scope", F.col("a.data").alias("a"), F.col("b.data").alias("b")).mapInArrow(_top_of_shelves, schema)
     two = _best(top).withColumnsRenamed({"rel": "_rel", "scope": "_scope"})
     return open_.join(two, (F.col("rel") == F.col("_rel")) & F.col("scope").eqNullSafe(F.col("_scope")), "left").drop("_rel", "_scope")
 
