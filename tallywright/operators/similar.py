@@ -279,7 +279,7 @@ class _Shelf:
         self._blocks: dict[int, _Texts] = {}
         self._places: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self._cut: dict[tuple[int, int, int], tuple[float, list[int]] | None] = {}
-        self._sorted: dict[tuple[int, int, int], tuple[np.ndarray, np.ndarray]] = {}
+        self._begins: dict[tuple[int, int, int], tuple[np.ndarray, np.ndarray]] = {}
 
     def block(self, number: int) -> _Texts:
         if number not in self._blocks:
@@ -314,13 +314,15 @@ class _Shelf:
         return self._cut[at]
 
     def segments(self, m: int, begin: int, end: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the segments of the paths of m characters in order, and the paths' numbers."""
+        """Where the paths of m characters whose segment has a hash of 0, 1, ... begin, and these paths' numbers. Hashes are cut to as many bits as the paths' count has:
+        unlike segments that fall together only add pairs."""
         at = m, begin, end
-        if at not in self._sorted:
-            hashes = _hashed(self._length(m)[0][begin:end].astype(np.uint64))
-            order = np.argsort(hashes)
-            self._sorted[at] = hashes[order], self.lengths[m][order].astype(np.int32)
-        return self._sorted[at]
+        if at not in self._begins:
+            bits = len(self.lengths[m]).bit_length()
+            hashes = _hashed(self._length(m)[0][begin:end].astype(np.uint64)) >> np.uint64(64 - bits)
+            begins = np.r_[0, np.cumsum(np.bincount(hashes.astype(np.int64), minlength=1 << bits))]
+            self._begins[at] = begins.astype(np.int32), self.lengths[m][np.argsort(hashes)].astype(np.int32)
+        return self._begins[at]
 
 
 def matched(a: str, b: str) -> int:
@@ -417,15 +419,14 @@ class _Claims:
                 for shift in _shifts(k, d, n - m):
                     if begin + shift < 0 or end + shift > n:
                         continue
-                    hashes, paths = shelf.segments(m, begin, end)
-                    mine = _hashed(columns[begin + shift : end + shift])
-                    order = np.argsort(mine)
-                    first, last = (np.searchsorted(hashes, mine[order], side) for side in ("left", "right"))
+                    begins, paths = shelf.segments(m, begin, end)
+                    mine = (_hashed(columns[begin + shift : end + shift]) >> np.uint64(64 - len(shelf.lengths[m]).bit_length())).astype(np.int64)
+                    first, last = begins[mine], begins[mine + 1]
                     hit = last > first
                     most -= DEAR * int((last - first).sum())
                     if most < 0:
                         return None
-                    out.append((some[order[hit]], paths, first[hit], last[hit], (n + m - d) // 2))
+                    out.append((some[hit], paths, first[hit], last[hit], (n + m - d) // 2))
         return out
 
     def _met(self, shelf: _Shelf, looks: list[tuple[np.ndarray, ...]]) -> None:
@@ -438,7 +439,7 @@ class _Claims:
         start = np.zeros(b.n, np.int64)
         for some, paths, first, last, least in looks:
             count = last - first
-            parts = np.split(np.arange(len(some)), np.flatnonzero(np.diff(np.cumsum(count) // (16 * PAIRS))) + 1) if len(some) else []
+            parts = np.split(np.arange(len(some)), np.flatnonzero(np.diff(np.cumsum(count, dtype=np.int64) // (16 * PAIRS))) + 1) if len(some) else []
             for part in parts:
                 i, j = some[part], paths[_ranges(first[part], count[part])]
                 bits = np.repeat(mine[i], count[part], 0)
